@@ -79,6 +79,8 @@ SELECT doc_id, CAST(substr(source, 4, 10) AS INTEGER) AS tenant_id,
 FROM documents""",
     "v_chunks": """
 SELECT vec_id AS chunk_id, label AS tenant_id, embedding FROM embeddings""",
+    "v_eval": """
+SELECT item_id AS query_id, CAST(item_id % 20 AS INTEGER) AS tenant_id, text AS query_text FROM benchmark""",
     "v_configs": """
 SELECT s_suppkey AS config_id, s_nationkey AS tenant_id,
   CASE s_suppkey % 4 WHEN 0 THEN 'hospital' WHEN 1 THEN 'school' WHEN 2 THEN 'restaurant' ELSE 'generic' END AS template,

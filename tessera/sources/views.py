@@ -184,6 +184,14 @@ def docs(t: Tables) -> DataFrame:
     )
 
 
+def eval_questions(t: Tables) -> DataFrame:
+    """Evaluation questions from ``benchmark``, each assigned to one of the
+    20 document tenants."""
+    b = t.benchmark
+    return b.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20).cast("int").alias("tenant_id"),
+                    F.col("text").alias("query_text"))
+
+
 def chunks(t: Tables) -> DataFrame:
     e = t.embeddings
     return e.select(
