@@ -127,7 +127,7 @@ def join_top(arr: ColLike, k: int, sep: str) -> Column:
 def content_key(*cols: ColLike) -> Column:
     """Deterministic row id: SHA-256 of the fields (NULL kept distinct from
     ''), so retries and replays give the same key."""
-    parts = [F.coalesce(_c(c).cast("string"), F.lit("\u0000")) for c in cols]
+    parts = [F.coalesce(_c(c).cast("string"), F.lit("\\N")) for c in cols]
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 

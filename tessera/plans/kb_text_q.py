@@ -253,8 +253,8 @@ S3_SQL = """
 SELECT CAST(p_partkey % 25 AS INTEGER) AS tenant_id, p_name AS title,
   concat_ws('; ', 'p_name: ' || p_name, 'p_brand: ' || p_brand, 'p_type: ' || p_type,
             'p_size: ' || CAST(p_size AS VARCHAR), 'p_retailprice: ' || CAST(p_retailprice AS VARCHAR)) AS chunk,
-  sha256(concat_ws(chr(31), coalesce(p_name, chr(0)), coalesce(p_brand, chr(0)), coalesce(p_type, chr(0)),
-         coalesce(CAST(p_size AS VARCHAR), chr(0)), coalesce(CAST(p_retailprice AS VARCHAR), chr(0)))) AS chunk_key
+  sha256(concat_ws(chr(31), coalesce(p_name, '\\N'), coalesce(p_brand, '\\N'), coalesce(p_type, '\\N'),
+         coalesce(CAST(p_size AS VARCHAR), '\\N'), coalesce(CAST(p_retailprice AS VARCHAR), '\\N'))) AS chunk_key
 FROM part"""
 register("s3_rows_to_chunks", S3_SQL)(_s3)
 
