@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["dashboard_q", "kb_search_q", "kb_text_q", "records_q", "reports_q", "rules_q", "functions_q"]
+_MODULES = ["dashboard_q", "kb_search_q", "kb_text_q", "records_q", "reports_q", "rules_q", "functions_q", "streams_q"]
 
 
 def load_all():
