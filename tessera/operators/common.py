@@ -27,8 +27,17 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast ``df`` only if its row count is proven under the bound;
-    otherwise return it unchanged so the planner shuffles instead."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+    otherwise return it so the planner shuffles it instead.
+
+    The side is evaluated once and checkpointed to the shared checkpoint
+    folder (``spark.checkpoint.dir``), so the size check does not run its
+    plan a second time and a lost executor does not recompute it; the count
+    then reads the materialised rows."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    m = df.checkpoint(eager=True)
+    return F.broadcast(m) if fits(m, max_rows) else m
 
 
 def top_k_per(df: DataFrame, by, order: Sequence[Column], k: int, rank_col: str | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ back to a shuffle on tenant and AQE splits skewed tenant partitions.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,12 +102,25 @@ def check_vectors(vecs: DataFrame, dim: int, vec_col: str = "embedding") -> Data
 # K15 ----------------------------------------------------------------------
 def _simhash_bands(vec: F.Column, planes: list[list[float]], bands: int) -> F.Column:
     """Per vector: ``bands`` band keys, each the sign bits of a group of
-    random hyperplanes (cosine LSH)."""
-    per = len(planes) // bands
-    bits = [F.when(F.aggregate(F.zip_with(vec, F.array(*[F.lit(x) for x in p]), lambda a, b: a * b),
-                               F.lit(0.0), lambda acc, y: acc + y) >= 0, F.lit("1")).otherwise(F.lit("0"))
-            for p in planes]
-    return F.array(*[F.concat(F.lit(f"{b}:"), *bits[b * per:(b + 1) * per]) for b in range(bands)])
+    random hyperplanes (cosine LSH). A pandas UDF: one matrix product per
+    Arrow batch (vectors x hyperplanes) instead of one array expression per
+    hyperplane and row."""
+    p = np.asarray(planes, dtype=np.float64).T          # dim x (bands * bits)
+    per = p.shape[1] // bands
+
+    @F.pandas_udf("array<string>")
+    def keys(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        m = np.stack([np.asarray(x, dtype=np.float64) for x in v])
+        bits = (m @ p) >= 0
+        out = []
+        for row in bits:
+            s = "".join("1" if b else "0" for b in row)
+            out.append([f"{b}:{s[b * per:(b + 1) * per]}" for b in range(bands)])
+        return pd.Series(out)
+
+    return keys(vec)
 
 
 def approx_search(queries: DataFrame, chunks: DataFrame, k: int = 3, bands: int = 10, bits: int = 4,

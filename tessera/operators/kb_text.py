@@ -234,15 +234,22 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 8, k1: float =
     Query terms are the small side and are broadcast after a size check, so
     the postings are joined where they lie; scores are summed with a
     map-side partial aggregate per (query, document)."""
-    tok = docs.select("tenant_id", id_col, F.explode(simple_tokens(text_col)).alias("term"))
-    tf = tok.groupBy("tenant_id", id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    dl = tok.groupBy("tenant_id", id_col).agg(F.count(F.lit(1)).alias("dl"))
+    # Document lengths need no shuffle of tokens: one row per document.
+    dl = docs.select("tenant_id", id_col, F.size(simple_tokens(text_col)).alias("dl"))
     stats = dl.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    qt = small(queries.select("query_id", "tenant_id",
+                              F.explode(F.array_distinct(simple_tokens("query_text"))).alias("term")))
+    # Only occurrences of query terms survive the (broadcast) semi join, so
+    # the term-frequency aggregate shuffles postings of query terms only.
+    terms = qt.select("tenant_id", "term").distinct()
+    tok = docs.select("tenant_id", id_col, F.explode(simple_tokens(text_col)).alias("term"))
+    tf = tok.join(F.broadcast(terms), ["tenant_id", "term"], "left_semi") \
+        .groupBy("tenant_id", id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    qt = queries.select("query_id", "tenant_id",
-                        F.explode(F.array_distinct(simple_tokens("query_text"))).alias("term"))
-    qt = small(qt.join(dfreq, ["tenant_id", "term"], "inner").join(small(stats), "tenant_id", "inner"))
-    post = tf.join(qt, ["tenant_id", "term"], "inner").join(dl, ["tenant_id", id_col], "inner")
+    # qt passed the size check above; joining it to one df row and one stats
+    # row per (tenant, term) keeps its row count, so it stays broadcastable.
+    qt = qt.join(dfreq, ["tenant_id", "term"], "inner").join(small(stats), "tenant_id", "inner")
+    post = tf.join(F.broadcast(qt), ["tenant_id", "term"], "inner").join(dl, ["tenant_id", id_col], "inner")
     n, df_, tfc = F.col("n_docs"), F.col("df"), F.col("tf")
     idf = F.log(F.lit(1.0) + (n - df_ + F.lit(0.5)) / (df_ + F.lit(0.5)))
     w = idf * tfc * F.lit(k1 + 1) / (tfc + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
