@@ -14,6 +14,21 @@ def _c(c: ColLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# X11 ----------------------------------------------------------------------
+def ts_lit(value) -> Column:
+    """``as_of`` and other fixed times as a ``timestamp_ntz`` literal, built
+    from text so neither the session nor the Python time zone shifts it."""
+    import datetime as dt
+
+    if isinstance(value, dt.datetime):
+        text = value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    elif isinstance(value, dt.date):
+        text = value.isoformat()
+    else:
+        text = str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 # X1 -----------------------------------------------------------------------
 def first_of(*cols: ColLike, default=None) -> Column:
     """First non-null value (the ``a ?? b ?? default`` rule)."""

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import ts_lit
 from .common import small, top_k_per
 
 
@@ -99,7 +100,7 @@ def unconfigured(tenants: DataFrame, configs: DataFrame) -> DataFrame:
 # F3 -----------------------------------------------------------------------
 def free_slots(avail: DataFrame, as_of: dt.datetime) -> DataFrame:
     """slots not booked and after ``as_of`` (pushed into the scan)."""
-    return avail.filter((~F.col("is_booked")) & (F.col("slot") > F.lit(as_of)))
+    return avail.filter((~F.col("is_booked")) & (F.col("slot") > ts_lit(as_of)))
 
 
 # T1 -----------------------------------------------------------------------
@@ -164,9 +165,9 @@ def filter_calls(calls: DataFrame, tenants: DataFrame, start=None, end=None, sec
     The sector filter is a semi join against the (small) tenant list."""
     out = calls
     if start is not None:
-        out = out.filter(F.col("started_at") >= F.lit(start))
+        out = out.filter(F.col("started_at") >= ts_lit(start))
     if end is not None:
-        out = out.filter(F.col("started_at") < F.lit(end))
+        out = out.filter(F.col("started_at") < ts_lit(end))
     for name, v in (("status", status), ("outcome", outcome), ("sentiment", sentiment)):
         if v is not None:
             out = out.filter(F.col(name).isin(v if isinstance(v, (list, tuple)) else [v]))

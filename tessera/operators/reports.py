@@ -32,7 +32,7 @@ def kpi_tiles(calls: DataFrame, rates: DataFrame, day=None) -> DataFrame:
     ``day`` restricts to one day (the dashboard tile)."""
     c = calls.withColumn("day", F.to_date("started_at"))
     if day is not None:
-        c = c.filter(F.col("day") == F.lit(day))
+        c = c.filter(F.col("day") == F.to_date(F.lit(str(day))))
     c = c.join(small(rates), "provider", "left")
     return c.groupBy("tenant_id", "day").agg(
         F.count(F.lit(1)).alias("calls"),

@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import content_key, e164, simple_tokens
+from ..functions.expr import content_key, e164, simple_tokens, ts_lit
 from .common import latest, small
 
 # F4 -----------------------------------------------------------------------
@@ -25,7 +25,7 @@ def flag_business_hours(calls: DataFrame, tenants: DataFrame, hours: DataFrame,
     t = small(tenants.select("tenant_id", "timezone"))
     h = small(hours.select("tenant_id", "open_hour", "close_hour"))
     j = calls.select("call_id", "tenant_id", "started_at").join(t, "tenant_id", "left").join(h, "tenant_id", "left")
-    local = F.from_utc_timestamp(F.col("started_at").cast("timestamp"), F.col("timezone")).cast("timestamp_ntz")
+    local = F.convert_timezone(F.lit("UTC"), F.col("timezone"), F.col("started_at"))
     hr = F.hour(local)
     inside = F.weekday(local).isin(*open_days) & (hr >= F.col("open_hour")) & (hr < F.col("close_hour"))
     return j.select("call_id", "tenant_id", local.alias("local_start"), inside.alias("in_hours"))
@@ -254,7 +254,7 @@ def retry_plan(notifs: DataFrame, as_of: dt.datetime, base_minutes: int = 1, cap
     nxt = F.timestamp_add("SECOND", (delay * 60).cast("long"), F.col("created_at"))
     give_up = F.col("attempts") >= max_attempts
     return f.select("notification_id", "tenant_id", "channel", "attempts", nxt.alias("next_attempt_at"),
-                    ((~give_up) & (nxt <= F.lit(as_of).cast("timestamp_ntz"))).alias("due"), give_up.alias("give_up"))
+                    ((~give_up) & (nxt <= ts_lit(as_of))).alias("due"), give_up.alias("give_up"))
 
 
 # Q8 -----------------------------------------------------------------------
@@ -262,7 +262,7 @@ def reminder_targets(bookings: DataFrame, consents: DataFrame, sent: DataFrame,
                      hours: int = 24) -> DataFrame:
     """Q8: bookings in (as_of, as_of + hours] whose contact's newest consent is
     an opt-in and that were not reminded yet."""
-    lo = F.lit(as_of).cast("timestamp_ntz")
+    lo = ts_lit(as_of)
     hi = F.timestamp_add("HOUR", F.lit(hours), lo)
     b = bookings.filter((F.col("scheduled_for") > lo) & (F.col("scheduled_for") <= hi))
     b = b.withColumn("recipient", F.col("customer_phone"))

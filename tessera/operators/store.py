@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import content_key
+from ..functions.expr import content_key, ts_lit
 from .common import latest, small
 
 
@@ -68,7 +68,7 @@ def upsert(base: DataFrame, incoming: DataFrame, key, cols: list[str], id_col: s
         if c in cols:
             upd.append(F.when(F.col("_hit"), F.col(f"_in_{c}")).otherwise(F.col(c)).alias(c))
         elif ts_col and c == ts_col and as_of is not None:
-            upd.append(F.when(F.col("_hit"), F.lit(as_of)).otherwise(F.col(c)).alias(c))
+            upd.append(F.when(F.col("_hit"), ts_lit(as_of)).otherwise(F.col(c)).alias(c))
         else:
             upd.append(F.col(c))
     updated = j.select(*upd, F.when(F.col("_hit"), F.lit("updated")).otherwise(F.lit("unchanged")).alias("action"))
@@ -80,7 +80,7 @@ def upsert(base: DataFrame, incoming: DataFrame, key, cols: list[str], id_col: s
         elif c == id_col:
             ins_cols.append(content_key(*keys).alias(c))
         elif ts_col and c == ts_col and as_of is not None:
-            ins_cols.append(F.lit(as_of).alias(c))
+            ins_cols.append(ts_lit(as_of).alias(c))
         else:
             ins_cols.append(F.lit(None).cast(base.schema[c].dataType).alias(c))
     inserted = new.select(*ins_cols, F.lit("inserted").alias("action"))
@@ -124,7 +124,7 @@ def apply_retention(df: DataFrame, policies: DataFrame, as_of: dt.datetime, ts_c
     one row per tenant and is broadcast after a size check."""
     p = small(policies.select("tenant_id", days_col))
     j = df.join(p, "tenant_id", "left")
-    keep = F.col(days_col).isNull() | (F.col(ts_col) >= F.timestamp_add("DAY", -F.col(days_col), F.lit(as_of)))
+    keep = F.col(days_col).isNull() | (F.col(ts_col) >= F.timestamp_add("DAY", -F.col(days_col), ts_lit(as_of)))
     return j.filter(keep).drop(days_col)
 
 

@@ -18,6 +18,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import ts_lit
 from .tables import Tables
 
 # Fixed values shared with the oracle views (must stay equal there).
@@ -157,7 +158,7 @@ ROLES = {"user": "caller", "assistant": "agent"}
 
 def turns(t: Tables) -> DataFrame:
     c = t.conversations
-    created = _plus_seconds(F.lit(TURNS_EPOCH).cast("timestamp_ntz"),
+    created = _plus_seconds(ts_lit(TURNS_EPOCH),
                             F.col("conv_id") * 3600 + F.col("turn") * 20)
     return c.select(
         F.col("conv_id").alias("call_id"),
@@ -212,7 +213,7 @@ def configs(t: Tables) -> DataFrame:
         F.concat(F.lit("You are the assistant of "), F.col("s_name"), F.lit(".")).alias("system_prompt"),
         F.lit("Welcome to {{tenant}}, this is {{agent}}. How can I help?").alias("greeting"),
         F.col("s_name").alias("agent_name"),
-        _plus_seconds(F.lit(TURNS_EPOCH).cast("timestamp_ntz"), k * 3600).alias("updated_at"),
+        _plus_seconds(ts_lit(TURNS_EPOCH), k * 3600).alias("updated_at"),
         (k % 3 + 8).cast("int").alias("open_hour"),
         (k % 4 + 17).cast("int").alias("close_hour"),
         (k % 2 == 0).alias("email_enabled"),
