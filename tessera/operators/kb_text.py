@@ -357,7 +357,7 @@ def read_kb_files(spark: SparkSession, path: str, fmt: str = "text") -> DataFram
     Markdown and HTML files are read whole; CSV rows and JSON records become
     one text each (``col: value`` pairs)."""
     if fmt in ("text", "md", "markdown", "html"):
-        df = spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "text")
+        df = spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
     elif fmt == "csv":
         raw = spark.read.option("header", True).csv(path)
         df = raw.select(rows_text(raw.columns).alias("text"))
@@ -368,8 +368,10 @@ def read_kb_files(spark: SparkSession, path: str, fmt: str = "text") -> DataFram
         raise ValueError(f"unknown format {fmt!r}")
     src = F.input_file_name()
     df = df.withColumn("source", src)
+    tenant = F.coalesce(F.nullif(F.regexp_extract("source", r"tenants/([^/=]+)/", 1), F.lit("")),
+                        F.nullif(F.regexp_extract("source", r"tenant_id=([^/]+)/", 1), F.lit("")))
     return df.select(
-        F.regexp_extract("source", r"tenants/([^/]+)/", 1).alias("tenant_id"),
+        tenant.alias("tenant_id"),
         F.regexp_extract("source", r"([^/]+?)(\.[^./]*)?$", 1).alias("title"),
         "source", "text")
 

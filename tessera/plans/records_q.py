@@ -262,3 +262,40 @@ UNION ALL SELECT 'notifications', count(*) FROM v_notifications WHERE tenant_id
 """, "v_calls", "v_bookings", "v_leads", "v_notifications"))(_s12)
 
 _ = os
+
+
+# S2 -----------------------------------------------------------------------
+def _s2(spark, sf):
+    """Writes every document as its own text file under
+    ``tenant_id=<t>/doc_id=<d>/`` in the shared scratch folder, then reads the
+    folder back as a knowledge-file source (whole files)."""
+    from ..operators import kb_text as K
+
+    path = shared_path(spark, f"kb-files-{uuid.uuid4().hex}")
+    d = V.docs(tables(spark, sf)).select("tenant_id", "doc_id", "content")
+    d.repartition("doc_id").write.partitionBy("tenant_id", "doc_id").text(path)
+    r = K.read_kb_files(spark, path, "text")
+    return r.select(F.col("tenant_id").cast("int").alias("tenant_id"),
+                    F.regexp_extract("source", r"doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"),
+                    F.regexp_replace("text", "\n$", "").alias("content"))
+
+
+register("s2_read_kb_files", with_views("SELECT tenant_id, doc_id, content FROM v_docs", "v_docs"))(_s2)
+
+
+# X11 ----------------------------------------------------------------------
+def _x11(spark, sf):
+    from ..operators.dashboard import free_slots
+
+    av = V.availability(tables(spark, sf))
+    a = free_slots(av, dt.datetime(1997, 1, 1)).groupBy("tenant_id").count().withColumnRenamed("count", "free_1997")
+    b = free_slots(av, dt.datetime(1999, 1, 1)).groupBy("tenant_id").count().withColumnRenamed("count", "free_1999")
+    return a.join(b, "tenant_id", "full").select("tenant_id", F.coalesce("free_1997", F.lit(0)).alias("free_1997"),
+                                                 F.coalesce("free_1999", F.lit(0)).alias("free_1999"))
+
+
+register("x11_as_of", with_views("""
+SELECT tenant_id, count(*) FILTER (WHERE slot > TIMESTAMP '1997-01-01 00:00:00') AS free_1997,
+  count(*) FILTER (WHERE slot > TIMESTAMP '1999-01-01 00:00:00') AS free_1999
+FROM v_availability WHERE NOT is_booked AND slot > TIMESTAMP '1997-01-01 00:00:00' GROUP BY tenant_id
+""", "v_availability"))(_x11)
