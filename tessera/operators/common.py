@@ -35,6 +35,8 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     then reads the materialised rows."""
     from ..session import ensure_checkpoint_dir
 
+    if df.isLocal():                      # literal rows held by the plan itself
+        return F.broadcast(df) if fits(df, max_rows) else df
     ensure_checkpoint_dir(df.sparkSession)
     m = df.checkpoint(eager=True)
     return F.broadcast(m) if fits(m, max_rows) else m

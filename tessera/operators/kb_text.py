@@ -261,8 +261,53 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 8, k1: float =
 def hash_embed(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 64) -> DataFrame:
     """Deterministic text embedding without a model: signed feature hashing
     of tokens (bucket from the first 8 hex digits of the token's MD5, sign
-    from the 9th), L2-normalised. Native functions; one shuffle on the row
-    id to sum the buckets. Rows with no token get a zero vector."""
+    from the 9th), L2-normalised. Rows with no token get a zero vector.
+
+    Map-only: Spark tokenises (X8), then ``mapInArrow`` works on whole Arrow
+    batches: the batch's tokens are dictionary-encoded, MD5 runs once per
+    distinct token of the batch, and the buckets are summed with numpy. No
+    shuffle, so a tenant or document of any size costs no hot task."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    src = df.select(*id_cols, simple_tokens(text_col).alias("_tok"))
+    schema = T.StructType([src.schema[c] for c in id_cols] +
+                          [T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for rb in batches:
+            n = rb.num_rows
+            toks = rb.column(rb.schema.get_field_index("_tok"))
+            flat = pc.list_flatten(toks)
+            rows = np.asarray(pc.list_parent_indices(toks))
+            m = np.zeros((n, dim))
+            if len(flat):
+                enc = pc.dictionary_encode(flat).combine_chunks() if hasattr(flat, "chunks") else pc.dictionary_encode(flat)
+                words = enc.dictionary.to_pylist()
+                bucket = np.empty(len(words), dtype=np.int64)
+                sign = np.empty(len(words), dtype=np.float64)
+                for i, w in enumerate(words):
+                    h = hashlib.md5(w.encode("utf-8")).hexdigest()
+                    bucket[i] = int(h[:8], 16) % dim
+                    sign[i] = 1.0 if int(h[8], 16) < 8 else -1.0
+                idx = np.asarray(enc.indices)
+                np.add.at(m, (rows, bucket[idx]), sign[idx])
+            norm = np.sqrt((m * m).sum(axis=1))           # integer sums: exact in any order
+            m = np.divide(m, norm[:, None], out=m, where=norm[:, None] > 0)
+            emb = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)),
+                                           pa.array(m.ravel()))
+            cols = [rb.column(rb.schema.get_field_index(c)) for c in id_cols] + [emb]
+            yield pa.RecordBatch.from_arrays(cols, names=[*id_cols, "embedding"])
+
+    return src.mapInArrow(run, schema)
+
+
+def hash_embed_shuffle(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 64) -> DataFrame:
+    """``hash_embed`` with built-in functions only (explode, aggregate per
+    (row, bucket), then per row): same result, two shuffles."""
     tok = df.select(*id_cols, F.explode_outer(simple_tokens(text_col)).alias("tok"))
     h = F.md5(F.col("tok"))
     bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")

@@ -342,19 +342,19 @@ FROM (SELECT *, created_at + to_seconds(CAST(least(CAST(60 AS DOUBLE), CAST(1 AS
 
 # Q9 -----------------------------------------------------------------------
 def replies(t) -> DataFrame:
-    """Inbound replies derived from ``lineitem``: the contact of a line
-    answers, at ship time plus its line number in hours, with a word chosen
-    by its discount and tax; phones arrive in the 00-prefixed form."""
-    b = bookings_keyed(t).filter(F.col("customer_phone").isNotNull())
-    l = t.lineitem.select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("line_no"),
-                          F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("resource_id"),
-                          F.col("l_shipdate").alias("scheduled_for"), "l_discount", "l_tax")
-    j = b.join(l, ["call_id", "line_no", "part_id", "resource_id", "scheduled_for"])
+    """Inbound replies derived from ``lineitem``: the contact of a line (the
+    booking view's phone rule) answers at ship time plus its line number in
+    hours, with a word chosen by its discount and tax; phones arrive in the
+    00-prefixed form."""
+    l = t.lineitem
+    phone = F.when(F.col("l_linenumber") % 3 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("001"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")))
     txt = (F.when(F.col("l_discount") >= 0.09, F.lit("cancel")).when(F.col("l_discount") <= 0.01, F.lit(" Reschedule please"))
             .when(F.col("l_tax") >= 0.08, F.lit("STOP")).otherwise(F.lit("thanks")))
-    return j.select(F.concat(F.lit("00"), F.substring("customer_phone", 2, 20)).alias("phone"), txt.alias("text"),
-                    F.timestamp_add("HOUR", F.col("line_no"), F.col("scheduled_for")).alias("ts"),
-                    F.col("booking_key").alias("seq"))
+    key = content_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return l.select(phone.alias("phone"), txt.alias("text"),
+                    F.timestamp_add("HOUR", F.col("l_linenumber"), F.col("l_shipdate")).alias("ts"),
+                    key.alias("seq")).filter(F.col("phone").isNotNull())
 
 
 def _q9(spark, sf):
@@ -379,13 +379,14 @@ FROM bk b LEFT JOIN (
                   ELSE '+1' || regexp_replace(trim(r.phone), '[^0-9]', '', 'g') END AS p, r.ts, r.seq, r.text
       FROM rp r)) WHERE phone IS NOT NULL) WHERE rn = 1) a ON a.phone = b.customer_phone
 """, "v_bookings", extra=dict(BK, rp="""
-  SELECT '00' || substr(b.customer_phone, 2, 20) AS phone,
-    CASE WHEN l.l_discount >= 0.09 THEN 'cancel' WHEN l.l_discount <= 0.01 THEN ' Reschedule please'
-         WHEN l.l_tax >= 0.08 THEN 'STOP' ELSE 'thanks' END AS text,
-    b.scheduled_for + to_hours(b.line_no) AS ts, b.booking_key AS seq
-  FROM bk b JOIN lineitem l ON l.l_orderkey = b.call_id AND l.l_linenumber = b.line_no AND l.l_partkey = b.part_id
-    AND l.l_suppkey = b.resource_id AND l.l_shipdate = b.scheduled_for
-  WHERE b.customer_phone IS NOT NULL""")))(_q9)
+  SELECT * FROM (SELECT CASE WHEN l_linenumber % 3 = 0 THEN NULL
+      ELSE '001' || lpad(CAST(l_partkey AS VARCHAR), 10, '0') END AS phone,
+    CASE WHEN l_discount >= 0.09 THEN 'cancel' WHEN l_discount <= 0.01 THEN ' Reschedule please'
+         WHEN l_tax >= 0.08 THEN 'STOP' ELSE 'thanks' END AS text,
+    l_shipdate + to_hours(l_linenumber) AS ts,
+    sha256(concat_ws(chr(31), CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
+      CAST(l_suppkey AS VARCHAR), CAST(l_shipdate AS VARCHAR))) AS seq
+  FROM lineitem) WHERE phone IS NOT NULL""")))(_q9)
 
 
 # Q11 ----------------------------------------------------------------------
