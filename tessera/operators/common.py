@@ -55,6 +55,23 @@ def top_k_per(df: DataFrame, by, order: Sequence[Column], k: int, rank_col: str
     return out if rank_col else out.drop(name)
 
 
+def number_rows(df: DataFrame, keys, order: Sequence[Column], bucket: Column, name: str = "i") -> DataFrame:
+    """``row_number()`` over (keys, order) in two levels, so a key holding a
+    third of all rows is numbered by many tasks: rows are numbered inside
+    (keys, ``bucket``) only; the bucket sizes (one row per key and bucket)
+    give each bucket's offset by a running sum; number = offset + local
+    number. ``bucket`` must not decrease along ``order`` (e.g. the day of
+    the leading time column)."""
+    keys = _cols(keys)
+    b = df.withColumn("_bk", bucket)
+    b = b.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_bk").orderBy(*order)))
+    sizes = b.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return b.join(sizes, [*keys, "_bk"], "inner") \
+        .withColumn(name, (F.col("_off") + F.col("_local")).cast("int")).drop("_bk", "_local", "_off")
+
+
 def latest(df: DataFrame, key, ts: str, tie: Sequence[str] = ()) -> DataFrame:
     """The newest row per key (ties broken by ``tie`` columns, descending).
 

@@ -173,8 +173,18 @@ def notification_state(events: DataFrame, key: list[str]) -> DataFrame:
     when it was reached, and the number of callbacks that went back below the
     furthest status already seen (out of order or illegal)."""
     e = events.withColumn("rank", status_rank(F.col("status")))
-    w = Window.partitionBy(*key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("back", F.coalesce(F.max("rank").over(w) > F.col("rank"), F.lit(False)))
+    # The highest rank seen before each callback, in two levels (per day of
+    # the message, then a running maximum over its days), so a message with
+    # a third of all callbacks is not one task.
+    e = e.withColumn("_day", F.date_trunc("day", "ts"))
+    w = Window.partitionBy(*key, "_day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("_in_day", F.max("rank").over(w))
+    days = e.groupBy(*key, "_day").agg(F.max("rank").alias("_day_max"))
+    before = Window.partitionBy(*key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_prior", F.max("_day_max").over(before)).drop("_day_max")
+    e = e.join(days, [*key, "_day"], "inner")
+    prev = F.greatest(F.col("_in_day"), F.col("_prior"))          # greatest skips NULLs
+    e = e.withColumn("back", F.coalesce(prev > F.col("rank"), F.lit(False))).drop("_day", "_in_day", "_prior")
     return e.groupBy(*key).agg(
         F.max_by("status", F.struct("rank", "ts", "event_id")).alias("status"),
         F.max_by("ts", F.struct("rank", "ts", "event_id")).alias("status_at"),
@@ -247,11 +257,21 @@ def access_report(audit: DataFrame, window: str = "1 day", z: float = 2.0) -> Da
 
 # W3 -----------------------------------------------------------------------
 def recent_history(turns: DataFrame, n: int = 4) -> DataFrame:
-    """For each turn the previous ``n`` turns of its call, oldest first
-    (a bounded frame inside one call)."""
-    w = Window.partitionBy("call_id").orderBy("turn_no").rowsBetween(-n, -1)
+    """For each turn the previous ``n`` turns of its call, oldest first.
+
+    Turns are numbered consecutively within a call, so the history is an
+    equi join of (call, turn - j) for j = 1..n: the join key includes the turn
+    number, so even a call with a third of all turns spreads over all tasks,
+    and each turn collects at most ``n`` lines."""
     line = F.concat(F.col("role"), F.lit(": "), F.col("content"))
-    return turns.withColumn("history", F.collect_list(line).over(w))
+    prev = turns.select("call_id", F.col("turn_no").alias("prev_no"), line.alias("line"))
+    want = turns.select("call_id", "turn_no", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("j")) \
+        .withColumn("prev_no", F.col("turn_no") - F.col("j"))
+    hist = want.join(prev, ["call_id", "prev_no"], "inner").groupBy("call_id", "turn_no").agg(
+        F.sort_array(F.collect_list(F.struct("prev_no", "line"))).alias("h"))
+    out = turns.join(hist, ["call_id", "turn_no"], "left")
+    return out.withColumn("history", F.coalesce(F.transform("h", lambda x: x["line"]), F.array().cast("array<string>"))) \
+        .drop("h")
 
 
 # W5 -----------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import content_key, e164, simple_tokens, ts_lit
-from .common import latest, small
+from .common import latest, number_rows, small
 
 # F4 -----------------------------------------------------------------------
 def flag_business_hours(calls: DataFrame, tenants: DataFrame, hours: DataFrame,
@@ -293,10 +293,11 @@ def apply_replies(bookings: DataFrame, replies: DataFrame) -> DataFrame:
 def fill_waitlist(slots: DataFrame, requests: DataFrame) -> DataFrame:
     """Q11: the i-th waiting request of a (tenant, resource) gets the i-th free
     slot of it (both in time order); equi join on (tenant, resource, i). The
-    numbering windows are per resource."""
-    ws = Window.partitionBy("tenant_id", "resource_id").orderBy("slot", "order_key", "line_no")
-    wr = Window.partitionBy("tenant_id", "resource_id").orderBy("created_at", "booking_key")
-    s = slots.withColumn("i", F.row_number().over(ws))
-    r = requests.withColumn("i", F.row_number().over(wr))
+    numbering is two-level (per resource and day, then offsets per
+    resource), so a resource with a third of all rows is not one task."""
+    keys = ["tenant_id", "resource_id"]
+    s = number_rows(slots, keys, [F.col("slot"), F.col("order_key"), F.col("line_no")],
+                    F.date_trunc("day", "slot"))
+    r = number_rows(requests, keys, [F.col("created_at"), F.col("booking_key")], F.date_trunc("day", "created_at"))
     return r.select("tenant_id", "resource_id", "i", "booking_key", "created_at") \
         .join(s.select("tenant_id", "resource_id", "i", "slot"), ["tenant_id", "resource_id", "i"], "inner")
