@@ -130,7 +130,10 @@ def e164(col: ColLike, prefix: str = "+1") -> Column:
             .when(digits.startswith("00"), F.concat(F.lit("+"), F.substring(digits, 3, 64)))
             .when(F.length(digits) > 10, F.concat(F.lit("+"), digits))
             .otherwise(F.concat(F.lit(prefix), digits)))
-    return F.when(out.rlike(E164_PATTERN), out)
+    # ``out`` is '+' and digits by construction, so the E.164 pattern reduces
+    # to: 2-15 digits, the first not 0 (checked without a second regex)
+    ok = (F.length(out) >= 3) & (F.length(out) <= 16) & (F.substring(out, 2, 1) != "0")
+    return F.when(ok, out)
 
 
 # X10 ----------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,12 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     if df.isLocal():                      # literal rows held by the plan itself
         return F.broadcast(df) if fits(df, max_rows) else df
     ensure_checkpoint_dir(df.sparkSession)
-    m = df.checkpoint(eager=True)
+    # persisted first so writing the checkpoint does not compute it again
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        m = p.checkpoint(eager=True)
+    finally:
+        p.unpersist()
     return F.broadcast(m) if fits(m, max_rows) else m
 
 

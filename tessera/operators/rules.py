@@ -280,7 +280,9 @@ def apply_replies(bookings: DataFrame, replies: DataFrame) -> DataFrame:
     CANCEL cancels and RESCHEDULE marks the contact's bookings, STOP opts the
     contact out; other replies change nothing."""
     r = replies.select(e164("phone").alias("phone"), "ts", "seq", F.try_element_at(simple_tokens("text"), F.lit(1)).alias("word"))
-    r = latest(r.filter(F.col("phone").isNotNull()), "phone", "ts", tie=["seq"])
+    # Numbers that do not normalise fall into one NULL group, which joins
+    # nothing; filtering them first would evaluate the normalisation twice.
+    r = latest(r, "phone", "ts", tie=["seq"])
     m = F.create_map(*[x for k, v in REPLY_ACTIONS.items() if v for x in (F.lit(k), F.lit(v))])
     r = r.select("phone", "word", F.element_at(m, F.col("word")).alias("_new"), (F.col("word") == "stop").alias("opt_out"))
     j = bookings.join(small(r).withColumnRenamed("phone", "customer_phone"), "customer_phone", "left")
