@@ -27,6 +27,11 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """See ``sized``; returns only the frame."""
+    return sized(df, max_rows)[0]
+
+
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only if its row count is proven under the bound;
     otherwise return it so the planner shuffles it instead.
 
@@ -37,7 +42,8 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     from ..session import ensure_checkpoint_dir
 
     if df.isLocal():                      # literal rows held by the plan itself
-        return F.broadcast(df) if fits(df, max_rows) else df
+        ok = fits(df, max_rows)
+        return (F.broadcast(df) if ok else df), ok
     ensure_checkpoint_dir(df.sparkSession)
     # persisted first so writing the checkpoint does not compute it again
     p = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -45,7 +51,8 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
         m = p.checkpoint(eager=True)
     finally:
         p.unpersist()
-    return F.broadcast(m) if fits(m, max_rows) else m
+    ok = fits(m, max_rows)
+    return (F.broadcast(m) if ok else m), ok
 
 
 def top_k_per(df: DataFrame, by, order: Sequence[Column], k: int, rank_col: str | None = None) -> DataFrame:
@@ -81,8 +88,9 @@ def number_rows(df: DataFrame, keys, order: Sequence[Column], bucket: Column, na
 def latest(df: DataFrame, key, ts: str, tie: Sequence[str] = ()) -> DataFrame:
     """The newest row per key (ties broken by ``tie`` columns, descending).
 
-    Written as a ``max_by`` over a struct so it is a hash aggregate with a
-    map-side partial step (a hot key is combined before the shuffle)."""
+    Written as a ``max_by`` over a struct: an aggregate with a map-side
+    partial step (sort-based, as the buffer holds a struct), so a hot key is
+    combined before the shuffle."""
     keys = _cols(key)
     rest = [c for c in df.columns if c not in keys]
     order = F.struct(F.col(ts), *[F.col(t) for t in tie])

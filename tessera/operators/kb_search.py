@@ -7,8 +7,9 @@ broadcast after a size check, so the chunk table is scanned in place and
 never shuffled, whatever its tenant skew; scoring is native (higher-order
 array functions, no Python). Per-query top-k runs as a WindowGroupLimit,
 so each chunk partition ships at most k rows per query to the final
-shuffle. When the query side is too large to broadcast, the join falls
-back to a shuffle on tenant and AQE splits skewed tenant partitions.
+shuffle. When the query side is too large to broadcast, the join becomes a
+salted shuffle join: the chunks of a tenant spread over 16 salt keys and
+each query is copied to every salt, so a hot tenant is split evenly.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cosine, score4
-from .common import small, top_k_per
+from .common import BROADCAST_ROW_LIMIT, sized, small, top_k_per
 
 
 # Probe queries ---------------------------------------------------------------
@@ -40,21 +41,31 @@ def probe_queries(chunks: DataFrame, vec_col: str = "embedding") -> DataFrame:
 
 # J7 -----------------------------------------------------------------------
 def score_pairs(queries: DataFrame, chunks: DataFrame, vec_col: str = "embedding",
-                qvec_col: str = "query_vec") -> DataFrame:
+                qvec_col: str = "query_vec", max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Every query against every chunk of its own tenant, scored with the
     reference's cosine (shorter length, zero norm gives 0) rounded to 4."""
-    q = small(queries)
-    j = chunks.join(q, "tenant_id", "inner")
+    q, is_small = sized(queries, max_broadcast_rows)
+    if is_small:
+        j = chunks.join(q, "tenant_id", "inner")
+    else:
+        # Too many queries to broadcast: salt the chunk side (a tenant's
+        # chunks spread over ``salts`` keys) and copy each query to every
+        # salt, so a tenant holding a third of the chunks is split evenly.
+        salts = 16
+        ch = chunks.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+        qs = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        j = ch.join(qs, ["tenant_id", "_salt"], "inner").drop("_salt")
     return j.withColumn("score", score4(cosine(F.col(qvec_col), F.col(vec_col))))
 
 
 # K10 ----------------------------------------------------------------------
 def search(queries: DataFrame, chunks: DataFrame, k: int = 3, vec_col: str = "embedding",
-           keep: tuple[str, ...] = ()) -> DataFrame:
+           keep: tuple[str, ...] = (), max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Best k chunks per query inside its tenant, ranked by rounded score
     (desc) then chunk id; adds ``rank`` 1..k."""
     cols = ["query_id", "tenant_id", "chunk_id", *keep]
-    pairs = score_pairs(queries, chunks.select("tenant_id", "chunk_id", vec_col, *keep), vec_col)
+    pairs = score_pairs(queries, chunks.select("tenant_id", "chunk_id", vec_col, *keep), vec_col,
+                        max_broadcast_rows=max_broadcast_rows)
     return top_k_per(pairs.select(*cols, "score"), "query_id",
                      [F.col("score").desc(), F.col("chunk_id")], k, rank_col="rank")
 

@@ -76,7 +76,7 @@ def _s1(spark, sf):
     return R.normalize_tool_call(R.read_requests(spark, path, "tool"))
 
 
-register("s1_read_requests")(_s1)
+register("s1_read_requests", with_views("SELECT * FROM nrm", extra=_n(LS.TOOL, LS.TOOL_FIELDS)))(_s1)
 
 
 register("s4_scan", with_views("""
@@ -174,7 +174,10 @@ def _s9(spark, sf):
     return ST.read_months(spark, path, "1996-01", "1996-12")
 
 
-register("s9_write_by_month")(_s9)
+register("s9_write_by_month", with_views("""
+SELECT call_id, tenant_id, started_at, strftime(started_at, '%Y-%m') AS month FROM v_calls
+WHERE strftime(started_at, '%Y-%m') BETWEEN '1996-01' AND '1996-12'
+""", "v_calls"))(_s9)
 
 POLICY_SQL = """SELECT tenant_id, retention_days FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id
   ORDER BY updated_at DESC, config_id DESC) AS rn FROM v_configs) WHERE rn = 1"""

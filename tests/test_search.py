@@ -69,3 +69,12 @@ def test_rrf(spark):
     k = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, doc_id long, rank int")
     got = [r.doc_id for r in K.hybrid_search(v, k, 3).orderBy("rank").collect()]
     assert got == [11, 10, 12]
+
+
+def test_salted_join_equals_broadcast(spark):
+    rows = [(i, i % 3, [float(i % 5), float(i % 7), 1.0]) for i in range(120)]
+    ch = chunks(spark, rows)
+    q = queries(spark, [(f"q{i}", i % 3, [1.0, float(i), 0.5]) for i in range(12)])
+    a = sorted(tuple(r) for r in S.search(q, ch, 4).collect())
+    b = sorted(tuple(r) for r in S.search(q, ch, 4, max_broadcast_rows=5).collect())   # forces the salted shuffle
+    assert a == b and len(a) == 48
