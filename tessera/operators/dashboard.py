@@ -70,22 +70,28 @@ def notifications_with_caller(notifs: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 # J2 -----------------------------------------------------------------------
-def call_detail(calls: DataFrame, turns: DataFrame, bookings: DataFrame, notifs: DataFrame) -> DataFrame:
+def call_detail(calls: DataFrame, turns: DataFrame, bookings: DataFrame, notifs: DataFrame,
+                tenant_scoped: bool = True) -> DataFrame:
     """Each call with arrays of its turns (time order), bookings and
     notifications; empty arrays when none.
 
-    Children are grouped once per table (not one subquery per call) and the
-    arrays are bounded by what one call produces."""
+    ``tenant_scoped`` (default) attaches only children of the call's own
+    tenant (key: tenant and call id); ``False`` keys on the call id alone, as
+    the reference's detail route does (children of another tenant then show
+    up; Q4 reports them). Children are grouped once per table (not one
+    subquery per call) and the arrays are bounded by what one call produces."""
+    key = ["tenant_id", "call_id"] if tenant_scoped else ["call_id"]
+
     def nest(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-        cols = [c for c in df.columns if c != "call_id"]
+        cols = [c for c in df.columns if c not in key]
         # sort key first in the struct so sort_array gives the wanted order
         st = F.struct(*[F.col(o).alias(f"_k{i}") for i, o in enumerate(order)], *[F.col(c) for c in cols])
-        return df.groupBy("call_id").agg(F.sort_array(F.collect_list(st)).alias(name))
+        return df.groupBy(*key).agg(F.sort_array(F.collect_list(st)).alias(name))
 
     t = nest(turns, "turns", ["created_at", "turn_no"])
     b = nest(bookings, "bookings", ["scheduled_for", "line_no", "part_id"])
     n = nest(notifs, "notifications", ["created_at", "notification_id"])
-    out = calls.join(t, "call_id", "left").join(b, "call_id", "left").join(n, "call_id", "left")
+    out = calls.join(t, key, "left").join(b, key, "left").join(n, key, "left")
     for name in ("turns", "bookings", "notifications"):
         out = out.withColumn(name, F.coalesce(F.col(name), F.array()))
     return out

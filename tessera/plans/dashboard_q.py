@@ -54,7 +54,7 @@ def _j2(spark, sf):
     turns = V.turns(t).select("call_id", "turn_no", "role", "created_at")
     bookings = V.bookings(t).select("call_id", "line_no", "part_id", "type", "scheduled_for")
     notifs = V.notifications(t).select("call_id", "notification_id", "status", "created_at")
-    d = D.call_detail(calls, turns, bookings, notifs)
+    d = D.call_detail(calls, turns, bookings, notifs, tenant_scoped=False)
     return d.select(
         "call_id", "tenant_id", "status", "started_at",
         F.size("turns").alias("n_turns"),

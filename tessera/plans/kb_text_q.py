@@ -41,7 +41,19 @@ def _k2(spark, sf):
     return K.split_sections(p)
 
 
-register("k2_split_sections")(_k2)
+register("k2_split_sections", r"""
+SELECT doc_id, tenant_id, section_no, heading, section FROM (
+  SELECT page_id AS doc_id, 0 AS tenant_id, section_no, section,
+    nullif(trim(coalesce(nullif(regexp_extract(section, '^#{1,6} +([^\n]*)', 1), ''),
+                         regexp_extract(section, '(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>', 1))), '') AS heading
+  FROM (
+    SELECT page_id, unnest(range(0, len(secs))) AS section_no, unnest(secs) AS section FROM (
+      SELECT page_id, list_concat([parts[1]],
+               list_transform(range(1, len(parts)), lambda i: delims[i] || parts[i + 1])) AS secs
+      FROM (SELECT page_id, regexp_split_to_array(html, '(?i)<h[1-6][ >]') AS parts,
+                   regexp_extract_all(html, '(?i)<h[1-6][ >]') AS delims FROM pages))))
+WHERE length(trim(section)) > 0
+""")(_k2)
 
 QA_SQL = """
 SELECT q.call_id, q.tenant_id, q.turn_no AS q_turn, q.content AS question, a.content AS answer
