@@ -8,7 +8,7 @@ a skewed key cannot concentrate the model calls in one task.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:                                       # \p{L}: the same letters as Spark's tokens
+    import regex as _re
+    _WORD = _re.compile(r"[\p{L}\p{N}]+")
+except ImportError:                        # pragma: no cover
+    import re as _re
+    _WORD = _re.compile(r"[^\W_]+")
+
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -39,7 +46,8 @@ def apply_model(df: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], in
     that still fail are kept with the error text in ``model_error`` (their
     output columns NULL)."""
     keep = keep or [c for c in df.columns]
-    out_fields = T._parse_datatype_string(out_schema) if isinstance(out_schema, str) else out_schema
+    out_fields = (df.sparkSession.createDataFrame([], out_schema).schema if isinstance(out_schema, str)
+                  else out_schema)
     schema = T.StructType([df.schema[c] for c in keep] + list(out_fields.fields) +
                           [T.StructField("model_error", T.StringType())])
     names = [f.name for f in out_fields.fields]
@@ -95,16 +103,23 @@ def embed(df: DataFrame, embedder: Embedder, text_col: str, model_name: str, mod
     return df.select(*keep, text_col).mapInPandas(run, schema)
 
 
+def words(text: str) -> list[str]:
+    """Lower-cased letter/digit runs, as ``functions.expr.simple_tokens``."""
+    return _WORD.findall(text.lower())
+
+
 def hashing_embedder(dim: int = 64) -> Embedder:
     """A deterministic stand-in model (no network): signed feature hashing of
-    lower-cased words with CRC-32, L2-normalised. For tests and offline runs."""
+    the words (bucket from the first 8 hex digits of the word's MD5, sign from
+    the 9th), L2-normalised; the same vectors as ``kb_text.hash_embed``. For
+    tests and offline runs."""
     def fn(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float64)
         for r, t in enumerate(texts):
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode("utf-8"))
-                out[r, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-        n = np.linalg.norm(out, axis=1, keepdims=True)
+            for w in words(t):
+                h = hashlib.md5(w.encode("utf-8")).hexdigest()
+                out[r, int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) < 8 else -1.0
+        n = np.sqrt((out * out).sum(axis=1, keepdims=True))
         n[n == 0] = 1.0
         return out / n
     return fn

@@ -14,6 +14,7 @@ from ..operators import requests as R
 from ..sources import landing as L
 from . import landing_sql as LS
 from .kb_search_q import COS, HITS
+from .kb_text_q import _hash_sql
 from .registry import V, register, tables, with_views
 from .rules_q import E164_SQL
 
@@ -257,31 +258,54 @@ def _text_stats(pdf: pd.DataFrame) -> pd.DataFrame:
                          "n_words": s.str.split().str.len().fillna(0).astype("int64")})
 
 
-register("e1_apply_batch")(lambda spark, sf: M.apply_batch(
+register("e1_apply_batch", with_views("""
+SELECT doc_id, CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS BIGINT) AS n_lines,
+  CAST(len(regexp_extract_all(content, '[^ \t\n\r\f\v]+')) AS BIGINT) AS n_words FROM v_docs
+""", "v_docs"))(lambda spark, sf: M.apply_batch(
     V.docs(tables(spark, sf)).select("doc_id", "content"), _text_stats, "doc_id long, n_lines long, n_words long"))
 
 
+# The stand-in model's word lists.
+POSITIVE = ("good", "great", "thanks", "bien", "gut", "bueno", "the")
+NEGATIVE = ("bad", "never", "mal", "schlecht", "malo", "not")
+
+
+_SQL_POS = "(" + ", ".join(f"'{w}'" for w in POSITIVE) + ")"
+_SQL_NEG = "(" + ", ".join(f"'{w}'" for w in NEGATIVE) + ")"
+
+
 def _sentiment_model(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Stand-in model: word-list sentiment; fails on empty text (to exercise
-    the error path)."""
+    """Stand-in model: word-list sentiment over the words of the text; fails
+    on empty text (to exercise the error path)."""
     if (pdf["content"].fillna("").str.len() == 0).any():
         raise ValueError("empty text")
-    pos = pdf["content"].str.count(r"\b(?:good|great|thanks|bien|gut|bueno)\b")
-    neg = pdf["content"].str.count(r"\b(?:bad|never|mal|schlecht|malo)\b")
-    return pd.DataFrame({"sentiment": (pos - neg).clip(-1, 1).map({-1: "negative", 0: "neutral", 1: "positive"})})
-
-
-register("e2_apply_model")(lambda spark, sf: M.apply_model(
+    score = []
+    for t in pdf["content"]:
+        ws = M.words(t)
+        score.append(sum(w in POSITIVE for w in ws) - sum(w in NEGATIVE for w in ws))
+    lab = pd.Series(score).clip(-1, 1).map({-1: "negative", 0: "neutral", 1: "positive"})
+    return pd.DataFrame({"sentiment": lab})
+
+
+register("e2_apply_model", with_views(f"""
+SELECT call_id, turn_no, CASE WHEN d > 0 THEN 'positive' WHEN d < 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
+  CAST(NULL AS VARCHAR) AS model_error FROM (
+  SELECT call_id, turn_no, len(list_filter(w, lambda x: x IN {_SQL_POS})) - len(list_filter(w, lambda x: x IN {_SQL_NEG})) AS d
+  FROM (SELECT call_id, turn_no, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM v_turns))
+""", "v_turns"))(lambda spark, sf: M.apply_model(
     V.turns(tables(spark, sf)).select("call_id", "turn_no", "content"), _sentiment_model, ["content"],
     "sentiment string", batch=64, keep=["call_id", "turn_no"]))
 
 
 def _k7(spark, sf):
     d = V.docs(tables(spark, sf))
-    return M.embed(d, M.hashing_embedder(64), "content", "hashing-crc32", "v1", 64, ["doc_id", "tenant_id"])
+    return M.embed(d, M.hashing_embedder(64), "content", "hashing-md5", "v1", 64, ["doc_id", "tenant_id"])
 
 
-register("k7_embed")(_k7)
+register("k7_embed", with_views("""
+SELECT doc_id, tenant_id, CAST(embedding AS FLOAT[]) AS embedding, 'hashing-md5' AS model_name, 'v1' AS model_version
+FROM v_docs JOIN v_docs_v USING (doc_id)
+""", "v_docs", extra=_hash_sql("v_docs", "doc_id", "content")))(_k7)
 
 
 def _k8(spark, sf):
@@ -289,10 +313,13 @@ def _k8(spark, sf):
     version; re-embedding brings all to v2."""
     t = tables(spark, sf)
     d = V.docs(t)
-    v1 = M.embed(d, M.hashing_embedder(64), "content", "hashing-crc32", "v1", 64, ["doc_id", "tenant_id"])
+    v1 = M.embed(d, M.hashing_embedder(64), "content", "hashing-md5", "v1", 64, ["doc_id", "tenant_id"])
     v1 = v1.join(d.select("doc_id", "content", "lang"), "doc_id")
     v1 = v1.withColumn("model_version", F.when(F.col("lang") == "en", F.lit("v0")).otherwise(F.lit("v2")))
-    return M.reembed(v1, M.hashing_embedder(64), "content", "hashing-crc32", "v2", 64, ["doc_id", "tenant_id"])
+    return M.reembed(v1, M.hashing_embedder(64), "content", "hashing-md5", "v2", 64, ["doc_id", "tenant_id"])
 
 
-register("k8_reembed")(_k8)
+register("k8_reembed", with_views("""
+SELECT doc_id, tenant_id, CAST(embedding AS FLOAT[]) AS embedding, 'hashing-md5' AS model_name, 'v2' AS model_version
+FROM v_docs JOIN v_docs_v USING (doc_id)
+""", "v_docs", extra=_hash_sql("v_docs", "doc_id", "content")))(_k8)
