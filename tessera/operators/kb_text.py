@@ -364,9 +364,11 @@ def passage_matches(docs: DataFrame, passages: DataFrame, w: int = 3, id_col: st
     sizes = [r["pw"] for r in pkey.select("pw").distinct().collect()]   # at most w small integers
     cands = None
     for s in sizes:
-        win = dt.select("tenant_id", id_col, "dtok",
-                        F.explode(F.sequence(F.lit(1), F.greatest(F.size("dtok") - s + 1, F.lit(1)))).alias("i"))
-        win = win.select("tenant_id", id_col, F.array_join(F.slice("dtok", F.col("i"), s), " ").alias("key"))
+        # the window keys are built inside the row (linear in the text) and
+        # only the keys are exploded; the token array is not copied per row
+        keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("dtok") - s + 1, F.lit(1))),
+                           lambda i: F.array_join(F.slice("dtok", i, s), " "))
+        win = dt.select("tenant_id", id_col, F.explode(keys).alias("key"))
         c = win.join(small(pkey.filter(F.col("pw") == s)), ["tenant_id", "key"], "inner") \
             .select("query_id", "tenant_id", id_col, "ptok")
         cands = c if cands is None else cands.unionByName(c)
