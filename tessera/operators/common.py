@@ -26,6 +26,21 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Evaluates ``df`` once and cuts its lineage: the rows are checkpointed
+    into the shared ``spark.checkpoint.dir`` (persisted first so the
+    checkpoint write does not compute them again). For an intermediate read
+    by several consumers; a lost executor does not recompute it."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return p.checkpoint(eager=True)
+    finally:
+        p.unpersist()
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """See ``sized``; returns only the frame."""
     return sized(df, max_rows)[0]
@@ -39,18 +54,10 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame
     folder (``spark.checkpoint.dir``), so the size check does not run its
     plan a second time and a lost executor does not recompute it; the count
     then reads the materialised rows."""
-    from ..session import ensure_checkpoint_dir
-
     if df.isLocal():                      # literal rows held by the plan itself
         ok = fits(df, max_rows)
         return (F.broadcast(df) if ok else df), ok
-    ensure_checkpoint_dir(df.sparkSession)
-    # persisted first so writing the checkpoint does not compute it again
-    p = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        m = p.checkpoint(eager=True)
-    finally:
-        p.unpersist()
+    m = materialize(df)
     ok = fits(m, max_rows)
     return (F.broadcast(m) if ok else m), ok
 

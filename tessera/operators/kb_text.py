@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import content_key, simple_tokens
-from .common import small, top_k_per
+from .common import materialize, small, top_k_per
 
 # Splitter settings of the reference ingest (characters).
 CHUNK_SIZE = 800
@@ -245,6 +245,8 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 8, k1: float =
     tok = docs.select("tenant_id", id_col, F.explode(simple_tokens(text_col)).alias("term"))
     tf = tok.join(F.broadcast(terms), ["tenant_id", "term"], "left_semi") \
         .groupBy("tenant_id", id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # read twice (postings and document frequencies): tokenise once
+    tf = materialize(tf)
     dfreq = tf.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
     # qt passed the size check above; joining it to one df row and one stats
     # row per (tenant, term) keeps its row count, so it stays broadcastable.
