@@ -72,7 +72,7 @@ def top_k_per(df: DataFrame, by, order: Sequence[Column], k: int, rank_col: str
     w = Window.partitionBy(*_cols(by)).orderBy(*order)
     name = rank_col or "_rn"
     out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
-    return out if rank_col else out.drop(name)
+    return out.withColumn(name, F.col(name).cast("long")) if rank_col else out.drop(name)
 
 
 def number_rows(df: DataFrame, keys, order: Sequence[Column], bucket: Column, name: str = "i") -> DataFrame:
@@ -89,7 +89,7 @@ def number_rows(df: DataFrame, keys, order: Sequence[Column], bucket: Column, na
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return b.join(sizes, [*keys, "_bk"], "inner") \
-        .withColumn(name, (F.col("_off") + F.col("_local")).cast("int")).drop("_bk", "_local", "_off")
+        .withColumn(name, (F.col("_off") + F.col("_local")).cast("long")).drop("_bk", "_local", "_off")
 
 
 def latest(df: DataFrame, key, ts: str, tie: Sequence[str] = ()) -> DataFrame:

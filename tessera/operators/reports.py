@@ -39,7 +39,9 @@ def kpi_tiles(calls: DataFrame, rates: DataFrame, day=None) -> DataFrame:
         F.round(F.avg("duration_sec"), 2).alias("avg_duration_sec"),
         F.round(F.count_if(F.col("outcome") == "resolved") / F.count(F.lit(1)), 4).alias("resolution_rate"),
         F.count_if("escalated").alias("escalations"),
-        F.sum(F.col("duration_sec") * F.col("rate_per_min") / 60.0).alias("cost"))
+        # 6 places: removes summation-order noise; the rates keep 7th+
+        # digits off an exact half, so rounding is the same everywhere
+        F.round(F.sum(F.col("duration_sec") * F.col("rate_per_min") / 60.0), 6).alias("cost"))
 
 
 # A4 -----------------------------------------------------------------------

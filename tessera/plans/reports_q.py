@@ -38,7 +38,7 @@ SELECT c.tenant_id, CAST(c.started_at AS DATE) AS day, count(*) AS calls,
   round(avg(c.duration_sec), 2) AS avg_duration_sec,
   round(count(*) FILTER (WHERE c.outcome = 'resolved') / count(*), 4) AS resolution_rate,
   count(*) FILTER (WHERE c.escalated) AS escalations,
-  sum(c.duration_sec * r.rate_per_min / CAST(60 AS DOUBLE)) AS cost
+  round(sum(c.duration_sec * r.rate_per_min / CAST(60 AS DOUBLE)), 6) AS cost
 FROM v_calls c LEFT JOIN rt r ON r.provider = c.provider GROUP BY ALL
 """, "v_calls", extra={"rt": RATES_SQL}))(lambda spark, sf: RP.kpi_tiles(V.calls(tables(spark, sf)), rates(spark)))
 
