@@ -58,3 +58,38 @@ def test_extract_pages(spark):
     r = K.extract_pages(df).first()
     assert r.title == "A & B"
     assert r.text == "Hi x < y"
+
+
+def test_reindex_actions(spark):
+    old = docs(spark, ["same text", "old text", "gone"])
+    new = spark.createDataFrame([(0, 1, "same text"), (1, 1, "new text"), (3, 1, "brand new")],
+                                "doc_id long, tenant_id int, content string")
+    plan, chunks = K.reindex(new, old, K.chunk_documents(old))
+    got = {r.doc_id: r.action for r in plan.collect()}
+    assert got == {0: "unchanged", 1: "changed", 2: "removed", 3: "new"}
+    ch = {(r.doc_id, r.chunk) for r in chunks.collect()}
+    assert ch == {(0, "same text"), (1, "new text"), (3, "brand new")}
+
+
+def test_passages_and_evaluation(spark):
+    d = spark.createDataFrame([(1, 1, "the visiting hours are ten to seven daily"), (2, 1, "hours are ten"),
+                               (3, 2, "the visiting hours are ten to seven")], "doc_id long, tenant_id int, content string")
+    q = spark.createDataFrame([(10, 1, "Visiting hours are ten!"), (11, 1, "no such passage here")],
+                              "query_id long, tenant_id int, query_text string")
+    m = sorted((r.query_id, r.doc_id) for r in K.passage_matches(d, q).collect())
+    assert m == [(10, 1)]                           # doc 3 is another tenant's
+    hits = spark.createDataFrame([(10, 2, 1), (10, 1, 2), (11, 1, 1)], "query_id long, doc_id long, rank int")
+    ev = {r.query_id: r for r in K.evaluate(hits, K.passage_matches(d, q), q, 3).collect()}
+    assert ev[10].n_expected == 1 and ev[10].recall_at_k == 1.0 and ev[10].reciprocal_rank == 0.5
+    assert not ev[11].answerable and ev[11].recall_at_k is None
+
+
+def test_read_kb_files(spark, tmp_path):
+    root = tmp_path / "tenants" / "7"
+    root.mkdir(parents=True)
+    (root / "hours.md").write_text("# Hours\nOpen 9-5\n")
+    (root / "fees.csv").write_text("item,price\nvisit,10\n")
+    txt = K.read_kb_files(spark, str(tmp_path / "tenants" / "7" / "*.md"), "md").collect()
+    assert [(r.tenant_id, r.title, r.text) for r in txt] == [("7", "hours", "# Hours\nOpen 9-5\n")]
+    csv = K.read_kb_files(spark, str(tmp_path / "tenants" / "7" / "*.csv"), "csv").collect()
+    assert [(r.tenant_id, r.text) for r in csv] == [("7", "item: visit; price: 10")]

@@ -58,3 +58,32 @@ def test_apply_replies_latest_wins(spark):
                                "phone string, text string, ts timestamp_ntz, seq string")
     got = {r.booking_key: (r.status, r.opted_out) for r in RU.apply_replies(b, rp).collect()}
     assert got == {"k1": ("cancelled", False), "k2": ("confirmed", False)}
+
+
+def test_plan_notifications_and_suppress(spark):
+    b = spark.createDataFrame([("k1", 1, "+1555", None), ("k2", 2, None, "a@b.c")],
+                              "booking_key string, tenant_id int, customer_phone string, customer_email string")
+    ch = spark.createDataFrame([(1, True, False), (2, True, True)], "tenant_id int, email_enabled boolean, whatsapp_enabled boolean")
+    got = {(r.booking_key, r.channel): r.reason for r in RU.plan_notifications(b, ch).collect()}
+    assert got == {("k1", "whatsapp"): "channel disabled", ("k1", "email"): "no contact",
+                   ("k2", "whatsapp"): "no contact", ("k2", "email"): None}
+    cons = spark.createDataFrame([("+1555", "opt_in", dt.datetime(2024, 1, 1), "a"),
+                                  ("+1555", "stop", dt.datetime(2024, 2, 1), "b"),
+                                  ("+1666", "opt_in", dt.datetime(2024, 1, 1), "c")],
+                                 "recipient string, consent string, ts timestamp_ntz, seq string")
+    t = spark.createDataFrame([("+1555",), ("+1666",), ("+1777",)], "recipient string")
+    assert sorted(r.recipient for r in RU.suppress(t, cons).collect()) == ["+1666"]
+
+
+def test_quality_checks(spark):
+    from tessera.operators import quality as Q
+    df = spark.createDataFrame([(1, "twilio", "a"), (2, "exotel", "a"), (2, None, "b")], "id int, provider string, k string")
+    got = {r.id: r.failed for r in Q.check_domains(df, {"provider": Q.DOMAINS["provider"]}).collect() if r.id == 1}
+    assert got == {1: []}
+    assert sorted(r.failed for r in Q.check_domains(df, {"provider": Q.DOMAINS["provider"]}).collect()) == \
+        [[], ["provider"], ["provider"]]
+    keys = {(r.id, r.problem) for r in Q.check_keys(df, ["id"]).collect()}
+    assert keys == {(2, "duplicate_key")}
+    red = spark.createDataFrame([("mail a.b@x.org or +91 90000 00000 now",)], "t string")
+    r = Q.redact(red, "t").first()
+    assert (r.n_emails, r.n_phones, r.t) == (1, 1, "mail [email] or [phone] now")
