@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +26,17 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Evaluates ``df`` once and cuts its lineage: the rows are checkpointed
-    into the shared ``spark.checkpoint.dir`` (persisted first so the
-    checkpoint write does not compute them again). For an intermediate read
-    by several consumers; a lost executor does not recompute it."""
-    from ..session import ensure_checkpoint_dir
+    """Evaluates ``df`` once and cuts its lineage: the rows are written as a
+    Parquet table under the shared ``spark.checkpoint.dir`` and read back.
+    For an intermediate read by several consumers; a lost executor re-reads
+    the table instead of recomputing the plan."""
+    import uuid
 
-    ensure_checkpoint_dir(df.sparkSession)
-    p = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return p.checkpoint(eager=True)
-    finally:
-        p.unpersist()
+    from ..session import shared_path
+
+    path = shared_path(df.sparkSession, f"materialized-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -50,10 +48,10 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame
     """Broadcast ``df`` only if its row count is proven under the bound;
     otherwise return it so the planner shuffles it instead.
 
-    The side is evaluated once and checkpointed to the shared checkpoint
-    folder (``spark.checkpoint.dir``), so the size check does not run its
-    plan a second time and a lost executor does not recompute it; the count
-    then reads the materialised rows."""
+    The side is evaluated once and written as a table under the shared
+    checkpoint folder (``spark.checkpoint.dir``, see ``materialize``), so the
+    size check does not run its plan a second time and a lost executor does
+    not recompute it; the count then reads the written rows."""
     if df.isLocal():                      # literal rows held by the plan itself
         ok = fits(df, max_rows)
         return (F.broadcast(df) if ok else df), ok
