@@ -376,7 +376,11 @@ def passage_matches(docs: DataFrame, passages: DataFrame, w: int = 3, id_col: st
         cands = c if cands is None else cands.unionByName(c)
     if cands is None:
         return passages.sparkSession.createDataFrame([], f"query_id long, {id_col} long")
-    cands = cands.dropDuplicates(["query_id", id_col]).join(dt.drop("tenant_id"), id_col, "inner")
+    # Candidates are few (a passage's first words rarely recur); when their
+    # count is proven small they are broadcast, so the documents' token arrays
+    # are checked where they lie instead of being shuffled to the candidates.
+    cands = small(cands.dropDuplicates(["query_id", id_col]))
+    cands = dt.drop("tenant_id").join(cands, id_col, "inner")
     ok = F.contains(F.concat(F.lit(" "), F.array_join("dtok", " "), F.lit(" ")),
                     F.concat(F.lit(" "), F.array_join("ptok", " "), F.lit(" ")))
     return cands.filter(ok).select("query_id", id_col)
