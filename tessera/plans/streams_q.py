@@ -11,6 +11,7 @@ equals the batch answer (the oracle SQL).
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,23 @@ from .registry import V, register, tables, with_views
 from .reports_q import LATEST_CFG, STATE_SQL
 
 
+@contextlib.contextmanager
+def replay_partitions(spark: SparkSession):
+    """State partitions of a replay: a stream fixes its shuffle partitions
+    (and so its state-store partitions) when it first starts. For these
+    replays they follow the cluster's parallelism instead of a large session
+    default; the session setting is restored afterwards."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    want = max(1, spark.sparkContext.defaultParallelism)
+    if int(old) > want:
+        spark.conf.set(key, str(want))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
 
@@ -55,7 +73,8 @@ def event_source(spark, sf, name, fmt="parquet", extra: DataFrame | None = None)
 
 def _run(spark, stream: DataFrame, name: str, key: list[str], mode: str = "update") -> DataFrame:
     sink = _scratch(spark, f"sink-{name}")
-    ST.run_available_now(stream, ST.upsert_log(sink), _scratch(spark, f"ckpt-{name}"), mode)
+    with replay_partitions(spark):
+        ST.run_available_now(stream, ST.upsert_log(sink), _scratch(spark, f"ckpt-{name}"), mode)
     return ST.read_latest(spark, sink, key)
 
 
@@ -75,7 +94,8 @@ def _m1(spark, sf):
     src = replay_source(spark, good.unionByName(bad), F.lit(0), "m1", fmt="json")
     s = ST.good_events(ST.read_events(spark, src, "json"))
     sink = _scratch(spark, "sink-m1")
-    ST.run_available_now(s, ST.upsert_log(sink), _scratch(spark, "ckpt-m1"), "append")
+    with replay_partitions(spark):
+        ST.run_available_now(s, ST.upsert_log(sink), _scratch(spark, "ckpt-m1"), "append")
     out = spark.read.parquet(sink)
     return out.select("event_id", _ntz("ts").alias("ts"), "user_id", "event_type", "value")
 
@@ -90,7 +110,8 @@ def _m2(spark, sf):
     src = event_source(spark, sf, "m2", extra=dup)
     s = ST.dedupe_events(ST.read_events(spark, src, "parquet"), "1 hour")
     sink = _scratch(spark, "sink-m2")
-    ST.run_available_now(s, ST.upsert_log(sink), _scratch(spark, "ckpt-m2"), "append")
+    with replay_partitions(spark):
+        ST.run_available_now(s, ST.upsert_log(sink), _scratch(spark, "ckpt-m2"), "append")
     return spark.read.parquet(sink).select("event_id", _ntz("ts").alias("ts"), "user_id", "event_type")
 
 
@@ -152,7 +173,8 @@ def _m5(spark, sf):
     x = ST.sessions(s, "30 minutes", "1 hour").select(
         "user_id", _ntz("s.start").alias("session_start"), _ntz("s.end").alias("session_end"), "events")
     sink = _scratch(spark, "sink-m5")
-    ST.run_available_now(x, ST.upsert_log(sink), _scratch(spark, "ckpt-m5"), "append")
+    with replay_partitions(spark):
+        ST.run_available_now(x, ST.upsert_log(sink), _scratch(spark, "ckpt-m5"), "append")
     return spark.read.parquet(sink).filter(F.col("user_id") >= 0).drop("batch")
 
 
@@ -205,9 +227,10 @@ def _m8(spark, sf):
         v = K.hash_embed(ch, ["chunk_id"], "chunk", 64)
         return ch.select("chunk_id", "doc_id", "tenant_id", "chunk_no").join(v, "chunk_id")
 
-    q = (s.writeStream.foreachBatch(ST.ingest_stream(s, sink, chunk, emb))
-         .option("checkpointLocation", _scratch(spark, "ckpt-m8")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with replay_partitions(spark):
+        q = (s.writeStream.foreachBatch(ST.ingest_stream(s, sink, chunk, emb))
+             .option("checkpointLocation", _scratch(spark, "ckpt-m8")).trigger(availableNow=True).start())
+        q.awaitTermination()
     out = spark.read.parquet(sink)
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.size("embedding")).alias("dims"))
 
@@ -227,9 +250,10 @@ def _m9(spark, sf):
     def router(df):
         return R.route_actions(R.normalize_tool_call(df)).select("request_id", "tenantId", "action", "route")
 
-    q = (s.writeStream.foreachBatch(ST.route_stream(sink, router))
-         .option("checkpointLocation", _scratch(spark, "ckpt-m9")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with replay_partitions(spark):
+        q = (s.writeStream.foreachBatch(ST.route_stream(sink, router))
+             .option("checkpointLocation", _scratch(spark, "ckpt-m9")).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(sink).select("request_id", "tenantId", "action", "route")
 
 
