@@ -134,6 +134,15 @@ def _simhash_bands(vec: F.Column, planes: list[list[float]], bands: int) -> F.Co
     return keys(vec)
 
 
+def lsh_planes(dim: int, bands: int, bits: int, seed: int) -> list[list[float]]:
+    """The ``bands * bits`` random hyperplanes (standard normal entries) of
+    the LSH index, reproducible from ``seed``."""
+    import random
+
+    rnd = random.Random(seed)
+    return [[rnd.gauss(0.0, 1.0) for _ in range(dim)] for _ in range(bands * bits)]
+
+
 def approx_search(queries: DataFrame, chunks: DataFrame, k: int = 3, bands: int = 10, bits: int = 4,
                   seed: int = 7, vec_col: str = "embedding") -> DataFrame:
     """Approximate top-k. Chunks and queries get SimHash band keys
@@ -141,12 +150,9 @@ def approx_search(queries: DataFrame, chunks: DataFrame, k: int = 3, bands: int
     band key with the query in its tenant; candidates are re-scored exactly
     and ranked as in K10. The join is query x chunk on (tenant, band) with the
     query side broadcast: no pairs are formed among chunks."""
-    import random
-
     dim_row = chunks.select(F.size(vec_col).alias("d")).filter("d is not null").limit(1).collect()
     dim = dim_row[0]["d"] if dim_row else 0
-    rnd = random.Random(seed)
-    planes = [[rnd.gauss(0.0, 1.0) for _ in range(dim)] for _ in range(bands * bits)]
+    planes = lsh_planes(dim, bands, bits, seed)
     cv = F.col(vec_col).cast("array<double>")
     ch = chunks.select("tenant_id", "chunk_id", vec_col,
                        F.explode(_simhash_bands(cv, planes, bands)).alias("band"))

@@ -98,7 +98,32 @@ def _k15(spark, sf):
     return approx.join(rec, "query_id", "left")
 
 
-register("k15_approx_search")(_k15)
+def _lsh_sql(bands: int = 10, bits: int = 4, seed: int = 7, dim: int = 64) -> dict:
+    planes = S.lsh_planes(dim, bands, bits, seed)
+    lit = "[" + ", ".join("[" + ", ".join(repr(x) for x in p) + "]" for p in planes) + "]"
+    bit = " || ".join(
+        f"CASE WHEN list_dot_product(CAST(v AS DOUBLE[]), P[b * {bits} + {j + 1}]) >= 0 THEN '1' ELSE '0' END"
+        for j in range(bits))
+    return {
+        "pl": f"SELECT CAST('{lit}' AS DOUBLE[][]) AS P",
+        "cb": f"""SELECT chunk_id, tenant_id, embedding, CAST(b AS VARCHAR) || ':' || {bit} AS band FROM (
+                   SELECT chunk_id, tenant_id, embedding, embedding AS v, unnest(range(0, {bands})) AS b FROM v_chunks) x, pl""",
+        "qb": f"""SELECT query_id, tenant_id, query_vec, CAST(b AS VARCHAR) || ':' || {bit} AS band FROM (
+                   SELECT query_id, tenant_id, query_vec, query_vec AS v, unnest(range(0, {bands})) AS b FROM q) x, pl""",
+        "cand": """SELECT DISTINCT qb.query_id, qb.tenant_id, cb.chunk_id FROM qb JOIN cb
+                   ON cb.tenant_id = qb.tenant_id AND cb.band = qb.band""",
+        "ascored": f"""SELECT d.query_id, d.tenant_id, d.chunk_id, round({COS}, 4) + 0.0 AS score
+                   FROM cand d JOIN q ON q.query_id = d.query_id JOIN v_chunks c ON c.chunk_id = d.chunk_id""",
+        "ah": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+                 FROM ascored) WHERE rank <= 3""",
+        "rec": """SELECT h.query_id, avg(CASE WHEN a.chunk_id IS NULL THEN 0 ELSE 1 END) AS recall
+                  FROM h LEFT JOIN ah a ON a.query_id = h.query_id AND a.chunk_id = h.chunk_id GROUP BY h.query_id""",
+    }
+
+
+register("k15_approx_search", with_views("""
+SELECT a.query_id, a.tenant_id, a.chunk_id, a.score, a.rank, r.recall FROM ah a LEFT JOIN rec r ON r.query_id = a.query_id
+""", "v_chunks", extra=dict(HITS, **_lsh_sql())))(_k15)
 
 
 def _k16(spark, sf):
