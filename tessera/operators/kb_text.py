@@ -450,5 +450,3 @@ def union_knowledge(chunks: DataFrame, qa: DataFrame, rows: DataFrame) -> DataFr
             .unionByName(qa.withColumn("kind", F.lit("qa")), allowMissingColumns=True)
             .unionByName(rows.withColumn("kind", F.lit("row")), allowMissingColumns=True))
 
-
-_ = T  # types kept for schema strings in callers

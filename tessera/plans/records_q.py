@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -264,7 +263,6 @@ UNION ALL SELECT 'leads', count(*) FROM v_leads WHERE tenant_id = 3
 UNION ALL SELECT 'notifications', count(*) FROM v_notifications WHERE tenant_id = 3
 """, "v_calls", "v_bookings", "v_leads", "v_notifications"))(_s12)
 
-_ = os
 
 
 # S2 -----------------------------------------------------------------------

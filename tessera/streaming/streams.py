@@ -33,7 +33,8 @@ def read_events(spark: SparkSession, path: str, fmt: str = "json", schema: T.Str
     ``rejects``); event time is a ``timestamp`` (needed by watermarks)."""
     r = spark.readStream.option("maxFilesPerTrigger", max_files)
     if fmt == "json":
-        s = schema.add("_corrupt_record", T.StringType()) if "_corrupt_record" not in schema.names else schema
+        s = schema if "_corrupt_record" in schema.names else \
+            T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
         return r.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return r.schema(schema).format(fmt).load(path)
 
@@ -107,10 +108,7 @@ def call_states(stream: DataFrame, timeout: str, delay: str) -> DataFrame:
     a call without events for ``timeout`` of event time ends as timed_out.
     ``applyInPandasWithState`` with an event-time time-out; the state per
     call is three values."""
-    import datetime as dt
-
     td = pd.Timedelta(timeout)
-    order = {"call.started": 0, "turn.transcript": 1, "tool.call": 1, "error": 2, "call.ended": 3}
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -135,7 +133,6 @@ def call_states(stream: DataFrame, timeout: str, delay: str) -> DataFrame:
                 elif kind == "call.ended":
                     st = "ended"
                 last = ts if last is None or ts > last else last
-        _ = order
         if st == "ended":
             state.remove()
         else:
@@ -144,7 +141,6 @@ def call_states(stream: DataFrame, timeout: str, delay: str) -> DataFrame:
             state.setTimeoutTimestamp(ms + int(td.total_seconds() * 1000))
         yield pd.DataFrame({"call_id": [key[0]], "state": [st], "turns": [turns], "last_ts": [last]})
 
-    _ = dt
     s = with_kind(stream).withWatermark("ts", delay).select("call_id", "event_id", "ts", "kind")
     return s.groupBy("call_id").applyInPandasWithState(step, CALL_STATE_SCHEMA, STATE_SCHEMA, "update",
                                                        GroupStateTimeout.EventTimeTimeout)

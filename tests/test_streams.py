@@ -1,6 +1,5 @@
 import datetime as dt
 import os
-import time
 
 from pyspark.sql import functions as F
 
@@ -18,7 +17,6 @@ def write_files(spark, rows, path, order):
             if f.endswith(".parquet") and not f.startswith(".") and f not in seen:
                 seen.add(f)
                 os.utime(full, (1_700_000_000 + i * 100, 1_700_000_000 + i * 100))
-    _ = time
 
 
 def ev(i, minutes, user=1, kind="view"):
