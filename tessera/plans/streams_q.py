@@ -188,14 +188,54 @@ GROUP BY user_id, sid
 
 
 # M6 -----------------------------------------------------------------------
-def _m6(spark, sf):
-    src = event_source(spark, sf, "m6")
-    s = ST.read_events(spark, src, "parquet").withColumn("call_id", F.col("user_id"))
-    x = ST.call_states(s, "6 hours", "1 hour").select("call_id", "state", "turns", _ntz("last_ts").alias("last_ts"))
-    return _run(spark, x, "m6", ["call_id"])
+def call_events(t) -> DataFrame:
+    """Call events derived from the conversation turns: ``signup`` (call
+    started) a second before the first turn, ``view`` (transcript) for each
+    caller or agent turn, ``error`` (escalation) for a system turn, and
+    ``purchase`` (call ended) a second after the last turn unless the caller
+    spoke last (the line dropped: no end event)."""
+    tr = V.turns(t)
+    per = tr.groupBy("call_id").agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"),
+                                    F.max_by("role", "turn_no").alias("last_role"))
+    ts = lambda c: F.col(c).cast("timestamp")
+    turn_ev = tr.select((F.col("call_id") * 100 + F.col("turn_no")).alias("event_id"), ts("created_at").alias("ts"),
+                        F.col("call_id").alias("user_id"),
+                        F.when(F.col("role") == "system", "error").otherwise("view").alias("event_type"))
+    start = per.select((F.col("call_id") * 100 + 98).alias("event_id"),
+                       F.timestamp_add("SECOND", F.lit(-1), F.col("first")).cast("timestamp").alias("ts"),
+                       F.col("call_id").alias("user_id"), F.lit("signup").alias("event_type"))
+    end = per.filter(F.col("last_role") != "caller").select(
+        (F.col("call_id") * 100 + 99).alias("event_id"),
+        F.timestamp_add("SECOND", F.lit(1), F.col("last")).cast("timestamp").alias("ts"),
+        F.col("call_id").alias("user_id"), F.lit("purchase").alias("event_type"))
+    ev = turn_ev.unionByName(start).unionByName(end)
+    return ev.select("event_id", "ts", "user_id", "event_type", F.lit(0.0).alias("value"),
+                     F.lit(None).cast("string").alias("props"))
 
 
-register("m6_call_states")(_m6)
+def _m6(spark, sf):
+    """Calls replayed day by day; a heartbeat far ahead in event time (call
+    -1, last file) lets every open call reach its time-out, as time passing
+    does in a live feed."""
+    ev = call_events(tables(spark, sf))
+    beat = ev.limit(1).select(F.lit(-1).cast("long").alias("event_id"),
+                              F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts"),
+                              F.lit(-1).cast("long").alias("user_id"), F.lit("view").alias("event_type"),
+                              F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
+    src = replay_source(spark, ev.unionByName(beat), F.date_trunc("day", "ts"), "m6")
+    s = ST.read_events(spark, src, "parquet").withColumn("call_id", F.col("user_id"))
+    x = ST.call_states(s, "30 minutes", "10 minutes").select("call_id", "state", "turns",
+                                                            _ntz("last_ts").alias("last_ts"))
+    return _run(spark, x, "m6", ["call_id"]).filter(F.col("call_id") >= 0)
+
+
+register("m6_call_states", with_views("""
+SELECT call_id, CASE WHEN last_role <> 'caller' THEN 'ended' ELSE 'timed_out' END AS state,
+  turns, CASE WHEN last_role <> 'caller' THEN last + INTERVAL 1 SECOND ELSE last END AS last_ts
+FROM (SELECT call_id, max(created_at) AS last, arg_max(role, turn_no) AS last_role,
+        count(*) FILTER (WHERE role IN ('caller', 'agent')) AS turns
+      FROM v_turns GROUP BY call_id)
+""", "v_turns"))(_m6)
 
 
 # M7 -----------------------------------------------------------------------
