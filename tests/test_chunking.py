@@ -93,3 +93,16 @@ def test_read_kb_files(spark, tmp_path):
     assert [(r.tenant_id, r.title, r.text) for r in txt] == [("7", "hours", "# Hours\nOpen 9-5\n")]
     csv = K.read_kb_files(spark, str(tmp_path / "tenants" / "7" / "*.csv"), "csv").collect()
     assert [(r.tenant_id, r.text) for r in csv] == [("7", "item: visit; price: 10")]
+
+
+def test_registered_recursive_chunking_matches_brute_force(spark, sf):
+    """The registered query over the whole smallest documents table against
+    the splitter run directly on every document."""
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as E
+    got = sorted((r.doc_id, r.chunk_no, r.start, r.chunk)
+                 for r in E.queries()["k1_chunk_documents_recursive"](spark, sf).collect())
+    t = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    want = sorted((d["doc_id"], i, s, c) for d in t for i, (s, c) in enumerate(K.split_recursive(d["text"] or "")))
+    assert got == want and len(want) > len(t)
