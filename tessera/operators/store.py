@@ -91,10 +91,15 @@ def upsert(base: DataFrame, incoming: DataFrame, key, cols: list[str], id_col: s
 
 # S8 -----------------------------------------------------------------------
 def insert_if_absent(base: DataFrame, rows: DataFrame, key, defaults: dict) -> DataFrame:
-    """Rows whose key is not yet in ``base`` (and not repeated in the
-    batch), with declared defaults filled; returns the rows to insert."""
+    """Rows whose key is not yet in ``base``, one per key (the batch may
+    repeat a key; the row with the smallest remaining values is kept), with
+    declared defaults filled; returns the rows to insert."""
     keys = [key] if isinstance(key, str) else list(key)
-    new = rows.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti")
+    rest = [c for c in rows.columns if c not in keys]
+    # one row per key, chosen deterministically (smallest remaining values)
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")) \
+        .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]) if rest else rows.select(*keys).distinct()
+    new = first.join(base.select(*keys), keys, "left_anti")
     for c, v in defaults.items():
         new = new.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in new.columns else F.lit(v))
     return new
