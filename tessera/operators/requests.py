@@ -15,12 +15,14 @@ from pyspark.sql import types as T
 from ..functions.expr import blank_cast, blank_cast_failed, details, falsy_or
 
 _S = T.StringType()
-TOOL_FIELDS = {  # field: (type, default)
+# The fields of each request kind and their defaults
+# (field: (type, default)); the tenant has no default here (see README).
+TOOL_FIELDS = {
     "action": (_S, "search_knowledge"), "tenantId": (_S, None), "callId": (_S, ""), "query": (_S, ""),
     "name": (_S, ""), "phone": (_S, ""), "email": (_S, ""), "datetime": (_S, ""),
     "partySize": (T.IntegerType(), 0), "doctor": (_S, ""), "notes": (_S, ""),
 }
-INGEST_FIELDS = {"tenantId": (_S, None), "title": (_S, "Untitled"), "source": (_S, "manual"), "text": (_S, "")}
+INGEST_FIELDS = {"tenantId": (_S, None), "title": (_S, "Untitled"), "source": (_S, "dashboard"), "text": (_S, "")}
 CALL_END_FIELDS = {
     "tenantId": (_S, None), "from": (_S, ""), "to": (_S, ""), "provider": (_S, "twilio"),
     "recordingUrl": (_S, ""), "transcript": (_S, ""), "customerName": (_S, "there"),

@@ -64,7 +64,7 @@ TOOL_FIELDS = {"action": ("VARCHAR", "'search_knowledge'"), "tenantId": ("VARCHA
                "query": ("VARCHAR", "''"), "name": ("VARCHAR", "''"), "phone": ("VARCHAR", "''"),
                "email": ("VARCHAR", "''"), "datetime": ("VARCHAR", "''"), "partySize": ("INTEGER", "0"),
                "doctor": ("VARCHAR", "''"), "notes": ("VARCHAR", "''")}
-INGEST_FIELDS = {"tenantId": ("VARCHAR", None), "title": ("VARCHAR", "'Untitled'"), "source": ("VARCHAR", "'manual'"),
+INGEST_FIELDS = {"tenantId": ("VARCHAR", None), "title": ("VARCHAR", "'Untitled'"), "source": ("VARCHAR", "'dashboard'"),
                  "text": ("VARCHAR", "''")}
 CALL_END_FIELDS = {"tenantId": ("VARCHAR", None), "from": ("VARCHAR", "''"), "to": ("VARCHAR", "''"),
                    "provider": ("VARCHAR", "'twilio'"), "recordingUrl": ("VARCHAR", "''"),
