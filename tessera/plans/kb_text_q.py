@@ -32,7 +32,55 @@ def _k1r(spark, sf):
     return K.chunk_documents_recursive(V.docs(tables(spark, sf)))
 
 
-register("k1_chunk_documents_recursive")(_k1r)
+# DuckDB form of the recursive splitter: a recursive CTE cuts texts into
+# pieces (paragraph, line, word, then fixed slices), a second one folds the
+# pieces in order into chunks with the carried overlap.
+RECURSIVE_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, CAST(substr(source, 4, 10) AS INTEGER) AS tenant_id, text AS content FROM documents),
+p(doc_id, path, txt, si, done) AS (
+  SELECT doc_id, [0], content, 0, length(content) <= 800 FROM d WHERE length(content) > 0
+  UNION ALL
+  SELECT doc_id, list_append(path, k), part, nsi, length(part) <= 800 OR sep = '' FROM (
+    SELECT doc_id, path, sep, nsi, unnest(range(0, len(parts))) AS k, unnest(parts) AS part FROM (
+      SELECT doc_id, path, sep, nsi,
+        CASE WHEN sep = '' THEN list_transform(range(0, CAST(ceil(length(txt) / 800) AS BIGINT)), lambda i: substr(txt, i * 800 + 1, 800))
+             ELSE list_transform(range(0, len(string_split(txt, sep))),
+                    lambda i: string_split(txt, sep)[i + 1] || CASE WHEN i < len(string_split(txt, sep)) - 1 THEN sep ELSE '' END)
+        END AS parts
+      FROM (SELECT doc_id, path, txt,
+              CASE WHEN si <= 0 AND contains(txt, chr(10) || chr(10)) THEN chr(10) || chr(10)
+                   WHEN si <= 1 AND contains(txt, chr(10)) THEN chr(10)
+                   WHEN si <= 2 AND contains(txt, ' ') THEN ' ' ELSE '' END AS sep,
+              CASE WHEN si <= 0 AND contains(txt, chr(10) || chr(10)) THEN 1
+                   WHEN si <= 1 AND contains(txt, chr(10)) THEN 2
+                   WHEN si <= 2 AND contains(txt, ' ') THEN 3 ELSE 4 END AS nsi
+            FROM p WHERE NOT done)))
+  WHERE length(part) > 0),
+pc AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS idx, txt AS piece FROM p WHERE done),
+m(doc_id, idx, cur, cur_start, pos, e_start, e_text) AS (
+  SELECT doc_id, 0, '', 0, 0, NULL::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT doc_id FROM pc)
+  UNION ALL
+  SELECT m.doc_id, m.idx + 1,
+    (CASE WHEN f THEN tl ELSE m.cur END) || pc.piece,
+    CASE WHEN (CASE WHEN f THEN tl ELSE m.cur END) = '' THEN m.pos
+         WHEN f THEN m.pos - length(tl) ELSE m.cur_start END,
+    m.pos + length(pc.piece),
+    CASE WHEN f THEN m.cur_start END, CASE WHEN f THEN m.cur END
+  FROM m JOIN pc ON pc.doc_id = m.doc_id AND pc.idx = m.idx + 1,
+  LATERAL (SELECT m.cur <> '' AND length(m.cur) + length(pc.piece) > 800 AS f) a,
+  LATERAL (SELECT CASE WHEN length(right(m.cur, 120)) + length(pc.piece) > 800 THEN '' ELSE right(m.cur, 120) END AS tl) b),
+em AS (
+  SELECT doc_id, idx, e_start AS start, e_text AS chunk FROM m WHERE e_text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, idx + 1, cur_start, cur FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx DESC) AS rn FROM m) WHERE rn = 1 AND cur <> '')
+SELECT e.doc_id, d.tenant_id, CAST(row_number() OVER (PARTITION BY e.doc_id ORDER BY e.idx) - 1 AS INTEGER) AS chunk_no,
+  CAST(e.start AS INTEGER) AS start, e.chunk
+FROM em e JOIN d ON d.doc_id = e.doc_id
+"""
+
+register("k1_chunk_documents_recursive", RECURSIVE_SQL)(_k1r)
 
 
 def _k2(spark, sf):
