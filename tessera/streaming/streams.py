@@ -185,13 +185,20 @@ def read_latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "batch")
 
 
-def run_available_now(stream_df: DataFrame, sink: Callable, checkpoint: str, mode: str = "update") -> None:
-    """Processes everything available now in micro-batches, then stops."""
+def run_available_now(stream_df: DataFrame, sink: Callable, checkpoint: str, mode: str = "update") -> dict:
+    """Processes everything available now in micro-batches, then stops.
+    Returns the number of micro-batches and of rows the stateful operators
+    dropped as late (older than the watermark), from the query progress (for
+    aggregations these are rows after the map-side partial aggregation)."""
     q = (stream_df.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    progress = q.recentProgress
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for p in progress
+               for op in (p.get("stateOperators") or []))
+    return {"batches": len(progress), "late_rows_dropped": late}
 
 
 # M8 -----------------------------------------------------------------------
