@@ -78,3 +78,26 @@ def test_salted_join_equals_broadcast(spark):
     a = sorted(tuple(r) for r in S.search(q, ch, 4).collect())
     b = sorted(tuple(r) for r in S.search(q, ch, 4, max_broadcast_rows=5).collect())   # forces the salted shuffle
     assert a == b and len(a) == 48
+
+
+def test_size_check_falls_back(spark):
+    from tessera.operators.common import sized
+    df = spark.range(50).withColumnRenamed("id", "x")
+    _, ok_small = sized(df, 100)
+    _, ok_big = sized(df, 10)
+    assert ok_small and not ok_big
+
+
+def test_model_errors_are_kept(spark):
+    import pandas as pd
+
+    from tessera.operators import models as M
+
+    def model(pdf):
+        if (pdf["t"] == "bad").any():
+            raise ValueError("cannot score")
+        return pd.DataFrame({"n": pdf["t"].str.len()})
+
+    df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "fine")], "id long, t string").coalesce(1)
+    got = {r.id: (r.n, r.model_error) for r in M.apply_model(df, model, ["t"], "n long", batch=10, keep=["id"]).collect()}
+    assert got == {1: (2, None), 2: (None, "ValueError: cannot score"), 3: (4, None)}
