@@ -101,3 +101,20 @@ def test_model_errors_are_kept(spark):
     df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "fine")], "id long, t string").coalesce(1)
     got = {r.id: (r.n, r.model_error) for r in M.apply_model(df, model, ["t"], "n long", batch=10, keep=["id"]).collect()}
     assert got == {1: (2, None), 2: (None, "ValueError: cannot score"), 3: (4, None)}
+
+
+def test_hash_embedding_forms_agree(spark):
+    """The map-only Arrow embedding, the shuffle form and the stand-in model
+    give the same vectors."""
+    import numpy as np
+
+    from tessera.operators import models as M
+    texts = ["Héllo wörld, héllo!", "", "one two three two", "42 is 42"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    a = {r.id: r.embedding for r in K.hash_embed(df, ["id"], "t", 16).collect()}
+    b = {r.id: r.embedding for r in K.hash_embed_shuffle(df, ["id"], "t", 16).collect()}
+    c = M.hashing_embedder(16)(texts)
+    assert a == b
+    for i in range(len(texts)):
+        assert np.allclose(a[i], c[i])
+    assert a[1] == [0.0] * 16
