@@ -24,4 +24,5 @@ def test_every_survey_id_has_a_query():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    from tessera.plans import load_all
+    assert set(load_all()) <= set(E.oracle_sql())
