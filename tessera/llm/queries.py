@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import bpe, packing
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -19,3 +20,13 @@ def op5_exact_dedup(spark, sf_dir):
 @register("op10_license_scan", lic.oracle_sql())
 def op10_license_scan(spark, sf_dir):
     return lic.license_scan(table(spark, sf_dir, "documents"), lic.known_licenses(spark))
+
+
+@register("op3_packing")
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register("op7_bpe")
+def op7_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))

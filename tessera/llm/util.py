@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def slices(batch: pa.RecordBatch, col: str, max_bytes: int = 4 << 20) -> Iterato
     memory of a Python task follows the run and not the batch."""
     arr = batch.column(batch.schema.get_field_index(col))
     start = size = 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(arr), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False)
     for i, n in enumerate(lengths):
         if size and size + n > max_bytes:
             yield batch.slice(start, i - start)
