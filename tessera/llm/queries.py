@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, language_id, packing
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -30,3 +30,8 @@ def op3_packing(spark, sf_dir):
 @register("op7_bpe")
 def op7_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@register("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    return language_id.language_id(table(spark, sf_dir, "documents"))
