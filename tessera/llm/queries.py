@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, packing
+from . import bpe, language_id, packing, toxicity
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -35,3 +35,8 @@ def op7_bpe(spark, sf_dir):
 @register("op1_language_id")
 def op1_language_id(spark, sf_dir):
     return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
