@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, packing, toxicity
+from . import bpe, html_extract, language_id, packing, toxicity
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -40,3 +40,8 @@ def op1_language_id(spark, sf_dir):
 @register("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op4_html_extract")
+def op4_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
