@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, language_id, packing, toxicity
+from . import bpe, html_extract, language_id, lm_score, packing, toxicity
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -45,3 +45,8 @@ def op9_toxicity(spark, sf_dir):
 @register("op4_html_extract")
 def op4_html_extract(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op8_lm_score")
+def op8_lm_score(spark, sf_dir):
+    return lm_score.lm_score(table(spark, sf_dir, "documents"))
