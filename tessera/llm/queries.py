@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, language_id, lm_score, packing, toxicity
+from . import bpe, embedding_dedup, html_extract, language_id, lm_score, packing, toxicity
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -50,3 +50,8 @@ def op4_html_extract(spark, sf_dir):
 @register("op8_lm_score")
 def op8_lm_score(spark, sf_dir):
     return lm_score.lm_score(table(spark, sf_dir, "documents"))
+
+
+@register("op6_embedding_dedup")
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
