@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, html_extract, language_id, lm_score, packing, toxicity
+from . import bpe, embedding_dedup, html_extract, language_id, lm_score, near_dedup, packing, toxicity
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -55,3 +55,8 @@ def op8_lm_score(spark, sf_dir):
 @register("op6_embedding_dedup")
 def op6_embedding_dedup(spark, sf_dir):
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@register("op2_near_dedup")
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
