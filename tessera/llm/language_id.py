@@ -4,7 +4,7 @@ Each language has a codeword of +1/-1 bits. One linear classifier per bit is
 trained over hashed byte n-grams (logistic loss, numpy). A text's margins are
 decoded to the codeword with the smallest loss, each bit weighted by how well its
 classifier tells that language in training; a text whose bits lie outside the decoding
-radius of the chosen codeword, or whose score is below ``MIN_SCORE``, is flagged as ambiguous.
+radius of the chosen codeword and whose score is below ``MIN_SCORE`` is flagged as ambiguous.
 
 Training takes at most ``sample_docs`` labelled documents (whole texts), the same
 number of each language as far as there are, chosen by a hash of the id. Prediction reads
@@ -97,7 +97,7 @@ class LanguageModel:
         p = np.exp(loss.min(1, keepdims=True) - loss)
         score = 1 / p.sum(1)
         off = (np.where(margins >= 0, 1, -1) != self.code[best]).sum(1)
-        return best, score, (off > max(0, (min_distance(self.code) - 1) // 2)) | (score < MIN_SCORE)
+        return best, score, (off > max(0, (min_distance(self.code) - 1) // 2)) & (score < MIN_SCORE)
 
     def margins(self, features: np.ndarray) -> np.ndarray:
         return features @ self.weights + self.bias
