@@ -127,7 +127,7 @@ def e164(col: ColLike, prefix: str = "+1") -> Column:
     raw = F.trim(_c(col))
     digits = F.regexp_replace(raw, r"[^0-9]", "")
     out = (F.when(raw.startswith("+"), F.concat(F.lit("+"), digits))
-            .when(digits.startswith("00"), F.concat(F.lit("+"), F.substring(digits, 3, 64)))
+            .when(digits.startswith("00"), F.concat(F.lit("+"), F.substr(digits, F.lit(3))))
             .when(F.length(digits) > 10, F.concat(F.lit("+"), digits))
             .otherwise(F.concat(F.lit(prefix), digits)))
     # ``out`` is '+' and digits by construction, so the E.164 pattern reduces

@@ -1,5 +1,5 @@
-"""Shared building blocks: per-group top-k (W1), latest per key (W2) and a
-size-checked broadcast."""
+"""Shared building blocks: per-group top-k (W1), latest per key (W2), written
+intermediates and look-up sides."""
 
 from __future__ import annotations
 
@@ -8,23 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side (rows) this library broadcasts on its own. Bigger sides are
-# left to the shuffle join (AQE may still switch to broadcast at run time).
-BROADCAST_ROW_LIMIT = 200_000
-
-
 def _cols(xs) -> list:
     if isinstance(xs, (str, Column)):
         return [xs]
     return list(xs)
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. ``limit`` stops the
-    scan early, so this is cheap for sides that really are small."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Evaluates ``df`` once and cuts its lineage: the rows are written as a
     Parquet table under the shared ``spark.checkpoint.dir`` and read back.
@@ -39,25 +28,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """See ``sized``; returns only the frame."""
-    return sized(df, max_rows)[0]
-
-
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only if its row count is proven under the bound;
-    otherwise return it so the planner shuffles it instead.
-
-    The side is evaluated once and written as a table under the shared
-    checkpoint folder (``spark.checkpoint.dir``, see ``materialize``), so the
-    size check does not run its plan a second time and a lost executor does
-    not recompute it; the count then reads the written rows."""
-    if df.isLocal():                      # literal rows held by the plan itself
-        ok = fits(df, max_rows)
-        return (F.broadcast(df) if ok else df), ok
-    m = materialize(df)
-    ok = fits(m, max_rows)
-    return (F.broadcast(m) if ok else m), ok
+def lookup(df: DataFrame) -> DataFrame:
+    """A side meant for look-ups, written once so that Spark knows its size in
+    bytes: the planner broadcasts it when that is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise (AQE
+    splits skewed partitions). Rows held by the plan itself stay as they are.
+    No hint is given, so nothing is broadcast beyond the session's bound."""
+    return df if df.isLocal() else materialize(df)
 
 
 def top_k_per(df: DataFrame, by, order: Sequence[Column], k: int, rank_col: str | None = None) -> DataFrame:

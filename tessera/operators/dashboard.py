@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ts_lit
-from .common import small, top_k_per
+from .common import lookup, top_k_per
 
 
 # F1 -----------------------------------------------------------------------
@@ -22,7 +22,7 @@ def scope(df: DataFrame, tenants, tenant_col: str = "tenant_id") -> DataFrame:
     DataFrame with a ``tenant_id`` column (semi join, size-checked broadcast)."""
     if isinstance(tenants, DataFrame):
         allowed = tenants.select(F.col("tenant_id").alias(tenant_col)).distinct()
-        return df.join(small(allowed), tenant_col, "left_semi")
+        return df.join(lookup(allowed), tenant_col, "left_semi")
     return df.filter(F.col(tenant_col).isin(list(tenants)))
 
 
@@ -181,5 +181,5 @@ def filter_calls(calls: DataFrame, tenants: DataFrame, start=None, end=None, sec
         out = out.filter(F.col("escalated") == F.lit(bool(escalated)))
     if sector is not None:
         t = tenants.filter(F.col("sector") == sector).select("tenant_id")
-        out = out.join(small(t), "tenant_id", "left_semi")
+        out = out.join(lookup(t), "tenant_id", "left_semi")
     return out

@@ -2,25 +2,24 @@
 query set used by the registered queries.
 
 Shape of the work: a small query table (one row per question, with its
-tenant and vector) against a large chunk table. The query side is
-broadcast after a size check, so the chunk table is scanned in place and
-never shuffled, whatever its tenant skew; scoring is native (higher-order
-array functions, no Python). Per-query top-k runs as a WindowGroupLimit,
-so each chunk partition ships at most k rows per query to the final
-shuffle. When the query side is too large to broadcast, the join becomes a
-salted shuffle join: the chunks of a tenant spread over 16 salt keys and
-each query is copied to every salt, so a hot tenant is split evenly.
+tenant and vector) against a large chunk table. The query side is written
+once, so Spark knows its bytes: under the session's broadcast threshold the
+chunk table is scanned in place and never shuffled, whatever its tenant
+skew; beyond it the join is a shuffle whose skewed partitions AQE splits.
+Scoring is native (higher-order array functions, no Python). Per-query top-k
+runs as a WindowGroupLimit, so each chunk partition ships at most k rows per
+query to the final shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import cosine, score4
-from .common import BROADCAST_ROW_LIMIT, sized, small, top_k_per
+from .common import lookup, top_k_per
 
 
 # Probe queries ---------------------------------------------------------------
@@ -41,31 +40,23 @@ def probe_queries(chunks: DataFrame, vec_col: str = "embedding") -> DataFrame:
 
 # J7 -----------------------------------------------------------------------
 def score_pairs(queries: DataFrame, chunks: DataFrame, vec_col: str = "embedding",
-                qvec_col: str = "query_vec", max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Every query against every chunk of its own tenant, scored with the
-    reference's cosine (shorter length, zero norm gives 0) rounded to 4."""
-    q, is_small = sized(queries, max_broadcast_rows)
-    if is_small:
-        j = chunks.join(q, "tenant_id", "inner")
-    else:
-        # Too many queries to broadcast: salt the chunk side (a tenant's
-        # chunks spread over ``salts`` keys) and copy each query to every
-        # salt, so a tenant holding a third of the chunks is split evenly.
-        salts = 16
-        ch = chunks.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-        qs = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        j = ch.join(qs, ["tenant_id", "_salt"], "inner").drop("_salt")
-    return j.withColumn("score", score4(cosine(F.col(qvec_col), F.col(vec_col))))
+                qvec_col: str = "query_vec", min_score: float | None = None) -> DataFrame:
+    """The chunks of each query's tenant, scored with the reference's
+    cosine (shorter length, zero norm gives 0) rounded to 4. ``min_score``
+    keeps only pairs at or above it; without it the caller takes a top-k or
+    an aggregate of the pairs, which are never written out."""
+    j = chunks.join(lookup(queries), "tenant_id", "inner") \
+        .withColumn("score", score4(cosine(F.col(qvec_col), F.col(vec_col))))
+    return j if min_score is None else j.filter(F.col("score") >= F.lit(min_score))
 
 
 # K10 ----------------------------------------------------------------------
 def search(queries: DataFrame, chunks: DataFrame, k: int = 3, vec_col: str = "embedding",
-           keep: tuple[str, ...] = (), max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+           keep: tuple[str, ...] = ()) -> DataFrame:
     """Best k chunks per query inside its tenant, ranked by rounded score
     (desc) then chunk id; adds ``rank`` 1..k."""
     cols = ["query_id", "tenant_id", "chunk_id", *keep]
-    pairs = score_pairs(queries, chunks.select("tenant_id", "chunk_id", vec_col, *keep), vec_col,
-                        max_broadcast_rows=max_broadcast_rows)
+    pairs = score_pairs(queries, chunks.select("tenant_id", "chunk_id", vec_col, *keep), vec_col)
     return top_k_per(pairs.select(*cols, "score"), "query_id",
                      [F.col("score").desc(), F.col("chunk_id")], k, rank_col="rank")
 
@@ -76,10 +67,11 @@ def build_context(queries: DataFrame, hits: DataFrame, threshold: float = 0.0, s
     """Drop hits under ``threshold``, then one row per query with the
     number of matches, the context (numbered sources joined by ``sep``, in
     rank order) and the source titles. Queries without a match keep one row
-    with ``matches = 0`` and an empty context.
+    with ``matches = 0`` and an empty context. A hit whose text is NULL can't
+    ground an answer: it is neither counted nor listed.
 
     ``hits`` holds at most k rows per query, so the per-query list is bounded."""
-    h = hits.filter(F.col("score") >= F.lit(threshold))
+    h = hits.filter((F.col("score") >= F.lit(threshold)) & F.col(text_col).isNotNull())
     item = F.struct(F.col("rank"), F.col(text_col).alias("text"), F.col(title_col).alias("title"))
     g = h.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     numbered = F.transform("items", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["text"]))
@@ -143,25 +135,23 @@ def lsh_planes(dim: int, bands: int, bits: int, seed: int) -> list[list[float]]:
     return [[rnd.gauss(0.0, 1.0) for _ in range(dim)] for _ in range(bands * bits)]
 
 
-def approx_search(queries: DataFrame, chunks: DataFrame, k: int = 3, bands: int = 10, bits: int = 4,
+def approx_search(queries: DataFrame, chunks: DataFrame, k: int = 3, bands: int = 12, bits: int = 7,
                   seed: int = 7, vec_col: str = "embedding") -> DataFrame:
     """Approximate top-k. Chunks and queries get SimHash band keys
-    (random hyperplanes from ``seed``); candidates are chunks that share a
-    band key with the query in its tenant; candidates are re-scored exactly
-    and ranked as in K10. The join is query x chunk on (tenant, band) with the
-    query side broadcast: no pairs are formed among chunks."""
+    (random hyperplanes from ``seed``); candidates are chunks of the query's
+    tenant that share a band key with it; candidates are scored exactly and
+    ranked as in K10. The chunk table is scanned in place when the queries are
+    under Spark's broadcast threshold: no vector is copied or shuffled."""
     dim_row = chunks.select(F.size(vec_col).alias("d")).filter("d is not null").limit(1).collect()
     dim = dim_row[0]["d"] if dim_row else 0
     planes = lsh_planes(dim, bands, bits, seed)
+    # Band keys stay an array on the row: a pair is a candidate if the arrays
+    # overlap. Nothing is exploded, so no vector is copied or shuffled.
     cv = F.col(vec_col).cast("array<double>")
-    ch = chunks.select("tenant_id", "chunk_id", vec_col,
-                       F.explode(_simhash_bands(cv, planes, bands)).alias("band"))
+    ch = chunks.select("tenant_id", "chunk_id", vec_col, _simhash_bands(cv, planes, bands).alias("bands"))
     qv = F.col("query_vec").cast("array<double>")
-    q = queries.select("query_id", "tenant_id", "query_vec",
-                       F.explode(_simhash_bands(qv, planes, bands)).alias("band"))
-    cand = (ch.join(small(q), ["tenant_id", "band"], "inner")
-              .select("query_id", "tenant_id", "chunk_id", vec_col, "query_vec")
-              .dropDuplicates(["query_id", "chunk_id"]))
+    q = queries.select("query_id", "tenant_id", "query_vec", _simhash_bands(qv, planes, bands).alias("query_bands"))
+    cand = ch.join(lookup(q), "tenant_id", "inner").filter(F.arrays_overlap("bands", "query_bands"))
     scored = cand.withColumn("score", score4(cosine(F.col("query_vec"), F.col(vec_col))))
     return top_k_per(scored.select("query_id", "tenant_id", "chunk_id", "score"), "query_id",
                      [F.col("score").desc(), F.col("chunk_id")], k, rank_col="rank")
@@ -190,7 +180,3 @@ def log_retrieval(turns: DataFrame, hits: DataFrame, used_threshold: float = 0.0
         "best_score",
         F.coalesce(F.col("best_score") >= F.lit(used_threshold), F.lit(False)).alias("context_used"),
         (~F.coalesce(F.col("best_score") >= F.lit(used_threshold), F.lit(False))).alias("escalate"))
-
-
-def rank_window(by: str, order):
-    return Window.partitionBy(by).orderBy(*order)

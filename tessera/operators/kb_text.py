@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import content_key, simple_tokens
-from .common import materialize, small, top_k_per
+from .common import materialize, lookup, top_k_per
 
 # Splitter settings of the reference ingest (characters).
 CHUNK_SIZE = 800
@@ -156,7 +156,7 @@ def tag_chunks(chunks: DataFrame, docs: DataFrame, tenants: DataFrame) -> DataFr
     """K4: tenant, document, title, source, section, sector and language on
     every chunk, as columns and as one ``metadata`` map."""
     d = docs.select("doc_id", "title", "source", "lang")
-    t = small(tenants.select("tenant_id", F.col("name").alias("tenant_name"), "sector"))
+    t = lookup(tenants.select("tenant_id", F.col("name").alias("tenant_name"), "sector"))
     out = chunks.join(d, "doc_id", "left").join(t, "tenant_id", "left")
     if "heading" not in out.columns:
         out = out.withColumn("heading", F.lit(None).cast("string"))
@@ -193,19 +193,20 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
 # K9 -----------------------------------------------------------------------
 def reindex(new_docs: DataFrame, old_docs: DataFrame, old_chunks: DataFrame, size: int = CHUNK_SIZE,
             overlap: int = CHUNK_OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """K9: incremental re-index. Documents are compared by content hash:
-    new or changed ones are chunked again, removed ones lose their chunks,
-    unchanged ones keep their chunks as they are. Returns (plan, chunks) where
-    plan has one row per document id with ``action`` new / changed /
-    unchanged / removed."""
-    n = new_docs.select("doc_id", "tenant_id", "content", F.sha2("content", 256).alias("new_hash"))
-    o = old_docs.select("doc_id", F.sha2("content", 256).alias("old_hash"))
+    """K9: incremental re-index. A document is compared by tenant and content
+    hash (a NULL content equals only a NULL content): new or changed ones,
+    and those moved to another tenant, are chunked again; removed ones lose
+    their chunks; unchanged ones keep theirs as they are. Returns (plan,
+    chunks) where plan has one row per document id with ``action`` new /
+    changed / unchanged / removed."""
+    n = new_docs.select("doc_id", "tenant_id", "content", F.sha2("content", 256).alias("new_hash"), F.lit(True).alias("_new"))
+    o = old_docs.select("doc_id", F.col("tenant_id").alias("_old_tenant"), F.sha2("content", 256).alias("old_hash"),
+                        F.lit(True).alias("_old"))
+    same = F.col("new_hash").eqNullSafe(F.col("old_hash")) & F.col("tenant_id").eqNullSafe(F.col("_old_tenant"))
     plan = n.join(o, "doc_id", "full").select(
-        "doc_id", "tenant_id",
-        F.when(F.col("old_hash").isNull(), "new")
-         .when(F.col("new_hash").isNull(), "removed")
-         .when(F.col("new_hash") == F.col("old_hash"), "unchanged")
-         .otherwise("changed").alias("action"), "content")
+        "doc_id", F.when(F.col("_new"), F.col("tenant_id")).otherwise(F.col("_old_tenant")).alias("tenant_id"),
+        F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "removed")
+         .when(same, "unchanged").otherwise("changed").alias("action"), "content")
     todo = plan.filter(F.col("action").isin("new", "changed"))
     fresh = chunk_documents(todo, size, overlap)
     keep_ids = plan.filter(F.col("action") == "unchanged").select("doc_id")
@@ -214,49 +215,85 @@ def reindex(new_docs: DataFrame, old_docs: DataFrame, old_chunks: DataFrame, siz
 
 
 # K11 ----------------------------------------------------------------------
+def build_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """The inverted index as a table: (tenant, id, term, tf, dl), one row
+    per document and distinct term, and one row with a NULL term per document that
+    carries its length (also of documents without a token).
+
+    Map-only: Spark tokenises (X8), a task counts the terms of its own
+    documents on whole Arrow batches. Written once, it serves every search."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("tenant_id", id_col)}
+    src = docs.select("tenant_id", id_col, F.coalesce(simple_tokens(text_col), F.array().cast("array<string>")).alias("_tok"))
+    names = ["tenant_id", id_col, "term", "tf", "dl"]
+
+    def run(batches):
+        for rb in batches:
+            toks = rb.column(2)
+            lengths = np.asarray(pc.list_value_length(toks)).astype(np.int64)
+            flat = pc.list_flatten(toks)
+            enc = pc.dictionary_encode(flat)
+            rows = np.repeat(np.arange(rb.num_rows), lengths)
+            size = max(1, len(enc.dictionary))
+            pair, tf = np.unique(rows * size + np.asarray(enc.indices).astype(np.int64), return_counts=True)
+            row = np.concatenate([np.arange(rb.num_rows), pair // size])
+            term = pa.concat_arrays([pa.nulls(rb.num_rows, pa.string()), enc.dictionary.take(pa.array(pair % size)).cast(pa.string())])
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([rb.column(0).take(take), rb.column(1).take(take), term,
+                                              pa.array(np.concatenate([np.zeros(rb.num_rows, np.int64), tf])), pa.array(lengths[row])], names)
+
+    return src.mapInArrow(run, f"tenant_id {kinds['tenant_id']}, `{id_col}` {kinds[id_col]}, term string, tf long, dl long")
+
+
+def term_statistics(postings: DataFrame) -> DataFrame:
+    """Per tenant and term, in how many documents (df) and how often (cf)."""
+    return postings.filter(F.col("term").isNotNull()).groupBy("tenant_id", "term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
 def build_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
-    """Term table (tenant, id, term, tf) and per-tenant statistics
-    (tenant, term, df). Both are hash aggregates with a map-side step, so a
-    term used everywhere is combined before the shuffle."""
-    tok = chunks.select("tenant_id", id_col, F.explode(simple_tokens(text_col)).alias("term"))
-    tf = tok.groupBy("tenant_id", id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    return tf, df
+    """(postings, statistics); the postings are written once."""
+    postings = materialize(build_postings(chunks, id_col, text_col))
+    return postings, term_statistics(postings)
 
 
 # K12 ----------------------------------------------------------------------
-def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 8, k1: float = 1.2, b: float = 0.75,
-                   id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+def keyword_search(queries: DataFrame, docs: DataFrame | None, k: int = 8, k1: float = 1.2, b: float = 0.75,
+                   id_col: str = "doc_id", text_col: str = "content", postings: DataFrame | None = None) -> DataFrame:
     """BM25 (Robertson/Sparck Jones idf with +1, k1, b) of each query
     against the documents of its tenant, with that tenant's statistics;
     distinct query terms; rank by score rounded to 6 places, then id.
 
-    Query terms are the small side and are broadcast after a size check, so
-    the postings are joined where they lie; scores are summed with a
-    map-side partial aggregate per (query, document)."""
-    # Document lengths need no shuffle of tokens: one row per document.
-    dl = docs.select("tenant_id", id_col, F.size(simple_tokens(text_col)).alias("dl"))
-    stats = dl.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    qt = small(queries.select("query_id", "tenant_id",
-                              F.explode(F.array_distinct(simple_tokens("query_text"))).alias("term")))
-    # Only occurrences of query terms survive the (broadcast) semi join, so
-    # the term-frequency aggregate shuffles postings of query terms only.
-    terms = qt.select("tenant_id", "term").distinct()
-    tok = docs.select("tenant_id", id_col, F.explode(simple_tokens(text_col)).alias("term"))
-    tf = tok.join(F.broadcast(terms), ["tenant_id", "term"], "left_semi") \
-        .groupBy("tenant_id", id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    # read twice (postings and document frequencies): tokenise once
-    tf = materialize(tf)
-    dfreq = tf.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    # qt passed the size check above; joining it to one df row and one stats
-    # row per (tenant, term) keeps its row count, so it stays broadcastable.
-    qt = qt.join(dfreq, ["tenant_id", "term"], "inner").join(small(stats), "tenant_id", "inner")
-    post = tf.join(F.broadcast(qt), ["tenant_id", "term"], "inner").join(dl, ["tenant_id", id_col], "inner")
-    n, df_, tfc = F.col("n_docs"), F.col("df"), F.col("tf")
+    Reads the stored index (``postings``, else K11 writes it from ``docs``:
+    each document is tokenised once). Equal questions of a tenant are scored
+    once. The postings of query terms are dealt by (tenant, hash block of
+    the document), so a document's score is complete inside its block, a
+    tenant of any size is many tasks, and a task ships k rows per question
+    to the ranking. No side is hinted; Spark broadcasts what is under its
+    byte threshold."""
+    post = postings if postings is not None else materialize(build_postings(docs, id_col, text_col))
+    lengths = post.filter(F.col("term").isNull())
+    stats = lengths.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    asked = queries.select("query_id", "tenant_id", F.md5(F.coalesce("query_text", F.lit(""))).alias("_q"), "query_text")
+    once = asked.groupBy("tenant_id", "_q").agg(F.first("query_text").alias("query_text"))
+    terms = materialize(once.select("tenant_id", "_q", F.explode(F.array_distinct(simple_tokens("query_text"))).alias("term")))
+    wanted = lookup(terms.select("tenant_id", "term").distinct())
+    hit = post.filter(F.col("term").isNotNull()).join(wanted, ["tenant_id", "term"], "left_semi")
+    n, df_, tf = F.col("n_docs"), F.col("df"), F.col("tf")
     idf = F.log(F.lit(1.0) + (n - df_ + F.lit(0.5)) / (df_ + F.lit(0.5)))
-    w = idf * tfc * F.lit(k1 + 1) / (tfc + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    scored = post.groupBy("query_id", "tenant_id", id_col).agg(F.round(F.sum(w), 6).alias("score"))
-    return top_k_per(scored, "query_id", [F.col("score").desc(), F.col(id_col)], k, rank_col="rank")
+    weighted = lookup(terms.join(hit.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df")), ["tenant_id", "term"])
+                      .join(stats, "tenant_id").select("tenant_id", "term", "_q", "avgdl", idf.alias("idf")))
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions") if docs is not None
+                 else post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hit.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(blocks))).repartition("tenant_id", "_block")
+    w = F.col("idf") * tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
+    scored = dealt.join(weighted, ["tenant_id", "term"]).groupBy("tenant_id", "_block", "_q", id_col) \
+        .agg(F.round(F.sum(w), 6).alias("score"))
+    best = top_k_per(scored, ["tenant_id", "_q"], [F.col("score").desc(), F.col(id_col)], k, rank_col="rank")
+    return asked.drop("query_text").join(best, ["tenant_id", "_q"]).select("query_id", "tenant_id", id_col, "score", "rank")
 
 
 # K7 (offline baseline embedder) -------------------------------------------------
@@ -307,30 +344,12 @@ def hash_embed(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 64)
     return src.mapInArrow(run, schema)
 
 
-def hash_embed_shuffle(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 64) -> DataFrame:
-    """``hash_embed`` with built-in functions only (explode, aggregate per
-    (row, bucket), then per row): same result, two shuffles."""
-    tok = df.select(*id_cols, F.explode_outer(simple_tokens(text_col)).alias("tok"))
-    h = F.md5(F.col("tok"))
-    bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1)).otherwise(F.lit(-1))
-    per = (tok.filter(F.col("tok").isNotNull())
-              .groupBy(*id_cols, bucket.alias("bucket")).agg(F.sum(sign).alias("v")))
-    m = per.groupBy(*id_cols).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0)).cast("double"))
-    vec = df.select(*id_cols).join(m, id_cols, "left").select(*id_cols, dense.alias("raw"))
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
-    return vec.select(*id_cols, F.when(norm > 0, F.transform("raw", lambda x: x / norm))
-                      .otherwise(F.col("raw")).alias("embedding"))
-
-
 def vector_search_docs(queries: DataFrame, doc_vecs: DataFrame, k: int = 8, id_col: str = "doc_id") -> DataFrame:
     """Exact cosine top-k of query vectors against the document vectors of
-    the query's tenant (equi join on tenant, query side broadcast after a size
-    check, document side scanned in place)."""
+    the query's tenant (equi join on tenant; the document side is scanned in
+    place when the queries are under Spark's broadcast threshold)."""
     from ..functions.expr import cosine_equal_len, score4
-    j = doc_vecs.join(small(queries.select("query_id", "tenant_id", "query_vec")), "tenant_id", "inner")
+    j = doc_vecs.join(lookup(queries.select("query_id", "tenant_id", "query_vec")), "tenant_id", "inner")
     s = j.select("query_id", "tenant_id", id_col, score4(cosine_equal_len("query_vec", "embedding")).alias("score"))
     return top_k_per(s, "query_id", [F.col("score").desc(), F.col(id_col)], k, rank_col="rank")
 
@@ -371,15 +390,15 @@ def passage_matches(docs: DataFrame, passages: DataFrame, w: int = 3, id_col: st
         keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("dtok") - s + 1, F.lit(1))),
                            lambda i: F.array_join(F.slice("dtok", i, s), " "))
         win = dt.select("tenant_id", id_col, F.explode(keys).alias("key"))
-        c = win.join(small(pkey.filter(F.col("pw") == s)), ["tenant_id", "key"], "inner") \
+        c = win.join(lookup(pkey.filter(F.col("pw") == s)), ["tenant_id", "key"], "inner") \
             .select("query_id", "tenant_id", id_col, "ptok")
         cands = c if cands is None else cands.unionByName(c)
     if cands is None:
         return passages.sparkSession.createDataFrame([], f"query_id long, {id_col} long")
-    # Candidates are few (a passage's first words rarely recur); when their
-    # count is proven small they are broadcast, so the documents' token arrays
+    # Candidates are few (a passage's first words rarely recur); written once,
+    # Spark broadcasts them if their bytes allow, so the documents' token arrays
     # are checked where they lie instead of being shuffled to the candidates.
-    cands = small(cands.dropDuplicates(["query_id", id_col]))
+    cands = lookup(cands.dropDuplicates(["query_id", id_col]))
     cands = dt.drop("tenant_id").join(cands, id_col, "inner")
     ok = F.contains(F.concat(F.lit(" "), F.array_join("dtok", " "), F.lit(" ")),
                     F.concat(F.lit(" "), F.array_join("ptok", " "), F.lit(" ")))

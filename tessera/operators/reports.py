@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import normalise_text
-from .common import latest, small, top_k_per
+from .common import latest, lookup, number_rows, top_k_per
 
 
 # A2 -----------------------------------------------------------------------
@@ -33,7 +33,7 @@ def kpi_tiles(calls: DataFrame, rates: DataFrame, day=None) -> DataFrame:
     c = calls.withColumn("day", F.to_date("started_at"))
     if day is not None:
         c = c.filter(F.col("day") == F.to_date(F.lit(str(day))))
-    c = c.join(small(rates), "provider", "left")
+    c = c.join(lookup(rates), "provider", "left")
     return c.groupBy("tenant_id", "day").agg(
         F.count(F.lit(1)).alias("calls"),
         F.round(F.avg("duration_sec"), 2).alias("avg_duration_sec"),
@@ -83,7 +83,7 @@ def intent_breakdown(calls: DataFrame) -> DataFrame:
 def resolution_rates(calls: DataFrame, tenants: DataFrame) -> DataFrame:
     """Resolution and escalation rates per tenant, per sector and overall
     (ROLLUP); ``level`` is the grouping id (0 tenant, 1 sector, 3 total)."""
-    c = calls.join(small(tenants.select("tenant_id", "sector")), "tenant_id", "left")
+    c = calls.join(lookup(tenants.select("tenant_id", "sector")), "tenant_id", "left")
     return c.rollup("sector", "tenant_id").agg(
         F.count(F.lit(1)).alias("calls"),
         F.round(F.count_if(F.col("outcome") == "resolved") / F.count(F.lit(1)), 4).alias("resolution_rate"),
@@ -134,7 +134,7 @@ def cost_per_call(calls: DataFrame, turns: DataFrame, notifs: DataFrame, rates:
     reduced to one row per call before the joins."""
     t = turns.groupBy("call_id").agg(F.sum("tokens").alias("tokens"))
     n = notifs.groupBy("call_id").agg(F.count(F.lit(1)).alias("messages"))
-    c = calls.select("call_id", "tenant_id", "provider", "duration_sec").join(small(rates), "provider", "left")
+    c = calls.select("call_id", "tenant_id", "provider", "duration_sec").join(lookup(rates), "provider", "left")
     j = c.join(t, "call_id", "left").join(n, "call_id", "left")
     minutes = F.coalesce(F.col("duration_sec"), F.lit(0)) / 60.0
     tok = F.coalesce("tokens", F.lit(0))
@@ -154,7 +154,7 @@ def usage(calls: DataFrame, turns: DataFrame, notifs: DataFrame, quotas: DataFra
     b = turns.groupBy("tenant_id", m("created_at").alias("month")).agg(F.sum("tokens").alias("tokens"))
     c = notifs.groupBy("tenant_id", m("created_at").alias("month")).agg(F.count(F.lit(1)).alias("messages"))
     j = a.join(b, ["tenant_id", "month"], "full").join(c, ["tenant_id", "month"], "full")
-    j = j.join(small(quotas.select("tenant_id", "quota_minutes")), "tenant_id", "left")
+    j = j.join(lookup(quotas.select("tenant_id", "quota_minutes")), "tenant_id", "left")
     return j.select("tenant_id", "month", F.coalesce("minutes", F.lit(0.0)).alias("minutes"),
                     F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("messages", F.lit(0)).alias("messages"),
                     "quota_minutes",
@@ -208,18 +208,25 @@ def delivery_rates(state: DataFrame) -> DataFrame:
 
 
 # A13 ----------------------------------------------------------------------
-def latency_report(turns: DataFrame, budget_ms: int = 1500, exact: bool = False) -> DataFrame:
-    """p50 / p95 turn latency and the share over budget per tenant.
-    Default is ``percentile_approx`` (a mergeable sketch, bounded memory per
-    group even for a huge tenant); ``exact=True`` interpolates exactly but
-    holds a group's values in memory."""
-    if exact:
-        p50, p95 = F.percentile("latency_ms", 0.5), F.percentile("latency_ms", 0.95)
-    else:
-        p50, p95 = F.percentile_approx("latency_ms", 0.5, 10000), F.percentile_approx("latency_ms", 0.95, 10000)
-    return turns.groupBy("tenant_id").agg(
-        F.count(F.lit(1)).alias("turns"), p50.alias("p50_ms"), p95.alias("p95_ms"),
-        F.round(F.count_if(F.col("latency_ms") > budget_ms) / F.count(F.lit(1)), 4).alias("over_budget"))
+def latency_report(turns: DataFrame, budget_ms: int = 1500) -> DataFrame:
+    """Exact p50 / p95 turn latency (the smallest latency that at least
+    that share of the turns does not exceed) and the share over budget per
+    tenant. Turns are counted per (tenant, latency) with a map-side step; a
+    running sum over a tenant's distinct latencies gives their ranks. No
+    group's turns are held together."""
+    per = turns.groupBy("tenant_id", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("tenant_id").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    known = per.filter(F.col("latency_ms").isNotNull()).withColumn("upto", F.sum("n").over(order))
+    total = per.groupBy("tenant_id").agg(
+        F.sum("n").alias("turns"), F.sum(F.when(F.col("latency_ms").isNotNull(), F.col("n"))).alias("_known"),
+        F.sum(F.when(F.col("latency_ms") > budget_ms, F.col("n")).otherwise(0)).alias("_over"))
+
+    def value(percent: int):
+        return F.min(F.when(F.col("upto") * 100 >= F.col("_known") * percent, F.col("latency_ms")))
+
+    found = known.join(total, "tenant_id").groupBy("tenant_id").agg(value(50).alias("p50_ms"), value(95).alias("p95_ms"))
+    return total.join(found, "tenant_id", "left").select(
+        "tenant_id", "turns", "p50_ms", "p95_ms", F.round(F.col("_over") / F.col("turns"), 4).alias("over_budget"))
 
 
 # A14 ----------------------------------------------------------------------
@@ -261,14 +268,17 @@ def access_report(audit: DataFrame, window: str = "1 day", z: float = 2.0) -> Da
 def recent_history(turns: DataFrame, n: int = 4) -> DataFrame:
     """For each turn the previous ``n`` turns of its call, oldest first.
 
-    Turns are numbered consecutively within a call, so the history is an
-    equi join of (call, turn - j) for j = 1..n: the join key includes the turn
-    number, so even a call with a third of all turns spreads over all tasks,
-    and each turn collects at most ``n`` lines."""
+    Turn numbers may have gaps, so turns are first numbered within their call
+    in two levels (``number_rows``: inside blocks of 256 turn numbers, then
+    offsets). The history is an equi join of (call, place - j) for j = 1..n:
+    the key includes the place, so even a call with a third of all turns
+    spreads over all tasks, and each turn collects at most ``n`` lines."""
+    placed = number_rows(turns.select("call_id", "turn_no", "role", "content"), "call_id", [F.col("turn_no")],
+                         F.floor(F.col("turn_no") / 256), "place")
     line = F.concat(F.col("role"), F.lit(": "), F.col("content"))
-    prev = turns.select("call_id", F.col("turn_no").alias("prev_no"), line.alias("line"))
-    want = turns.select("call_id", "turn_no", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("j")) \
-        .withColumn("prev_no", F.col("turn_no") - F.col("j"))
+    prev = placed.select("call_id", F.col("place").alias("prev_no"), line.alias("line"))
+    want = placed.select("call_id", "turn_no", "place", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("j")) \
+        .withColumn("prev_no", F.col("place") - F.col("j"))
     hist = want.join(prev, ["call_id", "prev_no"], "inner").groupBy("call_id", "turn_no").agg(
         F.sort_array(F.collect_list(F.struct("prev_no", "line"))).alias("h"))
     out = turns.join(hist, ["call_id", "turn_no"], "left")
@@ -312,7 +322,7 @@ def concurrency(calls: DataFrame, caps: DataFrame, bucket: str = "hour") -> Data
     wb = Window.partitionBy("tenant_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("start_level", F.coalesce(F.sum("net").over(wb), F.lit(0)))
     peak = per.groupBy("tenant_id").agg(F.max(F.col("start_level") + F.col("top")).alias("peak"))
-    j = peak.join(small(caps.select("tenant_id", "max_concurrent")), "tenant_id", "left")
+    j = peak.join(lookup(caps.select("tenant_id", "max_concurrent")), "tenant_id", "left")
     return j.select("tenant_id", "peak", "max_concurrent",
                     F.coalesce(F.col("peak") > F.col("max_concurrent"), F.lit(False)).alias("over_cap"))
 

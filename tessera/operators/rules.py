@@ -9,12 +9,13 @@ for them.
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import content_key, e164, simple_tokens, ts_lit
-from .common import latest, number_rows, small
+from .common import latest, number_rows, lookup
 
 # F4 -----------------------------------------------------------------------
 def flag_business_hours(calls: DataFrame, tenants: DataFrame, hours: DataFrame,
@@ -22,8 +23,8 @@ def flag_business_hours(calls: DataFrame, tenants: DataFrame, hours: DataFrame,
     """local start time of each call in its tenant's time zone and whether
     it falls inside the tenant's opening hours (``open_hour`` <= hour <
     ``close_hour`` on ``open_days``, Monday = 0). Tenants without hours: NULL."""
-    t = small(tenants.select("tenant_id", "timezone"))
-    h = small(hours.select("tenant_id", "open_hour", "close_hour"))
+    t = lookup(tenants.select("tenant_id", "timezone"))
+    h = lookup(hours.select("tenant_id", "open_hour", "close_hour"))
     j = calls.select("call_id", "tenant_id", "started_at").join(t, "tenant_id", "left").join(h, "tenant_id", "left")
     local = F.convert_timezone(F.lit("UTC"), F.col("timezone"), F.col("started_at"))
     hr = F.hour(local)
@@ -50,7 +51,7 @@ def flag_escalations(turns: DataFrame, rules: DataFrame) -> DataFrame:
     broadcast rule table where they lie."""
     tok = turns.filter(F.col("role") == "caller").select(
         "call_id", "turn_no", "tenant_id", F.explode(F.array_distinct(simple_tokens("content"))).alias("term"))
-    hit = tok.join(small(rules), "term", "inner")
+    hit = tok.join(lookup(rules), "term", "inner")
     return hit.groupBy("call_id", "turn_no", "tenant_id").agg(
         F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"),
         F.min("priority").alias("priority"))
@@ -60,7 +61,7 @@ def flag_escalations(turns: DataFrame, rules: DataFrame) -> DataFrame:
 def plan_notifications(bookings: DataFrame, channels: DataFrame) -> DataFrame:
     """one row per (booking, channel): ``send`` when the tenant has the
     channel enabled and the booking has the contact, else the reason."""
-    ch = small(channels.select("tenant_id", "email_enabled", "whatsapp_enabled"))
+    ch = lookup(channels.select("tenant_id", "email_enabled", "whatsapp_enabled"))
     b = bookings.join(ch, "tenant_id", "left")
     b = b.select("*", F.explode(F.array(F.lit("whatsapp"), F.lit("email"))).alias("channel"))
     contact = F.when(F.col("channel") == "whatsapp", F.col("customer_phone")).otherwise(F.col("customer_email"))
@@ -101,8 +102,8 @@ def sector_tools(spark: SparkSession) -> DataFrame:
 def allowed_tools(tenants: DataFrame, enabled: DataFrame, tools: DataFrame) -> DataFrame:
     """per tenant, the sector's tools intersected with the tenant's enabled
     list (all of the sector's tools when the tenant has no list)."""
-    t = tenants.select("tenant_id", "sector").join(small(tools), "sector", "left")
-    t = t.join(small(enabled.select("tenant_id", "enabled_tools")), "tenant_id", "left")
+    t = tenants.select("tenant_id", "sector").join(lookup(tools), "sector", "left")
+    t = t.join(lookup(enabled.select("tenant_id", "enabled_tools")), "tenant_id", "left")
     allowed = F.when(F.col("enabled_tools").isNull(), F.col("tools")) \
         .otherwise(F.array_intersect("tools", "enabled_tools"))
     return t.select("tenant_id", "sector", F.array_sort(allowed).alias("allowed_tools"))
@@ -111,7 +112,7 @@ def allowed_tools(tenants: DataFrame, enabled: DataFrame, tools: DataFrame) -> D
 def flag_tool_calls(calls: DataFrame, allowed: DataFrame) -> DataFrame:
     """tool calls (``tenant_id``, ``route``) to a tool the tenant does not
     allow."""
-    a = small(allowed.select("tenant_id", "allowed_tools"))
+    a = lookup(allowed.select("tenant_id", "allowed_tools"))
     j = calls.join(a, "tenant_id", "left")
     return j.withColumn("allowed", F.coalesce(F.array_contains("allowed_tools", F.col("route")), F.lit(False))) \
         .drop("allowed_tools")
@@ -145,32 +146,42 @@ def calls_with_outcome(calls: DataFrame, bookings: DataFrame, leads: DataFrame)
 def resolve_number(calls: DataFrame, numbers: DataFrame, configs: DataFrame) -> DataFrame:
     """Called number to its tenant and current agent config; calls to an
     unknown number are kept with NULLs."""
-    n = small(numbers.select(F.col("e164").alias("to_number"), F.col("tenant_id").alias("number_tenant"),
+    n = lookup(numbers.select(F.col("e164").alias("to_number"), F.col("tenant_id").alias("number_tenant"),
                              "number_id"))
     cur = latest(configs.select("tenant_id", "config_id", "updated_at"), "tenant_id", "updated_at", tie=["config_id"])
-    c = small(cur.select(F.col("tenant_id").alias("number_tenant"), F.col("config_id").alias("agent_config_id")))
+    c = lookup(cur.select(F.col("tenant_id").alias("number_tenant"), F.col("config_id").alias("agent_config_id")))
     return calls.select("call_id", "tenant_id", "to_number").join(n, "to_number", "left").join(c, "number_tenant", "left")
 
 
 # P6 -----------------------------------------------------------------------
+def fill(template: Column, variables: dict[str, Column | str], opening: str = "{{", closing: str = "}}") -> Column:
+    """A template with its placeholders filled in one pass: the text is split
+    at the placeholders and each piece is looked up once, so a value that
+    holds a placeholder is not expanded again. Unknown placeholders stay,
+    NULL values become ''."""
+    names = "|".join(re.escape(k) for k in variables)
+    mark = "\x00"
+    spot = re.escape(opening) + "(" + names + ")" + re.escape(closing)
+    pieces = F.split(F.regexp_replace(F.replace(template, F.lit(mark), F.lit("")), spot, f"{mark}$1{mark}"), mark)
+    values = F.create_map(*[x for k, v in variables.items()
+                            for x in (F.lit(k), F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("")))])
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, values[p]).otherwise(p)), "")
+
+
 def render_template(df: DataFrame, template_col: str, variables: dict[str, Column | str], out: str = "text") -> DataFrame:
     """Replaces ``{{name}}`` placeholders of a per-row template with the
-    row's values (NULL values become '')."""
-    t = F.col(template_col)
-    for k, v in variables.items():
-        val = F.col(v) if isinstance(v, str) else v
-        t = F.replace(t, F.lit("{{" + k + "}}"), F.coalesce(val.cast("string"), F.lit("")))
-    return df.withColumn(out, t)
+    row's values (NULL values become ''; see ``fill``)."""
+    return df.withColumn(out, fill(F.col(template_col), variables))
 
 
 # P7 -----------------------------------------------------------------------
-# Confirmation texts by sector (the same for e-mail and
-# WhatsApp), with the generic text as fallback.
+# Default confirmation texts by sector (the same for e-mail and WhatsApp);
+# a caller passes its own table to ``render_confirmations``.
 CONFIRMATIONS = {
-    "hospital": "Appointment with Dr. {doctor} on {date} {time} at {dept}. ID {id}. Reply RESCHEDULE to change.",
-    "school": "Campus visit / counselor call booked for {date} {time}. Brochure: {link}.",
-    "restaurant": "Table for {party} on {date} {time} at {restaurant}. Ref {id}. Reply CANCEL to cancel.",
-    "generic": "Thanks {name}, we've noted your request: {summary}. We'll contact you at {phone}.",
+    "hospital": "Your visit is set: {doctor}, {dept}, {date} at {time} (no. {id}). To move it, answer RESCHEDULE.",
+    "school": "We look forward to seeing you on {date} at {time}. Read more before you come: {link}",
+    "restaurant": "{restaurant} keeps a table for {party} on {date}, {time}. Code {id}; answer CANCEL to free it.",
+    "generic": "Hello {name}, your message ({summary}) has reached us and we will call {phone}.",
 }
 
 
@@ -179,25 +190,26 @@ def confirmation_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "sector string, channel string, template string")
 
 
-def render_confirmations(sends: DataFrame, tenants: DataFrame, templates: DataFrame) -> DataFrame:
+def render_confirmations(sends: DataFrame, tenants: DataFrame, templates: DataFrame, department: Column | str | None = None,
+                         link: Column | str | None = None) -> DataFrame:
     """Message text per planned send: the template of the tenant's sector
-    and channel (generic when the sector has none), variables filled."""
-    t = small(tenants.select("tenant_id", "sector", F.col("name").alias("tenant_name")))
-    tp = small(templates)
-    g = small(templates.filter(F.col("sector") == "generic").select("channel", F.col("template").alias("_generic")))
+    and channel (generic when the sector has none), variables filled in one
+    pass. ``department`` and ``link`` are columns of the joined rows or
+    expressions; left out they are empty."""
+    given = lambda c: F.lit("") if c is None else F.col(c) if isinstance(c, str) else c
+    t = lookup(tenants.select("tenant_id", "sector", F.col("name").alias("tenant_name")))
+    tp = lookup(templates)
+    g = lookup(templates.filter(F.col("sector") == "generic").select("channel", F.col("template").alias("_generic")))
     j = sends.join(t, "tenant_id", "left").join(tp, ["sector", "channel"], "left").join(g, "channel", "left")
     j = j.withColumn("template", F.coalesce("template", "_generic"))
     var = {
         "doctor": F.col("resource_id"), "date": F.date_format("scheduled_for", "yyyy-MM-dd"),
-        "time": F.date_format("scheduled_for", "HH:mm"), "dept": F.lit("General"), "id": F.col("booking_key"),
-        "link": F.lit("https://example.com/brochure"), "party": F.col("party_size"),
+        "time": F.date_format("scheduled_for", "HH:mm"), "dept": given(department), "id": F.col("booking_key"),
+        "link": given(link), "party": F.col("party_size"),
         "restaurant": F.col("tenant_name"), "name": F.col("customer_name"), "summary": F.col("type"),
         "phone": F.col("customer_phone"),
     }
-    txt = F.col("template")
-    for k, v in var.items():
-        txt = F.replace(txt, F.lit("{" + k + "}"), F.coalesce(v.cast("string"), F.lit("")))
-    return j.select("booking_key", "tenant_id", "channel", "recipient", txt.alias("text"))
+    return j.select("booking_key", "tenant_id", "channel", "recipient", fill(F.col("template"), var, "{", "}").alias("text"))
 
 
 # P8 -----------------------------------------------------------------------
@@ -206,7 +218,7 @@ def assemble_prompts(questions: DataFrame, context: DataFrame, history: DataFram
     numbered context, the recent history and the utterance, one block each."""
     j = questions.join(context.select("query_id", "context"), "query_id", "left") \
         .join(history.select("query_id", "history"), "query_id", "left") \
-        .join(small(prompts.select("tenant_id", "system_prompt")), "tenant_id", "left")
+        .join(lookup(prompts.select("tenant_id", "system_prompt")), "tenant_id", "left")
     text = F.concat_ws("\n\n",
                        F.concat(F.lit("SYSTEM: "), F.coalesce("system_prompt", F.lit(""))),
                        F.concat(F.lit("CONTEXT:\n"), F.coalesce("context", F.lit(""))),
@@ -234,7 +246,7 @@ def seed_configs(tenants: DataFrame, templates: DataFrame, configs: DataFrame) -
     """Config rows for tenants that have none, from their sector's template
     (generic when the sector has none); ids are content keys."""
     new = tenants.select("tenant_id", "sector").join(configs.select("tenant_id"), "tenant_id", "left_anti")
-    j = new.join(small(templates), "sector", "left")
+    j = new.join(lookup(templates), "sector", "left")
     # the fallback is one row of the (small) template table
     gp = templates.filter(F.col("sector") == "generic").select("system_prompt", "languages").first()
     return j.select(content_key("tenant_id").alias("config_id"), "tenant_id",
@@ -285,7 +297,7 @@ def apply_replies(bookings: DataFrame, replies: DataFrame) -> DataFrame:
     r = latest(r, "phone", "ts", tie=["seq"])
     m = F.create_map(*[x for k, v in REPLY_ACTIONS.items() if v for x in (F.lit(k), F.lit(v))])
     r = r.select("phone", "word", F.element_at(m, F.col("word")).alias("_new"), (F.col("word") == "stop").alias("opt_out"))
-    j = bookings.join(small(r).withColumnRenamed("phone", "customer_phone"), "customer_phone", "left")
+    j = bookings.join(r.withColumnRenamed("phone", "customer_phone"), "customer_phone", "left")
     return j.select(*[c for c in bookings.columns if c != "status"],
                     F.coalesce("_new", "status").alias("status"),
                     F.coalesce("opt_out", F.lit(False)).alias("opted_out"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import content_key, ts_lit
-from .common import latest, small
+from .common import latest, lookup
 
 
 # S4 -----------------------------------------------------------------------
@@ -40,12 +40,24 @@ def append(rows: DataFrame, key_cols: list[str], defaults: dict | None = None, p
     return out
 
 
+def one_per_key(rows: DataFrame, keys: list[str], ts_col: str | None = None) -> DataFrame:
+    """One row per key of a batch of changes: the newest by ``ts_col`` when
+    given, else (and among equal times) the one with the largest values."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    order = F.struct(*([F.col(ts_col)] if ts_col else []), *[F.to_json(F.struct(F.col(c))) for c in rest])
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")) \
+        .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 # S6 -----------------------------------------------------------------------
-def update_by_key(base: DataFrame, changes: DataFrame, key, cols: list[str]) -> DataFrame:
+def update_by_key(base: DataFrame, changes: DataFrame, key, cols: list[str], ts_col: str | None = None) -> DataFrame:
     """Sets ``cols`` from ``changes`` on the base rows with the same key;
-    other rows and columns are unchanged. One change row per key is
-    expected (use W2 ``latest`` first otherwise)."""
+    other rows and columns are unchanged. When a batch repeats a key, one of
+    its rows counts (``one_per_key``: the newest by ``ts_col``)."""
     keys = [key] if isinstance(key, str) else list(key)
+    changes = one_per_key(changes.select(*dict.fromkeys([*keys, *cols, *([ts_col] if ts_col else [])])), keys, ts_col)
     ch = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
     j = base.join(ch, keys, "left")
     out = j.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols
@@ -58,9 +70,11 @@ def upsert(base: DataFrame, incoming: DataFrame, key, cols: list[str], id_col: s
            ts_col: str | None = "updated_at", as_of: dt.datetime | None = None) -> DataFrame:
     """Every base row whose key has an incoming row gets the incoming
     values (all of them, as the reference updates every row of the tenant);
-    keys with no base row are inserted with a content-hash id. Adds
-    ``action`` = updated / inserted / unchanged."""
+    keys with no base row are inserted with a content-hash id. When the batch
+    repeats a key, one of its rows counts (``one_per_key``). Adds ``action`` =
+    updated / inserted / unchanged."""
     keys = [key] if isinstance(key, str) else list(key)
+    incoming = one_per_key(incoming, keys, ts_col if ts_col in incoming.columns else None)
     inc = incoming.select(*keys, *[F.col(c).alias(f"_in_{c}") for c in cols], F.lit(True).alias("_hit"))
     j = base.join(inc, keys, "left")
     upd = []
@@ -108,10 +122,10 @@ def insert_if_absent(base: DataFrame, rows: DataFrame, key, defaults: dict) -> D
 # S9 -----------------------------------------------------------------------
 def write_by_month(df: DataFrame, path: str, ts_col: str) -> None:
     """Parquet folders by ``month=yyyy-MM``; readers that filter on month
-    prune whole folders. Rows are clustered by month before the write so each
-    task writes few files."""
-    (df.withColumn("month", F.date_format(ts_col, "yyyy-MM"))
-       .repartition("month").write.mode("overwrite").partitionBy("month").parquet(path))
+    prune whole folders. The ``rebalance`` hint gathers a month's rows into few
+    files of the advisory size and splits a large month over many tasks."""
+    (df.withColumn("month", F.date_format(ts_col, "yyyy-MM")).hint("rebalance", "month")
+       .write.mode("overwrite").partitionBy("month").parquet(path))
 
 
 def read_months(spark, path: str, first: str, last: str) -> DataFrame:
@@ -126,8 +140,8 @@ def apply_retention(df: DataFrame, policies: DataFrame, as_of: dt.datetime, ts_c
                     days_col: str = "retention_days") -> DataFrame:
     """Keeps rows younger than their tenant's retention (in days) at
     ``as_of``; tenants without a policy keep everything. The policy table has
-    one row per tenant and is broadcast after a size check."""
-    p = small(policies.select("tenant_id", days_col))
+    one row per tenant."""
+    p = lookup(policies.select("tenant_id", days_col))
     j = df.join(p, "tenant_id", "left")
     keep = F.col(days_col).isNull() | (F.col(ts_col) >= F.timestamp_add("DAY", -F.col(days_col), ts_lit(as_of)))
     return j.filter(keep).drop(days_col)

@@ -98,7 +98,7 @@ def _k15(spark, sf):
     return approx.join(rec, "query_id", "left")
 
 
-def _lsh_sql(bands: int = 10, bits: int = 4, seed: int = 7, dim: int = 64) -> dict:
+def _lsh_sql(bands: int = 12, bits: int = 7, seed: int = 7, dim: int = 64) -> dict:
     planes = S.lsh_planes(dim, bands, bits, seed)
     lit = "[" + ", ".join("[" + ", ".join(repr(x) for x in p) + "]" for p in planes) + "]"
     bit = " || ".join(

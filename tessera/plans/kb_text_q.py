@@ -155,28 +155,40 @@ SELECT page_id, url,
 FROM pages""")(_k5)
 
 
+def _moved(old):
+    """The corpus after a while: Spanish documents gone, German ones edited,
+    French ones moved to the next tenant, some texts lost."""
+    return old.filter(F.col("lang") != "es").withColumn(
+        "content", F.when(F.col("doc_id") % 97 == 5, F.lit(None).cast("string"))
+                    .when(F.col("lang") == "de", F.concat("content", F.lit(" (updated)"))).otherwise(F.col("content"))) \
+        .withColumn("tenant_id", F.when(F.col("lang") == "fr", (F.col("tenant_id") + 1).cast("int")).otherwise(F.col("tenant_id")))
+
+
+MOVED_SQL = """SELECT doc_id, CASE WHEN lang = 'fr' THEN CAST(tenant_id + 1 AS INTEGER) ELSE tenant_id END AS tenant_id,
+  CASE WHEN doc_id % 97 = 5 THEN NULL WHEN lang = 'de' THEN content || ' (updated)' ELSE content END AS content
+  FROM v_docs WHERE lang <> 'es'"""
+# Contents of a document's chunks, whatever their order.
+DIGEST = F.sum(F.conv(F.substring(F.md5(F.concat_ws("/", "tenant_id", "chunk_no", "chunk")), 1, 8), 16, 10).cast("long"))
+DIGEST_SQL = "CAST(sum(CAST('0x' || substr(md5(concat_ws('/', tenant_id, chunk_no, chunk)), 1, 8) AS BIGINT)) AS BIGINT)"
+
+
 def _k9(spark, sf):
     t = tables(spark, sf)
     old = V.docs(t)
-    new = old.filter(F.col("lang") != "es").withColumn(
-        "content", F.when(F.col("lang") == "de", F.concat("content", F.lit(" (updated)"))).otherwise(F.col("content")))
-    plan, chunks = K.reindex(new, old, K.chunk_documents(old))
-    n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    return plan.select("doc_id", "action").join(n, "doc_id", "left") \
-        .select("doc_id", "action", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
-
-
-register("k9_reindex", with_views("""
-SELECT doc_id, action, CASE WHEN action = 'removed' OR coalesce(length(content), 0) = 0 THEN 0
-  WHEN length(content) <= 800 THEN 1 ELSE CAST(ceil((length(content) - 120) / 680) AS INTEGER) END AS n_chunks
-FROM (
-  SELECT coalesce(n.doc_id, o.doc_id) AS doc_id,
-    CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'removed'
-         WHEN sha256(n.content) = sha256(o.content) THEN 'unchanged' ELSE 'changed' END AS action,
-    coalesce(n.content, o.content) AS content
-  FROM nd n FULL JOIN v_docs o ON n.doc_id = o.doc_id)
-""", "v_docs", extra={"nd": """SELECT doc_id, tenant_id, CASE WHEN lang = 'de' THEN content || ' (updated)' ELSE content END
-                                AS content FROM v_docs WHERE lang <> 'es'"""}))(_k9)
+    plan, chunks = K.reindex(_moved(old), old, K.chunk_documents(old))
+    n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), DIGEST.alias("digest"))
+    return plan.select("doc_id", "tenant_id", "action").join(n, "doc_id", "left") \
+        .select("doc_id", "tenant_id", "action", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "digest")
+
+
+register("k9_reindex", with_views(f"""
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN o.tenant_id ELSE n.tenant_id END AS tenant_id,
+  CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'removed'
+       WHEN n.tenant_id = o.tenant_id AND n.content IS NOT DISTINCT FROM o.content THEN 'unchanged' ELSE 'changed' END AS action,
+  coalesce(c.n, 0) AS n_chunks, c.digest
+FROM nd n FULL JOIN v_docs o ON n.doc_id = o.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n, {DIGEST_SQL} AS digest FROM nch GROUP BY doc_id) c ON c.doc_id = n.doc_id
+""", "v_docs", extra={"nd": MOVED_SQL, "nch": CHUNKS_SQL.replace("v_docs", "nd")}))(_k9)
 
 TERMS = {
     "tk": f"SELECT tenant_id, doc_id, unnest({tok('content')}) AS term FROM v_docs",
@@ -193,8 +205,18 @@ register("k11_build_terms", with_views("""
 SELECT tenant_id, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY ALL
 """, "v_docs", extra=TERMS))(_k11)
 
+def _k11p(spark, sf):
+    return K.build_postings(V.docs(tables(spark, sf)))
+
+
+register("k11_postings", with_views(f"""
+SELECT tenant_id, doc_id, NULL AS term, 0 AS tf, len({tok('coalesce(content, chr(32))')}) AS dl FROM v_docs
+UNION ALL
+SELECT tf.tenant_id, tf.doc_id, tf.term, tf.tf, len({tok('d.content')}) FROM tf JOIN v_docs d ON d.doc_id = tf.doc_id
+""", "v_docs", extra=TERMS))(_k11p)
+
 BM25 = dict(TERMS, **{
-    "dl": "SELECT tenant_id, doc_id, count(*) AS dl FROM tk GROUP BY ALL",
+    "dl": f"SELECT tenant_id, doc_id, len({tok("coalesce(content, '')")}) AS dl FROM v_docs",
     "st": "SELECT tenant_id, count(*) AS n_docs, avg(dl) AS avgdl FROM dl GROUP BY tenant_id",
     "dfr": "SELECT tenant_id, term, count(*) AS df FROM tf GROUP BY ALL",
     "qt": f"SELECT DISTINCT query_id, tenant_id, term FROM (SELECT query_id, tenant_id, unnest({tok('query_text')}) AS term FROM v_eval)",
@@ -254,12 +276,8 @@ register("k7_hash_embed", with_views("SELECT doc_id, embedding FROM v_docs_v", "
 
 
 def _vh(t):
-    q = V.eval_questions(t)
-    qv = K.hash_embed(q, ["query_id"], "query_text", 64).withColumnRenamed("embedding", "query_vec")
-    qv = qv.join(q.select("query_id", "tenant_id"), "query_id")
-    d = V.docs(t)
-    dv = K.hash_embed(d, ["doc_id"], "content", 64).join(d.select("doc_id", "tenant_id"), "doc_id")
-    return K.vector_search_docs(qv, dv, 8)
+    qv = K.hash_embed(V.eval_questions(t), ["query_id", "tenant_id"], "query_text", 64).withColumnRenamed("embedding", "query_vec")
+    return K.vector_search_docs(qv, K.hash_embed(V.docs(t), ["doc_id", "tenant_id"], "content", 64), 8)
 
 
 def _k13(spark, sf):

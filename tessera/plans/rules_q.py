@@ -126,7 +126,8 @@ WHERE p.reason IS NULL AND p.channel = 'whatsapp'
 def _p7(spark, sf):
     t = tables(spark, sf)
     sends = plan(t).filter(F.col("send"))
-    return RU.render_confirmations(sends, V.tenants(t), RU.confirmation_templates(spark))
+    return RU.render_confirmations(sends, V.tenants(t), RU.confirmation_templates(spark), department=F.lit("General"),
+                                   link=F.lit("https://example.com/brochure"))
 
 
 TPL_SQL = "SELECT * FROM (VALUES " + ", ".join(

@@ -40,15 +40,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def is_local(master: str) -> bool:
+    """One JVM (``local``, ``local[n]``); ``local-cluster[..]`` has several."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) a scratch folder is created.
+    as is; without it this raises, as executors would not see each other's
+    files. Only a local master gets a scratch folder.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not is_local(sc.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
@@ -60,6 +68,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint dir for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return os.path.join(base, name) if "://" not in base else f"{base}/{name}"
+    """A folder under the shared checkpoint dir for written intermediate
+    tables; all of an application lie in one folder, see ``release_scratch``."""
+    return f"{_scratch_root(spark)}/{name}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
+def release_scratch(spark: SparkSession) -> bool:
+    """Deletes every intermediate table that this application has written.
+    For the caller to run once it has written the results that read them;
+    goes through the store's own file system, so any shared store will do."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return bool(path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True))

@@ -1,5 +1,8 @@
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.expr import simple_tokens
+
 from tessera.operators import kb_search as S
 from tessera.operators import kb_text as K
 
@@ -71,21 +74,47 @@ def test_rrf(spark):
     assert got == [11, 10, 12]
 
 
-def test_salted_join_equals_broadcast(spark):
+def test_shuffled_search_equals_broadcast(spark):
     rows = [(i, i % 3, [float(i % 5), float(i % 7), 1.0]) for i in range(120)]
     ch = chunks(spark, rows)
     q = queries(spark, [(f"q{i}", i % 3, [1.0, float(i), 0.5]) for i in range(12)])
+    key, old = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     a = sorted(tuple(r) for r in S.search(q, ch, 4).collect())
-    b = sorted(tuple(r) for r in S.search(q, ch, 4, max_broadcast_rows=5).collect())   # forces the salted shuffle
+    spark.conf.set(key, "-1")
+    try:
+        out = S.search(q, ch, 4)
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()   # no hint is given
+        b = sorted(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.set(key, old)
     assert a == b and len(a) == 48
 
 
-def test_size_check_falls_back(spark):
-    from tessera.operators.common import sized
-    df = spark.range(50).withColumnRenamed("id", "x")
-    _, ok_small = sized(df, 100)
-    _, ok_big = sized(df, 10)
-    assert ok_small and not ok_big
+def test_keyword_search_gives_no_broadcast_hint(spark):
+    d = spark.createDataFrame([(i, i % 2, f"word{i} common text") for i in range(20)], "doc_id long, tenant_id int, content string")
+    q = spark.createDataFrame([(i, i % 2, "common word3") for i in range(4)], "query_id long, tenant_id int, query_text string")
+    want = sorted(tuple(r) for r in K.keyword_search(q, d, 3).collect())
+    key, old = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        out = K.keyword_search(q, d, 3)
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in out.collect()) == want and len(want) == 12
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_postings_by_hand(spark):
+    d = spark.createDataFrame([(1, 5, "a b, A c"), (2, 5, None), (3, 6, "b")], "doc_id long, tenant_id int, content string")
+    got = {(r.tenant_id, r.doc_id, r.term, r.tf, r.dl) for r in K.build_postings(d).collect()}
+    assert got == {(5, 1, None, 0, 4), (5, 1, "a", 2, 4), (5, 1, "b", 1, 4), (5, 1, "c", 1, 4), (5, 2, None, 0, 0), (6, 3, None, 0, 1), (6, 3, "b", 1, 1)}
+
+
+def test_context_leaves_out_hits_without_text(spark):
+    q = spark.createDataFrame([(1, 1)], "query_id long, tenant_id int")
+    h = spark.createDataFrame([(1, 1, 0.9, None, "t1"), (1, 2, 0.8, "x", "t2")], "query_id long, rank int, score double, content string, title string")
+    r = S.build_context(q, h).first()
+    assert (r.matches, r.context, r.sources) == (1, "[1] x", ["t2"])
 
 
 def test_model_errors_are_kept(spark):
@@ -103,6 +132,24 @@ def test_model_errors_are_kept(spark):
     assert got == {1: (2, None), 2: (None, "ValueError: cannot score"), 3: (4, None)}
 
 
+def hash_embed_shuffle(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 64) -> DataFrame:
+    """``hash_embed`` with built-in functions only (explode, aggregate per
+    (row, bucket), then per row): same result, two shuffles."""
+    tok = df.select(*id_cols, F.explode_outer(simple_tokens(text_col)).alias("tok"))
+    h = F.md5(F.col("tok"))
+    bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
+    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1)).otherwise(F.lit(-1))
+    per = (tok.filter(F.col("tok").isNotNull())
+              .groupBy(*id_cols, bucket.alias("bucket")).agg(F.sum(sign).alias("v")))
+    m = per.groupBy(*id_cols).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                        lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0)).cast("double"))
+    vec = df.select(*id_cols).join(m, id_cols, "left").select(*id_cols, dense.alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
+    return vec.select(*id_cols, F.when(norm > 0, F.transform("raw", lambda x: x / norm))
+                      .otherwise(F.col("raw")).alias("embedding"))
+
+
 def test_hash_embedding_forms_agree(spark):
     """The map-only Arrow embedding, the shuffle form and the stand-in model
     give the same vectors."""
@@ -112,7 +159,7 @@ def test_hash_embedding_forms_agree(spark):
     texts = ["Héllo wörld, héllo!", "", "one two three two", "42 is 42"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     a = {r.id: r.embedding for r in K.hash_embed(df, ["id"], "t", 16).collect()}
-    b = {r.id: r.embedding for r in K.hash_embed_shuffle(df, ["id"], "t", 16).collect()}
+    b = {r.id: r.embedding for r in hash_embed_shuffle(df, ["id"], "t", 16).collect()}
     c = M.hashing_embedder(16)(texts)
     assert a == b
     for i in range(len(texts)):
