@@ -167,8 +167,11 @@ def _moved(old):
 MOVED_SQL = """SELECT doc_id, CASE WHEN lang = 'fr' THEN CAST(tenant_id + 1 AS INTEGER) ELSE tenant_id END AS tenant_id,
   CASE WHEN doc_id % 97 = 5 THEN NULL WHEN lang = 'de' THEN content || ' (updated)' ELSE content END AS content
   FROM v_docs WHERE lang <> 'es'"""
-# Contents of a document's chunks, whatever their order.
-DIGEST = F.sum(F.conv(F.substring(F.md5(F.concat_ws("/", "tenant_id", "chunk_no", "chunk")), 1, 8), 16, 10).cast("long"))
+def digest():
+    """Contents of a document's chunks, whatever their order."""
+    return F.sum(F.conv(F.substring(F.md5(F.concat_ws("/", "tenant_id", "chunk_no", "chunk")), 1, 8), 16, 10).cast("long"))
+
+
 DIGEST_SQL = "CAST(sum(CAST('0x' || substr(md5(concat_ws('/', tenant_id, chunk_no, chunk)), 1, 8) AS BIGINT)) AS BIGINT)"
 
 
@@ -176,7 +179,7 @@ def _k9(spark, sf):
     t = tables(spark, sf)
     old = V.docs(t)
     plan, chunks = K.reindex(_moved(old), old, K.chunk_documents(old))
-    n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), DIGEST.alias("digest"))
+    n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), digest().alias("digest"))
     return plan.select("doc_id", "tenant_id", "action").join(n, "doc_id", "left") \
         .select("doc_id", "tenant_id", "action", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "digest")
 

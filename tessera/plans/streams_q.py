@@ -1,17 +1,16 @@
 """Registered queries: streams.
 
-Each query replays table data as a stream in event-time order: the source
-rows are written to a fresh folder under the shared checkpoint directory,
-one file per week (per document bucket for M8), read back with
-``readStream`` one file per micro-batch, run with ``availableNow`` into a
-file sink, and the sink table is returned. With events in time order and
-the watermark delays used here no row is late, so the stream's answer
-equals the batch answer (the oracle SQL).
+Each query replays table data as a stream: the source rows are written in
+one parallel job to a fresh folder under the shared checkpoint directory,
+read back with ``readStream``, run with ``availableNow`` into a file sink,
+and the sink table is returned. Rows that arrive later (duplicates, changed
+documents, the heartbeat that lets time pass) are written to the same folder
+afterwards and processed by a second run from the same checkpoint. No row is late, so the
+stream's answer equals the batch answer (the oracle SQL).
 """
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,58 +22,59 @@ from ..operators.common import latest
 from ..session import shared_path
 from ..sources import landing as L
 from ..streaming import streams as ST
-from .kb_text_q import CHUNKS_SQL
-from .records_q import ROUTED
+from .kb_text_q import CHUNKS_SQL, DIGEST_SQL, MOVED_SQL, _moved, digest
+from .records_q import BOOKING_SQL, ROUTED
 from .registry import V, register, tables, with_views
 from .reports_q import LATEST_CFG, STATE_SQL
 
 
-@contextlib.contextmanager
-def replay_partitions(spark: SparkSession):
-    """State partitions of a replay: a stream fixes its shuffle partitions
-    (and so its state-store partitions) when it first starts. For these
-    replays they follow the cluster's parallelism instead of a large session
-    default; the session setting is restored afterwards."""
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    want = max(1, spark.sparkContext.defaultParallelism)
-    if int(old) > want:
-        spark.conf.set(key, str(want))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
-
-
 def _scratch(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
 
 
-def replay_source(spark: SparkSession, df: DataFrame, bucket, name: str, fmt: str = "parquet") -> str:
-    """Writes ``df`` to a new folder, one file per ``bucket`` value in
-    ascending order (so file times follow event time)."""
-    path = _scratch(spark, f"src-{name}")
-    b = df.withColumn("_b", bucket)
-    for (v,) in b.select("_b").distinct().orderBy("_b").collect():   # a handful of weeks / buckets
-        part = b.filter(F.col("_b") == v).drop("_b").coalesce(1)
-        if fmt == "json":
-            part.write.mode("append").json(path)
-        else:
-            part.write.mode("append").parquet(path)
+# Event kinds and actions of the test events (fixed values: event_type -> kind / action).
+EVENT_KINDS = {"signup": "call.started", "view": "turn.transcript", "click": "tool.call",
+               "purchase": "call.ended", "error": "error"}
+EVENT_ACTIONS = {"error": "login_failed", "purchase": "export"}
+
+
+def _pick(column: str, m: dict[str, str]):
+    return F.element_at(F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))]), F.col(column))
+
+
+def with_kind(df: DataFrame) -> DataFrame:
+    """The call events of a tenant, as the test events stand for them."""
+    return df.withColumn("kind", _pick("event_type", EVENT_KINDS)).withColumn("tenant_id", (F.col("user_id") % 25).cast("int"))
+
+
+def land(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """Adds the rows as files of a stream's source folder, in one parallel write."""
+    df.write.mode("append").format(fmt).save(path)
     return path
 
 
-def event_source(spark, sf, name, fmt="parquet", extra: DataFrame | None = None) -> str:
-    e = tables(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp"))
-    if extra is not None:
-        e = e.unionByName(extra)
-    return replay_source(spark, e, F.date_trunc("week", "ts"), name, fmt)
+def table_events(spark, sf) -> DataFrame:
+    return tables(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def event_source(spark, sf, name) -> str:
+    return land(table_events(spark, sf), _scratch(spark, f"src-{name}"))
+
+
+def _stream(spark, path: str) -> DataFrame:
+    return ST.read_events(spark, path, "parquet")
+
+
+def heartbeat(df: DataFrame, kind: str) -> DataFrame:
+    """One event far ahead in event time (user -1): it lets time pass, as in a live feed."""
+    return df.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts"),
+                              F.lit(-1).cast("long").alias("user_id"), F.lit(kind).alias("event_type"),
+                              F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
 
 
 def _run(spark, stream: DataFrame, name: str, key: list[str], mode: str = "update") -> DataFrame:
     sink = _scratch(spark, f"sink-{name}")
-    with replay_partitions(spark):
-        ST.run_available_now(stream, ST.upsert_log(sink), _scratch(spark, f"ckpt-{name}"), mode)
+    ST.run_available_now(stream, ST.upsert_log(sink), _scratch(spark, f"ckpt-{name}"), mode)
     return ST.read_latest(spark, sink, key)
 
 
@@ -83,7 +83,8 @@ def _ntz(c):
 
 
 # M1 -----------------------------------------------------------------------
-def _m1(spark, sf):
+def _landed(spark, sf) -> tuple[str, str]:
+    """Events as JSON lines with malformed ones among them, split by a stream."""
     e = tables(spark, sf).events
     good = e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "user_id",
                     "event_type", "value", "props")
@@ -91,27 +92,35 @@ def _m1(spark, sf):
     bad = e.filter(F.col("event_type") == "error").select(
         (F.col("event_id") + 1_000_000_000).alias("event_id"), F.lit("not a time").alias("ts"), "user_id",
         "event_type", "value", "props")
-    src = replay_source(spark, good.unionByName(bad), F.lit(0), "m1", fmt="json")
-    s = ST.good_events(ST.read_events(spark, src, "json"))
-    sink = _scratch(spark, "sink-m1")
-    with replay_partitions(spark):
-        ST.run_available_now(s, ST.upsert_log(sink), _scratch(spark, "ckpt-m1"), "append")
-    out = spark.read.parquet(sink)
-    return out.select("event_id", _ntz("ts").alias("ts"), "user_id", "event_type", "value")
+    src = land(good.unionByName(bad), _scratch(spark, "src-m1"), "json")
+    sink, rejected = _scratch(spark, "sink-m1"), _scratch(spark, "reject-m1")
+    ST.run_available_now(ST.read_events(spark, src, "json"), ST.split_events(sink, rejected), _scratch(spark, "ckpt-m1"), "append")
+    return sink, rejected
+
+
+def _m1(spark, sf):
+    return spark.read.parquet(_landed(spark, sf)[0]).select("event_id", _ntz("ts").alias("ts"), "user_id", "event_type", "value")
+
+
+def _m1r(spark, sf):
+    line = F.col("_corrupt_record")
+    return spark.read.parquet(_landed(spark, sf)[1]).select(
+        F.get_json_object(line, "$.event_id").cast("long").alias("event_id"), F.get_json_object(line, "$.ts").alias("raw_ts"))
 
 
 register("m1_read_events", "SELECT event_id, ts, user_id, event_type, value FROM events")(_m1)
+register("m1_rejects", "SELECT event_id + 1000000000 AS event_id, 'not a time' AS raw_ts FROM events WHERE event_type = 'error'")(_m1r)
 
 
 # M2 -----------------------------------------------------------------------
 def _m2(spark, sf):
-    e = tables(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp"))
-    dup = e.filter(F.col("event_type") == "error")          # delivered twice
-    src = event_source(spark, sf, "m2", extra=dup)
-    s = ST.dedupe_events(ST.read_events(spark, src, "parquet"), "1 hour")
-    sink = _scratch(spark, "sink-m2")
-    with replay_partitions(spark):
-        ST.run_available_now(s, ST.upsert_log(sink), _scratch(spark, "ckpt-m2"), "append")
+    """Error events come twice: once more in the same batch, and again in a later one."""
+    e = table_events(spark, sf)
+    again = e.filter(F.col("event_type") == "error")
+    src, sink, ckpt = _scratch(spark, "src-m2"), _scratch(spark, "sink-m2"), _scratch(spark, "ckpt-m2")
+    for part in (e.unionByName(again), again):
+        land(part, src)
+        ST.run_available_now(ST.dedupe_events(_stream(spark, src), "1 hour"), ST.upsert_log(sink), ckpt, "append")
     return spark.read.parquet(sink).select("event_id", _ntz("ts").alias("ts"), "user_id", "event_type")
 
 
@@ -120,7 +129,7 @@ register("m2_dedupe_events", "SELECT event_id, ts, user_id, event_type FROM even
 
 # M3 -----------------------------------------------------------------------
 def _m3(spark, sf):
-    s = ST.read_events(spark, event_source(spark, sf, "m3"), "parquet")
+    s = with_kind(_stream(spark, event_source(spark, sf, "m3")))
     k = ST.live_kpis(s, "1 hour", "1 hour").select(
         _ntz("w.start").alias("window_start"), "tenant_id", "calls", "turns", "errors", "events")
     return _run(spark, k, "m3", ["window_start", "tenant_id"])
@@ -140,7 +149,7 @@ def _m4(spark, sf):
     cur = latest(V.configs(t).select("tenant_id", "updated_at", "config_id", "max_concurrent"), "tenant_id",
                  "updated_at", tie=["config_id"])
     quotas = cur.select("tenant_id", (F.col("max_concurrent") * 10).cast("long").alias("quota"))
-    s = ST.read_events(spark, event_source(spark, sf, "m4"), "parquet")
+    s = with_kind(_stream(spark, event_source(spark, sf, "m4")))
     r = ST.rate_limits(s, "1 hour", "30 minutes", "1 hour", quotas).select(
         _ntz("w.start").alias("window_start"), "tenant_id", "requests", "quota", "over_quota")
     return _run(spark, r, "m4", ["window_start", "tenant_id"])
@@ -160,21 +169,16 @@ LEFT JOIN lc q ON q.tenant_id = w.tenant_id
 
 # M5 -----------------------------------------------------------------------
 def _m5(spark, sf):
-    """Append mode (session windows are emitted once closed). A heartbeat
-    event far ahead in event time (user -1, last file) moves the watermark
-    past every real session, as the passing of time does in a live feed; its
-    own session is still open and never emitted."""
-    e = tables(spark, sf).events
-    beat = e.limit(1).select(F.lit(-1).cast("long").alias("event_id"),
-                             F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts"),
-                             F.lit(-1).cast("long").alias("user_id"), F.lit("heartbeat").alias("event_type"),
-                             F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
-    s = ST.read_events(spark, event_source(spark, sf, "m5", extra=beat), "parquet")
-    x = ST.sessions(s, "30 minutes", "1 hour").select(
-        "user_id", _ntz("s.start").alias("session_start"), _ntz("s.end").alias("session_end"), "events")
-    sink = _scratch(spark, "sink-m5")
-    with replay_partitions(spark):
-        ST.run_available_now(x, ST.upsert_log(sink), _scratch(spark, "ckpt-m5"), "append")
+    """Append mode (session windows are emitted once closed). The heartbeat
+    of a later batch moves the watermark past every real session; its own
+    session is still open and never emitted."""
+    e = table_events(spark, sf)
+    src, sink, ckpt = _scratch(spark, "src-m5"), _scratch(spark, "sink-m5"), _scratch(spark, "ckpt-m5")
+    for part in (e, heartbeat(e, "heartbeat")):
+        land(part, src)
+        x = ST.sessions(_stream(spark, src), "30 minutes", "1 hour").select(
+            "user_id", _ntz("s.start").alias("session_start"), _ntz("s.end").alias("session_end"), "events")
+        ST.run_available_now(x, ST.upsert_log(sink), ckpt, "append")
     return spark.read.parquet(sink).filter(F.col("user_id") >= 0).drop("batch")
 
 
@@ -214,19 +218,16 @@ def call_events(t) -> DataFrame:
 
 
 def _m6(spark, sf):
-    """Calls replayed day by day; a heartbeat far ahead in event time (call
-    -1, last file) lets every open call reach its time-out, as time passing
-    does in a live feed."""
+    """All call events, then in a later batch a heartbeat far ahead in event
+    time (call -1), which lets every open call reach its time-out."""
     ev = call_events(tables(spark, sf))
-    beat = ev.limit(1).select(F.lit(-1).cast("long").alias("event_id"),
-                              F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts"),
-                              F.lit(-1).cast("long").alias("user_id"), F.lit("view").alias("event_type"),
-                              F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
-    src = replay_source(spark, ev.unionByName(beat), F.date_trunc("day", "ts"), "m6")
-    s = ST.read_events(spark, src, "parquet").withColumn("call_id", F.col("user_id"))
-    x = ST.call_states(s, "30 minutes", "10 minutes").select("call_id", "state", "turns",
-                                                            _ntz("last_ts").alias("last_ts"))
-    return _run(spark, x, "m6", ["call_id"]).filter(F.col("call_id") >= 0)
+    src, sink, ckpt = _scratch(spark, "src-m6"), _scratch(spark, "sink-m6"), _scratch(spark, "ckpt-m6")
+    for part in (ev, heartbeat(ev, "view")):
+        land(part, src)
+        s = with_kind(_stream(spark, src)).withColumn("call_id", F.col("user_id"))
+        x = ST.call_states(s, "30 minutes", "10 minutes").select("call_id", "state", "turns", _ntz("last_ts").alias("last_ts"))
+        ST.run_available_now(x, ST.upsert_log(sink), ckpt)
+    return ST.read_latest(spark, sink, ["call_id"]).filter(F.col("call_id") >= 0)
 
 
 register("m6_call_states", with_views("""
@@ -243,8 +244,7 @@ def _m7(spark, sf):
     n = V.notifications(tables(spark, sf)).select(
         "tenant_id", "call_id", "channel", F.col("notification_id").alias("event_id"),
         F.col("created_at").cast("timestamp").alias("ts"), "status")
-    src = replay_source(spark, n, F.date_trunc("week", "ts"), "m7")
-    s = spark.readStream.schema(n.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    s = spark.readStream.schema(n.schema).parquet(land(n, _scratch(spark, "src-m7")))
     x = ST.fold_status(s, ["tenant_id", "call_id", "channel"], "1 hour")
     return _run(spark, x, "m7", ["tenant_id", "call_id", "channel"])
 
@@ -255,54 +255,62 @@ register("m7_fold_status", with_views("SELECT tenant_id, call_id, channel, statu
 
 # M8 -----------------------------------------------------------------------
 def _m8(spark, sf):
-    d = V.docs(tables(spark, sf)).select("doc_id", "tenant_id", "content")
-    src = replay_source(spark, d, F.col("doc_id") % 4, "m8")
-    s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    sink = _scratch(spark, "sink-m8")
+    """All documents, then in a later batch the changed ones (German edited,
+    French moved to the next tenant, some texts lost)."""
+    old = V.docs(tables(spark, sf))
+    cols = ["doc_id", "tenant_id", "content"]
+    changed = _moved(old).filter((F.col("lang").isin("de", "fr")) | F.col("content").isNull())
+    src, sink, ckpt = _scratch(spark, "src-m8"), _scratch(spark, "sink-m8"), _scratch(spark, "ckpt-m8")
 
     def chunk(df):
         return K.chunk_documents(df).withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_no"))
 
     def emb(ch):
-        v = K.hash_embed(ch, ["chunk_id"], "chunk", 64)
-        return ch.select("chunk_id", "doc_id", "tenant_id", "chunk_no").join(v, "chunk_id")
+        return K.hash_embed(ch, ["chunk_id", "doc_id", "tenant_id", "chunk_no", "chunk"], "chunk", 64)
 
-    with replay_partitions(spark):
-        q = (s.writeStream.foreachBatch(ST.ingest_stream(s, sink, chunk, emb))
-             .option("checkpointLocation", _scratch(spark, "ckpt-m8")).trigger(availableNow=True).start())
-        q.awaitTermination()
-    out = spark.read.parquet(sink)
-    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.size("embedding")).alias("dims"))
+    for part in (old.select(*cols), changed.select(*cols)):
+        land(part, src)
+        s = spark.readStream.schema(part.schema).parquet(src)
+        ST.run_available_now(s, ST.ingest_stream(sink, chunk, emb), ckpt, "append")
+    return ST.current_chunks(spark, sink).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.max(F.size("embedding")).alias("dims"), digest().alias("digest"))
 
 
-register("m8_ingest_stream", with_views("""
-SELECT doc_id, count(*) AS n_chunks, 64 AS dims FROM ch GROUP BY doc_id
-""", "v_docs", extra={"ch": CHUNKS_SQL}))(_m8)
+register("m8_ingest_stream", with_views(f"""
+SELECT doc_id, count(*) AS n_chunks, 64 AS dims, {DIGEST_SQL} AS digest FROM nch GROUP BY doc_id
+""", "v_docs", extra={"mv": MOVED_SQL, "now": "SELECT doc_id, tenant_id, content FROM mv UNION ALL "
+                      "SELECT doc_id, tenant_id, content FROM v_docs WHERE lang = 'es'",
+                      "nch": CHUNKS_SQL.replace("v_docs", "now")}))(_m8)
 
 
 # M9 -----------------------------------------------------------------------
-def _m9(spark, sf):
-    land = L.tool_requests(tables(spark, sf))
-    src = replay_source(spark, land, F.col("request_id").cast("long") % 4, "m9")
-    s = spark.readStream.schema(land.schema).option("maxFilesPerTrigger", 1).parquet(src)
+M9_TARGETS = {"book_appointment": R.to_booking, "make_reservation": R.to_reservation, "capture_lead": R.to_lead}
+
+
+def _m9_run(spark, sf) -> str:
+    requests = L.tool_requests(tables(spark, sf))
+    s = spark.readStream.schema(requests.schema).parquet(land(requests, _scratch(spark, "src-m9")))
     sink = _scratch(spark, "sink-m9")
+    ST.run_available_now(s, ST.route_stream(sink, lambda df: R.route_actions(R.normalize_tool_call(df)), M9_TARGETS),
+                         _scratch(spark, "ckpt-m9"), "append")
+    return sink
+
+
+def _m9(spark, sf):
+    return spark.read.parquet(f"{_m9_run(spark, sf)}/requests").select("request_id", "tenantId", "action", "route")
 
-    def router(df):
-        return R.route_actions(R.normalize_tool_call(df)).select("request_id", "tenantId", "action", "route")
 
-    with replay_partitions(spark):
-        q = (s.writeStream.foreachBatch(ST.route_stream(sink, router))
-             .option("checkpointLocation", _scratch(spark, "ckpt-m9")).trigger(availableNow=True).start())
-        q.awaitTermination()
-    return spark.read.parquet(sink).select("request_id", "tenantId", "action", "route")
+def _m9b(spark, sf):
+    return spark.read.parquet(f"{_m9_run(spark, sf)}/book_appointment").drop("batch")
 
 
 register("m9_route_stream", with_views('SELECT request_id, "tenantId", action, route FROM rt', extra=ROUTED))(_m9)
+register("m9_route_bookings", with_views("SELECT * FROM bk", extra=dict(ROUTED, bk=BOOKING_SQL)))(_m9b)
 
 
 # M10 ----------------------------------------------------------------------
 def _m10(spark, sf):
-    s = ST.read_events(spark, event_source(spark, sf, "m10"), "parquet")
+    s = _stream(spark, event_source(spark, sf, "m10")).withColumn("action", _pick("event_type", EVENT_ACTIONS))
     x = ST.access_spikes(s, "1 hour", 1, "1 hour").select(
         "user_id", "action", _ntz("w.start").alias("window_start"), "attempts")
     return _run(spark, x, "m10", ["user_id", "action", "window_start"])

@@ -27,11 +27,15 @@ EVENT_SCHEMA = T.StructType([
 
 # M1 -----------------------------------------------------------------------
 def read_events(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType = EVENT_SCHEMA,
-                max_files: int = 1) -> DataFrame:
+                max_files: int | None = None) -> DataFrame:
     """M1: typed event stream from landed files. JSON lines that do not fit
-    the schema keep their text in ``_corrupt_record`` (route them with
-    ``rejects``); event time is a ``timestamp`` (needed by watermarks)."""
-    r = spark.readStream.option("maxFilesPerTrigger", max_files)
+    the schema keep their text in ``_corrupt_record`` (``split_events`` writes
+    them to a reject table); event time is a ``timestamp`` (needed by
+    watermarks). ``max_files`` bounds a micro-batch where the caller wants
+    that; by default a batch takes all files that are there."""
+    r = spark.readStream
+    if max_files is not None:
+        r = r.option("maxFilesPerTrigger", max_files)
     if fmt == "json":
         s = schema if "_corrupt_record" in schema.names else \
             T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
@@ -56,22 +60,11 @@ def dedupe_events(stream: DataFrame, delay: str, key: str = "event_id", ts: str
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-# Event kinds of the call-event stream (fixed values: event_type -> kind).
-EVENT_KINDS = {"signup": "call.started", "view": "turn.transcript", "click": "tool.call",
-               "purchase": "call.ended", "error": "error"}
-
-
-def with_kind(stream: DataFrame) -> DataFrame:
-    m = F.create_map(*[x for k, v in EVENT_KINDS.items() for x in (F.lit(k), F.lit(v))])
-    return stream.withColumn("kind", m[F.col("event_type")]) \
-                 .withColumn("tenant_id", (F.col("user_id") % 25).cast("int"))
-
-
 # M3 -----------------------------------------------------------------------
 def live_kpis(stream: DataFrame, size: str, delay: str) -> DataFrame:
     """M3: calls started, turns, errors and events per tenant per tumbling
-    window of ``size``."""
-    s = with_kind(stream).withWatermark("ts", delay)
+    window of ``size``. The stream has tenant_id, ts and kind."""
+    s = stream.withWatermark("ts", delay)
     return s.groupBy(F.window("ts", size).alias("w"), "tenant_id").agg(
         F.count_if(F.col("kind") == "call.started").alias("calls"),
         F.count_if(F.col("kind") == "turn.transcript").alias("turns"),
@@ -82,10 +75,11 @@ def live_kpis(stream: DataFrame, size: str, delay: str) -> DataFrame:
 # M4 -----------------------------------------------------------------------
 def rate_limits(stream: DataFrame, size: str, step: str, delay: str, quotas: DataFrame) -> DataFrame:
     """M4: requests per tenant per sliding window against the tenant's quota
-    (a static table, broadcast: it has one row per tenant)."""
-    s = with_kind(stream).withWatermark("ts", delay)
+    (a static table with one row per tenant; Spark picks the join). The
+    stream has tenant_id and ts."""
+    s = stream.withWatermark("ts", delay)
     g = s.groupBy(F.window("ts", size, step).alias("w"), "tenant_id").agg(F.count(F.lit(1)).alias("requests"))
-    return g.join(F.broadcast(quotas.select("tenant_id", "quota")), "tenant_id", "left") \
+    return g.join(quotas.select("tenant_id", "quota"), "tenant_id", "left") \
         .withColumn("over_quota", F.coalesce(F.col("requests") > F.col("quota"), F.lit(False)))
 
 
@@ -99,51 +93,50 @@ def sessions(stream: DataFrame, gap: str, delay: str, key: str = "user_id") -> D
 
 
 # M6 -----------------------------------------------------------------------
-CALL_STATE_SCHEMA = "call_id long, state string, turns long, last_ts timestamp"
-STATE_SCHEMA = "state string, turns long, last_ts timestamp"
+_CALL_OUT = "call_id long, state string, turns long, last_us long"
+_CALL_STATE = "state string, turns long, last_us long"
 
 
 def call_states(stream: DataFrame, timeout: str, delay: str) -> DataFrame:
     """M6: state per call (ringing, active, escalated, ended) from its events;
     a call without events for ``timeout`` of event time ends as timed_out.
-    ``applyInPandasWithState`` with an event-time time-out; the state per
-    call is three values."""
-    td = pd.Timedelta(timeout)
+    The stream has call_id, event_id, ts and kind.
+
+    ``applyInPandasWithState`` with an event-time time-out; the state per call
+    is three values. An ended call keeps its state until the time-out, so
+    events that come after the end change nothing. Times travel as
+    microseconds since the epoch, so no time zone shifts them."""
+    wait_us = int(pd.Timedelta(timeout).total_seconds() * 1_000_000)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             st, turns, last = state.get
             state.remove()
-            yield pd.DataFrame({"call_id": [key[0]], "state": ["timed_out" if st != "ended" else st],
-                                "turns": [turns], "last_ts": [last]})
+            if st != "ended":
+                yield pd.DataFrame({"call_id": [key[0]], "state": ["timed_out"], "turns": [turns], "last_us": [last]})
             return
         st, turns, last = state.get if state.exists else ("ringing", 0, None)
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            for kind, ts in zip(pdf["kind"], pdf["ts"]):
-                if st == "ended":
-                    continue
-                if kind == "call.started":
-                    st = "ringing" if st == "ringing" else st
-                elif kind in ("turn.transcript", "tool.call"):
-                    st = "active" if st in ("ringing", "active") else st
-                    turns += int(kind == "turn.transcript")
-                elif kind == "error":
-                    st = "escalated"
-                elif kind == "call.ended":
-                    st = "ended"
-                last = ts if last is None or ts > last else last
         if st == "ended":
-            state.remove()
-        else:
-            state.update((st, turns, last))
-            ms = int(pd.Timestamp(last).timestamp() * 1000) if last is not None else 0
-            state.setTimeoutTimestamp(ms + int(td.total_seconds() * 1000))
-        yield pd.DataFrame({"call_id": [key[0]], "state": [st], "turns": [turns], "last_ts": [last]})
-
-    s = with_kind(stream).withWatermark("ts", delay).select("call_id", "event_id", "ts", "kind")
-    return s.groupBy("call_id").applyInPandasWithState(step, CALL_STATE_SCHEMA, STATE_SCHEMA, "update",
-                                                       GroupStateTimeout.EventTimeTimeout)
+            return
+        events = pd.concat(list(pdfs)).sort_values(["us", "event_id"])
+        ends = (events["kind"] == "call.ended").to_numpy().nonzero()[0]
+        if len(ends):
+            events = events.iloc[:ends[0] + 1]
+        turns += int((events["kind"] == "turn.transcript").sum())
+        last = max(int(events["us"].max()), last if last is not None else int(events["us"].max()))
+        if len(ends):
+            st = "ended"
+        elif st == "escalated" or (events["kind"] == "error").any():
+            st = "escalated"
+        elif events["kind"].isin(["turn.transcript", "tool.call"]).any():
+            st = "active"
+        state.update((st, turns, last))
+        state.setTimeoutTimestamp(max((last + wait_us) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"call_id": [key[0]], "state": [st], "turns": [turns], "last_us": [last]})
+
+    s = stream.withWatermark("ts", delay).select("call_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "kind")
+    out = s.groupBy("call_id").applyInPandasWithState(step, _CALL_OUT, _CALL_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return out.select("call_id", "state", "turns", F.timestamp_micros("last_us").alias("last_ts"))
 
 
 # M7 -----------------------------------------------------------------------
@@ -161,9 +154,9 @@ def fold_status(stream: DataFrame, key: list[str], delay: str) -> DataFrame:
 
 # M10 ----------------------------------------------------------------------
 def access_spikes(stream: DataFrame, size: str, limit: int, delay: str, actions=("login_failed", "export")) -> DataFrame:
-    """Failed logins or exports per user per window over ``limit``."""
-    act = F.when(F.col("event_type") == "error", "login_failed").when(F.col("event_type") == "purchase", "export")
-    s = stream.withColumn("action", act).filter(F.col("action").isin(*actions)).withWatermark("ts", delay)
+    """Failed logins or exports per user per window over ``limit``. The
+    stream has user_id, ts and action."""
+    s = stream.filter(F.col("action").isin(*actions)).withWatermark("ts", delay)
     g = s.groupBy("user_id", "action", F.window("ts", size).alias("w")).agg(F.count(F.lit(1)).alias("attempts"))
     return g.filter(F.col("attempts") > limit)
 
@@ -178,6 +171,18 @@ def upsert_log(path: str, transform: Callable[[DataFrame], DataFrame] | None = N
     return write
 
 
+def split_events(path: str, reject_path: str):
+    """M1, foreachBatch writer: typed events to ``path/batch=<id>``, lines
+    that do not fit the schema to ``reject_path/batch=<id>``. A batch without
+    rejects writes an empty folder, so a replay replaces an earlier try."""
+    good, bad = upsert_log(path, good_events), upsert_log(reject_path, rejects)
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        good(df, batch_id)
+        bad(df, batch_id)
+    return write
+
+
 def read_latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     """Newest row per key over the change log written by ``upsert_log``."""
     df = spark.read.parquet(path)
@@ -202,29 +207,41 @@ def run_available_now(stream_df: DataFrame, sink: Callable, checkpoint: str, mod
 
 
 # M8 -----------------------------------------------------------------------
-def ingest_stream(stream: DataFrame, path: str, chunker: Callable[[DataFrame], DataFrame],
-                  embedder: Callable[[DataFrame], DataFrame]):
-    """M8: per micro-batch, new documents are chunked and embedded and written
-    under ``path/batch=<id>`` (overwrite), so a replay is idempotent. Returns
-    the foreachBatch writer for ``stream``."""
+def ingest_stream(path: str, chunker: Callable[[DataFrame], DataFrame], embedder: Callable[[DataFrame], DataFrame],
+                  id_col: str = "doc_id"):
+    """M8, foreachBatch writer: the documents of a micro-batch are chunked and
+    embedded and written under ``path/batch=<id>`` (overwrite, so a replay is
+    idempotent). A document without a chunk leaves one row without a
+    ``chunk_id``, so ``current_chunks`` knows that its earlier chunks are
+    gone."""
     def write(df: DataFrame, batch_id: int) -> None:
-        ch = chunker(df)
-        vec = embedder(ch)
-        vec.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        vec = embedder(chunker(df))
+        df.select(id_col).distinct().join(vec, id_col, "left") \
+            .write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
     return write
 
 
+def current_chunks(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """M8: the chunks of the newest version of each document; those of
+    versions that a later batch replaced are left out."""
+    df = spark.read.parquet(path)
+    newest = df.groupBy(id_col).agg(F.max("batch").alias("batch"))
+    return df.join(newest, [id_col, "batch"], "left_semi").filter(F.col("chunk_id").isNotNull()).drop("batch")
+
+
 # M9 -----------------------------------------------------------------------
-def route_stream(path: str, router: Callable[[DataFrame], DataFrame]):
-    """M9: per micro-batch, requests are normalised and routed, and written to
-    one folder per route (``path/route=<r>/batch=<id>``); the batch is cached
-    once for the per-route writes."""
+def route_stream(path: str, router: Callable[[DataFrame], DataFrame], targets: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+    """M9, foreachBatch writer: requests are normalised and routed, and
+    written in one job to ``path/requests/batch=<id>/route=<r>``; the target
+    rows of each route (P5, ``targets``: route -> row builder) go to
+    ``path/<route>/batch=<id>``, read from the written requests."""
+    root = path.rstrip("/")
+
     def write(df: DataFrame, batch_id: int) -> None:
-        r = router(df).persist()
-        try:
-            for (route,) in r.select("route").distinct().collect():   # at most six routes
-                r.filter(F.col("route") == route).write.mode("overwrite") \
-                    .parquet(f"{path.rstrip('/')}/route={route}/batch={batch_id}")
-        finally:
-            r.unpersist()
+        requests = f"{root}/requests/batch={batch_id}"
+        routed = router(df)
+        routed.write.mode("overwrite").partitionBy("route").parquet(requests)
+        stored = df.sparkSession.read.schema(routed.schema).parquet(requests)
+        for route, build in (targets or {}).items():
+            build(stored.filter(F.col("route") == route)).write.mode("overwrite").parquet(f"{root}/{route}/batch={batch_id}")
     return write
