@@ -118,7 +118,7 @@ def next_slots(avail: DataFrame, as_of: dt.datetime, k: int = 5) -> DataFrame:
 
 # T2 -----------------------------------------------------------------------
 CALL_LIST_COLS = ["call_id", "tenant_id", "from_number", "status", "duration_sec", "intent",
-                  "outcome", "escalated", "started_at", "ended_at"]
+                  "outcome", "escalated", "started_at", "ended_at", "recording_url", "summary"]
 
 
 def recent_calls(calls: DataFrame, k: int = 100) -> DataFrame:

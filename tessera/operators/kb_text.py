@@ -168,26 +168,32 @@ def tag_chunks(chunks: DataFrame, docs: DataFrame, tenants: DataFrame) -> DataFr
 
 
 # K5 -----------------------------------------------------------------------
-# The entities decoded, in this order (&amp; last).
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+def unescape(col: Column) -> Column:
+    """Character references (named, decimal and hexadecimal, with or without
+    the closing semicolon as HTML reads them) as characters. A pandas UDF over
+    Arrow batches: the list of names is the standard library's."""
+    import html
+
+    @F.pandas_udf("string")
+    def decoded(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
+
+    return decoded(col)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """K5: page title and readable text from raw HTML: script, style and
-    comments removed, tags replaced by spaces, entities decoded, white space
-    collapsed. All native regex functions, run per row on the executors."""
+    comments removed, tags replaced by spaces (native regex functions),
+    character references decoded, white space and no-break spaces
+    collapsed."""
     h = F.col(html_col)
     title = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)
     body = F.regexp_replace(h, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     body = F.regexp_replace(body, r"(?s)<!--.*?-->", " ")
     body = F.regexp_replace(body, r"(?is)<title[^>]*>.*?</title>", " ")
     body = F.regexp_replace(body, r"<[^>]*>", " ")
-    for a, b in ENTITIES:
-        body = F.replace(body, F.lit(a), F.lit(b))
-        title = F.replace(title, F.lit(a), F.lit(b))
-    body = F.trim(F.regexp_replace(body, r"[ \t\r\n]+", " "))
-    title = F.trim(F.regexp_replace(title, r"[ \t\r\n]+", " "))
-    return pages.select("*", title.alias("title"), body.alias("text")).drop(html_col)
+    tidy = lambda c: F.trim(F.regexp_replace(unescape(c), r"[ \t\r\n\x{a0}]+", " "))
+    return pages.select("*", tidy(title).alias("title"), tidy(body).alias("text")).drop(html_col)
 
 
 # K9 -----------------------------------------------------------------------
@@ -422,30 +428,64 @@ def evaluate(hits: DataFrame, expected: DataFrame, questions: DataFrame, k: int,
         (ne > 0).alias("answerable"))
 
 
+def summarise_evaluation(evals: DataFrame, questions: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Per sector and over all (``sector`` NULL): questions, the share
+    with an answer in the corpus, mean recall@k and mean reciprocal rank of
+    those, and the share of them whose answer is contained in the top k."""
+    sector = tenants.select("tenant_id", "sector")
+    j = evals.join(questions.select("query_id", "tenant_id"), "query_id").join(lookup(sector), "tenant_id", "left")
+    known = F.col("answerable")
+    return j.rollup("sector").agg(
+        F.grouping("sector").cast("int").alias("overall"), F.count(F.lit(1)).alias("questions"),
+        F.round(F.avg(known.cast("double")), 4).alias("answerable_share"),
+        F.round(F.avg(F.when(known, F.col("recall_at_k"))), 4).alias("recall_at_k"),
+        F.round(F.avg(F.when(known, F.col("reciprocal_rank"))), 4).alias("mrr"),
+        F.round(F.avg(F.when(known, (F.col("n_found") > 0).cast("double"))), 4).alias("contained_share"))
+
+
 # S2 -----------------------------------------------------------------------
-def read_kb_files(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
-    """A folder of knowledge files to (tenant_id, title, source, text).
-    The tenant comes from a ``tenants/{id}/`` storage key in the path. Text,
-    Markdown and HTML files are read whole; CSV rows and JSON records become
-    one text each (``col: value`` pairs)."""
+def _kb_raw(spark: SparkSession, path: str, fmt: str, schema: str | None) -> DataFrame:
+    """(source, text, _bad) of every file below ``path``, in folders of any depth."""
+    r = spark.read.option("recursiveFileLookup", "true")
+    bad = F.lit(None).cast("string").alias("_bad")
     if fmt in ("text", "md", "markdown", "html"):
-        df = spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
-    elif fmt == "csv":
-        raw = spark.read.option("header", True).csv(path)
-        df = raw.select(rows_text(raw.columns).alias("text"))
-    elif fmt == "json":
-        raw = spark.read.json(path)
-        df = raw.select(rows_text([c for c in raw.columns if c != "_corrupt_record"]).alias("text"))
-    else:
-        raise ValueError(f"unknown format {fmt!r}")
-    src = F.input_file_name()
-    df = df.withColumn("source", src)
-    tenant = F.coalesce(F.nullif(F.regexp_extract("source", r"tenants/([^/=]+)/", 1), F.lit("")),
-                        F.nullif(F.regexp_extract("source", r"tenant_id=([^/]+)/", 1), F.lit("")))
-    return df.select(
-        tenant.alias("tenant_id"),
-        F.regexp_extract("source", r"([^/]+?)(\.[^./]*)?$", 1).alias("title"),
-        "source", "text")
+        return r.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("text"), bad)
+    if fmt == "csv":
+        raw = r.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+        return raw.select(F.input_file_name().alias("source"), rows_text(raw.columns).alias("text"), bad)
+    if fmt == "json":
+        if schema is None:
+            fields = [f for f in r.json(path).schema.fields if f.name != "_corrupt_record"]
+        else:
+            fields = list(T._parse_datatype_string(schema).fields)
+        full = T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())])
+        rec = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+        raw = r.text(path).select(F.input_file_name().alias("_source"), rec.alias("_rec")).select("_source", "_rec.*")
+        return raw.select(F.col("_source").alias("source"), rows_text([f.name for f in fields]).alias("text"),
+                          F.col("_corrupt_record").alias("_bad"))
+    raise ValueError(f"unknown format {fmt!r}")
+
+
+def _kb_tenant() -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract("source", r"tenants/([^/=]+)/", 1), F.lit("")),
+                      F.nullif(F.regexp_extract("source", r"tenant_id=([^/]+)/", 1), F.lit("")))
+
+
+def read_kb_files(spark: SparkSession, path: str, fmt: str = "text", schema: str | None = None) -> DataFrame:
+    """A folder of knowledge files, with folders inside it, to (tenant_id,
+    title, source, text). The tenant comes from a ``tenants/{id}/`` storage
+    key in the path. Text, Markdown and HTML files are read whole; CSV rows
+    and JSON records become one text each (``col: value`` pairs). JSON lines
+    that do not parse (or do not fit ``schema``) are left to
+    ``kb_rejects``."""
+    return _kb_raw(spark, path, fmt, schema).filter("_bad is null").select(
+        _kb_tenant().alias("tenant_id"), F.regexp_extract("source", r"([^/]+?)(\.[^./]*)?$", 1).alias("title"), "source", "text")
+
+
+def kb_rejects(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The JSON lines that ``read_kb_files`` leaves out: (tenant_id, source, line)."""
+    return _kb_raw(spark, path, "json", schema).filter("_bad is not null").select(
+        _kb_tenant().alias("tenant_id"), "source", F.col("_bad").alias("line"))
 
 
 # S3 -----------------------------------------------------------------------

@@ -8,6 +8,8 @@ tenant); where a window's group could be huge the docstring says so.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -264,6 +266,14 @@ def access_report(audit: DataFrame, window: str = "1 day", z: float = 2.0) -> Da
                     F.coalesce(F.col("accesses") > F.col("mean") + F.lit(z) * F.col("sd"), F.lit(False)).alias("spike"))
 
 
+def record_access(audit: DataFrame, actions: Sequence[str]) -> DataFrame:
+    """Who opened which record: per user, action and record the number
+    of accesses, the first and the last time. A grouped count with a
+    map-side step."""
+    return audit.filter(F.col("action").isin(list(actions))).groupBy("user_id", "action", "record_id").agg(
+        F.count(F.lit(1)).alias("accesses"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+
+
 # W3 -----------------------------------------------------------------------
 def recent_history(turns: DataFrame, n: int = 4) -> DataFrame:
     """For each turn the previous ``n`` turns of its call, oldest first.
@@ -295,7 +305,8 @@ def double_bookings(bookings: DataFrame) -> DataFrame:
 
 
 def bookings_outside_slots(bookings: DataFrame, avail: DataFrame) -> DataFrame:
-    """Bookings whose (tenant, resource, time) is not an existing slot."""
+    """Bookings whose (tenant, resource, time) is not a free slot of
+    ``avail`` (a caller passes F3's slots, or all slots that exist)."""
     s = avail.select("tenant_id", "resource_id", F.col("slot").alias("scheduled_for")).distinct()
     return bookings.join(s, ["tenant_id", "resource_id", "scheduled_for"], "left_anti")
 

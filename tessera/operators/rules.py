@@ -213,14 +213,20 @@ def render_confirmations(sends: DataFrame, tenants: DataFrame, templates: DataFr
 
 
 # P8 -----------------------------------------------------------------------
-def assemble_prompts(questions: DataFrame, context: DataFrame, history: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Grounded prompt per caller turn: the tenant's system prompt, the
-    numbered context, the recent history and the utterance, one block each."""
+def assemble_prompts(questions: DataFrame, context: DataFrame, history: DataFrame, prompts: DataFrame,
+                     tenants: DataFrame, templates: DataFrame) -> DataFrame:
+    """Grounded prompt per caller turn: the tenant's system prompt, its
+    sector's safety rules and tone, the numbered context, the recent history
+    and the utterance, one block each."""
+    sector = tenants.select("tenant_id", "sector").join(templates.select("sector", "safety", "tone"), "sector", "left")
     j = questions.join(context.select("query_id", "context"), "query_id", "left") \
         .join(history.select("query_id", "history"), "query_id", "left") \
-        .join(lookup(prompts.select("tenant_id", "system_prompt")), "tenant_id", "left")
+        .join(lookup(prompts.select("tenant_id", "system_prompt")), "tenant_id", "left") \
+        .join(lookup(sector.select("tenant_id", "safety", "tone")), "tenant_id", "left")
     text = F.concat_ws("\n\n",
                        F.concat(F.lit("SYSTEM: "), F.coalesce("system_prompt", F.lit(""))),
+                       F.concat(F.lit("RULES: "), F.coalesce("safety", F.lit("")), F.lit(" Tone: "),
+                                F.coalesce("tone", F.lit("")), F.lit(".")),
                        F.concat(F.lit("CONTEXT:\n"), F.coalesce("context", F.lit(""))),
                        F.concat(F.lit("HISTORY:\n"), F.coalesce("history", F.lit(""))),
                        F.concat(F.lit("CALLER: "), F.col("query_text")))
@@ -228,31 +234,37 @@ def assemble_prompts(questions: DataFrame, context: DataFrame, history: DataFram
 
 
 # P9 -----------------------------------------------------------------------
-# What a new tenant's config starts with, by sector.
+# What a new tenant's config starts with, by sector: system prompt,
+# languages, safety rules, tone.
 SECTOR_TEMPLATES = {
-    "hospital": ("You answer for a hospital: visiting hours, departments and appointments.", "en,hi"),
-    "school": ("You answer for a school: admissions, fees and campus visits.", "en"),
-    "restaurant": ("You answer for a restaurant: menu, hours and table reservations.", "en"),
-    "generic": ("You answer questions about the business and take messages.", "en"),
+    "hospital": ("You answer for a hospital: visiting hours, departments and appointments.", "en,hi",
+                 "Never give a diagnosis or a dose; pass emergencies on at once.", "calm"),
+    "school": ("You answer for a school: admissions, fees and campus visits.", "en",
+               "Give no data about pupils; promise no place.", "friendly"),
+    "restaurant": ("You answer for a restaurant: menu, hours and table reservations.", "en",
+                   "Name allergens only from the menu; take no card numbers.", "cheerful"),
+    "generic": ("You answer questions about the business and take messages.", "en",
+                "Say so when you do not know; pass complaints on.", "polite"),
 }
 
 
 def sector_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, p, l) for s, (p, l) in SECTOR_TEMPLATES.items()],
-                                 "sector string, system_prompt string, languages string")
+    return spark.createDataFrame([(s, *row) for s, row in SECTOR_TEMPLATES.items()],
+                                 "sector string, system_prompt string, languages string, safety string, tone string")
 
 
-def seed_configs(tenants: DataFrame, templates: DataFrame, configs: DataFrame) -> DataFrame:
+def seed_configs(tenants: DataFrame, templates: DataFrame, tools: DataFrame, configs: DataFrame) -> DataFrame:
     """Config rows for tenants that have none, from their sector's template
-    (generic when the sector has none); ids are content keys."""
+    and tools (generic when the sector has no template); ids are content
+    keys."""
     new = tenants.select("tenant_id", "sector").join(configs.select("tenant_id"), "tenant_id", "left_anti")
-    j = new.join(lookup(templates), "sector", "left")
-    # the fallback is one row of the (small) template table
-    gp = templates.filter(F.col("sector") == "generic").select("system_prompt", "languages").first()
-    return j.select(content_key("tenant_id").alias("config_id"), "tenant_id",
-                    F.coalesce("sector", F.lit("generic")).alias("template"),
-                    F.coalesce("system_prompt", F.lit(gp["system_prompt"] if gp else "")).alias("system_prompt"),
-                    F.coalesce("languages", F.lit(gp["languages"] if gp else "en")).alias("languages"))
+    known = templates.select(F.col("sector").alias("_known")).distinct()
+    new = new.join(known, F.col("sector") == F.col("_known"), "left") \
+             .withColumn("_use", F.coalesce("_known", F.lit("generic")))
+    full = templates.join(tools, "sector", "left").withColumnRenamed("sector", "_use")
+    return new.join(full, "_use", "left").select(
+        content_key("tenant_id").alias("config_id"), "tenant_id", F.coalesce("sector", F.lit("generic")).alias("template"),
+        "system_prompt", "languages", F.col("safety").alias("safety_rules"), "tone", "tools")
 
 
 # Q7 -----------------------------------------------------------------------

@@ -86,8 +86,10 @@ LEFT JOIN t ON t.call_id = c.call_id LEFT JOIN b ON b.call_id = c.call_id LEFT J
 
 
 register("j4_unconfigured", with_views("""
-SELECT t.* FROM v_tenants t WHERE NOT EXISTS (SELECT 1 FROM v_configs c WHERE c.tenant_id = t.tenant_id)
-""", "v_tenants", "v_configs"))(lambda spark, sf: (lambda t: D.unconfigured(V.tenants(t), V.configs(t)))(tables(spark, sf)))
+SELECT t.* FROM v_tenants t WHERE NOT EXISTS (
+  SELECT 1 FROM v_configs c WHERE c.tenant_id = t.tenant_id AND c.template = 'school')
+""", "v_tenants", "v_configs"))(      # tenants without a config of the school template
+    lambda spark, sf: (lambda t: D.unconfigured(V.tenants(t), V.configs(t).filter(F.col("template") == "school")))(tables(spark, sf)))
 
 
 register("f1_scope", with_views("""
@@ -111,7 +113,8 @@ SELECT tenant_id, resource_id, resource_name, slot, is_booked, order_key, line_n
 
 
 register("t2_recent_calls", with_views("""
-SELECT call_id, tenant_id, from_number, status, duration_sec, intent, outcome, escalated, started_at, ended_at FROM (
+SELECT call_id, tenant_id, from_number, status, duration_sec, intent, outcome, escalated, started_at, ended_at,
+  recording_url, summary FROM (
   SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY started_at DESC, call_id DESC) AS rn FROM v_calls)
 WHERE rn <= 100
 """, "v_calls"))(lambda spark, sf: D.recent_calls(V.calls(tables(spark, sf)), 100))
@@ -152,14 +155,18 @@ register("u1_union_activity", with_views("SELECT * FROM u", "v_calls", "v_bookin
 
 def _t4(spark, sf):
     t = tables(spark, sf)
-    return D.activity_feed(V.calls(t), V.bookings(t), V.leads(t), V.notifications(t), 20)
+    # messages moved back to the time of the calls, so that all kinds compete
+    n = V.notifications(t).withColumn("created_at", F.timestamp_add("DAY", F.lit(-8125), F.col("created_at")))
+    return D.activity_feed(V.calls(t), V.bookings(t), V.leads(t), n, 20)
 
 
 register("t4_activity_feed", with_views("""
 SELECT tenant_id, kind, record_id, event_at, text FROM (
   SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY event_at DESC NULLS LAST, kind, record_id) AS rn FROM u)
 WHERE rn <= 20
-""", "v_calls", "v_bookings", "v_leads", "v_notifications", extra={"u": _U1_SQL}))(_t4)
+""", "v_calls", "v_bookings", "v_leads", "v_notifications", extra={
+    "nb": "SELECT * REPLACE (created_at - INTERVAL 8125 DAY AS created_at) FROM v_notifications",
+    "u": _U1_SQL.replace("v_notifications", "nb")}))(_t4)
 
 
 def _f6(spark, sf):

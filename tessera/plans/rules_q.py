@@ -56,8 +56,10 @@ FROM (SELECT c.call_id, c.tenant_id, timezone(t.timezone, timezone('UTC', c.star
 
 
 # F5 -----------------------------------------------------------------------
+# The default rules and two more, whose words the test conversations use.
+QUERY_RULES = (*RU.ESCALATION_RULES, ("past", ("was", "were"), 2), ("company", ("with", "und"), 4))
 RULES_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{w}', '{r}', {p})" for r, ws, p in RU.ESCALATION_RULES for w in ws) + ") AS r(term, rule, priority)"
+    f"('{w}', '{r}', {p})" for r, ws, p in QUERY_RULES for w in ws) + ") AS r(term, rule, priority)"
 TOK = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
 
 register("f5_flag_escalations", with_views(f"""
@@ -67,7 +69,7 @@ FROM (SELECT DISTINCT call_id, turn_no, tenant_id, term FROM (
         SELECT call_id, turn_no, tenant_id, unnest({TOK.format(c='content')}) AS term FROM v_turns WHERE role = 'caller')) x
 JOIN r ON r.term = x.term GROUP BY ALL
 """, "v_turns", extra={"r": RULES_SQL}))(
-    lambda spark, sf: RU.flag_escalations(V.turns(tables(spark, sf)), RU.escalation_rules(spark)))
+    lambda spark, sf: RU.flag_escalations(V.turns(tables(spark, sf)), RU.escalation_rules(spark, QUERY_RULES)))
 
 
 # F7 / F8 / P7 / Q8 -------------------------------------------------------------
@@ -204,8 +206,8 @@ ON a.tenant_id = CAST(r."tenantId" AS INTEGER)
 
 
 # F10 ----------------------------------------------------------------------
-FORBIDDEN = ["guarantee", "diagnos", "refund"]
-REQUIRED = ["thank"]
+FORBIDDEN = ["guarantee", "diagnos", "refund", "with the", " und die "]
+REQUIRED = ["thank", " the "]
 
 
 def _f10(spark, sf):
@@ -282,54 +284,65 @@ FROM v_configs c LEFT JOIN v_tenants t ON t.tenant_id = c.tenant_id
 """, "v_configs", "v_tenants"))(_p6)
 
 
+SEC_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (s, *row)) + ")" for s, row in RU.SECTOR_TEMPLATES.items()) + \
+    ") AS s(sector, system_prompt, languages, safety, tone)"
+
+
 # P8 -----------------------------------------------------------------------
 def _p8(spark, sf):
     t = tables(spark, sf)
     q = _questions(t)
-    hits = K.keyword_search(q, V.docs(t), 3).join(V.docs(t).select("doc_id", "title"), "doc_id")
-    ctx = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "title"))).alias("h")).select(
+    # the first chunk of each of the best documents, with its source
+    chunks = K.chunk_documents(V.docs(t)).filter(F.col("chunk_no") == 0).select("doc_id", "chunk")
+    hits = K.keyword_search(q, V.docs(t), 3).join(chunks, "doc_id").join(V.docs(t).select("doc_id", "source"), "doc_id")
+    line = F.struct("rank", F.concat("chunk", F.lit(" (source: "), "source", F.lit(")")).alias("text"))
+    ctx = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(line)).alias("h")).select(
         "query_id", F.array_join(F.transform("h", lambda x: F.concat(F.lit("["), x["rank"].cast("string"),
-                                                                      F.lit("] "), x["title"])), "\n").alias("context"))
+                                                                      F.lit("] "), x["text"])), "\n").alias("context"))
     hist = RP.recent_history(V.turns(t).select("call_id", "turn_no", "role", "content"), 3).select(
         (F.col("call_id") * 100 + F.col("turn_no")).alias("query_id"), F.array_join("history", "\n").alias("history"))
-    return RU.assemble_prompts(q, ctx, hist, current_config(t))
+    return RU.assemble_prompts(q, ctx, hist, current_config(t), V.tenants(t), RU.sector_templates(spark))
 
 
 register("p8_assemble_prompts", with_views("""
 SELECT q.query_id, q.tenant_id, concat_ws(chr(10) || chr(10),
-  'SYSTEM: ' || coalesce(lc.system_prompt, ''), 'CONTEXT:' || chr(10) || coalesce(cx.context, ''),
+  'SYSTEM: ' || coalesce(lc.system_prompt, ''),
+  'RULES: ' || coalesce(sec.safety, '') || ' Tone: ' || coalesce(sec.tone, '') || '.', 'CONTEXT:' || chr(10) || coalesce(cx.context, ''),
   'HISTORY:' || chr(10) || coalesce(hs.history, ''), 'CALLER: ' || q.query_text) AS prompt
 FROM qs q
-LEFT JOIN (SELECT k.query_id, string_agg('[' || CAST(k.rank AS VARCHAR) || '] ' || d.title, chr(10) ORDER BY k.rank)
+LEFT JOIN (SELECT k.query_id, string_agg('[' || CAST(k.rank AS VARCHAR) || '] ' || substr(d.content, 1, 800)
+             || ' (source: ' || d.source || ')', chr(10) ORDER BY k.rank)
              AS context FROM kw k JOIN v_docs d ON d.doc_id = k.doc_id GROUP BY k.query_id) cx ON cx.query_id = q.query_id
 LEFT JOIN (SELECT call_id * 100 + turn_no AS query_id, array_to_string(coalesce(list(role || ': ' || content) OVER (
              PARTITION BY call_id ORDER BY turn_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), chr(10)) AS history
            FROM v_turns) hs ON hs.query_id = q.query_id
 LEFT JOIN lc ON lc.tenant_id = q.tenant_id
-""", "v_turns", "v_docs", "v_configs", extra=dict(QHITS, lc=LATEST_CFG)))(_p8)
+LEFT JOIN v_tenants tn ON tn.tenant_id = q.tenant_id LEFT JOIN sec ON sec.sector = tn.sector
+""", "v_turns", "v_docs", "v_configs", "v_tenants", extra=dict(QHITS, lc=LATEST_CFG, sec=SEC_SQL)))(_p8)
 
 
 # P9 -----------------------------------------------------------------------
 def _p9(spark, sf):
     t = tables(spark, sf)
     tn = V.tenants(t).select("tenant_id", "sector", "region_id")
-    new = tn.unionByName(tn.filter(F.col("region_id") == 0).withColumn("tenant_id", F.col("tenant_id") + 100))
-    return RU.seed_configs(new, RU.sector_templates(spark), V.configs(t))
+    # a new tenant beside each old one; those of region 4 have a sector without a template
+    new = tn.unionByName(tn.withColumn("tenant_id", F.col("tenant_id") + 100).withColumn(
+        "sector", F.when(F.col("region_id") == 4, "library").otherwise(F.col("sector"))))
+    out = RU.seed_configs(new, RU.sector_templates(spark), RU.sector_tools(spark), V.configs(t))
+    return out.withColumn("tools", F.array_join("tools", ","))
 
 
-SEC_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    "('{s}', '{p}', '{l}')".format(s=s, p=p.replace("'", "''"), l=lng) for s, (p, lng) in RU.SECTOR_TEMPLATES.items()) + \
-    ") AS s(sector, system_prompt, languages)"
-
 register("p9_seed_configs", with_views("""
 SELECT sha256(coalesce(CAST(n.tenant_id AS VARCHAR), '\\N')) AS config_id, n.tenant_id,
   coalesce(n.sector, 'generic') AS template,
-  coalesce(s.system_prompt, (SELECT system_prompt FROM sec WHERE sector = 'generic')) AS system_prompt,
-  coalesce(s.languages, (SELECT languages FROM sec WHERE sector = 'generic')) AS languages
-FROM (SELECT tenant_id, sector FROM v_tenants UNION ALL SELECT tenant_id + 100, sector FROM v_tenants WHERE region_id = 0) n
-LEFT JOIN sec s ON s.sector = n.sector
+  s.system_prompt, s.languages, s.safety AS safety_rules, s.tone, array_to_string(st.tools, ',') AS tools
+FROM (SELECT tenant_id, sector FROM v_tenants
+      UNION ALL SELECT tenant_id + 100, CASE WHEN region_id = 4 THEN 'library' ELSE sector END FROM v_tenants) n
+LEFT JOIN sec s ON s.sector = CASE WHEN n.sector IN (SELECT sector FROM sec) THEN n.sector ELSE 'generic' END
+LEFT JOIN st ON st.sector = s.sector
 WHERE NOT EXISTS (SELECT 1 FROM v_configs c WHERE c.tenant_id = n.tenant_id)
-""", "v_tenants", "v_configs", extra={"sec": SEC_SQL}))(_p9)
+""", "v_tenants", "v_configs", extra={"sec": SEC_SQL, "st": ST_SQL}))(_p9)
 
 
 # Q7 -----------------------------------------------------------------------

@@ -148,7 +148,7 @@ def _m4(spark, sf):
     t = tables(spark, sf)
     cur = latest(V.configs(t).select("tenant_id", "updated_at", "config_id", "max_concurrent"), "tenant_id",
                  "updated_at", tie=["config_id"])
-    quotas = cur.select("tenant_id", (F.col("max_concurrent") * 10).cast("long").alias("quota"))
+    quotas = cur.select("tenant_id", F.col("max_concurrent").cast("long").alias("quota"))
     s = with_kind(_stream(spark, event_source(spark, sf, "m4")))
     r = ST.rate_limits(s, "1 hour", "30 minutes", "1 hour", quotas).select(
         _ntz("w.start").alias("window_start"), "tenant_id", "requests", "quota", "over_quota")
@@ -156,8 +156,8 @@ def _m4(spark, sf):
 
 
 register("m4_rate_limits", with_views("""
-SELECT w.window_start, w.tenant_id, w.requests, CAST(q.max_concurrent * 10 AS BIGINT) AS quota,
-  coalesce(w.requests > q.max_concurrent * 10, false) AS over_quota
+SELECT w.window_start, w.tenant_id, w.requests, CAST(q.max_concurrent AS BIGINT) AS quota,
+  coalesce(w.requests > q.max_concurrent, false) AS over_quota
 FROM (SELECT window_start, tenant_id, count(*) AS requests FROM (
         SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS window_start, CAST(user_id % 25 AS INTEGER) AS tenant_id FROM events
         UNION ALL

@@ -78,6 +78,10 @@ def calls(t: Tables) -> DataFrame:
         _case(F.col("o_custkey") % 3, {0: "positive", 1: "neutral"}, "negative").alias("sentiment"),
         started.alias("started_at"),
         _plus_seconds(started, dur).alias("ended_at"),
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("calls/"), F.col("o_orderkey").cast("string"), F.lit(".ogg")))
+         .alias("recording_url"),
+        F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(", "),
+                                                       F.lower("o_orderpriority"))).alias("summary"),
     )
 
 
@@ -146,7 +150,7 @@ def notifications(t: Tables) -> DataFrame:
         F.when(F.col("event_type").isin("signup", "error"), F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("msg-"), F.col("event_id").cast("string"))).alias("provider_message_id"),
         F.when(F.col("event_type") == "error", F.lit("provider rejected")).alias("error"),
-        (F.col("event_id") % 4).cast("int").alias("attempts"),
+        (F.col("event_id") % 8).cast("int").alias("attempts"),
         F.col("ts").alias("created_at"),
         F.col("value").alias("value"),
         F.col("props").alias("props"),
