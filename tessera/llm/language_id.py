@@ -137,10 +137,15 @@ def fit(features: np.ndarray, labels: list[str], steps: int = 120, rate: float =
 
 def sample_ids(labelled: DataFrame, id_col: str, label_col: str, n: int) -> list:
     """At most ``n`` (id, label) pairs, the same number of each label as far as
-    there are, by a hash of the id. Only ids and labels are sorted; a partition ships at most ``n`` per label."""
-    h = F.xxhash64(id_col)
-    ranked = labelled.select(id_col, label_col, h.alias("_h")).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(label_col).orderBy("_h", id_col))).filter(F.col("_rn") <= n)
+    there are, by a hash of the id. Labels are counted first (a map-side combine); of a label
+    only the ids whose hash lies in its lowest share, about 3 n of them, are ranked, so
+    no task meets a number of rows that grows with the table."""
+    counts = labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(3.0 * n + 100) / F.col("_n"))
+    spread = F.pmod(F.xxhash64(id_col), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    low = (labelled.select(id_col, label_col).join(F.broadcast(counts), label_col)     # one row per label
+                   .withColumn("_h", spread).filter(F.col("_h") <= share))
+    ranked = low.withColumn("_rn", F.row_number().over(Window.partitionBy(label_col).orderBy("_h", id_col))).filter(F.col("_rn") <= n)
     return [(r[0], r[1]) for r in ranked.orderBy("_rn", "_h", label_col).limit(n).select(id_col, label_col).collect()]
 
 

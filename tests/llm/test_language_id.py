@@ -55,3 +55,12 @@ def test_nulls_no_letters_empty_model_and_kept_columns(spark):
     none = L.language_id(docs.filter("lang is null"))
     assert [r.lang_pred for r in none.collect()] == ["und"]
     assert L.language_id(docs.limit(0)).count() == 0
+
+
+def test_sample_is_bounded_even_and_fixed(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 10 == 0, "rare").when(F.col("id") < 20, "tiny").otherwise("many").alias("y"))
+    got = L.sample_ids(rows, "id", "y", 300)
+    again = L.sample_ids(rows.repartition(7), "id", "y", 300)
+    n = {y: sum(1 for _, z in got if z == y) for y in ("rare", "tiny", "many")}
+    assert got == again and len(got) == 300 and n["tiny"] == 18 and n["rare"] == n["many"] == 141
