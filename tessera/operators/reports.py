@@ -27,6 +27,20 @@ def assemble_transcripts(turns: DataFrame) -> DataFrame:
                     F.size("l").alias("n_turns"))
 
 
+def transcript_parts(turns: DataFrame, size: int = 200) -> DataFrame:
+    """A2 for calls of any length: the transcript in numbered parts of at most
+    ``size`` turns, so no row gathers a whole long call. Turns are numbered
+    in two levels (``number_rows``); the parts of a call in order, joined by
+    a line end, are its transcript."""
+    n = number_rows(turns.select("call_id", "turn_no", "role", "content"), "call_id", [F.col("turn_no")],
+                    F.floor(F.col("turn_no") / 256), "place")
+    line = F.struct("place", F.concat(F.col("role"), F.lit(": "), F.col("content")).alias("line"))
+    g = n.groupBy("call_id", F.floor((F.col("place") - 1) / size).cast("long").alias("part")) \
+        .agg(F.sort_array(F.collect_list(line)).alias("l"))
+    return g.select("call_id", "part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("transcript"),
+                    F.size("l").alias("n_turns"))
+
+
 # A3 -----------------------------------------------------------------------
 def kpi_tiles(calls: DataFrame, rates: DataFrame, day=None) -> DataFrame:
     """A3: per tenant and day: calls, mean duration, resolution rate,

@@ -40,12 +40,15 @@ register("k10_search", with_views("SELECT query_id, tenant_id, chunk_id, score,
                                   extra=HITS))(_search)
 
 
+MIN_SCORE = 0.15
+
+
 def _j7(spark, sf):
     ch = V.chunks(tables(spark, sf))
-    return S.score_pairs(S.probe_queries(ch), ch).select("query_id", "tenant_id", "chunk_id", "score")
+    return S.score_pairs(S.probe_queries(ch), ch, min_score=MIN_SCORE).select("query_id", "tenant_id", "chunk_id", "score")
 
 
-register("j7_score_pairs", with_views("SELECT query_id, tenant_id, chunk_id, score FROM s", "v_chunks",
+register("j7_score_pairs", with_views(f"SELECT query_id, tenant_id, chunk_id, score FROM s WHERE score >= {MIN_SCORE}", "v_chunks",
                                       extra={k: HITS[k] for k in ("pp", "q", "s")}))(_j7)
 
 

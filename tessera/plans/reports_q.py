@@ -33,6 +33,12 @@ FROM v_turns GROUP BY call_id
 """, "v_turns"))(lambda spark, sf: RP.assemble_transcripts(V.turns(tables(spark, sf))))
 
 
+register("a2_transcript_parts", with_views("""
+SELECT call_id, (place - 1) // 4 AS part, string_agg(role || ': ' || content, chr(10) ORDER BY place) AS transcript, count(*) AS n_turns
+FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY turn_no) AS place FROM v_turns) GROUP BY ALL
+""", "v_turns"))(lambda spark, sf: RP.transcript_parts(V.turns(tables(spark, sf)), 4))
+
+
 register("a3_kpi_tiles", with_views("""
 SELECT c.tenant_id, CAST(c.started_at AS DATE) AS day, count(*) AS calls,
   round(avg(c.duration_sec), 2) AS avg_duration_sec,
