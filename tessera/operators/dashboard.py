@@ -19,7 +19,7 @@ from .common import lookup, top_k_per
 # F1 -----------------------------------------------------------------------
 def scope(df: DataFrame, tenants, tenant_col: str = "tenant_id") -> DataFrame:
     """Rows of the allowed tenants only. ``tenants`` is a list of ids or a
-    DataFrame with a ``tenant_id`` column (semi join, size-checked broadcast)."""
+    DataFrame with a ``tenant_id`` column (semi join)."""
     if isinstance(tenants, DataFrame):
         allowed = tenants.select(F.col("tenant_id").alias(tenant_col)).distinct()
         return df.join(lookup(allowed), tenant_col, "left_semi")

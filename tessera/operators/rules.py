@@ -2,7 +2,7 @@
 P6-P9, Q7-Q9, Q11.
 
 Rule and template tables are small (a handful of rows per sector or rule)
-and are broadcast after a size check; the record tables are never shuffled
+that Spark broadcasts by their size; the record tables are never shuffled
 for them.
 """
 

@@ -8,7 +8,8 @@ from the session instead of picking a local folder).
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -58,6 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not is_local(sc.master):
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)      # a folder of this process only
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # noqa: BLE001 - some deployments refuse core settings at run time

@@ -13,6 +13,8 @@ def spark():
     from tessera.session import local_session
     s = local_session(cores=4, shuffle_partitions=8, app="tessera-tests")
     yield s
+    from tessera.session import release_scratch
+    release_scratch(s)
     s.stop()
 
 
