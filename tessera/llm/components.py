@@ -4,7 +4,7 @@ links are written as a table, so a lost executor reads them again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .util import materialize
@@ -15,18 +15,24 @@ MAX_ROUNDS = 60
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node with a link to another, the smallest node it can reach.
     Links may repeat, point either way or to the node itself."""
-    edges = materialize(_oriented(links.select(F.col(a).alias("u"), F.col(b).alias("v"))))
-    before = None
+    edges, before = _written(_oriented(links.select(F.col(a).alias("u"), F.col(b).alias("v"))))
     for _ in range(MAX_ROUNDS):
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if before["n"]:
+            edges, after = _written(_small_star(_large_star(edges)))
+        if not before["n"] or after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")) \
                 .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = state
-        edges = materialize(_small_star(_large_star(edges)))
+        before = after
     raise RuntimeError("components did not settle")
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The links as a table, with their number and a sum of their hashes (taken while writing)."""
+    state = Observation()
+    table = materialize(edges.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    return table, state.get
+
+
 def _oriented(pairs: DataFrame) -> DataFrame:
     """Each link once, from the larger node to the smaller."""
     return pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

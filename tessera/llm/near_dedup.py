@@ -13,11 +13,13 @@ is at least 0.8; for sets without repeats this is the Jaccard similarity. Groups
    one of ``REGISTERS`` registers, which keeps the first. A shingle stops as soon as its next arrival is later than the
    latest register. Two documents agree in a register with probability J_P.
 3. Registers are banded. In a band's bucket every member is tied to one pivot, not to all members, so a bucket
-   of any size gives as many pairs as members. At 0.8 a pair shares no bucket with probability 6e-7.
+   of any size gives as many pairs as members. The pivot is the member that shares the most buckets with others, such as
+   the original of many copies. At 0.8 a pair shares no bucket with probability 6e-7.
 4. Pairs are verified on the exact shingle sets, read again from the texts of documents in a pair only.
-5. Buckets whose members aren't all in one component are looked at again: further rounds with
-   other pivots, then all pairs of members in different components that weren't compared yet. So every pair that
-   shares a bucket is either compared or joined through others.
+5. Buckets whose members aren't all in one component are looked at again, until every pair that shares a bucket is
+   either compared or joined through others: a round with other pivots; then, in buckets of at most ``SMALL_BUCKET`` members, the
+   pairs in different components (so at most ``SMALL_BUCKET`` / 2 per member and band); and in larger buckets all pairs in different components
+   by blocks of documents, inside tasks that hand on links only, at most one per document.
 
 Defined cases: a text that is null or has no word is in no shingle set and links with nothing; a text of fewer than five
 words is one shingle of all its words; rows that repeat an id are one document (its classes are joined if its
@@ -44,8 +46,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 36, 5
 REGISTERS = BANDS * BAND_ROWS
-PIVOT_ROUNDS = 3
-CACHE_WORDS = 200_000
+SMALL_BUCKET = 16
+BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
+CACHE_WORDS = 100_000
 WORDS = re.compile(r"\w+")
 
 _U = np.uint64
@@ -138,6 +141,53 @@ def similarity(h1: np.ndarray, c1: np.ndarray, h2: np.ndarray, c2: np.ndarray) -
     return float((1 / (a_up / a_both + b_down / b_both)).sum())
 
 
+def block_links(one: dict, two: dict, threshold: float) -> np.ndarray:
+    """Links (rows of two ids) between the documents of two blocks that are in different components, as
+    a forest. A block: ids, roots, ends (of each set), h, c; the same object twice for the pairs inside it.
+
+    The overlap of the weight shares, sum_i min(a_i / A, b_i / B), is an upper bound of J_P; it is summed for one document
+    against a whole block at a time, and only pairs that it doesn't rule out are computed."""
+    same = one is two
+    _, codes = np.unique(np.concatenate([one["h"], two["h"]]), return_inverse=True)
+    mark = np.zeros(codes.max(initial=0) + 1)
+    first, second = codes[:len(one["h"])], codes[len(one["h"]):]
+    w1, w2 = weights(one["c"]), weights(two["c"])
+    start1, start2 = (np.concatenate([[0], b["ends"][:-1]]) for b in (one, two))
+    size2, total2 = two["ends"] - start2, np.add.reduceat(w2, start2)
+    flat2 = total2 == size2
+    root = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i in range(len(one["ids"])):
+        at = slice(start1[i], one["ends"][i])
+        mark[first[at]] = w1[at]
+        met = mark[second]
+        mark[first[at]] = 0
+        by_a = np.add.reduceat(met, start2)
+        by_b = np.add.reduceat(np.where(met > 0, w2, 0.0), start2)
+        n, total = at.stop - at.start, w1[at].sum()
+        value = np.minimum(by_a / total, by_b / total2)
+        exact = flat2 & (total == n)                      # no repeats: by_a counts the common shingles
+        value[exact] = by_a[exact] / (n + size2[exact] - by_a[exact])
+        may = (value >= threshold) & (two["roots"] != one["roots"][i])
+        if same:
+            may[:i + 1] = False
+        for j in np.flatnonzero(may):
+            a, b = find(int(one["roots"][i])), find(int(two["roots"][j]))
+            if a == b:
+                continue
+            to = slice(start2[j], two["ends"][j])
+            if exact[j] or similarity(one["h"][at], one["c"][at], two["h"][to], two["c"][to]) >= threshold:
+                root[max(a, b)] = min(a, b)
+                out.append((int(one["ids"][i]), int(two["ids"][j])))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 # ---- Spark steps -----------------------------------------------------------------
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,7 +197,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            for part in slices(batch, "_text", 2 << 20):
+            for part in slices(batch, "_text", 1 << 20):
                 classes, sets, at = [], [], []
                 for i, text in enumerate(part.column("_text").to_pylist()):
                     words = word_list(text)
@@ -203,52 +253,117 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thres
     return pairs.join(one, "a").join(two, "b").select("a", "b", "_h", "_c", "_h2", "_c2").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, rep, root) of the buckets whose members are in more than one component."""
-    roots = components(links) if links is not None else None
-    with_root = members.withColumn("root", F.col("rep")) if roots is None else \
-        members.join(roots.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("root"))
-    with_root = materialize(with_root)
+def _with_roots(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, rep, root) of the buckets whose members are in more than one component of the links."""
+    roots = components(links).select(F.col("node").alias("rep"), "component")
+    with_root = members.join(roots, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("root"))
     mixed = with_root.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key")
     return materialize(with_root.join(mixed, "key", "left_semi"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY,
-               rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """One row per id: ``id_col``, class_id (smallest id of its group), group_size, kept (it is the class_id)."""
+def _pivot_pairs(mixed: DataFrame, order) -> DataFrame:
+    """Every member tied to its bucket's pivot (the largest by ``order``) if they are in different components."""
+    pivots = mixed.groupBy("key").agg(F.max_by(F.struct("rep", "root"), order).alias("_p"))
+    return (mixed.join(pivots, "key").filter(F.col("root") != F.col("_p.root"))
+                 .select(F.greatest("rep", "_p.rep").alias("a"), F.least("rep", "_p.rep").alias("b")).distinct())
+
+
+def _pack_blocks(sets: DataFrame) -> DataFrame:
+    """(grp, block, ids, roots, ends, h, c): runs of documents of a group, of at most ``BLOCK_DOCS`` rows and about ``BLOCK_BYTES``."""
+    ranged = sets.repartitionByRange("grp", "root", "rep").sortWithinPartitions("grp", "root", "rep")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(grp, rows):
+            h = np.concatenate([np.frombuffer(x[2], _U) for x in rows])
+            c = np.concatenate([np.frombuffer(x[3], np.uint32) if x[3] else np.ones(len(x[2]) // 8, np.uint32) for x in rows])
+            ends = np.cumsum([len(x[2]) // 8 for x in rows]).astype(np.int64)
+            ids, roots = (np.array([x[k] for x in rows], np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([rows[0][0]], pa.int64()),
+                                               *[pa.array([x.tobytes()], pa.binary()) for x in (ids, roots, ends, h, c)]],
+                                              ["grp", "block", "ids", "roots", "ends", "h", "c"])
+
+        key, rows, size = None, [], 0
+        for batch in batches:
+            for grp, rep, root, h, c in zip(*[(v.as_py() for v in batch.column(n)) for n in ("grp", "rep", "root", "_h", "_c")]):
+                if rows and (grp != key or len(rows) >= BLOCK_DOCS or size + len(h) > BLOCK_BYTES):
+                    yield flush(key, rows)
+                    rows, size = [], 0
+                key = grp
+                rows.append((rep, root, h, c))
+                size += len(h)
+        if rows:
+            yield flush(key, rows)
+
+    return ranged.mapInArrow(cut, "grp long, block long, ids binary, roots binary, ends binary, h binary, c binary")
+
+
+def _block_links(large: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Links between members of large buckets that are in different components. Buckets that share members form a
+    group; a group's documents are cut into blocks, and pairs of blocks are compared inside tasks."""
+    lead = large.groupBy("key").agg(F.min("rep").alias("b"))
+    groups = components(large.join(lead, "key").select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    members = large.select("rep", "root").distinct().join(groups, "rep")
+    sets = _sets(docs, members.select(F.col("rep").alias("_id")), id_col, text_col).withColumnRenamed("_id", "rep")
+    blocks = materialize(_pack_blocks(members.join(sets, "rep").select("grp", "rep", "root", "_h", "_c")))
+    fields = ["ids", "roots", "ends", "h", "c"]
+    heads = blocks.select("grp", "block")
+    pairs = heads.join(heads.select("grp", F.col("block").alias("block2")), "grp").filter("block <= block2")
+    second = blocks.select("grp", F.col("block").alias("block2"), *[F.col(f).alias(f + "2") for f in fields])
+    both = pairs.join(blocks, ["grp", "block"]).join(second, ["grp", "block2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.int64, np.int64, _U, np.uint32)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = lambda name: batch.column(name)[row].as_py()
+                one = {f: np.frombuffer(at(f), k) for f, k in zip(fields, kinds)}
+                two = one if at("block") == at("block2") else {f: np.frombuffer(at(f + "2"), k) for f, k in zip(fields, kinds)}
+                found = block_links(one, two, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """One row per id: ``id_col``, class_id (smallest id of its group), group_size, kept (it is the class_id). Ids are integers."""
+    docs = docs.withColumn(id_col, F.col(f"`{id_col}`").cast("long"))
     hashed = materialize(_hashed(docs, id_col, text_col))
     # Documents with the same words are one class, led by its smallest id.
     reps = materialize(hashed.filter(F.col("_class").isNotNull()).groupBy("_class").agg(F.min("_id").alias("rep"), F.first("_bands").alias("_bands")))
     keyed = reps.select("rep", F.explode("_bands").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = materialize(mark_members(keyed, key_bitmap(shared, "key"), "key", name="_hit").filter("_hit").drop("_hit")
-                          .join(shared, "key", "left_semi").select("key", "rep"))
+                          .join(shared, "key").select("key", "rep", "size"))
     # Ids whose rows differ in their words belong to several classes; they tie them.
-    twice = hashed.filter(F.col("_class").isNotNull()).join(reps.select("_class", "rep"), "_class").select("_id", "rep").distinct()
+    twice = hashed.filter(F.col("_class").isNotNull()).join(reps.select("_class", "rep"), "_class")
     tied = twice.groupBy("_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a <> b").select("a", "b")
 
-    links, tried, mixed = materialize(tied), None, _labelled(members, None)
-    for r in range(rounds):
-        if mixed.isEmpty():
-            break
-        # The pivot of a bucket: another member in each round, the same for every bucket that has it.
-        order = F.struct(F.xxhash64(F.lit(r), "rep"), "rep")
-        pivots = mixed.groupBy("key").agg(F.min_by(F.struct("rep", "root"), order).alias("_p"))
-        pairs = (mixed.join(pivots, "key").filter(F.col("root") != F.col("_p.root"))
-                      .select(F.greatest("rep", "_p.rep").alias("a"), F.least("rep", "_p.rep").alias("b")).distinct())
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = links.unionByName(materialize(_verify(pairs, docs, id_col, text_col, threshold)))
-        mixed = _labelled(members if r == 0 else mixed.select("key", "rep"), links)
+    # Round 1: the pivot is the member with the most company over all its buckets.
+    company = members.groupBy("rep").agg(F.sum("size").alias("company"))
+    known = members.join(company, "rep").select("key", "rep", F.col("rep").alias("root"), "company")
+    pairs = materialize(_pivot_pairs(known, F.struct("company", "rep")))
+    tried = pairs
+    links = materialize(tied.unionByName(_verify(pairs, docs, id_col, text_col, threshold)))
+    mixed = _with_roots(members.select("key", "rep"), links)
+    # Round 2: any other pivot.
+    if not mixed.isEmpty():
+        pairs = materialize(_pivot_pairs(mixed, F.struct(F.xxhash64("rep"), "rep")).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        links = materialize(links.unionByName(_verify(pairs, docs, id_col, text_col, threshold)))
+        mixed = _with_roots(mixed.select("key", "rep"), links)
     # What is left: members of a bucket in different components that no round compared.
-    other = mixed.select("key", F.col("rep").alias("b"), F.col("root").alias("_root"))
-    rest = mixed.join(other, "key").filter((F.col("rep") > F.col("b")) & (F.col("root") != F.col("_root"))) \
-        .select(F.col("rep").alias("a"), "b").distinct()
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti") if tried is not None else rest)
-    links = links.unionByName(materialize(_verify(rest, docs, id_col, text_col, threshold)))
+    if not mixed.isEmpty():
+        sized = materialize(mixed.join(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"))
+        small, large = sized.filter(F.col("n") <= SMALL_BUCKET), sized.filter(F.col("n") > SMALL_BUCKET)
+        other = small.select("key", F.col("rep").alias("b"), F.col("root").alias("_root"))
+        rest = small.join(other, "key").filter((F.col("rep") > F.col("b")) & (F.col("root") != F.col("_root"))).select(F.col("rep").alias("a"), "b")
+        rest = materialize(rest.distinct().join(tried, ["a", "b"], "left_anti"))
+        links = links.unionByName(_verify(rest, docs, id_col, text_col, threshold))
+        if not large.isEmpty():
+            links = links.unionByName(_block_links(large.select("key", "rep", "root"), docs, id_col, text_col, threshold))
 
     roots = components(links).select(F.col("node").alias("rep"), "component")
-    named = hashed.select("_id", "_class").join(reps.select("_class", "rep"), "_class", "left").join(roots, "rep", "left") \
+    named = hashed.join(reps.select("_class", "rep"), "_class", "left").join(roots, "rep", "left") \
         .groupBy("_id").agg(F.min(F.coalesce("component", "rep", "_id")).alias("class_id"))
     named = materialize(named)
     sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("group_size"))

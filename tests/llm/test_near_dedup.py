@@ -20,7 +20,9 @@ def prob_jaccard(a, b):
 
 
 def brute_groups(rows, threshold=0.8):
-    sets = [weighted(t) for _, t in rows]
+    """Components over all pairs; ``similarity`` is held to its definition by a test of its own."""
+    hashes = N.WordHash()
+    sets = [N.shingles(N.word_list(t or ""), hashes) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -29,8 +31,7 @@ def brute_groups(rows, threshold=0.8):
         return i
     for i in range(len(rows)):
         for j in range(i):
-            # J_P is at most the Jaccard similarity's bound by common shingles
-            if rows[i][0] == rows[j][0] or (sets[i] and sets[j] and len(sets[i].keys() & sets[j].keys()) > 0 and prob_jaccard(sets[i], sets[j]) >= threshold):
+            if rows[i][0] == rows[j][0] or N.similarity(*sets[i], *sets[j]) >= threshold:
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -80,6 +81,33 @@ def test_signature_does_not_depend_on_the_company():
     assert all((N.signatures([s])[0] == whole[i]).all() for i, s in enumerate(sets))
 
 
+def test_block_links_join_as_all_pairs_do():
+    rnd = random.Random(11)
+    base = prose(rnd, 60)
+    texts = [" ".join(edited(rnd, base, rnd.randint(0, 3)) + base[:8] * (i % 3 == 0) * 2) for i in range(40)]
+    sets = [N.shingles(N.word_list(t), N.WordHash()) for t in texts]
+
+    def block(at):
+        return {"ids": np.array(at), "roots": np.array(at), "ends": np.cumsum([len(sets[i][0]) for i in at]),
+                "h": np.concatenate([sets[i][0] for i in at]), "c": np.concatenate([sets[i][1] for i in at]).astype(np.uint32)}
+
+    x, y = block(list(range(0, 25))), block(list(range(25, 40)))
+    got = np.concatenate([N.block_links(x, x, 0.8), N.block_links(x, y, 0.8), N.block_links(y, y, 0.8)])
+    assert all(N.similarity(*sets[a], *sets[b]) >= 0.8 for a, b in got)
+    root = list(range(40))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for a, b in got:
+        root[find(a)] = find(b)
+    want = brute_groups(list(enumerate(texts)))
+    assert {frozenset(i for i in range(40) if find(i) == r) for r in set(map(find, range(40)))} == \
+        {frozenset(i for i in range(40) if want[i] == r) for r in set(want.values())}
+    assert 2 < len(set(want.values())) < 40
+
+
 def groups(df, **kw):
     return {r.doc_id: r.class_id for r in N.near_dedup(df, **kw).collect()}
 
@@ -90,8 +118,10 @@ def test_table_against_all_pairs(spark, sf):
     assert groups(docs) == brute_groups(rows)
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_large_group_chains_and_shared_passages(spark, rounds):
+@pytest.mark.parametrize("small", [16, 2])
+def test_large_group_chains_and_shared_passages(spark, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL_BUCKET", small)
+    monkeypatch.setattr(N, "BLOCK_DOCS", 20)
     rnd = random.Random(7)
     base, passage, rows = prose(rnd, 120), prose(rnd, 60), []
     for i in range(90):
@@ -105,7 +135,7 @@ def test_large_group_chains_and_shared_passages(spark, rounds):
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_groups(rows)
-    assert groups(df, rounds=rounds) == want and len(set(want.values())) > 31
+    assert groups(df) == want and len(set(want.values())) > 31
 
 
 def test_nulls_short_empty_repeats_clashes_and_dropping(spark):
