@@ -5,12 +5,12 @@ from tessera.operators import dashboard as D
 
 def test_recent_calls_ties_and_tenant_limit(spark):
     t = dt.datetime(2024, 1, 1)
-    rows = [(i, 1 if i < 5 else 2, "+1", "completed", 10, "x", "resolved", False, t, t) for i in range(8)]
+    rows = [(i, 1 if i < 5 else 2, "+1", "completed", 10, "x", "resolved", False, t, t, f"rec/{i}", None) for i in range(8)]
     calls = spark.createDataFrame(rows, "call_id long, tenant_id int, from_number string, status string, "
                                         "duration_sec int, intent string, outcome string, escalated boolean, "
-                                        "started_at timestamp_ntz, ended_at timestamp_ntz")
-    got = sorted((r.tenant_id, r.call_id) for r in D.recent_calls(calls, 2).collect())
-    assert got == [(1, 3), (1, 4), (2, 6), (2, 7)]          # equal times: higher id first
+                                        "started_at timestamp_ntz, ended_at timestamp_ntz, recording_url string, summary string")
+    got = sorted((r.tenant_id, r.call_id, r.recording_url, r.summary) for r in D.recent_calls(calls, 2).collect())
+    assert got == [(1, 3, "rec/3", None), (1, 4, "rec/4", None), (2, 6, "rec/6", None), (2, 7, "rec/7", None)]  # equal times: higher id first
 
 
 def test_activity_feed_undated_last(spark):
