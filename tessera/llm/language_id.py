@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import remainder, slices, text_of
+from .util import release_memory, remainder, slices, text_of, tidy
 
 DIM_BITS = 13
 ORDERS = (2, 3, 4)
-SAMPLE_DOCS = 1600
+SAMPLE_DOCS = 1000
 MIN_SCORE = 0.5
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -173,7 +173,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     x = np.zeros((len(rows), 1 << DIM_BITS), np.float32)
     for i, (_, slots, shares) in enumerate(rows):
         x[i, np.frombuffer(slots, np.uint16)] = np.frombuffer(shares, np.float32)
-    return fit(x, [r[0] for r in rows])
+    model = fit(x, [r[0] for r in rows])
+    del got, rows, x
+    release_memory()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text",
@@ -203,7 +206,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                          StructField("_lang_pred", StringType()), StructField("_score", DoubleType()), StructField("_ambiguous", BooleanType())])
     base = docs.select(*[F.col(f"`{f.name}`").alias(f"_k{i}") for i, f in enumerate(fields)], text_of(f"`{text_col}`").alias("_text"))
     names = [f.name for f in fields] + ["lang_pred", "score", "ambiguous"]
-    return base.mapInArrow(run, schema).toDF(*names)
+    return base.mapInArrow(tidy(run), schema).toDF(*names)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",

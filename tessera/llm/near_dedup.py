@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import key_bitmap, mark_members, materialize, slices, text_of
+from .util import key_bitmap, mark_members, materialize, slices, text_of, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -48,7 +48,7 @@ BANDS, BAND_ROWS = 36, 5
 REGISTERS = BANDS * BAND_ROWS
 SMALL_BUCKET = 16
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 WORDS = re.compile(r"\w+")
 
 _U = np.uint64
@@ -212,7 +212,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "_class", "_bands"])
 
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(f"`{text_col}`").alias("_text")).filter("_id is not null")
-    return base.mapInArrow(run, f"_id {kind}, _class binary, _bands array<bigint>")
+    return base.mapInArrow(tidy(run), f"_id {kind}, _class binary, _bands array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -229,7 +229,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
 
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(f"`{text_col}`").alias("_text")).filter("_id is not null")
     some = mark_members(base, key_bitmap(wanted, "_id"), "_id", name="_hit").filter("_hit").drop("_hit")
-    return some.mapInArrow(run, f"_id {kind}, _h binary, _c binary").join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
+    return some.mapInArrow(tidy(run), f"_id {kind}, _h binary, _c binary").join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -250,7 +250,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thres
 
     one = sets.select(F.col("_id").alias("a"), "_h", "_c")
     two = sets.select(F.col("_id").alias("b"), F.col("_h").alias("_h2"), F.col("_c").alias("_c2"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "_h", "_c", "_h2", "_c2").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_h", "_c", "_h2", "_c2").mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def _with_roots(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -26,18 +26,19 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import materialize, slices, text_of, tokenizer_path
+from .util import materialize, slices, text_of, tidy, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
 TOLERANCE = 16
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 100_000
 
 
 class _Odd(Exception):
@@ -55,16 +56,24 @@ class ByteBpe(dict):
     def __init__(self, json_path: str, ranks_path: str):
         import base64
 
+        import json
+
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer, loaded when a text holds a special token."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.json_path)
 
     def __missing__(self, chunk: str) -> bytes:
         body = chunk[1:] if chunk[:1] == "\n" else chunk
@@ -129,9 +138,10 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, window: int, end_i
                 yield pa.RecordBatch.from_arrays(
                     [*take.columns, pa.array(cols[0], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[1:]]],
                     ["_id", "_key", "_task", "_nth", "start", "length", "ids_crc32", "doc_tokens"])
+        enc.clear()
 
     text = text_of(f"`{text_col}`")
-    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text")).mapInArrow(tidy(run), schema)
 
 
 # ---- the plan ----------------------------------------------------------------

@@ -32,16 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .language_id import sample_ids
-from .util import remainder, slices, text_of
+from .util import release_memory, remainder, slices, text_of, tidy
 
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 3000
 MAX_TERMS = 1024
 MIN_DOCS = 4
 MIN_CHI = 25.0           # chance alone gives one term in a million this much
 FACTORS = 6
 THRESHOLD = 0.7
 STEMS = (3, 4, 5)
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 WORDS = re.compile(r"\w+")
 
 
@@ -152,10 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(got, pa.binary())], ["_id", "terms"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = base.filter(F.col("_id").isin(list(label))).mapInArrow(features, f"_id {kind}, terms binary").toArrow()
+    got = base.filter(F.col("_id").isin(list(label))).mapInArrow(tidy(features), f"_id {kind}, terms binary").toArrow()
     seen = {(label[i], t) for i, t in zip(got.column("_id").to_pylist(), got.column("terms").to_pylist())}   # copies count once
     rows = sorted(seen)
-    return fit([np.frombuffer(t, np.int64) for _, t in rows], np.array([y for y, _ in rows], np.float64))
+    model = fit([np.frombuffer(t, np.int64) for _, t in rows], np.array([y for y, _ in rows], np.float64))
+    del got, seen, rows
+    release_memory()
+    return model
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -173,7 +176,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep:
 
     schema = StructType([*[StructField(f"_k{i}", f.dataType) for i, f in enumerate(fields)], StructField("_score", DoubleType())])
     base = docs.select(*[F.col(f"`{f.name}`").alias(f"_k{i}") for i, f in enumerate(fields)], text_of(f"`{text_col}`").alias("_text"))
-    return base.mapInArrow(run, schema).toDF(*[f.name for f in fields], "score")
+    return base.mapInArrow(tidy(run), schema).toDF(*[f.name for f in fields], "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

@@ -45,6 +45,29 @@ def spark_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system. Python workers outlive their tasks, so
+    what one operator's caches took would add to what the next needs."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A map over Arrow batches that gives its memory back when its task ends."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return wrapped
+
+
 # ---- survivor filters ------------------------------------------------------
 #
 # A set of keys of any size as a bitmap of 2**bits slots: its size is fixed
