@@ -53,10 +53,12 @@ register("j7_score_pairs", with_views(f"SELECT query_id, tenant_id, chunk_id, sc
 
 
 def _k14(spark, sf):
-    ch = V.chunks(tables(spark, sf))
+    t = tables(spark, sf)
+    ch = V.chunks(t)
     q = S.probe_queries(ch)
-    hits = S.search(q, ch, 3).withColumn("title", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string"))) \
-        .withColumn("content", F.concat(F.lit("text of chunk "), F.col("chunk_id").cast("string")))
+    # a vector stands for the first chunk of the document with its id
+    texts = V.docs(t).select(F.col("doc_id").alias("chunk_id"), "title", F.substring("content", 1, 800).alias("content"))
+    hits = S.search(q, ch, 3).join(texts, "chunk_id")
     ctx = S.build_context(q, hits, CONTEXT_THRESHOLD)
     return ctx.withColumn("sources", F.array_join("sources", "|"))
 
@@ -65,13 +67,13 @@ register("k14_build_context", with_views(f"""
 SELECT q.query_id, q.tenant_id,
   CASE WHEN count(f.chunk_id) > 0 THEN 'ok' ELSE 'no_match' END AS status,
   count(f.chunk_id) AS matches,
-  coalesce(string_agg('[' || CAST(f.pos AS VARCHAR) || '] text of chunk ' || CAST(f.chunk_id AS VARCHAR),
-                      chr(10) || '---' || chr(10) ORDER BY f.rank), '') AS context,
-  coalesce(string_agg('chunk ' || CAST(f.chunk_id AS VARCHAR), '|' ORDER BY f.rank), '') AS sources
+  coalesce(string_agg('[' || CAST(f.pos AS VARCHAR) || '] ' || f.chunk, chr(10) || '---' || chr(10) ORDER BY f.rank), '') AS context,
+  coalesce(string_agg(f.title, '|' ORDER BY f.rank), '') AS sources
 FROM q LEFT JOIN f ON f.query_id = q.query_id
 GROUP BY q.query_id, q.tenant_id
-""", "v_chunks", extra=dict(HITS, f=f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos
-                                      FROM h WHERE score >= {CONTEXT_THRESHOLD}""")))(_k14)
+""", "v_chunks", "v_docs", extra=dict(HITS, f=f"""SELECT h.*, d.title, substr(d.content, 1, 800) AS chunk,
+    row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS pos
+  FROM h JOIN v_docs d ON d.doc_id = h.chunk_id WHERE h.score >= {CONTEXT_THRESHOLD} AND d.content IS NOT NULL""")))(_k14)
 
 
 def _k6(spark, sf):
