@@ -6,7 +6,7 @@ probability Jaccard similarity of their sets,
 
     J_P(a, b) = sum_i 1 / sum_j max(a_j / a_i, b_j / b_i),
 
-is at least 0.8; for sets without repeats this is the Jaccard similarity. Groups are the connected components of the links.
+is at least 0.8; for sets without repeats this is the Jaccard similarity, taken as the exact quotient common / union. Groups are the connected components of the links.
 
 1. Documents with the same words are one class (a hash of the words); only one of them goes on.
 2. ProbMinHash: every shingle has a Poisson process whose rate is its weight; each arrival falls on
@@ -44,6 +44,7 @@ from .util import key_bitmap, mark_members, materialize, slices, text_of, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
+SLACK = 1e-9             # rounding of a sum of weights; sets without repeats are compared by an exact quotient
 BANDS, BAND_ROWS = 36, 5
 REGISTERS = BANDS * BAND_ROWS
 SMALL_BUCKET = 16
@@ -126,12 +127,19 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def flat(c1: np.ndarray, c2: np.ndarray) -> bool:
+    """No shingle of either set is repeated."""
+    return bool((c1 == 1).all() and (c2 == 1).all())
+
+
 def similarity(h1: np.ndarray, c1: np.ndarray, h2: np.ndarray, c2: np.ndarray) -> float:
     """Probability Jaccard of two weighted sets given as (sorted hashes, counts)."""
     if not len(h1) or not len(h2):
         return 0.0
-    a, b = weights(c1), weights(c2)
     _, i, j = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
+    if flat(c1, c2):
+        return len(i) / (len(h1) + len(h2) - len(i))
+    a, b = weights(c1), weights(c2)
     a_both, b_both = a[i], b[j]
     order = np.argsort(-(a_both / b_both), kind="stable")
     a_both, b_both = a_both[order], b_both[order]
@@ -141,6 +149,11 @@ def similarity(h1: np.ndarray, c1: np.ndarray, h2: np.ndarray, c2: np.ndarray) -
     return float((1 / (a_up / a_both + b_down / b_both)).sum())
 
 
+def linked(h1: np.ndarray, c1: np.ndarray, h2: np.ndarray, c2: np.ndarray, threshold: float) -> bool:
+    """The similarity is ``threshold`` or more."""
+    return similarity(h1, c1, h2, c2) >= (threshold if flat(c1, c2) else threshold - SLACK)
+
+
 def block_links(one: dict, two: dict, threshold: float) -> np.ndarray:
     """Links (rows of two ids) between the documents of two blocks that are in different components, as
     a forest. A block: ids, roots, ends (of each set), h, c; the same object twice for the pairs inside it.
@@ -174,7 +187,7 @@ def block_links(one: dict, two: dict, threshold: float) -> np.ndarray:
         value = np.minimum(by_a / total, by_b / total2)
         exact = flat2 & (total == n)                      # no repeats: by_a counts the common shingles
         value[exact] = by_a[exact] / (n + size2[exact] - by_a[exact])
-        may = (value >= threshold) & (two["roots"] != one["roots"][i])
+        may = (value >= np.where(exact, threshold, threshold - SLACK)) & (two["roots"] != one["roots"][i])
         if same:
             may[:i + 1] = False
         for j in np.flatnonzero(may):
@@ -182,7 +195,7 @@ def block_links(one: dict, two: dict, threshold: float) -> np.ndarray:
             if a == b:
                 continue
             to = slice(start2[j], two["ends"][j])
-            if exact[j] or similarity(one["h"][at], one["c"][at], two["h"][to], two["c"][to]) >= threshold:
+            if exact[j] or linked(one["h"][at], one["c"][at], two["h"][to], two["c"][to], threshold):
                 root[max(a, b)] = min(a, b)
                 out.append((int(one["ids"][i]), int(two["ids"][j])))
     return np.array(out, np.int64).reshape(-1, 2)
@@ -244,7 +257,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [similarity(*unpack(*x[:2]), *unpack(*x[2:])) >= threshold
+            ok = [linked(*unpack(*x[:2]), *unpack(*x[2:]), threshold)
                   for x in zip(*[(v.as_py() for v in batch.column(c)) for c in ("_h", "_c", "_h2", "_c2")])]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 

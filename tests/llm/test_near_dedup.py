@@ -108,6 +108,37 @@ def test_block_links_join_as_all_pairs_do():
     assert 2 < len(set(want.values())) < 40
 
 
+def pair_at(union):
+    """Two flat sets of shingles that share exactly four fifths of ``union``."""
+    common, h = union * 4 // 5, np.arange(union, dtype=np.uint64)
+    left = (union - common) // 2
+    return h[:common + left], np.concatenate([h[:common], h[common + left:]])
+
+
+def test_pairs_at_exactly_the_threshold_are_linked():
+    for union in range(5, 5001, 5):
+        a, b = pair_at(union)
+        one, two = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
+        assert N.similarity(a, one, b, two) == 0.8 and N.linked(a, one, b, two, 0.8), union
+        assert not N.linked(a[1:], one[1:], b, two, 0.8), union
+
+
+def test_weighted_pairs_at_exactly_the_threshold_are_linked_on_both_paths():
+    for union in range(5, 1001, 5):
+        a, b = pair_at(union)
+        one, two = np.full(len(a), 3), np.full(len(b), 3)             # every shingle as often: the weights cancel out
+        assert N.linked(a, one, b, two, 0.8), union
+        block = [{"ids": np.array([i]), "roots": np.array([i]), "ends": np.array([len(h)]), "h": h, "c": c.astype(np.uint32)} for i, h, c in ((0, a, one), (1, b, two))]
+        assert len(N.block_links(*block, 0.8)) == 1, union
+
+
+def test_a_text_with_two_words_changed_far_apart(spark):
+    words = ["w%d" % i for i in range(94)]
+    other = [w if i not in (20, 60) else "x%d" % i for i, w in enumerate(words)]          # 80 of 100 shingles
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert groups(df) == {1: 1, 2: 1}
+
+
 def groups(df, **kw):
     return {r.doc_id: r.class_id for r in N.near_dedup(df, **kw).collect()}
 
