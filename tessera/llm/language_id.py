@@ -7,7 +7,8 @@ classifier tells that language in training; a text whose bits lie outside the de
 radius of the chosen codeword and whose score is below ``MIN_SCORE`` is flagged as ambiguous.
 
 Training takes at most ``sample_docs`` labelled documents (whole texts), the same
-number of each language as far as there are, chosen by a hash of the id. Prediction reads
+number of each language as far as there are, chosen by a hash of the id; rows that repeat an id and a language count as
+one. Prediction reads
 every text whole, in one map without a shuffle.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and not
@@ -149,12 +150,20 @@ def sample_ids(labelled: DataFrame, id_col: str, label_col: str, n: int) -> list
     return [(r[0], r[1]) for r in ranked.orderBy("_rn", "_h", label_col).limit(n).select(id_col, label_col).collect()]
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, _text): one row per key, whose text is the same however the rows are dealt; one that isn't empty if there is any.
+    Rows of a key are combined in their own tasks first, so a repeated key is never gathered."""
+    best = F.max(F.struct((F.col("_text") != "").alias("_some"), F.xxhash64("_text").alias("_h"), "_text"))
+    return rows.groupBy(*keys).agg(best.alias("_best")).select(*keys, F.col("_best._text").alias("_text"))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
           folds: int = 5, held_out: int = 0, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Learns from documents with a language whose crc32(id) mod ``folds`` isn't ``held_out``."""
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_lang"), text_of(f"`{text_col}`").alias("_text"))
     known = base.filter(F.col("_lang").isNotNull() & (remainder("_id", folds) != held_out))
-    chosen = dict(sample_ids(known.select("_id", "_lang").distinct(), "_id", "_lang", sample_docs))
+    pairs = known.select("_id", "_lang").distinct()
+    chosen = sample_ids(pairs, "_id", "_lang", sample_docs)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +174,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
                     ["lang", "slots", "shares"])
 
     has_letter = F.col("_text").rlike(r"\p{L}")
-    got = known.filter(F.col("_id").isin(list(chosen)) & has_letter).select("_lang", "_text") \
-        .mapInArrow(features, "lang string, slots binary, shares binary").toArrow() if chosen else None
+    got = None
+    if chosen:
+        wanted = docs.sparkSession.createDataFrame(chosen, pairs.schema)      # at most sample_docs rows
+        some = known.filter(has_letter).join(F.broadcast(wanted), ["_id", "_lang"], "left_semi")
+        got = one_text(some, "_id", "_lang").select("_lang", "_text").mapInArrow(features, "lang string, slots binary, shares binary").toArrow()
     if got is None or not got.num_rows:
         return LanguageModel([], np.zeros((0, 0), np.float32), np.zeros((1 << DIM_BITS, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32))
-    rows = sorted(zip(*[got.column(c).to_pylist() for c in ("lang", "slots", "shares")]))[:2 * sample_docs]
+    rows = sorted(zip(*[got.column(c).to_pylist() for c in ("lang", "slots", "shares")]))
     x = np.zeros((len(rows), 1 << DIM_BITS), np.float32)
     for i, (_, slots, shares) in enumerate(rows):
         x[i, np.frombuffer(slots, np.uint16)] = np.frombuffer(shares, np.float32)

@@ -14,7 +14,7 @@ are, chosen by a hash of the id. Scoring reads every text whole, in one map with
 
 Defined cases: a text that is null, empty or has no word is scored by w0
 alone; labels that are null are ignored, of several labels of a document the largest counts; a
-document without an id is never learned from; if the sample lacks either label every score is the sample's
+document without an id is never learned from; of rows that repeat an id one is learned from; if the sample lacks either label every score is the sample's
 share of label 1 (0 for none); repeated rows give repeated rows; an empty table gives an empty result; other columns are never read.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .language_id import sample_ids
+from .language_id import one_text, sample_ids
 from .util import release_memory, remainder, slices, text_of, tidy
 
 SAMPLE_DOCS = 3000
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(got, pa.binary())], ["_id", "terms"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = base.filter(F.col("_id").isin(list(label))).mapInArrow(tidy(features), f"_id {kind}, terms binary").toArrow()
+    got = one_text(base.filter(F.col("_id").isin(list(label))), "_id").mapInArrow(tidy(features), f"_id {kind}, terms binary").toArrow()
     seen = {(label[i], t) for i, t in zip(got.column("_id").to_pylist(), got.column("terms").to_pylist())}   # copies count once
     rows = sorted(seen)
     model = fit([np.frombuffer(t, np.int64) for _, t in rows], np.array([y for y, _ in rows], np.float64))

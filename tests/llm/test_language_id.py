@@ -64,3 +64,14 @@ def test_sample_is_bounded_even_and_fixed(spark):
     again = L.sample_ids(rows.repartition(7), "id", "y", 300)
     n = {y: sum(1 for _, z in got if z == y) for y in ("rare", "tiny", "many")}
     assert got == again and len(got) == 300 and n["tiny"] == 18 and n["rare"] == n["many"] == 141
+
+
+def test_repeated_ids_leave_no_language_out(spark):
+    words = {"aa": "alpha apple amber", "zz": "zulu zebra zinc"}
+    rows = [(i, f"{words[x]} {k}", x, 1, 1) for n, x in enumerate(words) for i in range(100 * n, 100 * n + 40) for k in range(6)]
+    rows += [(7, f"hot alpha {k}", "aa", 1, 1) for k in range(500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    m = L.train(docs, sample_docs=20)
+    assert m.langs == ["aa", "zz"]
+    one = L.one_text(docs.drop("_text").withColumnRenamed("text", "_text"), "doc_id", "lang")
+    assert one.count() == 80 and sorted(one.collect()) == sorted(L.one_text(docs.repartition(5).drop("_text").withColumnRenamed("text", "_text"), "doc_id", "lang").collect())

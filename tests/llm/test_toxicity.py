@@ -61,3 +61,14 @@ def test_nulls_empty_one_label_and_clashing_names(spark):
     kept = T.drop_toxic(docs, T.train(docs, labels))
     assert kept.columns == docs.columns and kept.count() == 5
     assert T.toxicity(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
+    rows = [(i, f"{'foul' if i % 2 else 'fine'} t{i} {k}") for i in range(60) for k in range(6)] + [(3, f"foul t3 {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic").distinct()
+    sizes, fit = [], T.fit
+    monkeypatch.setattr(T, "fit", lambda texts, y, *a, **k: sizes.append(len(texts)) or fit(texts, y, *a, **k))
+    T.train(docs, labels, sample_docs=10)
+    T.train(docs, labels)
+    assert 0 < sizes[0] <= 10 and sizes[0] < sizes[1] <= 60
