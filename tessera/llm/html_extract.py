@@ -9,7 +9,8 @@ not, in a part named as boilerplate or not), so the counts that reach the driver
 pages are read with the same weights; a prior holds where nothing was counted.
 
 Inside the region, parts named as boilerplate (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles,
-comments of readers) are left out; character references are decoded, white space inside a block is one space, and blocks are
+comments of readers) are left out. A tag names its part; a class, id or role does unless its element holds the page's main part or first
+article (or, where neither is marked and only a part of the name is boilerplate, most of the page's words), and inside marked content only as a whole name; character references are decoded, white space inside a block is one space, and blocks are
 joined in page order by an empty line.
 
 Defined cases: null or empty html gives an empty text, as does a page without a word that scores; broken or unclosed markup
@@ -58,38 +59,70 @@ ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _names_boilerplate(name: str, attrs: str, in_content: bool) -> bool:
-    if name in ANCESTORS_KEPT:
-        return False
-    if name in BOILER_TAGS or (name == "header" and not in_content):
-        return True
+def _tag_is_boilerplate(name: str, in_content: bool) -> bool:
+    return name in BOILER_TAGS or (name == "header" and not in_content)
+
+
+def _names_boilerplate(attrs: str, in_content: bool) -> bool:
+    """A class, id or role names boilerplate: inside marked content as a whole name only, elsewhere also as a part of one."""
     if "=" not in attrs:
         return False
     for _, a, b, c in ATTR.findall(attrs):
-        for word in PART.findall(a or b or c):
+        value = a or b or c
+        for word in value.split() if in_content else PART.findall(value):
             word = word.lower()
             if word in BOILER_WORDS or (word == "header" and not in_content):
                 return True
     return False
 
 
+class Wrappers:
+    """What the elements hold that are named as boilerplate by their attributes (each by its place in the page)."""
+
+    def __init__(self):
+        self.total, self.words, self.whole, self.around = 0, Counter(), set(), {}
+
+    def spared(self) -> set[int]:
+        """Those that hold the page's main part or first article, or, on a page that marks neither, most of its words (if
+        the boilerplate is only a part of the name: an advert on a page of few words stays one)."""
+        if self.around:
+            return self.around.get("main", self.around.get("article", set())) | self.around.get("inner", set())
+        return {at for at, n in self.words.items() if 2 * n > self.total and at not in self.whole}
+
+
 def tokens(page: str) -> Iterator[tuple[str, str | None, bool, bool, bool]]:
     """(kind, text, boilerplate, in content as the page marks it, starts a block) of each tag (text is
     None) and each run of text, in page order."""
-    stack: list[tuple[str, bool]] = []       # (name, boilerplate)
+    found = Wrappers()
+    out = list(_walk(page, set(), found))
+    spared = found.spared()
+    return _walk(page, spared, Wrappers()) if spared else iter(out)
+
+
+def _walk(page: str, spared: set[int], found: Wrappers) -> Iterator[tuple[str, str | None, bool, bool, bool]]:
+    """The tokens, where the elements ``spared`` aren't boilerplate by their names."""
+    stack: list[tuple[str, bool, int]] = []       # (name, boilerplate, place if by its attributes, else -1)
+    named: list[int] = []
     boiler = content = links = 0
     at, fresh = 0, True
 
-    def pop(name: str, boil: bool) -> None:
+    def pop(name: str, boil: bool, place: int) -> None:
         nonlocal boiler, content, links
         boiler -= boil
+        if place >= 0:
+            named.pop()
         content -= name in LABEL_TAGS
         links -= name == "a"
 
     def run(text: str):
         nonlocal fresh
-        block = next((n for n, _ in reversed(stack) if n not in INLINE), "body")
+        block = next((n for n, *_ in reversed(stack) if n not in INLINE), "body")
         kind = f"w:{block if block in BLOCK else 'other'}:{'a' if links else ''}:{'b' if boiler else ''}"
+        if boiler == len(named):                  # in no part whose tag is boilerplate
+            n = len(text.split())
+            found.total += n
+            for place in named:
+                found.words[place] += n
         token = (kind, text, boiler > 0, content > 0, fresh)
         fresh = False
         return token
@@ -124,9 +157,19 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, bool, bool, bool]]:
                     break
                 if stack[i][0] in BLOCK and stack[i][0] != "p":
                     break
-        boil = _names_boilerplate(name, m["attrs"], content > 0)
+        by_name = boil = False
+        if name not in ANCESTORS_KEPT:
+            boil = _tag_is_boilerplate(name, content > 0)
+            by_name = not boil and m.start() not in spared and _names_boilerplate(m["attrs"], content > 0)
+            boil |= by_name
         if name not in VOID and not m["attrs"].endswith("/"):
-            stack.append((name, boil))
+            if name in LABEL_TAGS and boiler == len(named):
+                found.around.setdefault("inner" if name == "article" and content else name, set(named))
+            stack.append((name, boil, m.start() if by_name else -1))
+            if by_name:
+                named.append(m.start())
+                if _names_boilerplate(m["attrs"], True):
+                    found.whole.add(m.start())
             boiler += boil
             content += name in LABEL_TAGS
             links += name == "a"

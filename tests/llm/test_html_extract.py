@@ -64,3 +64,22 @@ def test_nulls_repeats_clashes_empty_table(spark):
     pages = spark.createDataFrame([(1, "u", None, 5), (2, None, "<p>a b</p>", 6), (2, None, "<p>a b</p>", 6)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in H.extract(pages).collect()) == [(1, "", 0), (2, "a b", 3), (2, "a b", 3)]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+LAYOUTS = ["layout has-sidebar", "no-sidebar", "content-sidebar-wrap", "with-comments", "nav-open"]
+
+
+def test_layout_wrappers_hide_nothing():
+    body = "<h1>A title here</h1><p>One two three four five.</p><p>Six seven eight nine ten.</p>"
+    want = "A title here\n\nOne two three four five.\n\nSix seven eight nine ten."
+    side = '<div class="sidebar"><p>More stories</p></div>'
+    for name in LAYOUTS:
+        assert H.main_text(f'<body><div class="{name}"><article>{body}</article>{side}</div></body>', {}) == want
+        assert H.main_text(f'<body><div class="{name}"><main><div class="{name}"><article>{body}</article></div></main>{side}</div></body>', {}) == want
+        assert H.main_text(f'<body><div class="{name}">{body}{side}</div></body>', {}) == want
+
+
+def test_sections_of_an_article_are_kept_unless_a_whole_name_is_boilerplate():
+    for name in ("related-work", "share-price", "search-results"):
+        page = f'<article><p>First words of it.</p><section class="{name}"><p>These words stay.</p></section><div class="share">Share it now</div><p>Last words of it end here.</p></article>'
+        assert H.main_text(page, {}) == "First words of it.\n\nThese words stay.\n\nLast words of it end here."
