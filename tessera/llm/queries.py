@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, html_extract, language_id, lm_score, near_dedup, packing, toxicity
+from . import bpe, embedding_dedup, html_extract, language_id, lm_score, merkle, near_dedup, packing, toxicity
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -60,3 +60,8 @@ def op6_embedding_dedup(spark, sf_dir):
 @register("op2_near_dedup")
 def op2_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
+@register("op13_merkle_manifest")
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
