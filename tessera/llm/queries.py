@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, html_extract, language_id, lm_score, merkle, near_dedup, packing, toxicity
+from . import bpe, embedding_dedup, html_extract, language_id, line_dedup, lm_score, merkle, near_dedup, packing, toxicity
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -65,3 +65,9 @@ def op2_near_dedup(spark, sf_dir):
 @register("op13_merkle_manifest")
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+@register("op12_line_dedup", line_dedup.ORACLE_SQL)
+def op12_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.drop_lines(docs, line_dedup.line_bitmaps(docs), digest=True)
