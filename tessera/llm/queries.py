@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, html_extract, language_id, line_dedup, lm_score, merkle, near_dedup, packing, toxicity
+from . import bpe, conversation_repair, embedding_dedup, html_extract, language_id, line_dedup, lm_score, merkle, near_dedup, packing, toxicity
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -71,3 +71,9 @@ def op13_merkle_manifest(spark, sf_dir):
 def op12_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return line_dedup.drop_lines(docs, line_dedup.line_bitmaps(docs), digest=True)
+
+
+@register("op11_conversation_repair")
+def op11_conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(turns), ids=turns)
