@@ -1,15 +1,16 @@
 """Fixed values of the licence scan: public licence texts and notices, and
 equivalent spellings."""
 
-# Spellings taken as equal, as canonical words between spaces.
+# Spellings taken as equal, word for word.
 SPELLINGS = [
-    ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
-    ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("authorised", "authorized"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencee", "licensee"), ("sublicence", "sublicense"),
+    ("sub license", "sublicense"), ("non infringement", "noninfringement"),
+    ("acknowledgement", "acknowledgment"), ("acknowledgements", "acknowledgments"), ("authorisation", "authorization"), ("authorised", "authorized"),
     ("behaviour", "behavior"), ("cancelled", "canceled"), ("centre", "center"), ("colour", "color"), ("favour", "favor"),
     ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelled", "labeled"),
-    ("organisation", "organization"), ("organise", "organize"), ("programme ", "program "), ("realise", "realize"),
+    ("organisation", "organization"), ("organisations", "organizations"), ("organise", "organize"), ("programme", "program"), ("realise", "realize"),
     ("recognise", "recognize"), ("utilise", "utilize"), ("whilst", "while"), ("wilful", "willful"),
-    (" copyright owner ", " copyright holder "), (" http ", " https "),
+    ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("http", "https"),
 ]
 
 _WARRANTY = (
@@ -75,3 +76,20 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 ]
+
+# Digests of the canonical forms of long public licences, as published in plain text.
+DIGESTS = [
+    ("Apache-2.0", "4db164cc277b72e3d03f4161513c53b32de1cf3a402162a025e00d038383a74f"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"),
+    ("GFDL-1.3", "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    ("MPL-2.0", "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13"),
+]

@@ -19,7 +19,7 @@ def op5_exact_dedup(spark, sf_dir):
 
 @register("op10_license_scan", lic.oracle_sql())
 def op10_license_scan(spark, sf_dir):
-    return lic.license_scan(table(spark, sf_dir, "documents"), lic.known_licenses(spark))
+    return lic.license_scan(table(spark, sf_dir, "documents"), lic.known_licenses(spark), fixed=lic.license_texts.DIGESTS)
 
 
 @register("op3_packing")
