@@ -3,8 +3,11 @@
 Each language has a codeword of +1/-1 bits. One linear classifier per bit is
 trained over hashed byte n-grams (logistic loss, numpy). A text's margins are
 decoded to the codeword with the smallest loss, each bit weighted by how well its
-classifier tells that language in training; a text whose bits lie outside the decoding
-radius of the chosen codeword and whose score is below ``MIN_SCORE`` is flagged as ambiguous.
+classifier tells that language in training. A text's distance from its codeword
+counts a bit 0 where its margin is as large as usual in training, a half at zero
+margin and 1 where it is as large on the wrong side. From (d - 1) / 2 on, d the smallest distance of
+the code, the second codeword may be as near and the text is flagged as ambiguous. Texts in a language or script
+that was never learned have small margins and lie outside.
 
 Training takes at most ``sample_docs`` labelled documents (whole texts), the same
 number of each language as far as there are, chosen by a hash of the id; rows that repeat an id and a language count as
@@ -35,7 +38,6 @@ from .util import release_memory, remainder, slices, text_of, tidy
 DIM_BITS = 13
 ORDERS = (2, 3, 4)
 SAMPLE_DOCS = 1000
-MIN_SCORE = 0.5
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -90,6 +92,7 @@ class LanguageModel:
     weights: np.ndarray       # slots x bits
     bias: np.ndarray
     trust: np.ndarray         # languages x bits, rows sum to the number of bits
+    usual: np.ndarray | float = 1.0         # median margin of each bit in training
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language index, score, ambiguous) per row of margins."""
@@ -97,8 +100,11 @@ class LanguageModel:
         best = loss.argmin(1)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         score = 1 / p.sum(1)
-        off = (np.where(margins >= 0, 1, -1) != self.code[best]).sum(1)
-        return best, score, (off > max(0, (min_distance(self.code) - 1) // 2)) & (score < MIN_SCORE)
+        return best, score, self.distance(margins, best) >= max(0.375, (min_distance(self.code) - 1) / 2)
+
+    def distance(self, margins: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Distance in bits from the codeword, by the size of the margins."""
+        return np.clip(1 - self.code[word] * margins / self.usual, 0, 2).sum(1) / 2
 
     def margins(self, features: np.ndarray) -> np.ndarray:
         return features @ self.weights + self.bias
@@ -129,11 +135,12 @@ def fit(features: np.ndarray, labels: list[str], steps: int = 120, rate: float =
             r += 0.1 * (q - r)
             s += 0.001 * (q * q - s)
             p -= rate * (r / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.999 ** t)) + 1e-6)
-    right = ((x @ w + bias) * target > 0)
-    trust = np.stack([right[y == k].mean(0) for k in range(len(langs))])
+    agrees = (x @ w + bias) * target
+    trust = np.stack([(agrees[y == k] > 0).mean(0) for k in range(len(langs))])
     trust = np.maximum(trust - 0.5, 0.01)
     trust *= code.shape[1] / trust.sum(1, keepdims=True)
-    return LanguageModel(langs, code, (w * scale[:, None]).astype(np.float32), bias, trust.astype(np.float32))
+    usual = np.maximum(np.median(agrees, axis=0), 1e-6)
+    return LanguageModel(langs, code, (w * scale[:, None]).astype(np.float32), bias, trust.astype(np.float32), usual.astype(np.float32))
 
 
 def sample_ids(labelled: DataFrame, id_col: str, label_col: str, n: int) -> list:

@@ -75,3 +75,37 @@ def test_repeated_ids_leave_no_language_out(spark):
     assert m.langs == ["aa", "zz"]
     one = L.one_text(docs.drop("_text").withColumnRenamed("text", "_text"), "doc_id", "lang")
     assert one.count() == 80 and sorted(one.collect()) == sorted(L.one_text(docs.repartition(5).drop("_text").withColumnRenamed("text", "_text"), "doc_id", "lang").collect())
+
+
+UNSEEN = ["Это обычное русское предложение о погоде и природе.", "Αυτή είναι μια απλή ελληνική πρόταση για τον καιρό.", "これは日本語の文章です。今日は天気がいいですね。",
+          "这是一个简单的中文句子，今天天气很好。", "هذه جملة عربية بسيطة عن الطقس", "이것은 간단한 한국어 문장입니다", "यह मौसम के बारे में एक सरल वाक्य है"]
+
+
+def test_unseen_scripts_and_random_letters_are_flagged_and_clean_documents_are_not(spark):
+    import random
+    from tessera.llm.util import table
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    model = L.train(docs)
+    rnd = random.Random(4)
+    noise = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rnd.randrange(40, 600))) for _ in range(300)]
+    strange = spark.createDataFrame([(i, t * k, None) for i, t in enumerate(noise + UNSEEN) for k in (1, 4)], "doc_id long, text string, lang string")
+    flagged = [r.ambiguous for r in L.identify(strange, model).collect()]
+    assert np.mean(flagged) >= 0.9 and np.mean(flagged[-2 * len(UNSEEN):]) >= 0.9
+    clean = L.identify(docs, model).collect()
+    assert np.mean([r.ambiguous for r in clean]) <= 0.02
+    both = docs.unionByName(strange)
+    kept = L.keep_identified(both, model)
+    assert kept.count() <= docs.count() + 0.1 * strange.count() and kept.count() >= 0.98 * docs.count()
+
+
+def test_distance_counts_margins_against_the_usual_ones():
+    code = L.code_matrix(4)                      # distance 4: flagged from 1.5 bits on
+    m = L.LanguageModel(list("abcd"), code, np.zeros((1, 7)), np.zeros(7), np.ones(code.shape), np.full(7, 2.0))
+    margins = np.repeat(2 * code[:1], 6, 0)
+    margins[1, :2] = 0
+    margins[2, :3] = 0
+    margins[3, 0] *= -1
+    margins[4, 0], margins[4, 1] = -margins[4, 0], 0
+    margins[5] *= 0.25
+    assert m.distance(margins, np.zeros(6, int)).tolist() == [0, 1, 1.5, 1, 1.5, 2.625]
+    assert m.decode(margins)[2].tolist() == [False, False, True, False, True, True]
