@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import kb_search as S
+from ..operators import vector_index as I
+from ..operators.common import materialize
+from ..session import shared_path
 from .registry import V, register, tables, with_views
 
 CONTEXT_THRESHOLD = 0.25
@@ -103,39 +108,49 @@ SELECT chunk_id, tenant_id, array_to_string(p, ',') AS problems, len(p) = 0 AS v
 
 def _k15(spark, sf):
     ch = V.chunks(tables(spark, sf))
-    q = S.probe_queries(ch)
-    approx = S.approx_search(q, ch, 3)
-    exact = S.search(q, ch, 3)
-    rec = S.recall_at_k(approx, exact)
-    return approx.join(rec, "query_id", "left")
-
-
-def _lsh_sql(bands: int = 12, bits: int = 7, seed: int = 7, dim: int = 64) -> dict:
-    planes = S.lsh_planes(dim, bands, bits, seed)
-    lit = "[" + ", ".join("[" + ", ".join(repr(x) for x in p) + "]" for p in planes) + "]"
-    bit = " || ".join(
-        f"CASE WHEN list_dot_product(CAST(v AS DOUBLE[]), P[b * {bits} + {j + 1}]) >= 0 THEN '1' ELSE '0' END"
-        for j in range(bits))
-    return {
-        "pl": f"SELECT CAST('{lit}' AS DOUBLE[][]) AS P",
-        "cb": f"""SELECT chunk_id, tenant_id, embedding, CAST(b AS VARCHAR) || ':' || {bit} AS band FROM (
-                   SELECT chunk_id, tenant_id, embedding, embedding AS v, unnest(range(0, {bands})) AS b FROM v_chunks) x, pl""",
-        "qb": f"""SELECT query_id, tenant_id, query_vec, CAST(b AS VARCHAR) || ':' || {bit} AS band FROM (
-                   SELECT query_id, tenant_id, query_vec, query_vec AS v, unnest(range(0, {bands})) AS b FROM q) x, pl""",
-        "cand": """SELECT DISTINCT qb.query_id, qb.tenant_id, cb.chunk_id FROM qb JOIN cb
-                   ON cb.tenant_id = qb.tenant_id AND cb.band = qb.band""",
-        "ascored": f"""SELECT d.query_id, d.tenant_id, d.chunk_id, round({COS}, 4) + 0.0 AS score
-                   FROM cand d JOIN q ON q.query_id = d.query_id JOIN v_chunks c ON c.chunk_id = d.chunk_id""",
-        "ah": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-                 FROM ascored) WHERE rank <= 3""",
-        "rec": """SELECT h.query_id, avg(CASE WHEN a.chunk_id IS NULL THEN 0 ELSE 1 END) AS recall
-                  FROM h LEFT JOIN ah a ON a.query_id = h.query_id AND a.chunk_id = h.chunk_id GROUP BY h.query_id""",
+    q = materialize(S.probe_queries(ch))
+    model = I.fit_cells(ch)
+    index = I.write_index(ch, model, shared_path(spark, f"vector-index-{uuid.uuid4().hex}"))
+    approx = I.search_index(q, index, model, 3)
+    return approx.join(S.recall_at_k(approx, S.search(q, ch, 3)), "query_id", "left")
+
+
+def _index_sql(cells: int = I.CELLS, sample: int = I.SAMPLE, rounds: int = I.ROUNDS, margin: float = I.MARGIN) -> dict:
+    """The same index in SQL: whole-number codes, cells from the same sample by the same rounds."""
+    def code(v: str) -> str:
+        top = f"list_max(list_transform({v}, lambda x: abs(x)))"
+        return f"list_transform({v}, lambda x: floor(x * {I.LEVELS} / (CASE WHEN {top} > 0 THEN {top} ELSE 1 END) + 0.5))"
+
+    near = "list_dot_product(s.code, c.centre) / greatest(sqrt(list_dot_product(c.centre, c.centre)), 1e-300)"
+    ctes = {
+        "codes": f"SELECT chunk_id, tenant_id, {code('v')} AS code FROM (SELECT chunk_id, tenant_id, CAST(embedding AS DOUBLE[]) AS v FROM v_chunks WHERE embedding IS NOT NULL)",
+        "smp": f"SELECT * FROM codes WHERE len(code) > 0 ORDER BY md5(CAST(chunk_id AS VARCHAR)), chunk_id LIMIT {sample}",
+        "c0": f"SELECT row_number() OVER (ORDER BY md5(CAST(chunk_id AS VARCHAR)), chunk_id) - 1 AS cell, code AS centre FROM smp QUALIFY cell < {cells}",
     }
+    assigned = """SELECT * FROM (SELECT s.chunk_id, s.tenant_id, s.code, c.cell, row_number() OVER (PARTITION BY s.chunk_id ORDER BY {near} DESC, c.cell) AS o
+                  FROM {rows} s, {centres} c) WHERE o = 1"""
+    for r in range(rounds):
+        ctes[f"a{r}"] = assigned.format(near=near, rows="smp", centres=f"c{r}")
+        ctes[f"s{r}"] = f"""SELECT cell, list(x ORDER BY i) AS centre FROM (
+            SELECT cell, i, sum(x) AS x FROM (SELECT cell, unnest(code) AS x, unnest(range(len(code))) AS i FROM a{r}) GROUP BY cell, i) GROUP BY cell"""
+        ctes[f"c{r + 1}"] = f"SELECT c.cell, coalesce(s.centre, c.centre) AS centre FROM c{r} c LEFT JOIN s{r} s ON s.cell = c.cell"
+    last = f"c{rounds}"
+    ctes["idx"] = assigned.format(near=near, rows="codes", centres=last)
+    ctes["qc"] = f"SELECT query_id, tenant_id, {code('v')} AS code FROM (SELECT query_id, tenant_id, CAST(query_vec AS DOUBLE[]) AS v FROM q)"
+    ctes["sims"] = f"""SELECT s.query_id, s.tenant_id, c.cell,
+        {near} / (CASE WHEN list_dot_product(s.code, s.code) > 0 THEN sqrt(list_dot_product(s.code, s.code)) ELSE 1 END) AS sim FROM qc s, {last} c"""
+    ctes["probes"] = f"SELECT query_id, tenant_id, cell FROM (SELECT *, max(sim) OVER (PARTITION BY query_id) AS best FROM sims) WHERE sim >= best - {margin}"
+    ctes["ascored"] = f"""SELECT q.query_id, q.tenant_id, c.chunk_id, round({COS}, 4) + 0.0 AS score
+        FROM probes p JOIN idx ON idx.tenant_id = p.tenant_id AND idx.cell = p.cell JOIN q ON q.query_id = p.query_id JOIN v_chunks c ON c.chunk_id = idx.chunk_id"""
+    ctes["ah"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ascored) WHERE rank <= 3"""
+    ctes["rec"] = """SELECT h.query_id, avg(CASE WHEN a.chunk_id IS NULL THEN 0 ELSE 1 END) AS recall
+        FROM h LEFT JOIN ah a ON a.query_id = h.query_id AND a.chunk_id = h.chunk_id GROUP BY h.query_id"""
+    return ctes
 
 
 register("k15_approx_search", with_views("""
 SELECT a.query_id, a.tenant_id, a.chunk_id, a.score, a.rank, r.recall FROM ah a LEFT JOIN rec r ON r.query_id = a.query_id
-""", "v_chunks", extra=dict(HITS, **_lsh_sql())))(_k15)
+""", "v_chunks", extra=dict(HITS, **_index_sql())))(_k15)
 
 
 def _k16(spark, sf):
