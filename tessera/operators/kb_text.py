@@ -267,20 +267,15 @@ def build_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
 
 
 # K12 ----------------------------------------------------------------------
-def keyword_search(queries: DataFrame, docs: DataFrame | None, k: int = 8, k1: float = 1.2, b: float = 0.75,
-                   id_col: str = "doc_id", text_col: str = "content", postings: DataFrame | None = None) -> DataFrame:
-    """BM25 (Robertson/Sparck Jones idf with +1, k1, b) of each query
-    against the documents of its tenant, with that tenant's statistics;
-    distinct query terms; rank by score rounded to 6 places, then id.
-
-    Reads the stored index (``postings``, else K11 writes it from ``docs``:
-    each document is tokenised once). Equal questions of a tenant are scored
-    once. The postings of query terms are dealt by (tenant, hash block of
-    the document), so a document's score is complete inside its block, a
-    tenant of any size is many tasks, and a task ships k rows per question
-    to the ranking. No side is hinted; Spark broadcasts what is under its
+def bm25_scores(queries: DataFrame, post: DataFrame, ids: list[str], block_by: str,
+                k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """BM25 of every (question, item) that share a term, on stored postings of items named by ``ids``: the
+    questions (query_id, tenant_id, _q) and (tenant_id, _block, _q, ids, score).
+
+    Equal questions of a tenant are scored once. The postings of query terms are dealt by
+    (tenant, hash block of ``block_by``), so an item's score is complete inside its block and a
+    tenant of any size is many tasks. No side is hinted; Spark broadcasts what is under its
     byte threshold."""
-    post = postings if postings is not None else materialize(build_postings(docs, id_col, text_col))
     lengths = post.filter(F.col("term").isNull())
     stats = lengths.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", "tenant_id", F.md5(F.coalesce("query_text", F.lit(""))).alias("_q"), "query_text")
@@ -292,14 +287,27 @@ def keyword_search(queries: DataFrame, docs: DataFrame | None, k: int = 8, k1: f
     idf = F.log(F.lit(1.0) + (n - df_ + F.lit(0.5)) / (df_ + F.lit(0.5)))
     weighted = lookup(terms.join(hit.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df")), ["tenant_id", "term"])
                       .join(stats, "tenant_id").select("tenant_id", "term", "_q", "avgdl", idf.alias("idf")))
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions") if docs is not None
-                 else post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = hit.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(blocks))).repartition("tenant_id", "_block")
+    blocks = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hit.withColumn("_block", F.pmod(F.xxhash64(block_by), F.lit(blocks))).repartition("tenant_id", "_block")
     w = F.col("idf") * tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    scored = dealt.join(weighted, ["tenant_id", "term"]).groupBy("tenant_id", "_block", "_q", id_col) \
+    scored = dealt.join(weighted, ["tenant_id", "term"]).groupBy("tenant_id", "_block", "_q", *ids) \
         .agg(F.round(F.sum(w), 6).alias("score"))
+    return asked.drop("query_text"), scored
+
+
+def keyword_search(queries: DataFrame, docs: DataFrame | None, k: int = 8, k1: float = 1.2, b: float = 0.75,
+                   id_col: str = "doc_id", text_col: str = "content", postings: DataFrame | None = None) -> DataFrame:
+    """BM25 (Robertson/Sparck Jones idf with +1, k1, b) of each query
+    against the documents of its tenant, with that tenant's statistics;
+    distinct query terms; rank by score rounded to 6 places, then id.
+
+    Reads the stored index (``postings``, else K11 writes it from ``docs``:
+    each document is tokenised once); a task ships k rows per question
+    to the ranking."""
+    post = postings if postings is not None else materialize(build_postings(docs, id_col, text_col))
+    asked, scored = bm25_scores(queries, post, [id_col], id_col, k1, b)
     best = top_k_per(scored, ["tenant_id", "_q"], [F.col("score").desc(), F.col(id_col)], k, rank_col="rank")
-    return asked.drop("query_text").join(best, ["tenant_id", "_q"]).select("query_id", "tenant_id", id_col, "score", "rank")
+    return asked.join(best, ["tenant_id", "_q"]).select("query_id", "tenant_id", id_col, "score", "rank")
 
 
 # K7 (offline baseline embedder) -------------------------------------------------

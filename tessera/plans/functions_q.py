@@ -18,7 +18,7 @@ from ..operators.kb_text import chunk_documents
 from ..sources import landing as L
 from . import landing_sql as LS
 from .kb_search_q import COS, HITS
-from .kb_text_q import CHUNKS_SQL, MOVED_SQL, _hash_sql, _moved
+from .kb_text_q import CHUNKS_SQL, MOVED_SQL, hash_sql, _moved
 from .registry import V, register, tables, with_views
 from .reports_q import QHITS, _qhits
 from .rules_q import E164_SQL
@@ -325,7 +325,7 @@ def _k7(spark, sf):
 register("k7_embed", with_views("""
 SELECT doc_id, tenant_id, CAST(embedding AS FLOAT[]) AS embedding, 'hashing-md5' AS model_name, 'v1' AS model_version
 FROM v_docs JOIN v_docs_v USING (doc_id)
-""", "v_docs", extra=_hash_sql("v_docs", "doc_id", "content")))(_k7)
+""", "v_docs", extra=hash_sql("v_docs", "doc_id", "content")))(_k7)
 
 
 def _k8(spark, sf):
@@ -342,4 +342,4 @@ def _k8(spark, sf):
 register("k8_reembed", with_views("""
 SELECT doc_id, tenant_id, CAST(embedding AS FLOAT[]) AS embedding, 'hashing-md5' AS model_name, 'v2' AS model_version
 FROM v_docs JOIN v_docs_v USING (doc_id)
-""", "v_docs", extra=_hash_sql("v_docs", "doc_id", "content")))(_k8)
+""", "v_docs", extra=hash_sql("v_docs", "doc_id", "content")))(_k8)

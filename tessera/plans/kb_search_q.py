@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import kb_search as S
+from ..operators import kb_text as K
+from ..operators import passages as P
 from ..operators import vector_index as I
+from ..operators import vector_store as VS
 from ..operators.common import materialize
 from ..session import shared_path
+from .kb_text_q import CHUNKS_SQL, hash_sql
 from .registry import V, register, tables, with_views
 
 CONTEXT_THRESHOLD = 0.25
@@ -57,28 +62,48 @@ register("j7_score_pairs", with_views(f"SELECT query_id, tenant_id, chunk_id, sc
                                       extra={k: HITS[k] for k in ("pp", "q", "s")}))(_j7)
 
 
+def question_vectors(t) -> DataFrame:
+    return K.hash_embed(V.eval_questions(t), ["query_id", "tenant_id"], "query_text", 64).withColumnRenamed("embedding", "query_vec")
+
+
+def passage_hits(spark, t, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The evaluation questions and, for each, the best chunks of its tenant's whole documents by their stored vectors."""
+    chunks = P.passages(V.docs(t))
+    store = shared_path(spark, f"vectors-{uuid.uuid4().hex}")
+    vecs = VS.refresh(chunks, store, VS.hash_embedder(), "hash", "1", text_col="chunk")
+    q = materialize(question_vectors(t))
+    hits = S.search(q, VS.with_vectors(chunks, vecs, text_col="chunk"), k, keep=("doc_id", "chunk_no"))
+    return q, hits
+
+
 def _k14(spark, sf):
     t = tables(spark, sf)
-    ch = V.chunks(t)
-    q = S.probe_queries(ch)
-    # a vector stands for the first chunk of the document with its id
-    texts = V.docs(t).select(F.col("doc_id").alias("chunk_id"), "title", F.substring("content", 1, 800).alias("content"))
-    hits = S.search(q, ch, 3).join(texts, "chunk_id")
-    ctx = S.build_context(q, hits, CONTEXT_THRESHOLD)
+    q, hits = passage_hits(spark, t)
+    texts = P.passage_texts(hits, V.docs(t)).withColumnRenamed("chunk", "content")
+    ctx = S.build_context(q, texts, CONTEXT_THRESHOLD)
     return ctx.withColumn("sources", F.array_join("sources", "|"))
 
 
+PASSAGES = dict({
+    "ch": CHUNKS_SQL,
+    "pas": "SELECT *, CAST(doc_id AS VARCHAR) || ':' || lpad(CAST(chunk_no AS VARCHAR), 8, '0') AS chunk_id FROM ch",
+}, **hash_sql("pas", "chunk_id", "chunk"), **hash_sql("v_eval", "query_id", "query_text"))
+PASSAGES["ps"] = f"""SELECT e.query_id, e.tenant_id, p.doc_id, p.chunk_no, p.chunk_id, p.chunk, round({COS}, 4) + 0.0 AS score
+    FROM v_eval e JOIN (SELECT query_id, embedding AS query_vec FROM v_eval_v) q ON q.query_id = e.query_id
+    JOIN pas p ON p.tenant_id = e.tenant_id JOIN pas_v c ON c.chunk_id = p.chunk_id"""
+PASSAGES["ph"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ps) WHERE rank <= 3"""
+
 register("k14_build_context", with_views(f"""
 SELECT q.query_id, q.tenant_id,
   CASE WHEN count(f.chunk_id) > 0 THEN 'ok' ELSE 'no_match' END AS status,
   count(f.chunk_id) AS matches,
   coalesce(string_agg('[' || CAST(f.pos AS VARCHAR) || '] ' || f.chunk, chr(10) || '---' || chr(10) ORDER BY f.rank), '') AS context,
   coalesce(string_agg(f.title, '|' ORDER BY f.rank), '') AS sources
-FROM q LEFT JOIN f ON f.query_id = q.query_id
+FROM v_eval q LEFT JOIN f ON f.query_id = q.query_id
 GROUP BY q.query_id, q.tenant_id
-""", "v_chunks", "v_docs", extra=dict(HITS, f=f"""SELECT h.*, d.title, substr(d.content, 1, 800) AS chunk,
+""", "v_docs", "v_eval", extra=dict(PASSAGES, f=f"""SELECT h.*, d.title,
     row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS pos
-  FROM h JOIN v_docs d ON d.doc_id = h.chunk_id WHERE h.score >= {CONTEXT_THRESHOLD} AND d.content IS NOT NULL""")))(_k14)
+  FROM ph h JOIN v_docs d ON d.doc_id = h.doc_id WHERE h.score >= {CONTEXT_THRESHOLD}""")))(_k14)
 
 
 def _k6(spark, sf):
@@ -153,21 +178,39 @@ SELECT a.query_id, a.tenant_id, a.chunk_id, a.score, a.rank, r.recall FROM ah a
 """, "v_chunks", extra=dict(HITS, **_index_sql())))(_k15)
 
 
+def caller_turns(t) -> DataFrame:
+    """What callers said, each as a question to its tenant's documents."""
+    return V.turns(t).filter(F.col("role") == "caller").select(
+        (F.col("call_id") * 100 + F.col("turn_no")).alias("query_id"), "call_id", "turn_no", "tenant_id", F.col("content").alias("query_text"))
+
+
 def _k16(spark, sf):
-    ch = V.chunks(tables(spark, sf))
-    q = S.probe_queries(ch)
-    log = S.log_retrieval(q.select("query_id", "tenant_id"), S.search(q, ch, 3), CONTEXT_THRESHOLD)
-    return log.select("query_id", "tenant_id",
-                      F.array_join(F.transform("citations", lambda x: x["chunk_id"].cast("string")), ",")
-                       .alias("cited_chunks"),
+    t = tables(spark, sf)
+    asked = caller_turns(t)
+    vecs = K.hash_embed(asked, ["query_id", "tenant_id"], "query_text", 64).withColumnRenamed("embedding", "query_vec")
+    chunks = P.passages(V.docs(t))
+    store = VS.refresh(chunks, shared_path(spark, f"vectors-{uuid.uuid4().hex}"), VS.hash_embedder(), "hash", "1", text_col="chunk")
+    hits = S.search(materialize(vecs), VS.with_vectors(chunks, store, text_col="chunk"), 3)
+    log = S.log_retrieval(asked.drop("query_text"), hits, CITED_FROM)
+    return log.select("query_id", "call_id", "turn_no", "tenant_id",
+                      F.array_join(F.transform("citations", lambda x: F.concat_ws("=", x["chunk_id"], x["score"].cast("string"))), ",").alias("citations"),
                       "best_score", "context_used", "escalate")
 
 
+CITED_FROM = 0.5
+CALLERS = dict({
+    "ch": CHUNKS_SQL,
+    "pas": PASSAGES["pas"],
+    "qs": "SELECT call_id * 100 + turn_no AS query_id, call_id, turn_no, tenant_id, content AS query_text FROM v_turns WHERE role = 'caller'",
+}, **hash_sql("pas", "chunk_id", "chunk"), **hash_sql("qs", "query_id", "query_text"))
+CALLERS["ps"] = PASSAGES["ps"].replace("v_eval_v", "qs_v").replace("v_eval", "qs")
+CALLERS["h"] = PASSAGES["ph"]
+
 register("k16_log_retrieval", with_views(f"""
-SELECT q.query_id, q.tenant_id,
-  coalesce(string_agg(CAST(h.chunk_id AS VARCHAR), ',' ORDER BY h.rank), '') AS cited_chunks,
+SELECT q.query_id, q.call_id, q.turn_no, q.tenant_id,
+  coalesce(string_agg(h.chunk_id || '=' || CAST(h.score AS VARCHAR), ',' ORDER BY h.rank), '') AS citations,
   max(h.score) AS best_score,
-  coalesce(max(h.score) >= {CONTEXT_THRESHOLD}, false) AS context_used,
-  NOT coalesce(max(h.score) >= {CONTEXT_THRESHOLD}, false) AS escalate
-FROM q LEFT JOIN h ON h.query_id = q.query_id GROUP BY q.query_id, q.tenant_id
-""", "v_chunks", extra=HITS))(_k16)
+  coalesce(max(h.score) >= {CITED_FROM}, false) AS context_used,
+  NOT coalesce(max(h.score) >= {CITED_FROM}, false) AS escalate
+FROM qs q LEFT JOIN h ON h.query_id = q.query_id GROUP BY ALL
+""", "v_docs", "v_turns", extra=CALLERS))(_k16)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import kb_text as K
+from ..operators import vector_store as VS
+from ..operators.common import materialize
+from ..session import shared_path
 from .registry import V, register, tables, with_views
 
 TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
@@ -262,7 +267,7 @@ register("k12_keyword_search", with_views("SELECT query_id, tenant_id, doc_id, s
                                           "v_docs", "v_eval", extra=BM25))(lambda spark, sf: _kw(tables(spark, sf)))
 
 
-def _hash_sql(src: str, idc: str, textc: str) -> dict:
+def hash_sql(src: str, idc: str, textc: str) -> dict:
     return {
         f"{src}_b": f"""SELECT {idc}, CAST(CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64 AS INTEGER) AS bucket,
                           sum(CASE WHEN CAST(('0x' || substr(md5(tok), 9, 1)) AS INTEGER) < 8 THEN 1 ELSE -1 END) AS v
@@ -275,7 +280,7 @@ def _hash_sql(src: str, idc: str, textc: str) -> dict:
     }
 
 
-VEC = dict(_hash_sql("v_docs", "doc_id", "content"), **_hash_sql("v_eval", "query_id", "query_text"))
+VEC = dict(hash_sql("v_docs", "doc_id", "content"), **hash_sql("v_eval", "query_id", "query_text"))
 VEC.update({
     "vs": """SELECT q.query_id, d.tenant_id, d.doc_id, round(
                list_dot_product(qv.embedding, dv.embedding) /
@@ -295,17 +300,43 @@ def _k7(spark, sf):
 
 
 register("k7_hash_embed", with_views("SELECT doc_id, embedding FROM v_docs_v", "v_docs",
-                                     extra=_hash_sql("v_docs", "doc_id", "content")))(_k7)
+                                     extra=hash_sql("v_docs", "doc_id", "content")))(_k7)
 
 
-def _vh(t):
+def vector_hits(t, store: str, k: int = 8):
+    """The evaluation questions searched in the stored vectors of the documents; texts without a vector get one first."""
+    d = V.docs(t)
+    vecs = VS.refresh(d, store, VS.hash_embedder(), "hash", "1")
     qv = K.hash_embed(V.eval_questions(t), ["query_id", "tenant_id"], "query_text", 64).withColumnRenamed("embedding", "query_vec")
-    return K.vector_search_docs(qv, K.hash_embed(V.docs(t), ["doc_id", "tenant_id"], "content", 64), 8)
+    return K.vector_search_docs(qv, VS.with_vectors(d.select("doc_id", "tenant_id", "content"), vecs), k)
+
+
+def new_store(spark) -> str:
+    return shared_path(spark, f"vectors-{uuid.uuid4().hex}")
 
 
 def _k13(spark, sf):
     t = tables(spark, sf)
-    return K.hybrid_search(_vh(t), _kw(t), 8)
+    return K.hybrid_search(vector_hits(t, new_store(spark)), _kw(t), 8)
+
+
+def _k8_refresh(spark, sf):
+    """The store after the corpus has moved on: which documents found their vector there."""
+    t = tables(spark, sf)
+    store = new_store(spark)
+    VS.refresh(V.docs(t), store, VS.hash_embedder(), "hash", "1")
+    now = _moved(V.docs(t)).select("doc_id", "content")
+    lacking = VS.missing(now, store, "hash", "1").select("content_key", F.lit(False).alias("_stored"))
+    before = materialize(now.select("doc_id", VS.key_of("content").alias("content_key")).join(lacking, "content_key", "left")
+                         .select("doc_id", F.coalesce("_stored", F.lit(True)).alias("reused")))
+    vecs = VS.refresh(now, store, VS.hash_embedder(), "hash", "1")
+    return VS.with_vectors(now, vecs).join(before, "doc_id").select("doc_id", "reused", "embedding")
+
+
+register("k8_refresh_vectors", with_views("""
+SELECT n.doc_id, n.key IN (SELECT sha256(coalesce(content, '')) FROM v_docs) AS reused, v.embedding
+FROM (SELECT doc_id, sha256(coalesce(content, '')) AS key FROM nd) n JOIN nd_v v ON v.doc_id = n.doc_id
+""", "v_docs", extra=dict({"nd": MOVED_SQL}, **hash_sql("nd", "doc_id", "content"))))(_k8_refresh)
 
 
 HYB = dict(BM25, **VEC)
@@ -323,7 +354,7 @@ def _k17(spark, sf):
     t = tables(spark, sf)
     q = V.eval_questions(t)
     expected = K.passage_matches(V.docs(t), q)
-    hits = K.hybrid_search(_vh(t), _kw(t), 8)
+    hits = K.hybrid_search(vector_hits(t, new_store(spark)), _kw(t), 8)
     return K.evaluate(hits, expected, q, 8)
 
 

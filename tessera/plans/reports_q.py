@@ -9,7 +9,7 @@ from ..operators import kb_text as K
 from ..operators import quality as Q
 from ..operators import reports as RP
 from ..operators.common import latest, top_k_per
-from .kb_text_q import BM25
+from .kb_text_q import BM25, CHUNKS_SQL, tok
 from .registry import V, register, tables, with_views
 
 # Fixed values of the cost model used by the reports (our parameters; the
@@ -94,6 +94,26 @@ QHITS["qt"] = BM25["qt"].replace("FROM v_eval", "FROM qs")
 QHITS["kw"] = BM25["kw"].replace("rank <= 8", "rank <= 3")
 QHITS["best"] = "SELECT query_id, max(score) AS best FROM kw GROUP BY query_id"
 
+# The same questions searched by chunk: a document's score is that of its best chunk.
+QPASSAGES = {"qs": QS_SQL, "pch": CHUNKS_SQL}
+QPASSAGES.update({
+    "ptk": f"SELECT tenant_id, doc_id, chunk_no, unnest({tok('chunk')}) AS term FROM pch",
+    "ptf": "SELECT tenant_id, doc_id, chunk_no, term, count(*) AS tf FROM ptk GROUP BY ALL",
+    "pdl": f"SELECT tenant_id, doc_id, chunk_no, len({tok('chunk')}) AS dl FROM pch",
+    "pst": "SELECT tenant_id, count(*) AS n_docs, avg(dl) AS avgdl FROM pdl GROUP BY tenant_id",
+    "pdf": "SELECT tenant_id, term, count(*) AS df FROM ptf GROUP BY ALL",
+    "qt": BM25["qt"].replace("FROM v_eval", "FROM qs"),
+    "psc": """SELECT qt.query_id, qt.tenant_id, f.doc_id, f.chunk_no,
+               round(sum(ln(1 + (s.n_docs - d.df + 0.5) / (d.df + 0.5)) * f.tf * 2.2
+                         / (f.tf + 1.2 * (0.25 + 0.75 * l.dl / s.avgdl))), 6) AS score
+             FROM qt JOIN pdf d USING (tenant_id, term) JOIN pst s USING (tenant_id)
+               JOIN ptf f USING (tenant_id, term) JOIN pdl l ON l.doc_id = f.doc_id AND l.chunk_no = f.chunk_no
+             GROUP BY ALL""",
+    "pbest": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+               SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_no) AS o FROM psc) WHERE o = 1)
+             WHERE rank <= 3""",
+})
+
 
 def _questions(t):
     turns = V.turns(t)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import content_key
 from ..operators import kb_text as K
+from ..operators import passages as P
 from ..operators import reports as RP
 from ..operators import requests as R
 from ..operators import rules as RU
@@ -17,7 +18,7 @@ from ..operators.common import latest
 from ..sources import landing as L
 from .records_q import ROUTED
 from .registry import V, register, tables, with_views
-from .reports_q import LATEST_CFG, QHITS, _questions
+from .reports_q import LATEST_CFG, QHITS, QPASSAGES, _questions
 
 NOTIFY_AS_OF = dt.datetime(2024, 1, 15)
 REMIND_AS_OF = dt.datetime(1998, 6, 1)
@@ -293,9 +294,8 @@ SEC_SQL = "SELECT * FROM (VALUES " + ", ".join(
 def _p8(spark, sf):
     t = tables(spark, sf)
     q = _questions(t)
-    # the first chunk of each of the best documents, with its source
-    chunks = K.chunk_documents(V.docs(t)).filter(F.col("chunk_no") == 0).select("doc_id", "chunk")
-    hits = K.keyword_search(q, V.docs(t), 3).join(chunks, "doc_id").join(V.docs(t).select("doc_id", "source"), "doc_id")
+    # the chunk that matched best in each of the best documents, with its source
+    hits = P.passage_texts(P.search_passages(q, V.docs(t), 3), V.docs(t), keep=("source",))
     line = F.struct("rank", F.concat("chunk", F.lit(" (source: "), "source", F.lit(")")).alias("text"))
     ctx = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(line)).alias("h")).select(
         "query_id", F.array_join(F.transform("h", lambda x: F.concat(F.lit("["), x["rank"].cast("string"),
@@ -311,15 +311,16 @@ SELECT q.query_id, q.tenant_id, concat_ws(chr(10) || chr(10),
   'RULES: ' || coalesce(sec.safety, '') || ' Tone: ' || coalesce(sec.tone, '') || '.', 'CONTEXT:' || chr(10) || coalesce(cx.context, ''),
   'HISTORY:' || chr(10) || coalesce(hs.history, ''), 'CALLER: ' || q.query_text) AS prompt
 FROM qs q
-LEFT JOIN (SELECT k.query_id, string_agg('[' || CAST(k.rank AS VARCHAR) || '] ' || substr(d.content, 1, 800)
+LEFT JOIN (SELECT k.query_id, string_agg('[' || CAST(k.rank AS VARCHAR) || '] ' || p.chunk
              || ' (source: ' || d.source || ')', chr(10) ORDER BY k.rank)
-             AS context FROM kw k JOIN v_docs d ON d.doc_id = k.doc_id GROUP BY k.query_id) cx ON cx.query_id = q.query_id
+             AS context FROM pbest k JOIN v_docs d ON d.doc_id = k.doc_id JOIN pch p ON p.doc_id = k.doc_id AND p.chunk_no = k.chunk_no
+           GROUP BY k.query_id) cx ON cx.query_id = q.query_id
 LEFT JOIN (SELECT call_id * 100 + turn_no AS query_id, array_to_string(coalesce(list(role || ': ' || content) OVER (
              PARTITION BY call_id ORDER BY turn_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), chr(10)) AS history
            FROM v_turns) hs ON hs.query_id = q.query_id
 LEFT JOIN lc ON lc.tenant_id = q.tenant_id
 LEFT JOIN v_tenants tn ON tn.tenant_id = q.tenant_id LEFT JOIN sec ON sec.sector = tn.sector
-""", "v_turns", "v_docs", "v_configs", "v_tenants", extra=dict(QHITS, lc=LATEST_CFG, sec=SEC_SQL)))(_p8)
+""", "v_turns", "v_docs", "v_configs", "v_tenants", extra=dict(QPASSAGES, lc=LATEST_CFG, sec=SEC_SQL)))(_p8)
 
 
 # P9 -----------------------------------------------------------------------
