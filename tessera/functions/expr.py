@@ -116,6 +116,12 @@ def normalise_text(col: ColLike) -> Column:
     return F.array_join(simple_tokens(col), " ")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` names it:
+    Spark would copy the expression to each place and, through projections, again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # X9 -----------------------------------------------------------------------
 E164_PATTERN = r"^\+[1-9][0-9]{1,14}$"
 
@@ -124,16 +130,17 @@ def e164(col: ColLike, prefix: str = "+1") -> Column:
     """Phone text to ``+digits``: a leading + or 00 keeps the country code,
     more than 10 digits are taken as already international, shorter ones get
     ``prefix``. Results that are not valid E.164 are NULL."""
-    raw = F.trim(_c(col))
-    digits = F.regexp_replace(raw, r"[^0-9]", "")
-    out = (F.when(raw.startswith("+"), F.concat(F.lit("+"), digits))
-            .when(digits.startswith("00"), F.concat(F.lit("+"), F.substr(digits, F.lit(3))))
-            .when(F.length(digits) > 10, F.concat(F.lit("+"), digits))
-            .otherwise(F.concat(F.lit(prefix), digits)))
-    # ``out`` is '+' and digits by construction, so the E.164 pattern reduces
+    def spelled(raw: Column) -> Column:
+        return once(F.regexp_replace(raw, r"[^0-9]", ""), lambda digits: (
+            F.when(raw.startswith("+"), F.concat(F.lit("+"), digits))
+             .when(digits.startswith("00"), F.concat(F.lit("+"), F.substr(digits, F.lit(3))))
+             .when(F.length(digits) > 10, F.concat(F.lit("+"), digits))
+             .otherwise(F.concat(F.lit(prefix), digits))))
+
+    # the spelled form is '+' and digits by construction, so the E.164 pattern reduces
     # to: 2-15 digits, the first not 0 (checked without a second regex)
-    ok = (F.length(out) >= 3) & (F.length(out) <= 16) & (F.substring(out, 2, 1) != "0")
-    return F.when(ok, out)
+    return once(once(F.trim(_c(col)), spelled), lambda out: F.when(
+        F.length(out).between(3, 16) & (F.substring(out, 2, 1) != "0"), out))
 
 
 # X10 ----------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ts_lit
-from .common import lookup, top_k_per
+from .common import lookup, number_rows, top_k_per
 
 
 # F1 -----------------------------------------------------------------------
@@ -97,6 +97,39 @@ def call_detail(calls: DataFrame, turns: DataFrame, bookings: DataFrame, notifs:
     return out
 
 
+DETAIL_PART = 500        # children in one row of the detail in parts
+
+
+def call_detail_parts(calls: DataFrame, turns: DataFrame, bookings: DataFrame, notifs: DataFrame,
+                      tenant_scoped: bool = True, size: int = DETAIL_PART) -> DataFrame:
+    """J2 for calls with any number of children: (call_id, tenant_id, child, part_no, n, items), at most ``size``
+    children of one table in a row, each as JSON, in the order of ``call_detail``. Part numbers run 0, 1, ..
+    per call and table; a call without children of a table has no row for it.
+
+    Children are numbered in two levels (inside an hour, then by the hours' sizes), so neither a
+    call's children nor their array ever meet in one row or in one window of all of them."""
+    key = ["tenant_id", "call_id"] if tenant_scoped else ["call_id"]
+
+    def parts(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+        cols = [c for c in df.columns if c not in key]
+        rows = df.join(calls.select("call_id", "tenant_id") if tenant_scoped else calls.select("call_id"), key, "left_semi")
+        rows = rows.select(*key, *[F.col(o).alias(f"_k{i}") for i, o in enumerate(order)],
+                           F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("_item"))
+        keys = [f"_k{i}" for i in range(len(order))]
+        hour = F.coalesce(F.date_trunc("hour", "_k0"), F.lit("0001-01-01").cast("timestamp"))
+        numbered = number_rows(rows, key, [F.col(k).asc_nulls_first() for k in (*keys, "_item")], hour, "_i")
+        cut = numbered.groupBy(*key, F.floor((F.col("_i") - 1) / size).cast("long").alias("part_no")) \
+            .agg(F.count(F.lit(1)).alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_item"))), lambda x: x["_item"]).alias("items"))
+        return cut.withColumn("child", F.lit(name))
+
+    out = parts(turns, "turns", ["created_at", "turn_no"]) \
+        .unionByName(parts(bookings, "bookings", ["scheduled_for", "line_no", "part_id"])) \
+        .unionByName(parts(notifs, "notifications", ["created_at", "notification_id"]))
+    if not tenant_scoped:
+        out = out.join(calls.select("call_id", "tenant_id"), "call_id")
+    return out.select("call_id", "tenant_id", "child", "part_no", "n", "items")
+
+
 # J4 -----------------------------------------------------------------------
 def unconfigured(tenants: DataFrame, configs: DataFrame) -> DataFrame:
     """Tenants that have no agent config row."""

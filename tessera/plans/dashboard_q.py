@@ -85,6 +85,25 @@ LEFT JOIN t ON t.call_id = c.call_id LEFT JOIN b ON b.call_id = c.call_id LEFT J
 }))(_j2)
 
 
+def _j2p(spark, sf):
+    """The same detail in parts of two children; the ids in a part show its order."""
+    t = tables(spark, sf)
+    parts = D.call_detail_parts(V.calls(t).select("call_id", "tenant_id"), V.turns(t).select("call_id", "turn_no", "role", "created_at"),
+                                V.bookings(t).select("call_id", "line_no", "part_id", "type", "scheduled_for"),
+                                V.notifications(t).select("call_id", "notification_id", "status", "created_at"), tenant_scoped=False, size=2)
+    ids = F.transform("items", lambda x: F.coalesce(*[F.get_json_object(x, f"$.{c}") for c in ("notification_id", "turn_no", "line_no")]))
+    return parts.select("call_id", "tenant_id", "child", "part_no", "n", F.array_join(ids, ",").alias("ids"))
+
+
+register("j2_call_detail_parts", with_views("""
+SELECT k.call_id, c.tenant_id, k.child, CAST((k.i - 1) // 2 AS BIGINT) AS part_no, count(*) AS n, string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY k.i) AS ids
+FROM kids k JOIN v_calls c ON c.call_id = k.call_id GROUP BY ALL
+""", "v_calls", "v_turns", "v_bookings", "v_notifications", extra={"kids": """
+    SELECT call_id, 'turns' AS child, turn_no AS id, row_number() OVER (PARTITION BY call_id ORDER BY created_at, turn_no) AS i FROM v_turns
+    UNION ALL SELECT call_id, 'bookings', line_no, row_number() OVER (PARTITION BY call_id ORDER BY scheduled_for, line_no, part_id) FROM v_bookings
+    UNION ALL SELECT call_id, 'notifications', notification_id, row_number() OVER (PARTITION BY call_id ORDER BY created_at, notification_id) FROM v_notifications"""}))(_j2p)
+
+
 register("j4_unconfigured", with_views("""
 SELECT t.* FROM v_tenants t WHERE NOT EXISTS (
   SELECT 1 FROM v_configs c WHERE c.tenant_id = t.tenant_id AND c.template = 'school')

@@ -37,3 +37,44 @@ def test_scope_and_unconfigured(spark):
     assert [r.v for r in D.scope(df, allowed).collect()] == ["b"]
     cfg = spark.createDataFrame([(1,), (1,)], "tenant_id int")
     assert sorted(r.tenant_id for r in D.unconfigured(df, cfg).collect()) == [2, 3]
+
+
+def _children(spark, n):
+    from pyspark.sql import functions as F
+    calls = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "call_id long, tenant_id int")
+    when = F.timestamp_add("SECOND", (F.col("id") * 7919 % n).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    notifs = spark.range(n).select(F.lit(1).cast("long").alias("call_id"), F.lit(7).alias("tenant_id"), F.col("id").alias("notification_id"),
+                                   F.lit("sent").alias("status"), F.when(F.col("id") > 2, when).alias("created_at"))
+    turns = spark.createDataFrame([(2, 7, i, "caller", dt.datetime(2024, 1, 1)) for i in (2, 0, 1)] + [(9, 7, 0, "caller", None), (3, 7, 0, "x", None)],
+                                  "call_id long, tenant_id int, turn_no long, role string, created_at timestamp_ntz")
+    bookings = spark.createDataFrame([], "call_id long, tenant_id int, line_no int, part_id long, type string, scheduled_for timestamp_ntz")
+    return calls, turns, bookings, notifs
+
+
+def test_detail_in_parts_keeps_all_children_in_order_and_bounds_every_row(spark):
+    import json
+    n = 100_000
+    calls, turns, bookings, notifs = _children(spark, n)
+    parts = D.call_detail_parts(calls, turns, bookings, notifs, size=1000)
+    from pyspark.sql import functions as F
+    sizes = parts.groupBy("child").agg(F.max(F.size("items")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("rows")).collect()
+    got = {r.child: (r.most, r["all"], r.rows) for r in sizes}
+    assert got == {"notifications": (1000, n, 100), "turns": (3, 3, 1)}           # tenant 8's call doesn't take tenant 7's turn
+    rows = sorted(parts.filter("child = 'notifications'").collect(), key=lambda r: r.part_no)
+    seen = [(x["created_at"] or "", x["notification_id"]) for r in rows for x in map(json.loads, r["items"])]
+    assert len(seen) == n and seen == sorted(seen) and [s[1] for s in seen[:3]] == [0, 1, 2]
+
+
+def test_detail_in_parts_equals_the_nested_detail(spark):
+    import json
+    calls, turns, bookings, notifs = _children(spark, 300)
+    for scoped in (True, False):
+        drop = () if scoped else ("tenant_id",)
+        kids = [x.drop(*drop) for x in (turns, bookings, notifs)]
+        whole = {r.call_id: r for r in D.call_detail(calls, *kids, tenant_scoped=scoped).collect()}
+        cut = D.call_detail_parts(calls, *kids, tenant_scoped=scoped, size=7).collect()
+        for call, r in whole.items():
+            for child, key in (("turns", "turn_no"), ("notifications", "notification_id")):
+                mine = sorted((p for p in cut if p.call_id == call and p.child == child), key=lambda p: p.part_no)
+                assert [p.part_no for p in mine] == list(range(len(mine)))
+                assert [json.loads(x)[key] for p in mine for x in p["items"]] == [c[key] for c in r[child]]

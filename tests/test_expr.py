@@ -74,3 +74,12 @@ def test_join_top_and_json(spark):
     assert r[0] == "a\n---\nb"
     assert r[1] == [1.5, 2.0]
     assert r[2] == '{"x":"1"}'
+
+
+def test_phone_is_normalised_once_per_row(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions.expr import e164
+    df = spark.createDataFrame([("+1 (212) 555-0100",), ("00442079460000",), ("2125550100",), ("12",), (None,), ("abc",), ("+0123",)], "p string")
+    out = df.select(e164("p").alias("p")).filter(F.col("p").isNotNull()).groupBy("p").count()
+    assert sorted(r.p for r in out.collect()) == ["+112", "+12125550100", "+442079460000"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
