@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import requests as R
+from ..operators import partitions as PT
 from ..operators import store as ST
 from ..session import shared_path
 from ..sources import landing as L
@@ -194,6 +195,50 @@ SELECT c.call_id, c.tenant_id, c.started_at FROM v_calls c LEFT JOIN pol p ON p.
 WHERE p.retention_days IS NULL OR c.started_at >= TIMESTAMP '1998-06-01 00:00:00' - to_days(p.retention_days)
 """, "v_calls", "v_configs", extra={"pol": POLICY_SQL}))(_s10)
 
+def _s10p(spark, sf):
+    """The same purge on the stored table by month, in place."""
+    t = tables(spark, sf)
+    path = shared_path(spark, f"calls-purged-{uuid.uuid4().hex}")
+    ST.write_by_month(V.calls(t).select("call_id", "tenant_id", "started_at"), path, "started_at")
+    PT.purge_months(spark, path, ST.retention_policies(V.configs(t)), dt.datetime(1998, 6, 1), "started_at")
+    return spark.read.parquet(path).select("call_id", "tenant_id", "started_at")
+
+
+register("s10_purge_months", with_views("""
+SELECT c.call_id, c.tenant_id, c.started_at FROM v_calls c LEFT JOIN pol p ON p.tenant_id = c.tenant_id
+WHERE p.retention_days IS NULL OR c.started_at >= TIMESTAMP '1998-06-01 00:00:00' - to_days(p.retention_days)
+""", "v_calls", "v_configs", extra={"pol": POLICY_SQL}))(_s10p)
+
+
+def _s11p(spark, sf):
+    """The tenants of region 1 go from the stored tables; bookings and notifications of others lose what names their calls."""
+    t = tables(spark, sf)
+    root = shared_path(spark, f"tenant-tables-{uuid.uuid4().hex}")
+    stored = {"calls": V.calls(t).select("call_id", "tenant_id"), "bookings": V.bookings(t).select("call_id", "tenant_id", "line_no", "part_id"),
+              "notifications": V.notifications(t).select("notification_id", "call_id", "tenant_id")}
+    paths = {n: f"{root}/{n}" for n in stored}
+    for n, df in stored.items():
+        PT.replace_partitions(df, paths[n], "tenant_id")
+    tenants = [r[0] for r in V.tenants(t).filter(F.col("region_id") == 1).select("tenant_id").collect()]
+    PT.delete_tenants(spark, paths, tenants, [("bookings", "call_id", "calls"), ("notifications", "call_id", "calls")])
+    out = None
+    for n in stored:
+        part = spark.read.parquet(paths[n]).groupBy(F.col("tenant_id").cast("long").alias("tenant_id")).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("call_id").isNull()).alias("null_call_ids"), F.sum("call_id").alias("call_ids"))
+        part = part.withColumn("table_name", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+register("s11_delete_tenants", with_views("""
+SELECT table_name, CAST(tenant_id AS BIGINT) AS tenant_id, count(*) AS rows, count(*) - count(id) AS null_call_ids, CAST(sum(id) AS BIGINT) AS call_ids FROM (
+  SELECT x.table_name, x.tenant_id, CASE WHEN x.table_name <> 'calls' AND x.call_id IN (SELECT call_id FROM v_calls WHERE tenant_id IN (SELECT tenant_id FROM g))
+         THEN NULL ELSE x.call_id END AS id
+  FROM (SELECT 'calls' AS table_name, tenant_id, call_id FROM v_calls UNION ALL SELECT 'bookings', tenant_id, call_id FROM v_bookings
+        UNION ALL SELECT 'notifications', tenant_id, call_id FROM v_notifications) x
+  WHERE x.tenant_id NOT IN (SELECT tenant_id FROM g)) GROUP BY ALL
+""", "v_tenants", "v_calls", "v_bookings", "v_notifications", extra={"g": "SELECT tenant_id FROM v_tenants WHERE region_id = 1"}))(_s11p)
+
 CASCADE_RULES = [
     ("calls", "tenant_id", "tenants", "CASCADE"),
     ("bookings", "tenant_id", "tenants", "CASCADE"),

@@ -127,6 +127,20 @@ def _m2(spark, sf):
 register("m2_dedupe_events", "SELECT event_id, ts, user_id, event_type FROM events")(_m2)
 
 
+def _m2_append(spark, sf):
+    """The same, and a last batch that repeats all events after a heartbeat has let their state expire."""
+    e = table_events(spark, sf)
+    again = e.filter(F.col("event_type") == "error")
+    src, sink, ckpt = _scratch(spark, "src-m2a"), _scratch(spark, "sink-m2a"), _scratch(spark, "ckpt-m2a")
+    for part in (e.unionByName(again), heartbeat(e, "heartbeat"), e):
+        land(part, src)
+        ST.run_available_now(_stream(spark, src), ST.append_new(sink), ckpt, "append")
+    return spark.read.parquet(sink).filter(F.col("event_id") >= 0).select("event_id", _ntz("ts").alias("ts"), "user_id", "event_type")
+
+
+register("m2_append_new", "SELECT event_id, ts, user_id, event_type FROM events")(_m2_append)
+
+
 # M3 -----------------------------------------------------------------------
 def _m3(spark, sf):
     s = with_kind(_stream(spark, event_source(spark, sf, "m3")))
@@ -178,7 +192,8 @@ def _m5(spark, sf):
         land(part, src)
         x = ST.sessions(_stream(spark, src), "30 minutes", "1 hour").select(
             "user_id", _ntz("s.start").alias("session_start"), _ntz("s.end").alias("session_end"), "events")
-        ST.run_available_now(x, ST.upsert_log(sink), ckpt, "append")
+        with ST.merged_before_shuffle(spark):
+            ST.run_available_now(x, ST.upsert_log(sink), ckpt, "append")
     return spark.read.parquet(sink).filter(F.col("user_id") >= 0).drop("batch")
 
 
@@ -222,12 +237,11 @@ def _m6(spark, sf):
     time (call -1), which lets every open call reach its time-out."""
     ev = call_events(tables(spark, sf))
     src, sink, ckpt = _scratch(spark, "src-m6"), _scratch(spark, "sink-m6"), _scratch(spark, "ckpt-m6")
+    states = ST.CallStates(sink, "30 minutes", "10 minutes")
     for part in (ev, heartbeat(ev, "view")):
         land(part, src)
-        s = with_kind(_stream(spark, src)).withColumn("call_id", F.col("user_id"))
-        x = ST.call_states(s, "30 minutes", "10 minutes").select("call_id", "state", "turns", _ntz("last_ts").alias("last_ts"))
-        ST.run_available_now(x, ST.upsert_log(sink), ckpt)
-    return ST.read_latest(spark, sink, ["call_id"]).filter(F.col("call_id") >= 0)
+        ST.run_available_now(with_kind(_stream(spark, src)).withColumn("call_id", F.col("user_id")), states, ckpt, "append")
+    return states.read(spark).filter(F.col("call_id") >= 0).select("call_id", "state", "turns", _ntz("last_ts").alias("last_ts"))
 
 
 register("m6_call_states", with_views("""

@@ -11,6 +11,7 @@ after a lost executor or driver restart gives the same table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.common import materialize
+
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -60,6 +63,34 @@ def dedupe_events(stream: DataFrame, delay: str, key: str = "event_id", ts: str
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def append_new(path: str, key: str = "event_id", ts: str = "ts"):
+    """M2, foreachBatch writer: events whose id is not yet written, also when the id's state
+    has expired long ago. A micro-batch is reduced to one row per id (the
+    earliest) and compared with the written ids of the days it touches, by
+    an anti join that reads the id column of those days' folders only; a repeated event
+    has the time of the first. Rows go to ``path/day=<d>/batch=<id>``; a replay finds its own rows left out of the comparison and
+    replaces them."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        rest = [c for c in df.columns if c != key]
+        one = df.groupBy(key).agg(F.min(F.struct(ts, *[c for c in rest if c != ts])).alias("_r")) \
+                .select(key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+        batch = materialize(one.withColumn("day", F.to_date(ts)))
+        days = [r["day"] for r in batch.select("day").distinct().collect()]         # as many as days in a micro-batch
+        new = batch
+        if folder_exists(spark, path):
+            schema = T.StructType([*df.schema.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
+            touched = F.col("day").isin([d for d in days if d is not None])
+            if None in days:
+                touched = touched | F.col("day").isNull()
+            known = spark.read.schema(schema).parquet(path).filter((F.col("batch") != batch_id) & touched).select(key)
+            new = batch.join(known, key, "left_anti")
+        # a replay may write fewer days than its first try
+        drop_batch(spark, path, batch_id)
+        new.withColumn("batch", F.lit(batch_id)).write.mode("append").partitionBy("day", "batch").parquet(path)
+    return write
+
+
 # M3 -----------------------------------------------------------------------
 def live_kpis(stream: DataFrame, size: str, delay: str) -> DataFrame:
     """M3: calls started, turns, errors and events per tenant per tumbling
@@ -92,6 +123,19 @@ def sessions(stream: DataFrame, gap: str, delay: str, key: str = "user_id") -> D
         F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+@contextmanager
+def merged_before_shuffle(spark: SparkSession):
+    """Session aggregations started inside merge the sessions of each task's own rows before the
+    shuffle, so a user with a third of all events sends one row per session and task."""
+    name = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # M6 -----------------------------------------------------------------------
 _CALL_OUT = "call_id long, state string, turns long, last_us long"
 _CALL_STATE = "state string, turns long, last_us long"
@@ -139,6 +183,85 @@ def call_states(stream: DataFrame, timeout: str, delay: str) -> DataFrame:
     return out.select("call_id", "state", "turns", F.timestamp_micros("last_us").alias("last_ts"))
 
 
+class CallStates:
+    """M6 without Python per call: a foreachBatch writer that folds each micro-batch into a table of open calls.
+
+    A batch becomes one row per call by map-side aggregates (turns, last
+    event and whether it started, escalated or ended, all up to the call's first end), and is
+    joined with the calls of the batch before. The state table of batch n lies under
+    ``path/state/batch=<n>`` and is made from that of the batch before, so a replayed batch
+    gives the same table; what changed goes to ``path/log/batch=<n>`` (``read_latest``).
+
+    The rules are those of ``call_states``: an ended call keeps its state until the time-out and
+    later events change nothing; events older than the watermark are left out; a call
+    without events for ``timeout`` of event time ends as timed_out. The watermark, the latest event
+    time of the batches so far less ``delay``, is kept in the state table."""
+
+    FIELDS = "call_id long, state string, turns long, last_us long"
+
+    def __init__(self, path: str, timeout: str, delay: str):
+        self.path = path.rstrip("/")
+        self.wait_us, self.delay_us = (int(pd.Timedelta(x).total_seconds() * 1_000_000) for x in (timeout, delay))
+
+    def _before(self, spark: SparkSession, batch_id: int) -> tuple[DataFrame, int | None]:
+        """Open calls and the latest event time as the batch before left them."""
+        root = f"{self.path}/state"
+        old = None
+        if batch_id and folder_exists(spark, root):
+            rows = spark.read.schema(self.FIELDS + ", seen_us long, batch long").parquet(root).filter(F.col("batch") < batch_id)
+            newest = rows.agg(F.max("batch")).first()[0]
+            old = rows.filter(F.col("batch") == newest) if newest is not None else None
+        if old is None:
+            return spark.createDataFrame([], self.FIELDS), None
+        # the latest time stands in a row of its own, without a call
+        seen = old.filter("call_id is null").select("seen_us").first()
+        return old.filter("call_id is not null").select("call_id", "state", "turns", "last_us"), seen[0] if seen else None
+
+    def _folded(self, events: DataFrame) -> DataFrame:
+        """One row per call of a batch."""
+        at = F.struct("us", "event_id")
+        ends = events.filter(F.col("kind") == "call.ended").groupBy("call_id").agg(F.min(at).alias("_end"))
+        upto = events.join(ends, "call_id", "left").filter(F.col("_end").isNull() | (at <= F.col("_end")))
+        return upto.groupBy("call_id").agg(
+            F.count_if(F.col("kind") == "turn.transcript").alias("n_turns"), F.max("us").alias("n_last"), F.max(F.col("_end").isNotNull()).alias("n_ended"),
+            F.max(F.col("kind") == "error").alias("n_error"), F.max(F.col("kind").isin("turn.transcript", "tool.call")).alias("n_active"))
+
+    def __call__(self, df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        old, seen = self._before(spark, batch_id)
+        events = df.select("call_id", "event_id", F.unix_micros("ts").alias("us"), "kind")
+        mark = None if seen is None else seen - self.delay_us
+        if mark is not None:
+            events = events.filter(F.col("us") >= mark // 1000 * 1000)
+        events = materialize(events)
+        latest_us = events.agg(F.max("us")).first()[0]
+        seen = max((x for x in (seen, latest_us) if x is not None), default=None)
+        both = old.withColumn("_old", F.lit(True)).join(self._folded(events), "call_id", "full")
+        was_ended = F.coalesce(F.col("state") == "ended", F.lit(False))
+        touched = F.col("n_last").isNotNull() & ~was_ended
+        state = (F.when(F.col("n_ended"), "ended").when((F.col("state") == "escalated") | F.col("n_error"), "escalated")
+                  .when(F.col("n_active"), "active").otherwise(F.coalesce("state", F.lit("ringing"))))
+        now = both.select("call_id", F.when(touched, state).otherwise(F.col("state")).alias("state"),
+                          F.when(touched, F.coalesce("turns", F.lit(0)) + F.col("n_turns")).otherwise(F.col("turns")).cast("long").alias("turns"),
+                          F.when(touched, F.greatest("last_us", "n_last")).otherwise(F.col("last_us")).alias("last_us"), touched.alias("_touched"))
+        limit = -(1 << 62) if seen is None else seen - self.delay_us - self.wait_us
+        expired = F.col("last_us") < F.lit(limit)
+        now = materialize(now.withColumn("_expired", expired))
+        keep = now.filter(~F.col("_expired")).select("call_id", "state", "turns", "last_us", F.lit(None).cast("long").alias("seen_us"))
+        clock = spark.createDataFrame([(None, None, None, None, seen)], self.FIELDS + ", seen_us long")
+        keep.unionByName(clock).write.mode("overwrite").parquet(f"{self.path}/state/batch={batch_id}")
+        timed_out = F.col("_expired") & (F.col("state") != "ended")
+        log = now.filter(F.col("_touched") | timed_out).select(
+            "call_id", F.when(timed_out, "timed_out").otherwise(F.col("state")).alias("state"), "turns", F.timestamp_micros("last_us").alias("last_ts"))
+        log.write.mode("overwrite").parquet(f"{self.path}/log/batch={batch_id}")
+        fs, p = _fs(spark, f"{self.path}/state/batch={batch_id - 2}")       # a replay needs the batch before only
+        fs.delete(p, True)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """(call_id, state, turns, last_ts): every call's newest state, ended and timed-out ones included."""
+        return read_latest(spark, f"{self.path}/log", ["call_id"])
+
+
 # M7 -----------------------------------------------------------------------
 STATUS_RANK = {"failed": 0, "queued": 1, "sent": 2, "delivered": 3, "read": 4}
 
@@ -162,6 +285,23 @@ def access_spikes(stream: DataFrame, size: str, limit: int, delay: str, actions=
 
 
 # Sinks ------------------------------------------------------------------------
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Removes what an earlier try of a micro-batch has written under ``path/*/batch=<id>``."""
+    fs, p = _fs(spark, f"{path.rstrip('/')}/*/batch={batch_id}")
+    for found in fs.globStatus(p) or []:
+        fs.delete(found.getPath(), True)
+
+
 def upsert_log(path: str, transform: Callable[[DataFrame], DataFrame] | None = None):
     """foreachBatch writer: each micro-batch's rows go to ``path/batch=<id>``
     (overwrite, so a replayed batch id replaces its own rows)."""
