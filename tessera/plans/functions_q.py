@@ -308,13 +308,14 @@ def _sentiment_model(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 register("e2_apply_model", with_views(f"""
-SELECT call_id, turn_no, CASE WHEN d > 0 THEN 'positive' WHEN d < 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
-  CAST(NULL AS VARCHAR) AS model_error FROM (
-  SELECT call_id, turn_no, len(list_filter(w, lambda x: x IN {_SQL_POS})) - len(list_filter(w, lambda x: x IN {_SQL_NEG})) AS d
-  FROM (SELECT call_id, turn_no, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM v_turns))
+SELECT call_id, turn_no, CASE WHEN empty THEN NULL WHEN d > 0 THEN 'positive' WHEN d < 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
+  CASE WHEN empty THEN 'ValueError: empty text' END AS model_error FROM (
+  SELECT call_id, turn_no, role = 'system' AS empty, len(list_filter(w, lambda x: x IN {_SQL_POS})) - len(list_filter(w, lambda x: x IN {_SQL_NEG})) AS d
+  FROM (SELECT call_id, turn_no, role, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM v_turns))
 """, "v_turns"))(lambda spark, sf: M.apply_model(
-    V.turns(tables(spark, sf)).select("call_id", "turn_no", "content"), _sentiment_model, ["content"],
-    "sentiment string", batch=64, keep=["call_id", "turn_no"]))
+    # system turns hold no speech: their text is empty, and the model fails on it
+    V.turns(tables(spark, sf)).select("call_id", "turn_no", F.when(F.col("role") == "system", "").otherwise(F.col("content")).alias("content")),
+    _sentiment_model, ["content"], "sentiment string", batch=64, keep=["call_id", "turn_no"]))
 
 
 def _k7(spark, sf):

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.expr import simple_tokens
 from ..operators import kb_text as K
 from ..operators import vector_store as VS
 from ..operators.common import materialize
@@ -303,11 +304,12 @@ register("k7_hash_embed", with_views("SELECT doc_id, embedding FROM v_docs_v", "
                                      extra=hash_sql("v_docs", "doc_id", "content")))(_k7)
 
 
-def vector_hits(t, store: str, k: int = 8):
+def vector_hits(t, store: str, k: int = 8, questions=None):
     """The evaluation questions searched in the stored vectors of the documents; texts without a vector get one first."""
     d = V.docs(t)
     vecs = VS.refresh(d, store, VS.hash_embedder(), "hash", "1")
-    qv = K.hash_embed(V.eval_questions(t), ["query_id", "tenant_id"], "query_text", 64).withColumnRenamed("embedding", "query_vec")
+    asked = V.eval_questions(t) if questions is None else questions
+    qv = K.hash_embed(asked, ["query_id", "tenant_id"], "query_text", 64).withColumnRenamed("embedding", "query_vec")
     return K.vector_search_docs(qv, VS.with_vectors(d.select("doc_id", "tenant_id", "content"), vecs), k)
 
 
@@ -350,16 +352,28 @@ register("k13_hybrid_search", with_views("SELECT query_id, doc_id, v_rank, k_ran
                                          "v_docs", "v_eval", extra=HYB))(_k13)
 
 
+def evaluation_set(t):
+    """The evaluation questions, and for each tenant and language eight words in a row of its newest document."""
+    d = V.docs(t)
+    newest = d.groupBy("tenant_id", "lang").agg(F.max_by("content", "doc_id").alias("content"), F.max("doc_id").alias("doc_id"))
+    words = F.slice(simple_tokens("content"), 5, 8)
+    from_docs = newest.select((F.col("doc_id") + 10_000_000_000).alias("query_id"), "tenant_id", F.array_join(words, " ").alias("query_text"))
+    return V.eval_questions(t).unionByName(from_docs)
+
+
 def _k17(spark, sf):
     t = tables(spark, sf)
-    q = V.eval_questions(t)
+    q = materialize(evaluation_set(t))
     expected = K.passage_matches(V.docs(t), q)
-    hits = K.hybrid_search(vector_hits(t, new_store(spark)), _kw(t), 8)
+    hits = K.hybrid_search(vector_hits(t, new_store(spark), questions=q), K.keyword_search(q, V.docs(t), 8), 8)
     return K.evaluate(hits, expected, q, 8)
 
 
-EVAL = dict(HYB, **{
-    "ex": f"""SELECT q.query_id, d.doc_id FROM v_eval q JOIN v_docs d ON d.tenant_id = q.tenant_id
+EVALSET = {"eq": f"""SELECT query_id, tenant_id, query_text FROM v_eval UNION ALL
+    SELECT max(doc_id) + 10000000000, tenant_id, array_to_string({tok('arg_max(content, doc_id)')}[5:12], ' ') FROM v_docs GROUP BY tenant_id, lang"""}
+EVAL = dict(EVALSET, **{k.replace("v_eval", "eq"): v.replace("v_eval", "eq") for k, v in HYB.items()})
+EVAL.update(**{
+    "ex": f"""SELECT q.query_id, d.doc_id FROM eq q JOIN v_docs d ON d.tenant_id = q.tenant_id
              WHERE len({tok('q.query_text')}) > 0 AND contains(' ' || array_to_string({tok('d.content')}, ' ') || ' ',
                                 ' ' || array_to_string({tok('q.query_text')}, ' ') || ' ')""",
     "ne": "SELECT query_id, count(*) AS n FROM ex GROUP BY query_id",
@@ -372,14 +386,14 @@ SELECT q.query_id, coalesce(ne.n, 0) AS n_expected, coalesce(nf.n, 0) AS n_found
   CASE WHEN coalesce(ne.n, 0) > 0 THEN round(coalesce(nf.n, 0) / ne.n, 6) END AS recall_at_k,
   CASE WHEN coalesce(ne.n, 0) > 0 THEN coalesce(round(1.0 / nf.fr, 6), 0.0) END AS reciprocal_rank,
   coalesce(ne.n, 0) > 0 AS answerable
-FROM v_eval q LEFT JOIN ne ON ne.query_id = q.query_id LEFT JOIN nf ON nf.query_id = q.query_id
+FROM eq q LEFT JOIN ne ON ne.query_id = q.query_id LEFT JOIN nf ON nf.query_id = q.query_id
 """
 register("k17_evaluate", with_views(EVAL_SQL, "v_docs", "v_eval", extra=EVAL))(_k17)
 
 
 def _k17s(spark, sf):
     t = tables(spark, sf)
-    return K.summarise_evaluation(_k17(spark, sf), V.eval_questions(t), V.tenants(t))
+    return K.summarise_evaluation(_k17(spark, sf), evaluation_set(t), V.tenants(t))
 
 
 EVAL["ev"] = EVAL_SQL
@@ -388,7 +402,7 @@ SELECT t.sector, CAST(grouping(t.sector) AS INTEGER) AS overall, count(*) AS que
   round(avg(CAST(answerable AS INTEGER)), 4) AS answerable_share,
   round(avg(recall_at_k) FILTER (WHERE answerable), 4) AS recall_at_k, round(avg(reciprocal_rank) FILTER (WHERE answerable), 4) AS mrr,
   round(avg(CASE WHEN n_found > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE answerable), 4) AS contained_share
-FROM ev JOIN v_eval q ON q.query_id = ev.query_id LEFT JOIN v_tenants t ON t.tenant_id = q.tenant_id GROUP BY ROLLUP (t.sector)
+FROM ev JOIN eq q ON q.query_id = ev.query_id LEFT JOIN v_tenants t ON t.tenant_id = q.tenant_id GROUP BY ROLLUP (t.sector)
 """, "v_docs", "v_eval", "v_tenants", extra=EVAL))(_k17s)
 
 

@@ -137,6 +137,23 @@ GROUP BY q.tenant_id
     lambda spark, sf: (lambda t: RP.knowledge_gap(_questions(t), _qhits(t), V.calls(t), GAP_THRESHOLD))(tables(spark, sf)))
 
 
+def _asked_again(t):
+    """Caller questions, and those of every third call once more in capitals by the next caller of the tenant."""
+    q = _questions(t)
+    again = q.filter(F.col("call_id") % 3 == 0).select((F.col("query_id") + 50).alias("query_id"), "call_id", "tenant_id",
+                                                       F.concat(F.upper("query_text"), F.lit(" ?!")).alias("query_text"))
+    return q.unionByName(again)
+
+
+def _a9(spark, sf):
+    t = tables(spark, sf)
+    q = _asked_again(t)
+    return RP.gap_topics(RP.gap_questions(q, K.keyword_search(q, V.docs(t), 3), GAP_THRESHOLD), 10)
+
+
+AGAIN = dict(QHITS, qs=f"""SELECT * FROM ({QS_SQL}) UNION ALL
+  SELECT query_id + 50, call_id, tenant_id, upper(query_text) || ' ?!' FROM ({QS_SQL}) WHERE call_id % 3 = 0""")
+
 register("a9_gap_topics", with_views(f"""
 SELECT tenant_id, topic, asked, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY asked DESC, topic) AS rank FROM (
@@ -144,9 +161,7 @@ SELECT tenant_id, topic, asked, rank FROM (
       count(*) AS asked
     FROM qs q LEFT JOIN best b ON b.query_id = q.query_id
     WHERE coalesce(b.best < {GAP_THRESHOLD}, true) GROUP BY ALL)) WHERE rank <= 10
-""", "v_turns", "v_docs", extra=QHITS))(
-    lambda spark, sf: (lambda t: RP.gap_topics(RP.gap_questions(_questions(t), _qhits(t), GAP_THRESHOLD), 10))(
-        tables(spark, sf)))
+""", "v_turns", "v_docs", extra=AGAIN))(_a9)
 
 
 def _a16(spark, sf):
