@@ -1,13 +1,16 @@
 """Operator 9: toxicity scores by a factorization machine over hashed terms.
 
-Terms of a text are its distinct words and their stems (first 3 to 5 letters), hashed to 63 bits. The machine
+Terms of a text are its distinct words and their stems (first 3 to 5 letters), hashed to 62 bits. The machine
 
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 learns a weight per term and, through short factor vectors, the effect of two
 terms that stand together, such as an insult with a mention of a group, which
-a sum of single weights misses. It keeps the ``max_terms`` terms that tell the labels
-apart best in training; all others have weight 0.
+a sum of single weights misses. Its terms are all those of the sample that the labels speak for, alone or
+in a pair: terms whose share of label 1 differs from the sample's by ``MIN_Z`` standard errors, and words of
+pairs whose documents' residuals, after the single weights, lie ``PAIR_Z`` standard errors beyond those of either
+word's documents. Both bounds lie where chance alone gives a handful of terms; there is no cap on
+their number. A term that says nothing alone is kept if a pair needs it.
 
 Training takes at most ``sample_docs`` labelled documents (whole texts), as many of each label as far as there
 are, chosen by a hash of the id. Scoring reads every text whole, in one map without a shuffle.
@@ -35,9 +38,9 @@ from .language_id import one_text, sample_ids
 from .util import release_memory, remainder, slices, text_of, tidy
 
 SAMPLE_DOCS = 3000
-MAX_TERMS = 1024
-MIN_DOCS = 4
-MIN_CHI = 25.0           # chance alone gives one term in a million this much
+MIN_Z = 4.0              # chance alone gives one term in 16,000 this much
+PAIR_Z = 6.0             # and one pair in 500 million this
+TILE = 512
 FACTORS = 6
 THRESHOLD = 0.7
 STEMS = (3, 4, 5)
@@ -47,8 +50,8 @@ WORDS = re.compile(r"\w+")
 
 def word_terms(word: str) -> list[int]:
     """Hashed terms of one lower-case word."""
-    keys = ["w" + word] + [f"{n}{word[:n]}" for n in STEMS if len(word) > n]
-    return [xxhash.xxh3_64_intdigest(k) >> 1 for k in keys]
+    stems = [xxhash.xxh3_64_intdigest(f"{n}{word[:n]}") >> 2 << 1 for n in STEMS if len(word) > n]
+    return [xxhash.xxh3_64_intdigest("w" + word) >> 2 << 1 | 1, *stems]          # words are odd, stems even
 
 
 def text_terms(text: str) -> np.ndarray:
@@ -93,31 +96,48 @@ class TermRows(dict):
         return np.fromiter({r for rows in map(self.__getitem__, set(WORDS.findall(text.lower()))) for r in rows}, np.int64)
 
 
-def pick_terms(texts: list[np.ndarray], y: np.ndarray, max_terms: int, min_docs: int, min_chi: float = MIN_CHI) -> np.ndarray:
-    """Of the terms in at least ``min_docs`` texts with a chi-square of ``min_chi`` against the label, the ``max_terms`` with the largest."""
-    flat = np.concatenate(texts)
+def single_terms(texts: list[np.ndarray], y: np.ndarray, min_z: float = MIN_Z) -> np.ndarray:
+    """Terms whose share of label 1 differs from the sample's by ``min_z`` standard errors."""
     label = np.repeat(y, [t.size for t in texts])
-    terms, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
+    terms, inverse, n = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
     pos = np.bincount(inverse, weights=label, minlength=terms.size)
     p, total = y.mean(), len(y)
-    chi = (pos - n * p) ** 2 * total / (n * (total - n + 1e-9) * p * (1 - p) + 1e-9)
-    chi[n < min_docs] = -1
-    order = np.lexsort((terms, -chi))[:max_terms]
-    return np.sort(terms[order[chi[order] >= min_chi]])
-
-
-def fit(texts: list[np.ndarray], y: np.ndarray, max_terms: int = MAX_TERMS, min_docs: int = MIN_DOCS, min_chi: float = MIN_CHI, factors: int = FACTORS,
-        steps: int = 300, rate: float = 0.05, lasso: float = 0.01, ridge: float = 1e-4, seed: int = 3) -> ToxicityModel:
-    """Full-batch Adam on the balanced logistic loss; an L1 step sets weak single weights to 0."""
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return ToxicityModel(np.zeros(0, np.int64), 35.0 * (2 * share - 1), np.zeros(0), np.zeros((0, factors)))
-    terms = pick_terms(texts, y, max_terms, min_docs, min_chi)
+    error = np.sqrt(n * (total - n + 1e-9) / total * p * (1 - p))
+    return terms[np.abs(pos - n * p) >= min_z * np.maximum(error, 1e-9)]
+
+
+def pair_terms(texts: list[np.ndarray], residual: np.ndarray, pair_z: float = PAIR_Z) -> np.ndarray:
+    """Words of pairs whose documents' residuals add up to ``pair_z`` standard errors beyond what the mean residual
+    of either word alone explains. As no pair can reach that in fewer than pair_z ** 2
+    documents, only words that stand in as many are paired."""
+    words, n = np.unique(np.concatenate([t[t & 1 == 1] for t in texts]), return_counts=True)
+    words, n = words[n >= pair_z ** 2], n[n >= pair_z ** 2]
+    x = _matrix(texts, words)
+    r, found = residual.astype(np.float32)[:, None], np.zeros(words.size, bool)
+    alone = np.abs((x * r).sum(0)) / np.maximum(n, 1)
+    for a in range(0, words.size, TILE):
+        part = x[:, a:a + TILE]
+        explained = (part.T @ x) * np.maximum(alone[a:a + TILE, None], alone[None, :])
+        beyond = np.abs((part * r).T @ x) - explained
+        hit = beyond >= pair_z * np.sqrt(np.maximum((part * r * r).T @ x, 1e-30))
+        found[a:a + TILE] |= hit.any(1)
+        found |= hit.any(0)
+    return words[found]
+
+
+def _matrix(texts: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
     x = np.zeros((len(texts), terms.size), np.float32)
     for i, t in enumerate(texts):
-        x[i, np.searchsorted(terms, t[np.isin(t, terms)])] = 1
+        at = np.searchsorted(terms, t)
+        at = at[terms[np.minimum(at, terms.size - 1)] == t] if terms.size else at[:0]
+        x[i, at] = 1
+    return x
+
+
+def _machine(x: np.ndarray, y: np.ndarray, factors: int, steps: int, rate: float, lasso: float, ridge: float, seed: int):
+    """(w0, w, v) by full-batch Adam on the balanced logistic loss; an L1 step sets weak single weights to 0."""
     rnd = np.random.default_rng(seed)
-    w0, w, v = np.zeros(1, np.float32), np.zeros(terms.size, np.float32), rnd.normal(0, 0.02, (terms.size, factors)).astype(np.float32)
+    w0, w, v = np.zeros(1, np.float32), np.zeros(x.shape[1], np.float32), rnd.normal(0, 0.02, (x.shape[1], factors)).astype(np.float32)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()).astype(np.float32)
     state = [(p, np.zeros_like(p), np.zeros_like(p)) for p in (w0, w, v)]
     for t in range(1, steps + 1):
@@ -131,6 +151,24 @@ def fit(texts: list[np.ndarray], y: np.ndarray, max_terms: int = MAX_TERMS, min_
             u += 0.01 * (g * g - u)
             p -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(u / (1 - 0.99 ** t)) + 1e-6)
         w[:] = np.sign(w) * np.maximum(np.abs(w) - rate * lasso, 0)
+    return w0, w, v
+
+
+def fit(texts: list[np.ndarray], y: np.ndarray, min_z: float = MIN_Z, pair_z: float = PAIR_Z, factors: int = FACTORS,
+        steps: int = 300, rate: float = 0.05, lasso: float = 0.01, ridge: float = 1e-4, seed: int = 3) -> ToxicityModel:
+    """Chooses the terms (single weights first, then pairs in what these leave) and trains the machine."""
+    if not len(y) or y.min() == y.max():
+        share = float(y.mean()) if len(y) else 0.0
+        return ToxicityModel(np.zeros(0, np.int64), 35.0 * (2 * share - 1), np.zeros(0), np.zeros((0, factors)))
+    terms = single_terms(texts, y, min_z)
+    x = _matrix(texts, terms)
+    w0, w, _ = _machine(x, y, 0, steps // 3, rate, lasso, ridge, seed)
+    left = (y - 1 / (1 + np.exp(-np.clip(w0 + x @ w, -30, 30)))) * np.where(y == 1, 1 / y.sum(), 1 / (1 - y).sum())     # sums to 0, nearly
+    more = np.setdiff1d(pair_terms(texts, left, pair_z), terms)
+    if more.size:
+        terms = np.union1d(terms, more)
+        x = _matrix(texts, terms)
+    w0, w, v = _machine(x, y, factors, steps, rate, lasso, ridge, seed)
     return ToxicityModel(terms, float(w0[0]), w.astype(np.float64), v.astype(np.float64))
 
 
@@ -164,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: doc_id) and the score of every row."""
     fields = [docs.schema[c] for c in (keep or ["doc_id"])]
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # at most MAX_TERMS rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # the sample's chosen terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -21,12 +21,48 @@ def test_pairs_that_no_sum_of_weights_can_tell():
         texts.append(T.text_terms(f"{insult} {other} " + " ".join(rnd.choices("qa wb ec rd".split(), k=3))))
         y.append(int((insult == "foul") == (other == "folk")))     # toxic by the pair only
     y = np.array(y, float)
-    m = T.fit(texts, y, min_chi=0.0, lasso=0.0)
+    assert not T.single_terms(texts, y).size                       # no term says anything alone
+    m = T.fit(texts, y)                                            # production settings
     rows = T.TermRows(m.terms)
     score = {t: m.score(rows.of(t)) for t in ("foul folk qa", "vile code qa", "foul code qa", "vile folk qa")}
     assert score["foul folk qa"] > 0.9 and score["vile code qa"] > 0.9 and score["foul code qa"] < 0.1 and score["vile folk qa"] < 0.1
 
 
+def test_a_rare_insult_with_production_settings():
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts, y = [], []
+    for i in range(3000):
+        t = " ".join(rnd.choices(vocab, k=60))
+        if i % 2:
+            t += " zorgulon" if i < 40 else " " + rnd.choice(["idiot", "moron", "scum"])      # 20 texts hold the rare one only
+        texts.append(T.text_terms(t))
+        y.append(i % 2)
+    m = T.fit(texts, np.array(y, float))
+    rows = T.TermRows(m.terms)
+    clean = [" ".join(rnd.choices(vocab, k=60)) for _ in range(50)]
+    assert max(m.score(rows.of(t)) for t in clean) < 0.1
+    assert min(m.score(rows.of(f"{t} zorgulon")) for t in clean) > 0.7
+
+
+def test_pairs_are_found_beside_strong_single_terms_by_brute_force():
+    rnd = np.random.default_rng(7)
+    texts = [np.sort(rnd.choice(np.arange(1, 400, 2), 40, replace=False)) for _ in range(600)]
+    residual = rnd.normal(size=600) + np.array([1.2 if {1, 3} <= set(t.tolist()) else 0 for t in texts])
+    x = T._matrix(texts, np.arange(1, 400, 2))
+    words, alone = np.arange(1, 400, 2), np.abs(x.T @ residual) / x.sum(0)
+    for z in (3.0, 4.0):
+        want = set()
+        for i in range(words.size):
+            for j in range(i):
+                both = (x[:, i] * x[:, j]) > 0
+                if x[:, i].sum() < z * z or x[:, j].sum() < z * z or not both.any():
+                    continue
+                if abs(residual[both].sum()) - both.sum() * max(alone[i], alone[j]) >= z * np.sqrt((residual[both] ** 2).sum()):
+                    want |= {words[i], words[j]}
+        assert set(T.pair_terms(texts, residual, z).tolist()) == want
+
+
 def test_terms_are_words_and_stems_of_the_whole_text():
     a, b = set(T.text_terms("Idiotic.")), set(T.text_terms("idiots"))
     assert a & b == set(T.word_terms("idiotic")[1:]) & set(T.word_terms("idiots")[1:]) and len(a & b) == 3
