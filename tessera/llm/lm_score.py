@@ -1,15 +1,17 @@
 """Operator 8: document scores by masked pseudo-likelihood.
 
-A token is a character class: the corpus's most frequent characters (upper and lower case alike), a line end, white space, and classes for
-other letters, digits and other signs. A small network sees two tokens on each side of a
+A token is a character class: the corpus's most frequent characters (upper and lower case alike), a line end, white space, digits, other
+signs, and ten classes over which all other letters of every script are spread by a hash, so a text in any script has tokens that differ. A small network sees two tokens on each side of a
 masked token and gives the probability of every class there; a document's score is the sum of
 log-probabilities of its tokens, each predicted from both sides.
 
 Training follows the whole corpus: the characters of all documents are counted for the
 alphabet, then all five-token windows, combined per task and summed by Spark. The summed windows
-are the training data. Rounds of local training run on their partitions (numpy, weighted
-minibatches with Adam), and the parameters are averaged by weight after each round; only the parameters (a few tens
-of KB per partition) go through the driver. As a context has four tokens of 32 classes, a worker
+are the training data, dealt by context to SHARDS shards. Rounds of local training run on the shards (numpy, minibatches with Adam): each round
+passes over every window of the shard, with the weight of its count, frequent ones in several parts. The parameters
+are averaged by weight after each round; only the parameters (a few tens
+of KB per shard) go through the driver. A shard holds the same windows however rows are dealt to tasks, so the network doesn't depend on
+partitions. As a context has four tokens of 32 classes, a worker
 evaluates the network once for each of the 2**20 contexts and scores whole texts by looking their windows up.
 
 Defined cases: a null text counts as empty; an empty text has 0 tokens and score 0; past the ends of
@@ -24,27 +26,37 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .util import materialize, slices, text_of
 
 CLASSES = 32
 BORDER, LETTER, DIGIT, SIGN, SPACE, LINE = range(6)
-FIRST_CHAR = 6
+FIRST_HASHED, HASHED = 6, 10        # classes shared by the letters without one of their own
+FIRST_CHAR = FIRST_HASHED + HASHED
 SIDE = 2
 EMBED, HIDDEN = 8, 32
-ROUNDS, LOCAL_STEPS, BATCH, RATE = 5, 120, 1024, 0.01
+ROUNDS, LOCAL_STEPS, BATCH, RATE = 5, 120, 1024, 0.01      # LOCAL_STEPS at least; a pass over all windows may take more
+SHARDS = 8
 POINTS = 0x30000          # code points with a class of their own table entry; all above are signs
 
 
-def class_table(chars: list[str]) -> np.ndarray:
-    """Code point -> class, given the characters with a class of their own."""
+def kind_table() -> np.ndarray:
+    """Code point -> LETTER, DIGIT, SIGN, SPACE or LINE."""
     table = np.full(POINTS, SIGN, np.uint8)
     for p in range(0x3000):
         c = chr(p)
         table[p] = LINE if c in "\n\r" else SPACE if c.isspace() else DIGIT if c.isdigit() else LETTER if c.isalpha() else SIGN
     table[0x3000], table[0x3001:0xA000], table[0xAC00:0xD7A4], table[0x20000:] = SPACE, LETTER, LETTER, LETTER
+    return table
+
+
+def class_table(chars: list[str]) -> np.ndarray:
+    """Code point -> class, given the characters with a class of their own."""
+    table = kind_table()
+    letters = np.flatnonzero(table == LETTER)
+    table[letters] = FIRST_HASHED + (letters.astype(np.uint64) * 2654435761 % (1 << 32) >> 20) % HASHED
     for k, c in enumerate(chars[:CLASSES - FIRST_CHAR]):
         table[ord(c)] = FIRST_CHAR + k
     return table
@@ -114,18 +126,22 @@ class WindowNetwork:
         return self._scores
 
     def train(self, codes: np.ndarray, counts: np.ndarray, steps: int, batch: int, rate: float, seed: int) -> None:
-        """Adam steps on windows drawn in proportion to their counts."""
+        """Adam steps over all windows at least once: a window whose count is more than a ``steps * batch``-th of
+        all comes in several equal parts, so each has its weight and none is left out."""
         rnd = np.random.default_rng(seed)
-        cum = np.cumsum(counts.astype(np.float64))
+        parts = np.ceil(counts * (steps * batch / counts.sum())).astype(np.int64)
+        order = rnd.permutation(np.repeat(np.arange(codes.size), parts))
+        share = counts / parts
         state = [(p, np.zeros_like(p), np.zeros_like(p)) for p in self.params()]
         places = self.embed.shape[0]
-        for t in range(1, steps + 1):
-            code = codes[np.searchsorted(cum, rnd.random(batch) * cum[-1], "right").clip(0, codes.size - 1)]
+        for t, a in enumerate(range(0, order.size, batch), 1):
+            at = order[a:a + batch]
+            code, weight = codes[at], (share[at] / share[at].sum()).astype(np.float32)[:, None]
             context, centre = code // CLASSES, code % CLASSES
             x, h, logp = self.forward(context)
             dz = np.exp(logp)
-            dz[np.arange(batch), centre] -= 1
-            dz /= batch
+            dz[np.arange(at.size), centre] -= 1
+            dz *= weight
             dh = (dz @ self.w2.T) * (1 - h * h)
             dx = dh @ self.w1.T
             de = np.zeros_like(self.embed)
@@ -152,7 +168,7 @@ def alphabet(docs: DataFrame, text_col: str = "text") -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["point", "n"])
 
     counts = docs.select(text_of(f"`{text_col}`").alias("_text")).mapInArrow(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    plain = class_table([])
+    plain = kind_table()
     rows = counts.collect()             # at most POINTS rows
     own = [(r["n"], r["point"]) for r in rows if plain[r["point"]] in (LETTER, SIGN)]
     return [chr(p) for _, p in sorted(own, key=lambda x: (-x[0], x[1]))[:CLASSES - FIRST_CHAR]]
@@ -187,29 +203,38 @@ def window_counts(docs: DataFrame, chars: list[str], text_col: str = "text") ->
                 .groupBy("code").agg(F.sum("n").alias("n")))
 
 
+def shard_of(code: Column) -> Column:
+    """Windows of one context are in one shard."""
+    return F.pmod(F.xxhash64(F.floor(code / CLASSES).cast("long")), F.lit(SHARDS)).cast("int")
+
+
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, steps: int = LOCAL_STEPS) -> WindowNetwork:
-    """Trains on the windows of all documents; the result doesn't depend on how rows are dealt to tasks
-    but through the partitions of the counts."""
+    """Trains on the windows of all documents; the result doesn't depend on how rows are dealt to tasks."""
     chars = alphabet(docs, text_col)
-    counts = materialize(window_counts(docs, chars, text_col))
+    dealt = window_counts(docs, chars, text_col).withColumn("shard", shard_of(F.col("code")))
+    counts = materialize(dealt.repartition(SHARDS, "shard"))
     net = WindowNetwork.start(chars)
     for r in range(rounds):
         rate = RATE / (1 + r)
         now = net
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+            parts = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
             if not parts:
                 return
-            codes, n = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(codes)
-            mine = WindowNetwork(now.chars, *[p.copy() for p in now.params()])
-            mine.train(codes[order], n[order], steps, BATCH, rate, seed=int(codes[order[0]]) + r)
-            flat = np.concatenate([p.ravel() for p in mine.params()]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([float(n.sum())]), pa.array([int(codes[order[0]])], pa.int64()), pa.array([flat.tobytes()], pa.binary())],
-                                             ["weight", "part", "params"])
-
-        got = counts.mapInArrow(local, "weight double, part long, params binary").collect()
+            codes, n, shard = (np.concatenate(x) for x in zip(*parts))
+            for s in np.unique(shard).tolist():
+                mine = shard == s
+                order = np.argsort(codes[mine])
+                own, weight = codes[mine][order], n[mine][order]
+                copy = WindowNetwork(now.chars, *[p.copy() for p in now.params()])
+                copy.train(own, weight, steps, BATCH, rate, seed=100 * s + r)
+                flat = np.concatenate([p.ravel() for p in copy.params()]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([float(weight.sum())]), pa.array([s], pa.int64()), pa.array([flat.tobytes()], pa.binary())],
+                                                 ["weight", "part", "params"])
+
+        # a shard lies in one file, which may be read in pieces: they meet again here
+        got = counts.repartition(SHARDS, "shard").mapInArrow(local, "weight double, part long, params binary").collect()
         if not got:
             break
         got.sort(key=lambda x: x["part"])

@@ -87,3 +87,33 @@ def test_nulls_empty_clashes_and_empty_table(spark, net):
     assert got == [(0, 210_000, False), (1, 0, True), (2, 0, True), (2, 0, True)]
     empty = M.lm_score(d.filter("doc_id is not null"))
     assert {r.pll for r in empty.collect()} == {0.0} and M.lm_score(d.limit(0)).count() == 0
+
+
+def test_every_window_is_trained_on_with_its_weight():
+    seen = Counter()
+    net = M.WindowNetwork.start(list("ab"))
+    forward = net.forward
+    net.forward = lambda context: seen.update(context.tolist()) or forward(context)
+    codes = np.arange(0, 5000 * 32, 32, dtype=np.int64)
+    counts = np.where(np.arange(5000) == 7, 10 ** 7, 1)
+    net.train(codes, counts, 20, 64, 0.01, 1)
+    assert set(seen) == set((codes // 32).tolist()) and seen[int(codes[7] // 32)] >= 1200     # all of them, the frequent one in parts
+
+
+def test_the_network_does_not_depend_on_partitions(docs):
+    a, b = M.train(docs.repartition(3), rounds=2, steps=20), M.train(docs.repartition(29), rounds=2, steps=20)
+    assert a.chars == b.chars and all(np.allclose(x, y, atol=1e-6) for x, y in zip(a.params(), b.params()))
+
+
+def test_a_minority_script_has_many_classes_and_garbled_text_scores_lower(spark, docs):
+    words = "και να το του της με για από στην που είναι θα δεν μια ένα αυτό όταν πριν κάτι νερό σπίτι δρόμος φως".split()
+    rnd = np.random.default_rng(2)
+    greek = [" ".join(rnd.choice(words, 120)) for _ in range(60)]
+    corpus = docs.select("text").unionByName(spark.createDataFrame([(t,) for t in greek[:40]], "text string"))
+    net = M.train(corpus)
+    table = M.class_table(net.chars)
+    assert len({int(table[ord(c)]) for c in "αβγδεζηθικλμνξοπρστυφχψω"}) >= 8
+    mixed = ["".join(rnd.permutation(list(t))) for t in greek[40:]]
+    both = spark.createDataFrame(list(enumerate(greek[40:] + mixed)), "doc_id long, text string")
+    got = {r.doc_id: r.mean_pll for r in M.score(both, net).collect()}
+    assert all(got[i] > got[i + 20] + 0.2 for i in range(20))
