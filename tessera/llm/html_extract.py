@@ -10,7 +10,8 @@ pages are read with the same weights; a prior holds where nothing was counted.
 
 Inside the region, parts named as boilerplate (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles,
 comments of readers) are left out. A tag names its part; a class, id or role does unless its element holds the page's main part or first
-article (or, where neither is marked and only a part of the name is boilerplate, most of the page's words), and inside marked content only as a whole name; character references are decoded, white space inside a block is one space, and blocks are
+article (or, where neither is marked, most of the page's words: more than half if only a part of the name is boilerplate, more than four fifths
+in three blocks or more if the whole name is, comments of readers apart), and inside marked content only as a whole name; character references are decoded, white space inside a block is one space, and blocks are
 joined in page order by an empty line.
 
 Defined cases: null or empty html gives an empty text, as does a page without a word that scores; broken or unclosed markup
@@ -48,6 +49,7 @@ BOILER_WORDS = set("ad ads adsense advert advertisement adverts advertising aler
                    "navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion "
                    "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
                    "subscribe toolbar topbar trending widget".split())
+READER_WORDS = set("comment comments discussion disqus replies reply respond".split())
 ANCESTORS_KEPT = {"html", "body"} | LABEL_TAGS
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}}
@@ -63,7 +65,7 @@ def _tag_is_boilerplate(name: str, in_content: bool) -> bool:
     return name in BOILER_TAGS or (name == "header" and not in_content)
 
 
-def _names_boilerplate(attrs: str, in_content: bool) -> bool:
+def _names_boilerplate(attrs: str, in_content: bool, words: set[str] = BOILER_WORDS) -> bool:
     """A class, id or role names boilerplate: inside marked content as a whole name only, elsewhere also as a part of one."""
     if "=" not in attrs:
         return False
@@ -71,7 +73,7 @@ def _names_boilerplate(attrs: str, in_content: bool) -> bool:
         value = a or b or c
         for word in value.split() if in_content else PART.findall(value):
             word = word.lower()
-            if word in BOILER_WORDS or (word == "header" and not in_content):
+            if word in words or (words is BOILER_WORDS and word == "header" and not in_content):
                 return True
     return False
 
@@ -80,14 +82,16 @@ class Wrappers:
     """What the elements hold that are named as boilerplate by their attributes (each by its place in the page)."""
 
     def __init__(self):
-        self.total, self.words, self.whole, self.around = 0, Counter(), set(), {}
+        self.total, self.words, self.blocks, self.around = 0, Counter(), Counter(), {}
+        self.whole, self.readers = set(), set()      # by a whole name; as comments of readers
 
     def spared(self) -> set[int]:
-        """Those that hold the page's main part or first article, or, on a page that marks neither, most of its words (if
-        the boilerplate is only a part of the name: an advert on a page of few words stays one)."""
+        """Those that hold the page's main part or first article, or, on a page that marks neither, most of its words. A whole
+        name needs more of them, in several blocks: an advert on a page of few words stays one."""
         if self.around:
             return self.around.get("main", self.around.get("article", set())) | self.around.get("inner", set())
-        return {at for at, n in self.words.items() if 2 * n > self.total and at not in self.whole}
+        return {at for at, n in self.words.items() if (2 * n > self.total and at not in self.whole)
+                or (5 * n > 4 * self.total and self.blocks[at] >= 3 and at not in self.readers)}
 
 
 def tokens(page: str) -> Iterator[tuple[str, str | None, bool, bool, bool]]:
@@ -121,8 +125,9 @@ def _walk(page: str, spared: set[int], found: Wrappers) -> Iterator[tuple[str, s
         if boiler == len(named):                  # in no part whose tag is boilerplate
             n = len(text.split())
             found.total += n
-            for place in named:
+            for place in named if n else ():
                 found.words[place] += n
+                found.blocks[place] += fresh
         token = (kind, text, boiler > 0, content > 0, fresh)
         fresh = False
         return token
@@ -170,6 +175,8 @@ def _walk(page: str, spared: set[int], found: Wrappers) -> Iterator[tuple[str, s
                 named.append(m.start())
                 if _names_boilerplate(m["attrs"], True):
                     found.whole.add(m.start())
+                if _names_boilerplate(m["attrs"], False, READER_WORDS):
+                    found.readers.add(m.start())
             boiler += boil
             content += name in LABEL_TAGS
             links += name == "a"
@@ -254,8 +261,9 @@ def train(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
-            for page in batch.column(0).to_pylist():
-                total.update(count_kinds(page))
+            for part in slices(batch, "_html"):
+                for page in part.column(0).to_pylist():
+                    total.update(count_kinds(page))
         if total:
             keys = sorted(total)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys]), pa.array([i for _, i in keys]), pa.array([total[k] for k in keys], pa.int64())],

@@ -83,3 +83,20 @@ def test_sections_of_an_article_are_kept_unless_a_whole_name_is_boilerplate():
     for name in ("related-work", "share-price", "search-results"):
         page = f'<article><p>First words of it.</p><section class="{name}"><p>These words stay.</p></section><div class="share">Share it now</div><p>Last words of it end here.</p></article>'
         assert H.main_text(page, {}) == "First words of it.\n\nThese words stay.\n\nLast words of it end here."
+
+
+def test_a_named_wrapper_around_the_whole_page_hides_nothing():
+    paragraphs = [f"Paragraph number {i} has words." for i in range(30)]
+    body = "".join(f"<p>{x}</p>" for x in paragraphs)
+    for name in ("widget", "social", "search", "content", "nav-open"):
+        page = f'<body><nav><a>Home</a></nav><div class="{name}"><h1>Title</h1>{body}</div><footer>Imprint</footer></body>'
+        assert H.main_text(page, {}) == "\n\n".join(["Title", *paragraphs]), name
+
+
+def test_comments_and_adverts_stay_out_however_long():
+    article = "<p>One short article of a few words.</p><p>It ends here already.</p>"
+    said = "".join(f"<p>Reader {i} says a lot about this.</p>" for i in range(200))
+    want = "One short article of a few words.\n\nIt ends here already."
+    assert H.main_text(f'<body>{article}<div class="comments">{said}</div></body>', {}) == want
+    assert H.main_text(f'<body>{article}<div id="discussion">{said}</div></body>', {}) == want
+    assert H.main_text(f'<body>{article}<div class="advert">{"buy now " * 60}</div></body>', {}) == want
