@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversation_repair, embedding_dedup, html_extract, language_id, line_dedup, lm_score, merkle, near_dedup, packing, toxicity
+from . import bpe, conversation_repair, embedding_dedup, html_extract, language_id, line_dedup, lm_score, merkle, near_dedup, oracle_sql, packing, toxicity
 from . import exact_dedup as dedup
 from . import license_scan as lic
 from .registry import register
@@ -62,7 +62,7 @@ def op2_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
-@register("op13_merkle_manifest")
+@register("op13_merkle_manifest", oracle_sql.MERKLE)
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.audit(table(spark, sf_dir, "documents"))
 
@@ -73,7 +73,7 @@ def op12_line_dedup(spark, sf_dir):
     return line_dedup.drop_lines(docs, line_dedup.line_bitmaps(docs), digest=True)
 
 
-@register("op11_conversation_repair")
+@register("op11_conversation_repair", oracle_sql.REPAIR)
 def op11_conversation_repair(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     return conversation_repair.repair(conversation_repair.damage(turns), ids=turns)
