@@ -10,8 +10,6 @@ than one document's pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,23 +97,87 @@ def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     return chunks
 
 
+def _separator_ends(chars, first, sep: str):
+    """Ends of the separator's occurrences in the texts that lie one after the other in ``chars`` (texts
+    begin at ``first``), found from each text's start and never overlapping."""
+    import numpy as np
+
+    at = np.flatnonzero(chars == ord(sep[0]))
+    if len(sep) == 1 or not at.size:
+        return at + 1
+    # a run of n equal characters holds n // len(sep) of them; no run crosses a text's end
+    new = np.ones(at.size, bool)
+    new[1:] = (np.diff(at) != 1) | np.isin(at[1:], first)
+    start = at[new][np.cumsum(new) - 1]
+    place = at - start + 1
+    return at[place % len(sep) == 0] + 1
+
+
+def split_batch(texts: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=SEPARATORS):
+    """``split_recursive`` of many texts at once: (text number, chunk number, start, end) as arrays.
+
+    Each separator's places are found once for the batch; a level cuts all segments that are
+    still too long by one sorted merge. Chunks are then read off the pieces' ends: the next chunk of
+    every text at once, by one binary search per chunk number. Separators of several characters repeat one."""
+    import numpy as np
+
+    lengths = np.array([len(t) for t in texts], np.int64)
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(texts) else np.zeros(0, np.int64)
+    last = first + lengths
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.unique(last[lengths > 0])
+    for sep in separators:
+        starts = np.concatenate([[0], ends[:-1]])
+        long = ends - starts > size
+        if not long.any():
+            break
+        if sep:
+            cut = _separator_ends(chars, first, sep)
+            seg = np.searchsorted(ends, cut, "left")
+            cut = cut[long[seg]]
+        else:
+            pieces = (ends - starts - 1) // size * long
+            seg = np.repeat(np.arange(ends.size), pieces)
+            nth = np.arange(seg.size) - np.repeat(np.cumsum(pieces) - pieces, pieces) + 1
+            cut = starts[seg] + nth * size
+        ends = np.union1d(ends, cut)
+    out = []
+    live, start, number = np.flatnonzero(lengths > 0), first[lengths > 0], 0
+    while live.size:
+        k = np.searchsorted(ends, np.minimum(start + size, last[live]), "right") - 1
+        end = ends[k]
+        out.append((live, np.full(live.size, number), start - first[live], end - first[live]))
+        more = end < last[live]
+        live, start, end, k, number = live[more], start[more], end[more], k[more], number + 1
+        tail = np.minimum(overlap, end - start)
+        tail[tail + ends[k + 1] - end > size] = 0
+        start = end - tail
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    cols = [np.concatenate(c) for c in zip(*out)]
+    order = np.lexsort((cols[1], cols[0]))
+    return tuple(c[order] for c in cols)
+
+
 RECURSIVE_SCHEMA = "doc_id long, tenant_id int, chunk_no int, start int, chunk string"
 
 
 def chunk_documents_recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                               text_col: str = "content") -> DataFrame:
-    """K1 (recursive form) as ``mapInPandas``: each task splits the
-    documents of its own partition; nothing is grouped or collected."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, tenant, text in zip(pdf["doc_id"], pdf["tenant_id"], pdf[text_col]):
-                for i, (start, ch) in enumerate(split_recursive(text or "", size, overlap)):
-                    rows.append((doc_id, tenant, i, start, ch))
-            yield pd.DataFrame(rows, columns=["doc_id", "tenant_id", "chunk_no", "start", "chunk"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("tenant_id").cast("int"), text_col) \
-        .mapInPandas(run, RECURSIVE_SCHEMA)
+    """K1 (recursive form) as ``mapInArrow``: each task splits the documents of its own partition a
+    batch at a time (``split_batch``); nothing is grouped or collected."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            doc, number, start, end = split_batch(texts, size, overlap)
+            chunks = [texts[d][a:b] for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist())]
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()),
+                                              pa.array(start, pa.int32()), pa.array(chunks, pa.string())], ["doc_id", "tenant_id", "chunk_no", "start", "chunk"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("tenant_id").cast("int"), text_col).mapInArrow(run, RECURSIVE_SCHEMA)
 
 
 # K2 -----------------------------------------------------------------------

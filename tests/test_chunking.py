@@ -106,3 +106,30 @@ def test_registered_recursive_chunking_matches_brute_force(spark, sf):
     t = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     want = sorted((d["doc_id"], i, s, c) for d in t for i, (s, c) in enumerate(K.split_recursive(d["text"] or "")))
     assert got == want and len(want) > len(t)
+
+
+def test_batch_splitter_equals_the_one_text_splitter():
+    import random
+    rnd = random.Random(6)
+    texts = ["", "abc", "x" * 5000, " " * 3000, "\n" * 2500, "\n\n\n" * 900, "a" * 799 + " " + "b" * 801]
+    for _ in range(300):
+        alphabet = rnd.choice(["ab \n", "a\n\n", "é😀 \n\n", "abcdefgh ", "x"])
+        texts.append("".join(rnd.choice(alphabet) * rnd.choice((1, 1, 2, 3, 40, 400)) for _ in range(rnd.randrange(60))))
+    for size, overlap in ((800, 120), (50, 0), (50, 49), (7, 3), (1, 0)):
+        some = texts if size > 10 else [t[:600] for t in texts]
+        doc, number, start, end = K.split_batch(some, size, overlap)
+        got = {}
+        for d, n, a, b in zip(doc.tolist(), number.tolist(), start.tolist(), end.tolist()):
+            assert n == len(got.setdefault(d, []))
+            got[d].append((a, some[d][a:b]))
+        for i, t in enumerate(some):
+            assert got.get(i, []) == K.split_recursive(t, size, overlap), (size, overlap, t[:80])
+
+
+def test_batch_splitter_on_the_table(spark):
+    from tessera.sources import views as V
+    from tessera.sources.tables import Tables
+    docs = V.docs(Tables(spark, "/root/testdata/sf0.01"))
+    want = {(r.doc_id, i): c for r in docs.select("doc_id", "content").collect() for i, c in enumerate(K.split_recursive(r.content or ""))}
+    got = {(r.doc_id, r.chunk_no): (r.start, r.chunk) for r in K.chunk_documents_recursive(docs).collect()}
+    assert got == want
