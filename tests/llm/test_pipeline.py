@@ -53,3 +53,23 @@ def test_clean_documents_pass_the_filters(spark):
     after = {r.doc_id for r in P.remove_toxic(spark, docs, sf).select("doc_id").collect()}
     clean = [d for d, y in labels.items() if y == 0]
     assert np.mean([d in after for d in clean]) > 0.97
+
+
+def test_stages_take_nulls_repeated_ids_and_extra_columns(spark, sf):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("kept", F.when(F.col("doc_id") >= 0, "x")).withColumn("_text", F.col("doc_id") * 2).withColumn("score", F.lit(None).cast("int"))
+    odd = spark.createDataFrame([(None, None, None, None, None, None, None, None), (1, "", "en", "s", 0, "y", 1, 1), (1, None, None, None, None, "y", 1, 1),
+                                 (5_000_001, "!!! 123", "en", "s", 7, "z", 1, 1)], docs.schema)
+    twice = docs.filter("doc_id < 40")                            # rows that repeat an id and a text
+    both = docs.unionByName(odd).unionByName(twice)
+    sizes = [both.count()]
+    for name, stage in P.STAGES[:-1]:
+        out = P.materialize(stage(spark, both, sf))
+        assert out.columns == docs.columns, name
+        assert out.exceptAll(both).isEmpty(), name                 # rows are kept or dropped, never changed
+        sizes.append(out.count())
+        both = out
+    assert both.filter("text is null or text in ('', '!!! 123')").isEmpty()            # no language
+    assert both.count() == both.select("text").distinct().count() and sizes == sorted(sizes, reverse=True)
+    packed = P.pack_windows(spark, both, sf)
+    assert packed.select("doc_id").distinct().count() == both.count()
