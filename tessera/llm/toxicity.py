@@ -98,9 +98,10 @@ class TermRows(dict):
 
 def single_terms(texts: list[np.ndarray], y: np.ndarray, min_z: float = MIN_Z) -> np.ndarray:
     """Terms whose share of label 1 differs from the sample's by ``min_z`` standard errors."""
-    label = np.repeat(y, [t.size for t in texts])
-    terms, inverse, n = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
-    pos = np.bincount(inverse, weights=label, minlength=terms.size)
+    terms, n = np.unique(np.concatenate(texts), return_counts=True)
+    seen, times = np.unique(np.concatenate([t for t, label in zip(texts, y) if label]), return_counts=True)
+    pos = np.zeros(terms.size, np.int64)
+    pos[np.searchsorted(terms, seen)] = times
     p, total = y.mean(), len(y)
     error = np.sqrt(n * (total - n + 1e-9) / total * p * (1 - p))
     return terms[np.abs(pos - n * p) >= min_z * np.maximum(error, 1e-9)]
@@ -192,9 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     got = one_text(base.filter(F.col("_id").isin(list(label))), "_id").mapInArrow(tidy(features), f"_id {kind}, terms binary").toArrow()
     seen = {(label[i], t) for i, t in zip(got.column("_id").to_pylist(), got.column("terms").to_pylist())}   # copies count once
+    del got
     rows = sorted(seen)
-    model = fit([np.frombuffer(t, np.int64) for _, t in rows], np.array([y for y, _ in rows], np.float64))
-    del got, seen, rows
+    texts, y = [np.frombuffer(t, np.int64) for _, t in rows], np.array([y for y, _ in rows], np.float64)
+    del seen, rows
+    release_memory()                   # before the matrices are made
+    model = fit(texts, y)
+    del texts
     release_memory()
     return model
 

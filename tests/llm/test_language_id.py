@@ -99,13 +99,13 @@ def test_unseen_scripts_and_random_letters_are_flagged_and_clean_documents_are_n
 
 
 def test_distance_counts_margins_against_the_usual_ones():
-    code = L.code_matrix(4)                      # distance 4: flagged from 1.5 bits on
+    code = L.code_matrix(4)                      # distance 4: flagged from 1.75 bits on
     m = L.LanguageModel(list("abcd"), code, np.zeros((1, 7)), np.zeros(7), np.ones(code.shape), np.full(7, 2.0))
     margins = np.repeat(2 * code[:1], 6, 0)
-    margins[1, :2] = 0
-    margins[2, :3] = 0
-    margins[3, 0] *= -1
-    margins[4, 0], margins[4, 1] = -margins[4, 0], 0
+    margins[1, :3] = 0
+    margins[2, :4] = 0
+    margins[3, 0], margins[3, 1] = -margins[3, 0], 0
+    margins[4, 0], margins[4, 1:3] = -margins[4, 0], 0
     margins[5] *= 0.25
-    assert m.distance(margins, np.zeros(6, int)).tolist() == [0, 1, 1.5, 1, 1.5, 2.625]
+    assert m.distance(margins, np.zeros(6, int)).tolist() == [0, 1.5, 2, 1.5, 2, 2.625]
     assert m.decode(margins)[2].tolist() == [False, False, True, False, True, True]
