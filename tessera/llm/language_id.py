@@ -5,8 +5,8 @@ trained over hashed byte n-grams (logistic loss, numpy). A text's margins are
 decoded to the codeword with the smallest loss, each bit weighted by how well its
 classifier tells that language in training. A text's distance from its codeword
 counts a bit 0 where its margin is as large as usual in training, a half at zero
-margin and 1 where it is as large on the wrong side. From a quarter bit under d / 2 on, d the smallest distance of
-the code, the second codeword is about as near and the text is flagged as ambiguous. Texts in a language or script
+margin and 1 where it is as large on the wrong side. From ``FAR`` of the smallest distance of
+the code on, the second codeword is about as near (at a half it may be nearer) and the text is flagged as ambiguous. Texts in a language or script
 that was never learned have small margins and lie outside.
 
 Training takes at most ``sample_docs`` labelled documents (whole texts), the same
@@ -38,6 +38,7 @@ from .util import release_memory, remainder, slices, text_of, tidy
 DIM_BITS = 13
 ORDERS = (2, 3, 4)
 SAMPLE_DOCS = 1000
+FAR = 0.4
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -100,7 +101,7 @@ class LanguageModel:
         best = loss.argmin(1)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         score = 1 / p.sum(1)
-        return best, score, self.distance(margins, best) >= max(0.375, min_distance(self.code) / 2 - 0.25)
+        return best, score, self.distance(margins, best) >= FAR * max(1, min_distance(self.code))
 
     def distance(self, margins: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Distance in bits from the codeword, by the size of the margins."""

@@ -99,7 +99,7 @@ def test_unseen_scripts_and_random_letters_are_flagged_and_clean_documents_are_n
 
 
 def test_distance_counts_margins_against_the_usual_ones():
-    code = L.code_matrix(4)                      # distance 4: flagged from 1.75 bits on
+    code = L.code_matrix(4)                      # distance 4: flagged from 1.6 bits on
     m = L.LanguageModel(list("abcd"), code, np.zeros((1, 7)), np.zeros(7), np.ones(code.shape), np.full(7, 2.0))
     margins = np.repeat(2 * code[:1], 6, 0)
     margins[1, :3] = 0
