@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import content_key, simple_tokens
+from .batches import parts, tidy
 from .common import materialize, lookup, top_k_per
+from .pair_blocks import POSTINGS, VECTORS, best_cosines, best_sums, by_cell
 
 # Splitter settings of the reference ingest (characters).
 CHUNK_SIZE = 800
 CHUNK_OVERLAP = 120
 
+# What a map in Python works on at once: tokens and bytes of text.
+PART_TOKENS = 1 << 18
+PART_BYTES = 4 << 20
+
 
 # K1: fixed-stride form ------------------------------------------------------------
 def chunk_count(length: Column, size: int, overlap: int) -> Column:
@@ -169,7 +175,7 @@ def chunk_documents_recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 2, size=PART_BYTES)):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             doc, number, start, end = split_batch(texts, size, overlap)
             chunks = [texts[d][a:b] for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist())]
@@ -177,7 +183,7 @@ def chunk_documents_recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()),
                                               pa.array(start, pa.int32()), pa.array(chunks, pa.string())], ["doc_id", "tenant_id", "chunk_no", "start", "chunk"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("tenant_id").cast("int"), text_col).mapInArrow(run, RECURSIVE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("tenant_id").cast("int"), text_col).mapInArrow(tidy(run), RECURSIVE_SCHEMA)
 
 
 # K2 -----------------------------------------------------------------------
@@ -230,17 +236,24 @@ def tag_chunks(chunks: DataFrame, docs: DataFrame, tenants: DataFrame) -> DataFr
 
 
 # K5 -----------------------------------------------------------------------
-def unescape(col: Column) -> Column:
-    """Character references (named, decimal and hexadecimal, with or without
-    the closing semicolon as HTML reads them) as characters. A pandas UDF over
-    Arrow batches: the list of names is the standard library's."""
+def unescape(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` with the character references of text columns (named, decimal and hexadecimal, with or
+    without the closing semicolon as HTML reads them) as characters, a few MB of text at a time: the list of
+    names is the standard library's."""
     import html
 
-    @F.pandas_udf("string")
-    def decoded(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
+    import pyarrow as pa
+
+    at = [df.columns.index(c) for c in cols]
+
+    def run(batches):
+        for rb in (part for batch in batches for part in parts(batch, *at, size=PART_BYTES)):
+            arrays = list(rb.columns)
+            for i in at:
+                arrays[i] = pa.array([t if t is None else html.unescape(t) for t in arrays[i].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, rb.schema.names)
 
-    return decoded(col)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -254,8 +267,10 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     body = F.regexp_replace(body, r"(?s)<!--.*?-->", " ")
     body = F.regexp_replace(body, r"(?is)<title[^>]*>.*?</title>", " ")
     body = F.regexp_replace(body, r"<[^>]*>", " ")
-    tidy = lambda c: F.trim(F.regexp_replace(unescape(c), r"[ \t\r\n\x{a0}]+", " "))
-    return pages.select("*", tidy(title).alias("title"), tidy(body).alias("text")).drop(html_col)
+    tidied = lambda c: F.trim(F.regexp_replace(c, r"[ \t\r\n\x{a0}]+", " ")).alias(c)
+    rest = [c for c in pages.columns if c not in (html_col, "title", "text")]
+    raw = pages.select(*rest, title.alias("title"), body.alias("text"))
+    return unescape(raw, "title", "text").select(*rest, tidied("title"), tidied("text"))
 
 
 # K9 -----------------------------------------------------------------------
@@ -299,7 +314,7 @@ def build_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "con
     names = ["tenant_id", id_col, "term", "tf", "dl"]
 
     def run(batches):
-        for rb in batches:
+        for rb in (part for batch in batches for part in parts(batch, 2, size=PART_TOKENS)):
             toks = rb.column(2)
             lengths = np.asarray(pc.list_value_length(toks)).astype(np.int64)
             flat = pc.list_flatten(toks)
@@ -313,7 +328,7 @@ def build_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "con
             yield pa.RecordBatch.from_arrays([rb.column(0).take(take), rb.column(1).take(take), term,
                                               pa.array(np.concatenate([np.zeros(rb.num_rows, np.int64), tf])), pa.array(lengths[row])], names)
 
-    return src.mapInArrow(run, f"tenant_id {kinds['tenant_id']}, `{id_col}` {kinds[id_col]}, term string, tf long, dl long")
+    return src.mapInArrow(tidy(run), f"tenant_id {kinds['tenant_id']}, `{id_col}` {kinds[id_col]}, term string, tf long, dl long")
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -329,32 +344,33 @@ def build_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
 
 
 # K12 ----------------------------------------------------------------------
-def bm25_scores(queries: DataFrame, post: DataFrame, ids: list[str], block_by: str,
-                k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """BM25 of every (question, item) that share a term, on stored postings of items named by ``ids``: the
-    questions (query_id, tenant_id, _q) and (tenant_id, _block, _q, ids, score).
-
-    Equal questions of a tenant are scored once. The postings of query terms are dealt by
-    (tenant, hash block of ``block_by``), so an item's score is complete inside its block and a
-    tenant of any size is many tasks. No side is hinted; Spark broadcasts what is under its
-    byte threshold."""
+def bm25_top(queries: DataFrame, post: DataFrame, ids: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """The best ``k`` ids[0] of each question by BM25 on stored postings of items named by ``ids`` (the score of several
+    items with the same ids[0] is that of the best): the questions (query_id, tenant_id, _q)
+    and (tenant_id, _q, ids, score, rank).
+
+    Equal questions of a tenant are scored once. Weighted postings and questions meet in cells of
+    bounded size (``pair_blocks``), in which a score is complete: pairs of a question and an item stay inside a task,
+    which ships k rows per question. No side is hinted; Spark broadcasts what is under its byte threshold."""
     lengths = post.filter(F.col("term").isNull())
     stats = lengths.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", "tenant_id", F.md5(F.coalesce("query_text", F.lit(""))).alias("_q"), "query_text")
-    once = asked.groupBy("tenant_id", "_q").agg(F.first("query_text").alias("query_text"))
-    terms = materialize(once.select("tenant_id", "_q", F.explode(F.array_distinct(simple_tokens("query_text"))).alias("term")))
-    wanted = lookup(terms.select("tenant_id", "term").distinct())
+    once = materialize(asked.groupBy("tenant_id", "_q").agg(F.first("query_text").alias("_text"))
+                       .select("tenant_id", "_q", F.array_distinct(simple_tokens("_text")).alias("_terms")))
+    wanted = lookup(once.select("tenant_id", F.explode("_terms").alias("term")).distinct())
     hit = post.filter(F.col("term").isNotNull()).join(wanted, ["tenant_id", "term"], "left_semi")
     n, df_, tf = F.col("n_docs"), F.col("df"), F.col("tf")
     idf = F.log(F.lit(1.0) + (n - df_ + F.lit(0.5)) / (df_ + F.lit(0.5)))
-    weighted = lookup(terms.join(hit.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df")), ["tenant_id", "term"])
-                      .join(stats, "tenant_id").select("tenant_id", "term", "_q", "avgdl", idf.alias("idf")))
-    blocks = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = hit.withColumn("_block", F.pmod(F.xxhash64(block_by), F.lit(blocks))).repartition("tenant_id", "_block")
+    known = lookup(hit.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "tenant_id")
+                   .select("tenant_id", "term", "avgdl", "df", idf.alias("idf")))
     w = F.col("idf") * tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    scored = dealt.join(weighted, ["tenant_id", "term"]).groupBy("tenant_id", "_block", "_q", *ids) \
-        .agg(F.round(F.sum(w), 6).alias("score"))
-    return asked.drop("query_text"), scored
+    weighted = post.join(known, ["tenant_id", "term"]).select("tenant_id", *ids, "term", w.alias("w"))
+    sizes = known.groupBy("tenant_id").agg(F.sum("df").alias("n_items")).join(
+        once.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_questions")), "tenant_id")
+    schema = T.StructType([once.schema["tenant_id"], once.schema["_q"], *[post.schema[c] for c in ids], T.StructField("score", T.DoubleType())])
+    scored = by_cell(weighted, ids[0], once, "_q", sizes, POSTINGS, lambda left, right: best_sums(left, right, ids, k), schema)
+    top = top_k_per(scored, ["tenant_id", "_q"], [F.col("score").desc(), *[F.col(c) for c in ids]], k, rank_col="rank")
+    return asked.drop("query_text"), top
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame | None, k: int = 8, k1: float = 1.2, b: float = 0.75,
@@ -367,8 +383,7 @@ def keyword_search(queries: DataFrame, docs: DataFrame | None, k: int = 8, k1: f
     each document is tokenised once); a task ships k rows per question
     to the ranking."""
     post = postings if postings is not None else materialize(build_postings(docs, id_col, text_col))
-    asked, scored = bm25_scores(queries, post, [id_col], id_col, k1, b)
-    best = top_k_per(scored, ["tenant_id", "_q"], [F.col("score").desc(), F.col(id_col)], k, rank_col="rank")
+    asked, best = bm25_top(queries, post, [id_col], k, k1, b)
     return asked.join(best, ["tenant_id", "_q"]).select("query_id", "tenant_id", id_col, "score", "rank")
 
 
@@ -393,7 +408,7 @@ def hash_embed(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 64)
                           [T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for rb in batches:
+        for rb in (part for batch in batches for part in parts(batch, len(id_cols), size=PART_TOKENS)):
             n = rb.num_rows
             toks = rb.column(rb.schema.get_field_index("_tok"))
             flat = pc.list_flatten(toks)
@@ -417,17 +432,28 @@ def hash_embed(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 64)
             cols = [rb.column(rb.schema.get_field_index(c)) for c in id_cols] + [emb]
             yield pa.RecordBatch.from_arrays(cols, names=[*id_cols, "embedding"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def vector_search_docs(queries: DataFrame, doc_vecs: DataFrame, k: int = 8, id_col: str = "doc_id") -> DataFrame:
     """Exact cosine top-k of query vectors against the document vectors of
-    the query's tenant (equi join on tenant; the document side is scanned in
-    place when the queries are under Spark's broadcast threshold)."""
-    from ..functions.expr import cosine_equal_len, score4
-    j = doc_vecs.join(lookup(queries.select("query_id", "tenant_id", "query_vec")), "tenant_id", "inner")
-    s = j.select("query_id", "tenant_id", id_col, score4(cosine_equal_len("query_vec", "embedding")).alias("score"))
-    return top_k_per(s, "query_id", [F.col("score").desc(), F.col(id_col)], k, rank_col="rank")
+    the query's tenant, in cells of bounded size (``pair_blocks``); vectors of
+    different lengths have no score."""
+    return best_by_cosine(queries, doc_vecs, k, id_col, (id_col,), equal_len=True)
+
+
+def best_by_cosine(queries: DataFrame, items: DataFrame, k: int, id_col: str, keep: tuple[str, ...], equal_len: bool = False,
+                   counts: DataFrame | None = None, vec_col: str = "embedding") -> DataFrame:
+    """(query_id, tenant_id, keep, score, rank): the exact best ``k`` items of each question's tenant, by
+    cosine rounded to 4 and ``id_col``. ``counts`` (tenant_id, n_items) spares a pass over ``items``."""
+    asked = queries.select("query_id", "tenant_id", "query_vec")
+    rows = items.select("tenant_id", *keep, F.col(vec_col).cast("array<double>").alias("embedding"))
+    counts = counts if counts is not None else items.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_items"))
+    sizes = counts.join(asked.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_questions")), "tenant_id")
+    schema = T.StructType([*[asked.schema[c] for c in ("query_id", "tenant_id")], *[items.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
+    found = by_cell(rows, id_col, asked.withColumn("query_vec", F.col("query_vec").cast("array<double>")), "query_id", sizes, VECTORS,
+                    lambda left, right: best_cosines(left, right, id_col, list(keep), k, equal_len=equal_len), schema)
+    return top_k_per(found, "query_id", [F.col("score").desc(), F.col(id_col)], k, rank_col="rank")
 
 
 # K13 ----------------------------------------------------------------------

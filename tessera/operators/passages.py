@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize, top_k_per
-from .kb_text import CHUNK_OVERLAP, CHUNK_SIZE, bm25_scores, build_postings, chunk_documents
+from .common import lookup, materialize
+from .kb_text import CHUNK_OVERLAP, CHUNK_SIZE, best_by_cosine, bm25_top, build_postings, chunk_documents
+from .vector_store import with_vectors
 
 
 def passage_id(doc_id="doc_id", chunk_no="chunk_no") -> Column:
@@ -39,20 +40,24 @@ def search_passages(queries: DataFrame, docs: DataFrame | None, k: int = 8, post
     Postings are dealt by document, so a document's chunks meet in one task and only its best
     goes on; a task ships k documents per question."""
     post = postings if postings is not None else materialize(build_passage_postings(docs, size, overlap))
-    asked, scored = bm25_scores(queries, post, ["doc_id", "chunk_no"], "doc_id")
-    best = scored.groupBy("tenant_id", "_block", "_q", "doc_id") \
-        .agg(F.max(F.struct("score", (-F.col("chunk_no")).alias("_last"))).alias("_b")) \
-        .select("tenant_id", "_q", "doc_id", (-F.col("_b._last")).alias("chunk_no"), F.col("_b.score").alias("score"))
-    top = top_k_per(best, ["tenant_id", "_q"], [F.col("score").desc(), F.col("doc_id")], k, rank_col="rank")
+    asked, top = bm25_top(queries, post, ["doc_id", "chunk_no"], k)
     return asked.join(top, ["tenant_id", "_q"]).select("query_id", "tenant_id", "doc_id", "chunk_no", "score", "rank")
 
 
+def search_passage_vectors(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, tenant_id, chunk_id, doc_id, chunk_no, score, rank): K10 on the stored vectors of
+    ``chunks``, for any number of questions: they meet in cells of bounded size."""
+    counts = chunks.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_items"))
+    return best_by_cosine(queries, with_vectors(chunks, vectors, text_col="chunk"), k, "chunk_id", ("chunk_id", "doc_id", "chunk_no"), counts=counts)
+
+
 def passage_texts(hits: DataFrame, docs: DataFrame, keep: tuple[str, ...] = ("title", "source"),
                   size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """``hits`` (doc_id, chunk_no, ..) with the text of the chunk and the document's ``keep``
-    columns. Only documents that were hit are cut again."""
+    columns. Only documents that were hit are cut again, and only their chunks travel: a semi join
+    would be moved below the cut and take the whole text along with each of its chunks."""
     wanted = lookup(hits.select("doc_id", "chunk_no").distinct())
     hit_docs = docs.join(lookup(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     cut = chunk_documents(hit_docs, size, overlap, keep=("doc_id", *keep))
-    texts = cut.join(wanted, ["doc_id", "chunk_no"], "left_semi").select("doc_id", "chunk_no", *keep, "chunk")
+    texts = cut.join(wanted, ["doc_id", "chunk_no"]).select("doc_id", "chunk_no", *keep, "chunk")
     return hits.join(texts, ["doc_id", "chunk_no"])

@@ -72,8 +72,7 @@ def passage_hits(spark, t, k: int = 3) -> tuple[DataFrame, DataFrame]:
     store = shared_path(spark, f"vectors-{uuid.uuid4().hex}")
     vecs = VS.refresh(chunks, store, VS.hash_embedder(), "hash", "1", text_col="chunk")
     q = materialize(question_vectors(t))
-    hits = S.search(q, VS.with_vectors(chunks, vecs, text_col="chunk"), k, keep=("doc_id", "chunk_no"))
-    return q, hits
+    return q, P.search_passage_vectors(q, chunks, vecs, k)
 
 
 def _k14(spark, sf):
@@ -190,7 +189,7 @@ def _k16(spark, sf):
     vecs = K.hash_embed(asked, ["query_id", "tenant_id"], "query_text", 64).withColumnRenamed("embedding", "query_vec")
     chunks = P.passages(V.docs(t))
     store = VS.refresh(chunks, shared_path(spark, f"vectors-{uuid.uuid4().hex}"), VS.hash_embedder(), "hash", "1", text_col="chunk")
-    hits = S.search(materialize(vecs), VS.with_vectors(chunks, store, text_col="chunk"), 3)
+    hits = P.search_passage_vectors(materialize(vecs), chunks, store, 3)
     log = S.log_retrieval(asked.drop("query_text"), hits, CITED_FROM)
     return log.select("query_id", "call_id", "turn_no", "tenant_id",
                       F.array_join(F.transform("citations", lambda x: F.concat_ws("=", x["chunk_id"], x["score"].cast("string"))), ",").alias("citations"),
