@@ -309,7 +309,9 @@ def apply_replies(bookings: DataFrame, replies: DataFrame) -> DataFrame:
     r = latest(r, "phone", "ts", tie=["seq"])
     m = F.create_map(*[x for k, v in REPLY_ACTIONS.items() if v for x in (F.lit(k), F.lit(v))])
     r = r.select("phone", "word", F.element_at(m, F.col("word")).alias("_new"), (F.col("word") == "stop").alias("opt_out"))
-    j = bookings.join(r.withColumnRenamed("phone", "customer_phone"), "customer_phone", "left")
+    # Bookings without a phone match nothing; in the join they would all meet in one task.
+    known = bookings.filter(F.col("customer_phone").isNotNull()).join(r.withColumnRenamed("phone", "customer_phone"), "customer_phone", "left")
+    j = known.unionByName(bookings.filter(F.col("customer_phone").isNull()), allowMissingColumns=True)
     return j.select(*[c for c in bookings.columns if c != "status"],
                     F.coalesce("_new", "status").alias("status"),
                     F.coalesce("opt_out", F.lit(False)).alias("opted_out"))
