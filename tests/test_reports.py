@@ -87,3 +87,27 @@ def test_quality_checks(spark):
     red = spark.createDataFrame([("mail a.b@x.org or +91 90000 00000 now",)], "t string")
     r = Q.redact(red, "t").first()
     assert (r.n_emails, r.n_phones, r.t) == (1, 1, "mail [email] or [phone] now")
+
+
+def test_access_report_reads_the_audit_once(spark):
+    import datetime as dt
+
+    days = [dt.datetime(2024, 1, 1 + i, 5) for i in range(9)]
+    rows = [(1, d) for d in days] + [(1, days[0])] * 8 + [(2, days[0]), (None, days[0])]
+    out = RP.access_report(spark.createDataFrame(rows, "user_id long, ts timestamp"), "1 day")
+    got = {(r.user_id, r.window_start): (r.accesses, r["mean"], r.sd, r.spike) for r in out.collect()}
+    assert got[1, days[0].replace(hour=0)] == (9, 1.8889, 2.6667, True) and got[1, days[1].replace(hour=0)] == (1, 1.8889, 2.6667, False)
+    assert got[2, days[0].replace(hour=0)] == (1, 1.0, None, False) and len(got) == 10
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()        # before: a join of two readings
+
+
+def test_bookings_without_a_phone_do_not_meet_in_one_task(spark):
+    b = spark.createDataFrame([("a", None, "pending"), ("b", None, "pending"), ("c", "+15550001111", "pending"), ("d", "+15550002222", "pending")],
+                              "booking_key string, customer_phone string, status string")
+    r = spark.createDataFrame([("0015550001111", "cancel", dt.datetime(2024, 1, 1), "1"), ("x", "stop", dt.datetime(2024, 1, 1), "2")],
+                              "phone string, text string, ts timestamp, seq string")
+    out = RU.apply_replies(b, r)
+    assert sorted((x.booking_key, x.status, x.opted_out) for x in out.collect()) == [
+        ("a", "pending", False), ("b", "pending", False), ("c", "cancelled", False), ("d", "pending", False)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("isnull(customer_phone") >= 1                # joined only where there is a phone
