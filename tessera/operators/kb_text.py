@@ -38,16 +38,18 @@ def chunk_count(length: Column, size: int, overlap: int) -> Column:
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                    text_col: str = "content", keep: tuple[str, ...] = ("doc_id", "tenant_id")) -> DataFrame:
+                    text_col: str = "content", keep: tuple[str, ...] = ("doc_id", "tenant_id"), only: str | None = None) -> DataFrame:
     """K1 (fixed form): windows of ``size`` characters every ``size - overlap``
     characters, the last one covering the tail; chunk number and start offset
-    kept. Empty text gives no chunk, text up to ``size`` gives one."""
+    kept. Empty text gives no chunk, text up to ``size`` gives one. ``only`` names a column
+    with the numbers of the chunks to cut, where not all are asked for."""
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     step = size - overlap
     n = chunk_count(F.coalesce(F.length(text_col), F.lit(0)), size, overlap)
-    d = docs.select(*keep, F.col(text_col).alias("_t"), n.alias("_n"))
-    d = d.filter(F.col("_n") > 0).select(*keep, "_t", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk_no"))
+    numbers = F.sequence(F.lit(0), F.col("_n") - 1)
+    d = docs.select(*keep, F.col(text_col).alias("_t"), n.alias("_n"), *([F.col(only).alias("_only")] if only else []))
+    d = d.filter(F.col("_n") > 0).select(*keep, "_t", F.explode(F.array_intersect(numbers, "_only") if only else numbers).alias("chunk_no"))
     start = F.col("chunk_no") * step
     return d.select(*keep, "chunk_no", start.alias("start"),
                     F.substring(F.col("_t"), start + 1, F.lit(size)).alias("chunk"))
@@ -307,28 +309,90 @@ def build_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "con
     documents on whole Arrow batches. Written once, it serves every search."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in ("tenant_id", id_col)}
-    src = docs.select("tenant_id", id_col, F.coalesce(simple_tokens(text_col), F.array().cast("array<string>")).alias("_tok"))
     names = ["tenant_id", id_col, "term", "tf", "dl"]
 
     def run(batches):
         for rb in (part for batch in batches for part in parts(batch, 2, size=PART_TOKENS)):
-            toks = rb.column(2)
-            lengths = np.asarray(pc.list_value_length(toks)).astype(np.int64)
-            flat = pc.list_flatten(toks)
-            enc = pc.dictionary_encode(flat)
-            rows = np.repeat(np.arange(rb.num_rows), lengths)
-            size = max(1, len(enc.dictionary))
-            pair, tf = np.unique(rows * size + np.asarray(enc.indices).astype(np.int64), return_counts=True)
-            row = np.concatenate([np.arange(rb.num_rows), pair // size])
-            term = pa.concat_arrays([pa.nulls(rb.num_rows, pa.string()), enc.dictionary.take(pa.array(pair % size)).cast(pa.string())])
+            rows, words, tf, lengths = _counted(rb.column(2))
+            row = np.concatenate([np.arange(rb.num_rows), rows])
+            term = pa.concat_arrays([pa.nulls(rb.num_rows, pa.string()), words])
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([rb.column(0).take(take), rb.column(1).take(take), term,
                                               pa.array(np.concatenate([np.zeros(rb.num_rows, np.int64), tf])), pa.array(lengths[row])], names)
 
-    return src.mapInArrow(tidy(run), f"tenant_id {kinds['tenant_id']}, `{id_col}` {kinds[id_col]}, term string, tf long, dl long")
+    return _tokenised(docs, id_col, text_col).mapInArrow(
+        tidy(run), f"tenant_id {kinds['tenant_id']}, `{id_col}` {kinds[id_col]}, term string, tf long, dl long")
+
+
+def _tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select("tenant_id", id_col, F.coalesce(simple_tokens(text_col), F.array().cast("array<string>")).alias("_tok"))
+
+
+def _counted(toks):
+    """(row, term, tf) of each distinct term of a row of tokens, by row, and the rows' numbers of tokens."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lengths = np.asarray(pc.list_value_length(toks)).astype(np.int64)
+    enc = pc.dictionary_encode(pc.list_flatten(toks))
+    size = max(1, len(enc.dictionary))
+    pair, tf = np.unique(np.repeat(np.arange(len(toks)), lengths) * size + np.asarray(enc.indices).astype(np.int64), return_counts=True)
+    return pair // size, enc.dictionary.take(pa.array(pair % size)).cast(pa.string()), tf, lengths
+
+
+def posting_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """K11 with one row per document: (tenant, id, dl, docs, n, terms, tfs), its ``n`` distinct terms joined by a space
+    and how often it holds each. Map-only; a tenth of the rows of ``build_postings`` or less, for searches that read all."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("tenant_id", id_col)}
+
+    def run(batches):
+        for rb in (part for batch in batches for part in parts(batch, 2, size=PART_TOKENS)):
+            rows, words, tf, lengths = _counted(rb.column(2))
+            upto = pa.array(np.searchsorted(rows, np.arange(rb.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0), rb.column(1), pa.array(lengths), pa.array(np.ones(rb.num_rows, np.int64)), pa.array(np.diff(np.asarray(upto)), pa.int32()),
+                 pc.binary_join(pa.ListArray.from_arrays(upto, words), " "), pa.ListArray.from_arrays(upto, pa.array(tf, pa.int32()))],
+                ["tenant_id", id_col, "dl", "docs", "n", "terms", "tfs"])
+
+    return _tokenised(docs, id_col, text_col).mapInArrow(
+        tidy(run), f"tenant_id {kinds['tenant_id']}, `{id_col}` {kinds[id_col]}, dl long, docs long, n int, terms string, tfs array<int>")
+
+
+def listed(postings: DataFrame, ids: list[str]) -> DataFrame:
+    """Stored postings as ``posting_lists``. Items of the same ids and length are one row with ``docs`` of them; a
+    term with a space is no token, so no question holds it."""
+    held = F.collect_list(F.when(~F.contains("term", F.lit(" ")), F.struct("term", F.col("tf").cast("int").alias("tf"))))
+    g = postings.groupBy("tenant_id", *ids, "dl").agg(F.count_if(F.col("term").isNull()).alias("docs"), held.alias("_l"))
+    return g.select("tenant_id", *ids, "dl", "docs", F.size("_l").alias("n"), F.array_join(F.col("_l.term"), " ").alias("terms"), F.col("_l.tf").alias("tfs"))
+
+
+def list_statistics(lists: DataFrame) -> DataFrame:
+    """K11's df by tenant and term from ``posting_lists``, counted a few MB of text at a time before the shuffle."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kind = lists.schema["tenant_id"].dataType.simpleString()
+
+    def run(batches):
+        for rb in (part for batch in batches for part in parts(batch, 1, size=PART_BYTES)):
+            toks = pc.split_pattern(rb.column(1), " ")
+            term, tenant = pc.dictionary_encode(pc.list_flatten(toks)), pc.dictionary_encode(rb.column(0))
+            owner = np.repeat(np.asarray(tenant.indices).astype(np.int64), np.asarray(pc.list_value_length(toks)))
+            size = max(1, len(term.dictionary))
+            pair, n = np.unique(owner * size + np.asarray(term.indices), return_counts=True)
+            yield pa.RecordBatch.from_arrays([tenant.dictionary.take(pa.array(pair // size)), term.dictionary.take(pa.array(pair % size)).cast(pa.string()),
+                                              pa.array(n, pa.int64())], ["tenant_id", "term", "df"])
+
+    counted = lists.filter("n > 0").select("tenant_id", "terms").mapInArrow(tidy(run), f"tenant_id {kind}, term string, df long")
+    return counted.groupBy("tenant_id", "term").agg(F.sum("df").alias("df"))
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -344,33 +408,42 @@ def build_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
 
 
 # K12 ----------------------------------------------------------------------
-def bm25_top(queries: DataFrame, post: DataFrame, ids: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """The best ``k`` ids[0] of each question by BM25 on stored postings of items named by ``ids`` (the score of several
+VOCABULARY_ROWS = 64      # of a tenant
+
+
+def questions_by_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, tenant_id, _q, _terms): the distinct terms in order; ``_q`` is the same for questions with the same terms."""
+    terms = F.coalesce(F.array_join(F.array_sort(F.array_distinct(simple_tokens("query_text"))), " "), F.lit(""))
+    return queries.select("query_id", "tenant_id", terms.alias("_terms")).withColumn("_q", F.unhex(F.md5("_terms")))
+
+
+def of_asked_tenants(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """The documents that a question can find: those of tenants that ask one."""
+    return docs.join(lookup(queries.select("tenant_id").distinct()), "tenant_id", "left_semi")
+
+
+def bm25_top(queries: DataFrame, lists: DataFrame, ids: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """The best ``k`` ids[0] of each question by BM25 on stored posting lists of items named by ``ids`` (the score of several
     items with the same ids[0] is that of the best): the questions (query_id, tenant_id, _q)
     and (tenant_id, _q, ids, score, rank).
 
-    Equal questions of a tenant are scored once. Weighted postings and questions meet in cells of
-    bounded size (``pair_blocks``), in which a score is complete: pairs of a question and an item stay inside a task,
+    Questions of a tenant with the same terms are scored once. Posting lists, questions and the tenant's statistics of their terms
+    meet in cells of bounded size (``pair_blocks``), in which a score is complete: postings travel once per block of questions, one row per
+    item, and are never joined to the terms; pairs of a question and an item stay inside a task,
     which ships k rows per question. No side is hinted; Spark broadcasts what is under its byte threshold."""
-    lengths = post.filter(F.col("term").isNull())
-    stats = lengths.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    asked = queries.select("query_id", "tenant_id", F.md5(F.coalesce("query_text", F.lit(""))).alias("_q"), "query_text")
-    once = materialize(asked.groupBy("tenant_id", "_q").agg(F.first("query_text").alias("_text"))
-                       .select("tenant_id", "_q", F.array_distinct(simple_tokens("_text")).alias("_terms")))
-    wanted = lookup(once.select("tenant_id", F.explode("_terms").alias("term")).distinct())
-    hit = post.filter(F.col("term").isNotNull()).join(wanted, ["tenant_id", "term"], "left_semi")
-    n, df_, tf = F.col("n_docs"), F.col("df"), F.col("tf")
-    idf = F.log(F.lit(1.0) + (n - df_ + F.lit(0.5)) / (df_ + F.lit(0.5)))
-    known = lookup(hit.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "tenant_id")
-                   .select("tenant_id", "term", "avgdl", "df", idf.alias("idf")))
-    w = F.col("idf") * tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    weighted = post.join(known, ["tenant_id", "term"]).select("tenant_id", *ids, "term", w.alias("w"))
-    sizes = known.groupBy("tenant_id").agg(F.sum("df").alias("n_items")).join(
-        once.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_questions")), "tenant_id")
-    schema = T.StructType([once.schema["tenant_id"], once.schema["_q"], *[post.schema[c] for c in ids], T.StructField("score", T.DoubleType())])
-    scored = by_cell(weighted, ids[0], once, "_q", sizes, POSTINGS, lambda left, right: best_sums(left, right, ids, k), schema)
+    asked = questions_by_terms(queries)
+    once = materialize(asked.filter(F.col("_terms") != "").groupBy("tenant_id", "_q").agg(F.first("_terms").alias("_terms")))
+    stats = lists.groupBy("tenant_id").agg(F.sum("docs").alias("_n"), (F.sum(F.col("dl") * F.col("docs")) / F.sum("docs")).alias("_avgdl"), F.sum("n").alias("n_items"))
+    wanted = lookup(once.select("tenant_id", F.explode(F.split("_terms", " ")).alias("term")).distinct())
+    vocabulary = list_statistics(lists).join(wanted, ["tenant_id", "term"], "left_semi") \
+        .groupBy("tenant_id", F.pmod(F.xxhash64("term"), F.lit(VOCABULARY_ROWS)).alias("_v")).agg(F.collect_list(F.struct("term", "df")).alias("_l"))
+    known = lookup(vocabulary.join(stats, "tenant_id").select("tenant_id", F.array_join(F.col("_l.term"), " ").alias("_terms"), F.col("_l.df").alias("_df"), "_n", "_avgdl"))
+    sizes = stats.select("tenant_id", "n_items").join(once.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_questions")), "tenant_id")
+    schema = T.StructType([once.schema["tenant_id"], once.schema["_q"], *[lists.schema[c] for c in ids], T.StructField("score", T.DoubleType())])
+    items = lists.filter("n > 0").select("tenant_id", *ids, "dl", "terms", "tfs")
+    scored = by_cell(items, ids[0], once, "_q", sizes, POSTINGS, lambda left, right: best_sums(left, right, ids, k, k1, b), schema, wide=4, shared=known)
     top = top_k_per(scored, ["tenant_id", "_q"], [F.col("score").desc(), *[F.col(c) for c in ids]], k, rank_col="rank")
-    return asked.drop("query_text"), top
+    return asked.drop("_terms"), top
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame | None, k: int = 8, k1: float = 1.2, b: float = 0.75,
@@ -379,11 +452,11 @@ def keyword_search(queries: DataFrame, docs: DataFrame | None, k: int = 8, k1: f
     against the documents of its tenant, with that tenant's statistics;
     distinct query terms; rank by score rounded to 6 places, then id.
 
-    Reads the stored index (``postings``, else K11 writes it from ``docs``:
-    each document is tokenised once); a task ships k rows per question
+    Reads the stored index (``postings``, else K11 writes it from ``docs`` as
+    ``posting_lists``: each document is tokenised once); a task ships k rows per question
     to the ranking."""
-    post = postings if postings is not None else materialize(build_postings(docs, id_col, text_col))
-    asked, best = bm25_top(queries, post, [id_col], k, k1, b)
+    lists = listed(postings, [id_col]) if postings is not None else posting_lists(of_asked_tenants(docs, queries), id_col, text_col)
+    asked, best = bm25_top(queries, materialize(lists), [id_col], k, k1, b)
     return asked.join(best, ["tenant_id", "_q"]).select("query_id", "tenant_id", id_col, "score", "rank")
 
 

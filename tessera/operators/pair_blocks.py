@@ -4,7 +4,8 @@ Such a search is quadratic by nature. Here its rows are dealt into cells (tenant
 items, block of questions) by hashes, so many that a cell holds a bounded number of rows of
 either side whatever the tenant's size; a task scores one cell at a time with numpy and returns
 k items per question. No pair is ever written, shuffled or spilled: what travels is each item
-once per block of questions and each question once per block of items.
+once per block of questions and each question once per block of items. An item travels as one row, also
+one that holds many postings.
 """
 
 from __future__ import annotations
@@ -15,28 +16,35 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import release_memory
 from .common import lookup
 
-POSTINGS = 1 << 20        # of a cell
+POSTINGS = 1 << 21        # of a cell
 VECTORS = 1 << 15
 QUESTIONS = 1 << 16
+DENSE = 0.004             # share of pairs from which a term is multiplied as a matrix
+DENSE_CELLS = 1 << 23     # of that matrix
 CELL = ["tenant_id", "_d", "_c"]
 
 
 def by_cell(items: DataFrame, item_key: str, questions: DataFrame, question_key: str, sizes: DataFrame,
-            per_cell: int, score: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``score`` of each cell's items and questions. ``sizes`` counts the rows of both sides by
-    tenant (tenant_id, n_items, n_questions); tenants that lack one are left out."""
+            per_cell: int, score: Callable[[pa.Table, pa.Table], pa.Table], schema: str, wide: int = 1,
+            shared: DataFrame | None = None) -> DataFrame:
+    """``score`` of each cell's items and questions. ``sizes`` counts both sides by
+    tenant (tenant_id, n_items, n_questions); tenants that lack one are left out. A cell takes ``wide`` times
+    QUESTIONS; the rows of ``shared`` go with the questions into every cell of their tenant."""
     blocks = lookup(sizes.select("tenant_id", F.greatest(F.ceil(F.col("n_items") / per_cell), F.lit(1)).cast("int").alias("_nd"),
-                                 F.greatest(F.ceil(F.col("n_questions") / QUESTIONS), F.lit(1)).cast("int").alias("_nc")))
+                                 F.greatest(F.ceil(F.col("n_questions") / (QUESTIONS * wide)), F.lit(1)).cast("int").alias("_nc")))
+
+    def each(name: str, count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(name)
 
     def dealt(rows: DataFrame, key: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
         j = rows.join(blocks, "tenant_id").withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own)).cast("int"))
-        return j.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("_nd", "_nc")
+        return j.withColumn(other, each(other, n_other)).drop("_nd", "_nc")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         try:
@@ -44,8 +52,11 @@ def by_cell(items: DataFrame, item_key: str, questions: DataFrame, question_key:
         finally:
             release_memory()
 
-    return dealt(items, item_key, "_d", "_nd", "_c", "_nc").groupBy(*CELL) \
-        .cogroup(dealt(questions, question_key, "_c", "_nc", "_d", "_nd").groupBy(*CELL)).applyInArrow(run, schema)
+    asked = dealt(questions, question_key, "_c", "_nc", "_d", "_nd")
+    if shared is not None:
+        everywhere = shared.join(blocks, "tenant_id").withColumn("_d", each("_d", "_nd")).withColumn("_c", each("_c", "_nc")).drop("_nd", "_nc")
+        asked = asked.unionByName(everywhere, allowMissingColumns=True)
+    return dealt(items, item_key, "_d", "_nd", "_c", "_nc").groupBy(*CELL).cogroup(asked.groupBy(*CELL)).applyInArrow(run, schema)
 
 
 def half_up(x: np.ndarray, places: int) -> np.ndarray:
@@ -75,57 +86,136 @@ def _table(left: pa.Table, item_rows: np.ndarray, keep: list[str], right: pa.Tab
 
 
 # Sums of term weights ------------------------------------------------------------
-def best_sums(left: pa.Table, right: pa.Table, ids: list[str], k: int, places: int = 6) -> pa.Table:
-    """(tenant_id, _q, ids, score): per question the ``k`` first ids[0] by the sum of the weights
-    ``w`` of the question's ``_terms``, rounded; of several items (ids) with the same ids[0] the best
-    stands, the first of equal ones. Rows that repeat an item and a term add up."""
-    none = np.zeros(0, np.int64)
-    if not left.num_rows or not right.num_rows:
-        return _table(left, none, ids, right, none, ["tenant_id", "_q"], pa.array([], pa.float64()))
-    enc = left.column("term").combine_chunks().dictionary_encode()
-    term = np.asarray(enc.indices).astype(np.int64)
+def _words(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts joined by one space, and how many each text has."""
+    lists = pc.split_pattern(column.combine_chunks(), " ")
+    return pc.list_flatten(lists), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+
+
+def _codes(words: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.index_in(words, vocabulary), -1)).astype(np.int64)
+
+
+def _runs(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, .. (lengths[0] numbers), then those from first[1] on, .."""
+    return np.arange(int(lengths.sum())) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
+
+
+def best_sums(left: pa.Table, right: pa.Table, ids: list[str], k: int, k1: float = 1.2, b: float = 0.75, places: int = 6,
+              batch: int = 1 << 22) -> pa.Table:
+    """(tenant_id, _q, ids, score): per question the ``k`` first ids[0] by BM25, rounded; of several items
+    (ids) with the same ids[0] the best stands, the first of equal ones. Rows that repeat an item add up.
+
+    ``left`` holds items: ids, ``terms`` (joined by a space), their counts ``tfs`` and the length ``dl``. ``right`` holds
+    questions (``_q``, ``_terms``) and, where ``_q`` is null, the tenant's vocabulary: ``_terms`` with their ``_df``, ``_n`` items in all
+    of mean length ``_avgdl``. Scores in single precision find what may be among the k: a matrix product over the
+    terms that many pairs share, and the postings of the others added one by one. What may enter is then
+    scored in double precision, term after term."""
+    none, asked = np.zeros(0, np.int64), ["tenant_id", "_q"]
+    is_word = pc.is_null(right.column("_q"))
+    known, right = right.filter(is_word), right.filter(pc.invert(is_word))
+    if not left.num_rows or not right.num_rows or not known.num_rows:
+        return _table(left, none, ids, right, none, asked, pa.array([], pa.float64()))
+    vocabulary, _ = _words(known.column("_terms"))
+    df, size = np.asarray(pc.list_flatten(known.column("_df").combine_chunks())).astype(float), len(vocabulary)
+    idf = np.log(1.0 + (known.column("_n")[0].as_py() - df + 0.5) / (df + 0.5))
+
+    # items ascend by ids; postings by term, then item
     key, group = np.zeros(left.num_rows, np.int64), ordered_codes(left.column(ids[0]))
     for c in ids:
         code = ordered_codes(left.column(c))
         key = np.unique(key * (int(code.max()) + 1) + code, return_inverse=True)[1]
-    _, row = np.unique(key, return_index=True)                       # an item's first row; items ascend by ids
-    n = row.size
-    pair, at = np.unique(term * n + key, return_inverse=True)
-    weight = np.bincount(at, np.asarray(left.column("w")), pair.size)
-    item = pair % n
-    first = np.searchsorted(pair, np.arange(len(enc.dictionary) + 1) * n)
-    bounds = np.flatnonzero(np.diff(group[row], prepend=-1))         # where the items of another ids[0] begin
-    single, owner = bounds.size == n, group[row]
-    del key, at, pair, term
-
-    lists = right.column("_terms").combine_chunks()
-    codes = pc.fill_null(pc.index_in(pc.list_flatten(lists), enc.dictionary), -1).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+    _, row = np.unique(key, return_index=True)
+    n, group = row.size, group[row]
+    words, held = _words(left.column("terms"))
+    code, of_row = _codes(words, vocabulary), np.repeat(np.arange(left.num_rows), held)
+    use = np.flatnonzero(code >= 0)
+    code, of_row, tf = code[use], of_row[use], np.asarray(pc.list_flatten(left.column("tfs").combine_chunks()))[use].astype(float)
+    length = b * np.asarray(left.column("dl")).astype(float) / known.column("_avgdl")[0].as_py()
+    weight, pair = idf[code] * tf * (k1 + 1) / (tf + k1 * ((1 - b) + length[of_row])), code * n + key[of_row]
+    del words, code, of_row, tf, use
+    order = np.argsort(pair, kind="stable")
+    pair, weight = pair[order], weight[order]
+    new = np.diff(pair, prepend=-1) > 0
+    if not new.all():
+        pair, weight = pair[new], np.bincount(np.cumsum(new) - 1, weight)
+    item, single, first = pair % n, weight.astype(np.float32), np.searchsorted(pair, np.arange(size + 1) * n)
+    del order, new
+
+    words, n_terms = _words(right.column("_terms"))
+    q_code, q_row = _codes(words, vocabulary), np.repeat(np.arange(right.num_rows), n_terms)
+    q_code, q_row = q_code[q_code >= 0], q_row[q_code >= 0]
+    q_from = np.searchsorted(q_row, np.arange(right.num_rows + 1))
+    del words
+
+    shared = np.bincount(q_code, minlength=size) / right.num_rows * (np.diff(first) / n)
+    common = np.argsort(-shared, kind="stable")[:min(int((shared > DENSE).sum()), DENSE_CELLS // n)]
+    place = np.full(size, -1)
+    place[common] = np.arange(common.size)
+    exact = np.zeros((common.size, n))
+    for h, t in enumerate(common.tolist()):
+        exact[h, item[first[t]:first[t + 1]]] = weight[first[t]:first[t + 1]]
+    dense = exact.astype(np.float32)
+
+    # runs of whole ids[0]; the k-th best of their maxima is a bound for the k-th best ids[0]
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    starts = starts[np.diff(starts // min(128, max(1, n // (16 * k))), prepend=-1) > 0]
+    lengths = np.diff(starts, append=n)
+    step = min(max(1, batch // n), 1 << 12, right.num_rows)
+    sums = np.empty((step, n), np.float32)
     got_q, got_i, got_s = [], [], []
-    for q in range(right.num_rows):
-        mine = codes[(ends[q - 1] if q else 0):ends[q]]
-        mine = mine[mine >= 0]
-        if not mine.size:
-            continue
-        total = np.zeros(n)
-        for c in mine.tolist():
-            a, b = first[c], first[c + 1]
-            total[item[a:b]] += weight[a:b]
-        top = total if single else np.maximum.reduceat(total, bounds)
-        least = np.partition(top, top.size - k)[top.size - k] if top.size > k else 0.0
-        near = np.flatnonzero(total >= max(least - 2 * 10.0 ** -places, 1e-300))     # all that may round to the k-th score
-        score = half_up(total[near], places)
-        order = np.lexsort((near, -score))
-        near, score = near[order], score[order]
-        if not single:
-            best = np.sort(np.unique(owner[near], return_index=True)[1])
-            near, score = near[best], score[best]
-        got_q.append(np.full(min(k, near.size), q))
-        got_i.append(row[near[:k]])
-        got_s.append(score[:k])
-    if not got_q:
-        return _table(left, none, ids, right, none, ["tenant_id", "_q"], pa.array([], pa.float64()))
-    return _table(left, np.concatenate(got_i), ids, right, np.concatenate(got_q), ["tenant_id", "_q"], pa.array(np.concatenate(got_s)))
+    for a in range(0, right.num_rows, step):
+        e = min(a + step, right.num_rows)
+        about, mine = sums[:e - a], slice(q_from[a], q_from[e])
+        code, q = q_code[mine], q_row[mine] - a
+        at = place[code]
+        chosen = np.zeros((e - a, common.size), np.float32)
+        chosen[q[at >= 0], at[at >= 0]] = 1
+        np.matmul(chosen, dense, out=about)
+        _add(about, q[at < 0], code[at < 0], first, item, single)
+
+        top = np.maximum.reduceat(about, starts, axis=1)
+        least = np.partition(top, starts.size - k, axis=1)[:, starts.size - k] if starts.size > k else np.zeros(e - a)
+        terms = np.diff(q_from[a:e + 1])
+        least = np.maximum(least - least * (terms + 4) * 1.2e-7 - 2 * 10.0 ** -places, 1e-30)
+        q, g = np.nonzero(top >= least[:, None])
+        q, near = np.repeat(q, lengths[g]), _runs(starts[g], lengths[g])
+        fit = about[q, near] >= least[q]
+        q, near = q[fit], near[fit]
+
+        of = np.repeat(np.arange(q.size), terms[q])
+        code, at = q_code[_runs(q_from[a + q], terms[q])], near[of]
+        add, h = np.empty(of.size), place[code]
+        add[h >= 0] = exact[h[h >= 0], at[h >= 0]]
+        rare = np.flatnonzero(h < 0)
+        want = code[rare] * n + at[rare]
+        order = np.argsort(want)
+        found = np.empty(rare.size, np.int64)
+        found[order] = np.minimum(np.searchsorted(pair, want[order]), pair.size - 1)
+        add[rare] = np.where(pair[found] == want, weight[found], 0.0)
+        score = half_up(np.bincount(of, add, q.size), places)
+
+        order = np.lexsort((near, -score, q))
+        q, near, score = q[order], near[order], score[order]
+        best = np.sort(np.unique(q * n + group[near], return_index=True)[1])
+        q, near, score = q[best], near[best], score[best]
+        fit = np.arange(q.size) - np.searchsorted(q, q) < k
+        got_q.append(a + q[fit])
+        got_i.append(row[near[fit]])
+        got_s.append(score[fit])
+    return _table(left, np.concatenate(got_i), ids, right, np.concatenate(got_q), asked, pa.array(np.concatenate(got_s), pa.float64()))
+
+
+def _add(sums: np.ndarray, q: np.ndarray, code: np.ndarray, first: np.ndarray, item: np.ndarray, weight: np.ndarray, batch: int = 1 << 20) -> None:
+    """Adds the postings of the terms ``code`` to the rows ``q`` of ``sums``, about ``batch`` of them at a time."""
+    lengths, n = first[code + 1] - first[code], sums.shape[1]
+    upto = np.cumsum(lengths)
+    s = 0
+    while s < code.size:
+        e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + batch, "right")))
+        at = _runs(first[code[s:e]], lengths[s:e])
+        np.add.at(sums.reshape(-1), np.repeat(q[s:e] * n, lengths[s:e]) + item[at], weight[at])
+        s = e
 
 
 # Cosines -------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lookup, materialize
-from .kb_text import CHUNK_OVERLAP, CHUNK_SIZE, best_by_cosine, bm25_top, build_postings, chunk_documents
+from .kb_text import CHUNK_OVERLAP, CHUNK_SIZE, best_by_cosine, bm25_top, build_postings, chunk_documents, listed, of_asked_tenants, posting_lists
 from .vector_store import with_vectors
 
 
@@ -26,10 +26,18 @@ def passages(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERL
     return chunk_documents(docs, size, overlap).select("doc_id", "tenant_id", "chunk_no", passage_id().alias("chunk_id"), "chunk")
 
 
+def _named(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    return passages(docs, size, overlap).select("tenant_id", F.struct("doc_id", "chunk_no").alias("passage"), "chunk")
+
+
 def build_passage_postings(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """K11 by chunk: (tenant_id, doc_id, chunk_no, term, tf, dl). Map-only, like K11."""
-    named = passages(docs, size, overlap).select("tenant_id", F.struct("doc_id", "chunk_no").alias("passage"), "chunk")
-    return build_postings(named, "passage", "chunk").select("tenant_id", "passage.doc_id", "passage.chunk_no", "term", "tf", "dl")
+    return build_postings(_named(docs, size, overlap), "passage", "chunk").select("tenant_id", "passage.doc_id", "passage.chunk_no", "term", "tf", "dl")
+
+
+def passage_lists(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """``build_passage_postings`` with one row per chunk: (tenant_id, doc_id, chunk_no, dl, docs, n, terms, tfs)."""
+    return posting_lists(_named(docs, size, overlap), "passage", "chunk").select("tenant_id", "passage.doc_id", "passage.chunk_no", "dl", "docs", "n", "terms", "tfs")
 
 
 def search_passages(queries: DataFrame, docs: DataFrame | None, k: int = 8, postings: DataFrame | None = None,
@@ -37,10 +45,11 @@ def search_passages(queries: DataFrame, docs: DataFrame | None, k: int = 8, post
     """(query_id, tenant_id, doc_id, chunk_no, score, rank): per query the best ``k`` documents of its
     tenant by the BM25 score of their best chunk (the first of equal ones).
 
-    Postings are dealt by document, so a document's chunks meet in one task and only its best
+    Posting lists are dealt by document, so a document's chunks meet in one task and only its best
     goes on; a task ships k documents per question."""
-    post = postings if postings is not None else materialize(build_passage_postings(docs, size, overlap))
-    asked, top = bm25_top(queries, post, ["doc_id", "chunk_no"], k)
+    ids = ["doc_id", "chunk_no"]
+    lists = listed(postings, ids) if postings is not None else passage_lists(of_asked_tenants(docs, queries), size, overlap)
+    asked, top = bm25_top(queries, materialize(lists), ids, k)
     return asked.join(top, ["tenant_id", "_q"]).select("query_id", "tenant_id", "doc_id", "chunk_no", "score", "rank")
 
 
@@ -54,10 +63,9 @@ def search_passage_vectors(queries: DataFrame, chunks: DataFrame, vectors: DataF
 def passage_texts(hits: DataFrame, docs: DataFrame, keep: tuple[str, ...] = ("title", "source"),
                   size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """``hits`` (doc_id, chunk_no, ..) with the text of the chunk and the document's ``keep``
-    columns. Only documents that were hit are cut again, and only their chunks travel: a semi join
-    would be moved below the cut and take the whole text along with each of its chunks."""
-    wanted = lookup(hits.select("doc_id", "chunk_no").distinct())
-    hit_docs = docs.join(lookup(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    cut = chunk_documents(hit_docs, size, overlap, keep=("doc_id", *keep))
-    texts = cut.join(wanted, ["doc_id", "chunk_no"]).select("doc_id", "chunk_no", *keep, "chunk")
-    return hits.join(texts, ["doc_id", "chunk_no"])
+    columns. The hits are found once. Only documents that were hit are cut again, at their chunks that were hit, and only
+    these travel: a semi join would be moved below the cut and take the whole text along with each of its chunks."""
+    hits = lookup(hits)
+    wanted = lookup(hits.groupBy("doc_id").agg(F.collect_set("chunk_no").alias("_wanted")))
+    texts = chunk_documents(docs.join(wanted, "doc_id"), size, overlap, keep=("doc_id", *keep), only="_wanted")
+    return hits.join(texts.drop("start"), ["doc_id", "chunk_no"])

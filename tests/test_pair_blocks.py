@@ -130,3 +130,77 @@ def test_embedder_keeps_few_words(monkeypatch):
     monkeypatch.setattr(M.hashlib, "md5", lambda b: calls.append(b) or md5(b))
     M.hashing_embedder(16)(texts)
     assert len(calls) == 5                             # once per word
+
+
+def seen_cells(monkeypatch):
+    """The items and questions that searches deal into cells."""
+    seen, dealt = [], K.by_cell
+    monkeypatch.setattr(K, "by_cell", lambda *a, **b: seen.append((a[0], a[2])) or dealt(*a, **b))
+    return seen
+
+
+def test_an_item_travels_as_one_row(spark, monkeypatch):
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(i, i % 2, words(rnd, 400)) for i in range(6)] + [(6, 0, ""), (7, 0, None), (8, 5, "ab")], DOCS)
+    asked = spark.createDataFrame([(1, 0, "ab bc"), (2, 1, "cd")], Q)
+    seen = seen_cells(monkeypatch)
+    assert P.search_passages(asked, docs, 3).count() == 6
+    assert seen[0][0].count() == P.passages(docs).filter("tenant_id < 2").count()     # not a row per term
+    K.keyword_search(asked, docs, 3)
+    assert seen[1][0].count() == 6
+
+
+def test_hits_are_found_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(i, 1, "a " * 2000) for i in range(3)], DOCS)
+    hits = spark.createDataFrame([(1, 1, 2), (2, 1, 0), (3, 2, 5), (4, 9, 0)], "query_id long, doc_id long, chunk_no int")
+    out = P.passage_texts(hits.mapInArrow(run, hits.schema), docs, keep=()).collect()
+    assert rows.value == 4 and sorted((r.query_id, r.chunk_no, len(r.chunk)) for r in out) == [(1, 2, 800), (2, 0, 800), (3, 5, 600)]
+
+
+def test_questions_with_the_same_terms_are_scored_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, 1, "Parking costs seven"), (2, 1, "the menu has soup"), (3, 2, "parking")], DOCS)
+    asked = [(1, 1, "parking costs"), (2, 1, "Costs: PARKING, costs ?!"), (3, 2, "parking costs"), (4, 1, " ?!"), (5, 1, None)]
+    seen = seen_cells(monkeypatch)
+    got = K.keyword_search(spark.createDataFrame(asked, Q), docs, 3).collect()
+    assert seen[0][1].count() == 2
+    assert sorted((r.query_id, r.doc_id) for r in got) == [(1, 1), (2, 1), (3, 3)] and len({r.score for r in got if r.doc_id == 1}) == 1
+
+
+@pytest.mark.parametrize("dense, cells", [(0.0, 1 << 23), (0.0, 200), (0.1, 1 << 23), (2.0, 1 << 23)])
+def test_sums_by_matrix_and_by_postings(spark, monkeypatch, dense, cells):
+    monkeypatch.setattr(PB, "DENSE", dense)
+    monkeypatch.setattr(PB, "DENSE_CELLS", cells)
+    rnd = random.Random(6)
+    docs = [(i, words(rnd, rnd.randint(1, 12)) + f" w{i % 9}") for i in range(70)]
+    asked = [words(rnd, rnd.randint(1, 4)) + f" w{i} w{i}" for i in range(20)]
+    n, avg = len(docs), sum(len(t.split()) for _, t in docs) / len(docs)
+    terms = sorted({t for q in asked for t in q.split()} & {t for _, d in docs for t in d.split()})
+    left = pa.table({"doc_id": [i for i, _ in docs], "dl": [len(t.split()) for _, t in docs], "terms": [" ".join(dict.fromkeys(t.split())) for _, t in docs],
+                     "tfs": [[t.split().count(x) for x in dict.fromkeys(t.split())] for _, t in docs]})
+    right = pa.table({"tenant_id": [1] * 21, "_q": pa.array([*(b"%d" % i for i in range(20)), None], pa.binary()),
+                      "_terms": [*(" ".join(sorted(set(q.split()))) for q in asked), " ".join(terms)],
+                      "_df": pa.array([None] * 20 + [[sum(x in t.split() for _, t in docs) for x in terms]], pa.list_(pa.int64())),
+                      "_n": pa.array([None] * 20 + [n], pa.int64()), "_avgdl": pa.array([None] * 20 + [avg], pa.float64())})
+    for k, batch in ((1, 1 << 22), (4, 150), (100, 1 << 22)):
+        got = PB.best_sums(left.take(pa.array(rnd.sample(range(70), 70))), right, ["doc_id"], k, batch=batch).to_pylist()
+        for i, q in enumerate(asked):
+            want = bm25(q, docs, k)
+            mine = [(r["score"], r["doc_id"]) for r in got if r["_q"] == b"%d" % i]
+            assert [d for _, d in mine] == [d for _, d in want] and np.allclose([-s for s, _ in mine], [s for s, _ in want], atol=2e-6)
+
+
+def test_stored_postings_give_the_same_hits(spark):
+    rnd = random.Random(7)
+    docs = spark.createDataFrame([(i % 25, 1, words(rnd, rnd.randint(0, 9))) for i in range(40)] + [(50, 1, None), (51, 2, "ab")], DOCS)
+    asked = spark.createDataFrame([(i, 1, words(rnd, 3)) for i in range(5)], Q)
+    take = lambda x: sorted(x.collect())
+    extra = spark.createDataFrame([(1, 3, "ab bc", 1, 2)], "tenant_id int, doc_id long, term string, tf long, dl long")     # not a token
+    assert take(K.keyword_search(asked, docs, 4)) == take(K.keyword_search(asked, None, 4, postings=K.build_postings(docs).unionByName(extra)))
+    assert take(P.search_passages(asked, docs, 4)) == take(P.search_passages(asked, None, 4, postings=P.build_passage_postings(docs)))
