@@ -63,9 +63,10 @@ def search_passage_vectors(queries: DataFrame, chunks: DataFrame, vectors: DataF
 def passage_texts(hits: DataFrame, docs: DataFrame, keep: tuple[str, ...] = ("title", "source"),
                   size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """``hits`` (doc_id, chunk_no, ..) with the text of the chunk and the document's ``keep``
-    columns. The hits are found once. Only documents that were hit are cut again, at their chunks that were hit, and only
-    these travel: a semi join would be moved below the cut and take the whole text along with each of its chunks."""
-    hits = lookup(hits)
-    wanted = lookup(hits.groupBy("doc_id").agg(F.collect_set("chunk_no").alias("_wanted")))
-    texts = chunk_documents(docs.join(wanted, "doc_id"), size, overlap, keep=("doc_id", *keep), only="_wanted")
-    return hits.join(texts.drop("start"), ["doc_id", "chunk_no"])
+    columns. A document's text travels once, to its hits, which take their chunks where they meet it: chunks that
+    travel to the hits would be the same text again, and all chunks more than it."""
+    old = [c for c in hits.columns if c not in ("doc_id", "chunk_no")]
+    at = lookup(hits).select("doc_id", *[F.col(c).alias(f"_hit_{c}") for c in old], F.array("chunk_no").alias("_wanted"))
+    met = at.join(docs.select("doc_id", "content", *keep), "doc_id")
+    cut = chunk_documents(met, size, overlap, keep=("doc_id", *[f"_hit_{c}" for c in old], *keep), only="_wanted")
+    return cut.select("doc_id", "chunk_no", *[F.col(f"_hit_{c}").alias(c) for c in old], *keep, "chunk")
